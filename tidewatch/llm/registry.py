@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, quality_rules
+from tidewatch.llm import bpe, exact_dedup, packing, quality_rules, token_files, url_filters
+from tidewatch.llm.common import scratch_dir
 from tidewatch.sources import table
 
 
@@ -34,5 +38,61 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op9_quality_rules": op9_quality_rules}
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL}
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document; digests of the ids and of the decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    back = bpe.decode_documents(coded, path, ("id", "n_tokens"))
+    return back.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents to token files in the scratch folder and reads them back."""
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, path)
+    return token_files.read_tokens(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filters.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule FROM p
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches(host, '^([^/]*\.)?(spam-|ads\.|tracker\.)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the ids of all documents into windows of 2048."""
+    encode = packing.library_encode(public_tokenizers.path("word_bpe_49k.json"), True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), encode, 1)
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_token_files": op3_token_files,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op7_packing": op7_packing,
+    "op9_quality_rules": op9_quality_rules,
+}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filters": OP6_SQL}
