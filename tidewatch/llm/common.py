@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,15 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), an own one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
     return found.rstrip("/")
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="scratch-")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared scratch folder: cuts the lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact_dedup, packing, quality_rules, token_files, url_filters
+from tidewatch.llm import bpe, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
 from tidewatch.llm.common import scratch_dir
 from tidewatch.sources import table
 
@@ -87,10 +87,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), encode, 1)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document; kept is false for poor and for toxic ones."""
+    docs = table(spark, sf_dir, "documents")
+    scorer = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.classify(docs, scorer).withColumnRenamed("id", "doc_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.fit(docs.where(~held))
+    found = language_id.identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), model, keep=("held_out",))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return ngram_join.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op10_language_id": op10_language_id,
+    "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
     "op9_quality_rules": op9_quality_rules,
