@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
+from tidewatch.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
 from tidewatch.llm.common import scratch_dir
 from tidewatch.sources import table
 
@@ -108,6 +108,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines that an earlier line is similar to."""
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op10_language_id": op10_language_id,
@@ -117,6 +122,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filters": OP6_SQL}

@@ -205,7 +205,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * overlap >= PERCENT * (n + m - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "b binary, a binary" if both.columns[0] == "b" else "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def exploded(sets: DataFrame, keep: tuple[str, ...]) -> DataFrame:
