@@ -1 +1,65 @@
-"""functions of the engine."""
+"""Scalar functions: finite values, clamps, scores, identifiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def finite(x: Column) -> Column:
+    """NaN and infinities become null."""
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0 or either is null."""
+    return finite(F.try_divide(a.cast("double"), b.cast("double")))
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """x held between low and high; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
+def scale(x: Column, width: float, center: float = 0.0, sign: float = 1.0) -> Column:
+    """50 at the center, 100 and 0 one width above and below (for a positive sign)."""
+    return clip(50 + 50 * (sign * x - center) / width, 0.0, 100.0)
+
+
+def sigmoid(x: Column) -> Column:
+    """Logistic function of x held within 35 of 0."""
+    return 1 / (1 + F.exp(-clip(x, -35.0, 35.0)))
+
+
+def logit(p: Column, eps: float = 1e-12) -> Column:
+    """Log odds of p held eps away from 0 and 1."""
+    q = clip(p, eps, 1 - eps)
+    return F.ln(q / (1 - q))
+
+
+def flags(**when: Column) -> Column:
+    """Array of the names whose conditions hold, in the given order."""
+    return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in when.items())))
+
+
+def content_id(kind: str, *parts: Column) -> Column:
+    """`kind:sha256:digest` of the parts' text, nulls marked."""
+    text = F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts))
+    return F.concat(F.lit(f"{kind}:sha256:"), F.sha2(text, 256))
+
+
+def is_content_id(x: Column, kind: str) -> Column:
+    """Whether x is an identifier of that kind."""
+    return x.rlike(f"^{kind}:sha256:[0-9a-f]{{64}}$")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Overlap of two arrays as sets; 1 when both are empty."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def horizon_end(at: Column, horizon: str) -> Column:
+    """at plus one of 1h, 4h, 1d, 1w, 1mo, 3mo, 1y; calendar steps clamp to the month's end."""
+    step = {"1h": "INTERVAL 1 HOUR", "4h": "INTERVAL 4 HOUR", "1d": "INTERVAL 1 DAY", "1w": "INTERVAL 7 DAY", "1mo": "INTERVAL 1 MONTH", "3mo": "INTERVAL 3 MONTH", "1y": "INTERVAL 1 YEAR"}[horizon]
+    return at + F.expr(step)

@@ -1 +1,107 @@
-"""streaming of the engine."""
+"""Structured Streaming twins of the batch operators, and stateful ones."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def tumbling(events: DataFrame, time: str, length: str, keys: Sequence[str], value: Column, watermark: str = "1 hour") -> DataFrame:
+    """keys, window_start, n, total; the same for a table and for a stream, where late rows are dropped by watermark."""
+    source = events.withWatermark(time, watermark) if events.isStreaming else events
+    out = source.groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return out.select(*keys, F.col("window.start").alias("window_start"), "n", "total")
+
+
+def known_at(events: DataFrame, at: Column, available: str = "available_at", fetched: str = "fetched_at") -> DataFrame:
+    """Rows that could be used at a time: a watermark only bounds state, these clocks decide."""
+    return events.where((F.col(available) <= at) & (F.col(fetched) <= at))
+
+
+def _keep(times: list[pd.Timestamp], last: pd.Timestamp | None, seconds: float) -> tuple[list[int], pd.Timestamp | None]:
+    kept = []
+    for i, t in enumerate(times):
+        if last is None or (t - last).total_seconds() >= seconds:
+            kept.append(i)
+            last = t
+    return kept, last
+
+
+def cooled(alerts: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
+    """Alerts whose key has not fired within `seconds`; the timer restarts only when one is let through.
+
+    A table is cut where a key was silent for `seconds` or longer: the first alert after such a gap is let through
+    whatever came before, so each burst is settled alone and a hot key is as many groups as it has bursts."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(time)
+    quiet = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w)) >= int(seconds * 1e6)
+    bursts = alerts.select(key, time).withColumn("_new", F.coalesce(quiet, F.lit(True)).cast("int")).withColumn("_burst", F.sum("_new").over(w))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time)
+        return pdf.iloc[_keep(pdf[time].tolist(), None, seconds)[0]][[key, time]]
+
+    return bursts.groupBy(key, "_burst").applyInPandas(run, alerts.select(key, time).schema)
+
+
+def cooled_stream(alerts: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
+    """The same for a stream: one instant of state a key."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        pdf = pd.concat(list(batches)).sort_values(time)
+        kept, last = _keep(pdf[time].tolist(), last, seconds)
+        if last is not None:
+            state.update((last.to_pydatetime(),))
+        yield pdf.iloc[kept][[key, time]]
+
+    schema = alerts.select(key, time).schema
+    return alerts.select(key, time).groupBy(key).applyInPandasWithState(run, schema, "last timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def book_stream(deltas: DataFrame) -> DataFrame:
+    """Order books as state of a symbol: deltas (symbol, kind, first_id, last_id, side, price, quantity rows as arrays).
+
+    In: symbol, kind ('snapshot' or 'delta'), first_id, last_id, bids and asks (arrays of price, quantity). Out: symbol,
+    last_id, synchronised, best_bid, best_ask, problem. A snapshot resets; a delta older than the book is passed over;
+    one that does not follow it is a GAP, a crossed book is CROSSED, and both last until the next snapshot."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    out = "symbol string, last_id bigint, synchronised boolean, best_bid double, best_ask double, problem string"
+    book = "last_id bigint, synchronised boolean, prices array<double>, bids array<double>, asks array<double>"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ok, bids, asks = -1, False, {}, {}
+        if state.exists:
+            last, ok, _, b, a = state.get
+            bids, asks = dict(zip(b[::2], b[1::2])), dict(zip(a[::2], a[1::2]))
+        rows = []
+        for r in pd.concat(list(batches)).sort_values(["last_id", "kind"], ascending=[True, False]).itertuples():
+            problem = None
+            if r.kind == "snapshot":
+                last, ok, bids, asks = r.last_id, True, {}, {}
+            elif r.last_id <= last:
+                continue
+            elif not ok or r.first_id > last + 1:
+                ok, problem = False, "GAP"
+            for side, levels in ((bids, r.bids), (asks, r.asks)) if ok else ():
+                for x in levels:
+                    if x["quantity"] == 0:
+                        side.pop(x["price"], None)
+                    else:
+                        side[x["price"]] = x["quantity"]
+            last = max(last, r.last_id)
+            top, low = max(bids, default=None), min(asks, default=None)
+            if ok and (top is None or low is None or top >= low):
+                ok, problem = False, "CROSSED"
+            rows.append((key[0], last, ok, top, low, problem))
+        flat = lambda d: [v for kv in d.items() for v in kv]
+        state.update((last, ok, [], flat(bids), flat(asks)))
+        yield pd.DataFrame(rows, columns=["symbol", "last_id", "synchronised", "best_bid", "best_ask", "problem"])
+
+    return deltas.groupBy("symbol").applyInPandasWithState(run, out, book, "append", GroupStateTimeout.NoTimeout)
