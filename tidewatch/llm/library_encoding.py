@@ -11,42 +11,57 @@ from functools import lru_cache
 from tidewatch.llm.pretokenize import WHITE_SPACE
 
 _W = re.escape("".join(map(chr, WHITE_SPACE)))
+#: Latin letters that no normaliser composes or splits; before a sign or white space a run of them is one piece.
+_RUN = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \n.,;:!?|&*%$#]|\\Z)"
 #: Chunks of byte-level texts: white space belongs to the ids, so a chunk is what the model's own pattern never crosses.
-KEPT = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-#: Chunks that a worker keeps, and characters up to which chunks are kept.
-CACHED, LONGEST = 500_000, 64
+KEPT = re.compile(f" ?{_RUN}| ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
+#: For models that drop white space: any subset of it may cut, the rest stays inside a chunk for the library to drop.
+DROPPED = re.compile(f"{_RUN}|[^ \n]+")
+_PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Chunks that a worker keeps, in two generations, and characters up to which chunks are kept.
+CACHED, LONGEST = 600_000, 64
 
 class LibraryEncoder:
-    """`drops_space`: whether the model's normaliser and splitter drop white space; then chunks are cut at blanks and
-    line ends only, and any other white space stays inside a chunk for the library to drop."""
+    """`drops_space`: whether the model's normaliser and splitter drop white space and case."""
 
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.drops_space, self.cache = drops_space, {}
+        # The same model for runs of letters, which its normaliser and splitter leave whole.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.drops_space, self.cache, self.old = drops_space, {}, {}
 
     def _chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.drops_space else KEPT.findall(text)
+        return DROPPED.findall(text) if self.drops_space else KEPT.findall(text)
 
     def _coded(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, in one call of the library."""
-        ids = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, ids)}
+        """Ids of chunks, in two calls of the library."""
+        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
+        rest = [c for c in chunks if not _PLAIN.fullmatch(c)]
+        ids = self.words.encode_batch_fast([c.lower() for c in plain] if self.drops_space else plain, add_special_tokens=False)
+        ids += self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        return {c: array("I", e.ids).tobytes() for c, e in zip(plain + rest, ids)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
         chunks = [self._chunks(t) for t in texts]
         distinct = set().union(*chunks)
-        coded = self._coded(list(distinct.difference(self.cache)))
-        if len(self.cache) + len(coded) > CACHED:
-            self.cache = {c: self.cache[c] for c in distinct if c in self.cache}
-        self.cache.update(coded)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, c)) for c in chunks]
-        for c in coded:
+        new = distinct.difference(self.cache)
+        if len(self.cache) + len(new) > CACHED // 2:
+            self.old, self.cache, new = self.cache, {}, distinct
+        if self.old:
+            again = new.intersection(self.old)
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            new = new.difference(again)
+        self.cache.update(self._coded(list(new)))
+        out = [b"".join(map(self.cache.__getitem__, c)) for c in chunks]
+        for c in new:
             if len(c) > LONGEST:
                 del self.cache[c]
         return out

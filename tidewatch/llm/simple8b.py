@@ -15,6 +15,8 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60, 60])
 ESCAPE, BLOCK = 15, 1024
 _FIT = 13  # selectors 0 to 13 hold values as they are
+_LIMITS = np.array([(1 << int(b)) - 1 for b in BITS[: _FIT + 1]], np.uint64)
+_NARROWEST = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,18 +29,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     grid = np.zeros(blocks * BLOCK + 64, np.uint64)
     grid[:n] = v
     raw = grid >= np.uint64(1 << 60)
-    need = np.searchsorted(np.array([(1 << int(b)) - 1 for b in BITS[: _FIT + 1]], np.uint64), grid).astype(np.uint8)  # the narrowest selector that holds it
+    need = _NARROWEST[np.minimum(grid, np.uint64(0xFFFF)).astype(np.uint16)]  # the narrowest selector that holds it
+    large = np.flatnonzero(grid > np.uint64(0xFFFF))
+    need[large] = np.searchsorted(_LIMITS, grid[large])
     need[raw] = ESCAPE
-    # Widest selectors first: best[i] is the selector that takes most values from i on.
+    # Widest selectors last: best[i] is the selector that takes most values from i on.
     best = np.where(raw, ESCAPE, _FIT).astype(np.uint8)
-    widest, have = need.copy(), 1
+    widest, have = need, 1
     for s in range(_FIT - 1, -1, -1):
         count = int(COUNTS[s])
         while have < count:
             step = min(have, count - have)
-            widest[:-step] = np.maximum(widest[:-step], widest[step:])
+            widest = np.append(np.maximum(widest[:-step], widest[step:]), widest[-step:])
             have += step
-        best[widest <= s] = s
+        np.copyto(best, np.uint8(s), where=widest <= s)
     jump = COUNTS[best]
     ends = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
     at, live, steps = np.arange(blocks) * BLOCK, np.arange(blocks), []

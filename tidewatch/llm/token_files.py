@@ -55,7 +55,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     document in the files of `path`; a folder without pages gives no rows."""
     pages = spark.read.schema(PAGE).parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
-    bases = pages.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = pages.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a shard: small enough to send everywhere
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,4 +68,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array(row["ids"], pa.int64()), pa.array(row["start"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(cut, pa.binary())], names=["shard", "id", "within", "n_tokens", "ids"])
 
     rows = pages.mapInArrow(run, "shard int, id bigint, within bigint, n_tokens bigint, ids binary")
-    return rows.join(bases, "shard").select("id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases), "shard").select("id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
