@@ -9,8 +9,9 @@ last rests become windows whose lengths are powers of two; so nothing is padded.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,22 +28,20 @@ POOL, STAY = 4096, 1024
 SCHEMA = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length to take so that their sum is the largest one within room. counts: of each length, at
-    least 1. Bit t of a bitset says that t can be reached; one bitset is kept for each item tried, and the item is
-    taken where the sum could not be reached without it."""
-    mask, reach, tried = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
-        for _ in range(min(counts[length], room // length)):
+def fill(lengths: Sequence[int], count: Callable[[int], int], room: int) -> dict[int, int]:
+    """How many of each length to take so that their sum is the largest one within room. lengths: ascending, distinct;
+    count(length): how many there are. Bit t of a bitset says that t can be reached; one bitset is kept for each item
+    tried, longest first, and the item is taken where the sum could not be reached without it."""
+    mask, reach, tried, k = (1 << (room + 1)) - 1, 1, [], bisect_right(lengths, room)
+    while k and not reach >> room & 1:
+        k -= 1
+        length = lengths[k]
+        for _ in range(min(count(length), room // length)):
             more = reach | (reach << length & mask)
             if more == reach:
                 break
             tried.append((length, reach))
             reach = more
-            if reach >> room & 1:
-                break
-        if reach >> room & 1:
-            break
     left, taken = reach.bit_length() - 1, defaultdict(int)
     for length, before in reversed(tried):
         if not before >> left & 1:
@@ -71,9 +70,14 @@ class Packer:
     """Packs the documents of one partition; sequence ids start from `first`."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.pool, self.waiting = capacity, first, defaultdict(deque), 0
+        self.capacity, self.next, self.waiting = capacity, first, 0
+        self.pool: dict[int, deque[Piece]] = {}
+        self.lengths: list[int] = []  # ascending, those in the pool
 
     def _wait(self, piece: Piece) -> None:
+        if len(piece) not in self.pool:
+            self.pool[len(piece)] = deque()
+            insort(self.lengths, len(piece))
         self.pool[len(piece)].append(piece)
         self.waiting += 1
 
@@ -81,6 +85,7 @@ class Packer:
         piece = self.pool[length].popleft()
         if not self.pool[length]:
             del self.pool[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.waiting -= 1
         return piece
 
@@ -105,13 +110,13 @@ class Packer:
         """Rows of windows filled from the pool until at most `stay` rests wait; with stay 0, of all that wait."""
         rows = []
         while self.waiting > stay:
-            window = [self._take(max(self.pool))]
+            window = [self._take(self.lengths[-1])]
             room = self.capacity - len(window[0])
-            for length, n in fill({k: len(v) for k, v in self.pool.items()}, room).items():
+            for length, n in fill(self.lengths, lambda x: len(self.pool[x]), room).items():
                 window += [self._take(length) for _ in range(n)]
                 room -= length * n
             if room and self.pool:  # every rest is longer than the room, or the sums don't meet it
-                head, tail = self._take(min(x for x in self.pool if x > room)).split(room)
+                head, tail = self._take(self.lengths[bisect_right(self.lengths, room)]).split(room)
                 window.append(head)
                 self._wait(tail)
                 room = 0
