@@ -6,7 +6,7 @@ samples; embeddings: state vectors; documents: claims; labels: outcomes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, scale
@@ -41,7 +41,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DAILY = "daily AS (SELECT cast(o_orderdate AS date) AS d, avg(o_totalprice) AS p FROM orders GROUP BY 1)"
-_W = Window.partitionBy(F.lit(0)).orderBy("d")  # one series of one row a day
+
+
+def _series(order: str = "d") -> WindowSpec:
+    """One series of one row a day: a table of days, however many orders there are."""
+    return Window.partitionBy(F.lit(0)).orderBy(order)
+
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def consensus_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_DAILY} SELECT d, round(p / lag(p, 1) OVER w - 1, 4) AS r1, round(p / lag(p, 7) OVER w - 1, 4) AS r7, round(p / lag(p, 30) OVER w - 1, 4) AS r30, floor((p - lag(p, 20) OVER w) * 1000 + 0.25) / 1000 AS change20 FROM daily WINDOW w AS (ORDER BY d)""")
 def trailing_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    return rounded(daily(spark, sf_dir).select("d", *(timeseries.trailing_return(p, _W, k).alias(f"r{k}") for k in (1, 7, 30)), (F.floor(timeseries.absolute_change(p, _W, 20) * 1000 + 0.25) / 1000).alias("change20")))
+    return rounded(daily(spark, sf_dir).select("d", *(timeseries.trailing_return(p, _series(), k).alias(f"r{k}") for k in (1, 7, 30)), (F.floor(timeseries.absolute_change(p, _series(), 20) * 1000 + 0.25) / 1000).alias("change20")))
 
 
 @query(f"""WITH {_DAILY}, f AS (SELECT d, p, count(p) OVER a AS n20, avg(p) OVER a AS m, stddev_pop(p) OVER a AS s, count(p) OVER b AS n100, avg(p) OVER b AS m100, count(p) OVER c AS n365, max(p) OVER c AS top FROM daily
@@ -86,14 +91,14 @@ def trailing_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d, round(CASE WHEN n20 = 20 THEN CASE WHEN s = 0 THEN 0.0 ELSE (p - m) / s END END, 4) AS z20, round(CASE WHEN n100 = 100 THEN p / m100 - 1 END, 4) AS sma100, round(CASE WHEN n365 = 365 THEN p / top - 1 END, 4) AS drawdown365 FROM f""")
 def zscore_sma_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    return rounded(daily(spark, sf_dir).select("d", timeseries.zscore(p, _W, 20).alias("z20"), timeseries.distance_to_mean(p, _W, 100).alias("sma100"), timeseries.drawdown(p, _W, 365).alias("drawdown365")))
+    return rounded(daily(spark, sf_dir).select("d", timeseries.zscore(p, _series(), 20).alias("z20"), timeseries.distance_to_mean(p, _series(), 100).alias("sma100"), timeseries.drawdown(p, _series(), 365).alias("drawdown365")))
 
 
 @query(f"""WITH {_DAILY}, c AS (SELECT d, p - lag(p) OVER (ORDER BY d) AS x FROM daily), g AS (SELECT d, count(x) OVER w AS n, avg(greatest(x, 0.0)) OVER w AS up, avg(greatest(-x, 0.0)) OVER w AS down FROM c WINDOW w AS (ORDER BY d ROWS 13 PRECEDING))
 SELECT d, round(CASE WHEN n < 14 THEN NULL WHEN up = 0 AND down = 0 THEN 50.0 WHEN down = 0 THEN 100.0 WHEN up = 0 THEN 0.0 ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi FROM g""")
 def rsi_14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = daily(spark, sf_dir).withColumn("x", F.col("p") - F.lag("p").over(_W))
-    return rounded(changes.select("d", timeseries.rsi(F.col("x"), _W).alias("rsi")))
+    changes = daily(spark, sf_dir).withColumn("x", F.col("p") - F.lag("p").over(_series()))
+    return rounded(changes.select("d", timeseries.rsi(F.col("x"), _series()).alias("rsi")))
 
 
 @query("""WITH s AS (SELECT cast(o_orderdate AS date) AS d, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice END) AS b FROM orders GROUP BY 1),
@@ -104,16 +109,16 @@ SELECT d, round(CASE WHEN n = 90 THEN c / v END, 4) AS beta, round(CASE WHEN n =
 def beta_corr_90(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k: F.avg(F.when(F.col("o_orderpriority") == k, F.col("o_totalprice")))
     s = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(pick("1-URGENT").alias("a"), pick("5-LOW").alias("b"))
-    r = s.select("d", timeseries.trailing_return(F.col("a"), _W, 1).alias("ra"), timeseries.trailing_return(F.col("b"), _W, 1).alias("rb")).where("ra is not null and rb is not null")
-    return rounded(r.select("d", timeseries.beta(F.col("ra"), F.col("rb"), _W, 90).alias("beta"), timeseries.correlation(F.col("ra"), F.col("rb"), _W, 90).alias("correlation")))
+    r = s.select("d", timeseries.trailing_return(F.col("a"), _series(), 1).alias("ra"), timeseries.trailing_return(F.col("b"), _series(), 1).alias("rb")).where("ra is not null and rb is not null")
+    return rounded(r.select("d", timeseries.beta(F.col("ra"), F.col("rb"), _series(), 90).alias("beta"), timeseries.correlation(F.col("ra"), F.col("rb"), _series(), 90).alias("correlation")))
 
 
 @query(f"""WITH {_DAILY}, r AS (SELECT d, p / lag(p) OVER (ORDER BY d) - 1 AS r, date_diff('day', lag(d) OVER (ORDER BY d), d) AS g FROM daily), k AS (SELECT sqrt(365.25 / median(g)) AS k FROM r)
 SELECT d, round(CASE WHEN count(r) OVER w = 30 THEN stddev_pop(r) OVER w * k END, 4) AS vol30 FROM r, k WINDOW w AS (ORDER BY d ROWS 29 PRECEDING)""")
 def realized_vol_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = daily(spark, sf_dir).select("d", timeseries.trailing_return(F.col("p"), _W, 1).alias("r"), F.datediff("d", F.lag("d").over(_W)).alias("g"))
+    r = daily(spark, sf_dir).select("d", timeseries.trailing_return(F.col("p"), _series(), 1).alias("r"), F.datediff("d", F.lag("d").over(_series())).alias("g"))
     per_year = r.agg((365.25 / F.median("g")).alias("per_year"))  # one row
-    return rounded(r.crossJoin(F.broadcast(per_year)).select("d", timeseries.realized_volatility(F.col("r"), _W, 30, F.col("per_year")).alias("vol30")))
+    return rounded(r.crossJoin(F.broadcast(per_year)).select("d", timeseries.realized_volatility(F.col("r"), _series(), 30, F.col("per_year")).alias("vol30")))
 
 
 @query("""WITH t AS (SELECT DISTINCT event_type, ts FROM events), g AS (SELECT event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS a, ts AS b FROM t)
@@ -264,7 +269,7 @@ y AS (SELECT *, CASE WHEN cov = 0 THEN 50.0 ELSE (0.25 * km * macro + 0.3 * kc *
 SELECT d, round(macro, 4) AS score_macro, round(crypto, 4) AS score_crypto, round(rel, 4) AS score_relative, round(cov, 4) AS coverage, round(bull, 4) AS bull_score, round(abs(bull - 50) / 50, 4) AS conviction, round(cov, 4) AS data_confidence, true AS blocked, 'DEGRADED' AS label FROM y""")
 def regime_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    f = daily(spark, sf_dir).select("d", timeseries.trailing_return(p, _W, 20).alias("ndx_20d"), timeseries.trailing_return(p, _W, 7).alias("btc_7d"), timeseries.trailing_return(p, _W, 30).alias("btc_30d"))
+    f = daily(spark, sf_dir).select("d", timeseries.trailing_return(p, _series(), 20).alias("ndx_20d"), timeseries.trailing_return(p, _series(), 7).alias("btc_7d"), timeseries.trailing_return(p, _series(), 30).alias("btc_30d"))
     f = f.withColumns({"asset_7d": F.col("btc_7d"), "asset_30d": F.col("btc_30d")})
     out = regime.blended(regime.component_scores(f), regime.WEIGHTS["1d"])
     return rounded(out.select("d", "score_macro", "score_crypto", "score_relative", "coverage", "bull_score", "conviction", "data_confidence", "blocked", "label"))
@@ -315,7 +320,7 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B0 (training rate) and B1 (rate given the last known outcome's side) of each fold, for every test day."""
-    days = _labelled(spark, sf_dir).withColumn("actual", (F.lead("p", 7).over(_N) > F.col("p"))).where("actual is not null")
+    days = _labelled(spark, sf_dir).withColumn("actual", (F.lead("p", 7).over(_series("n")) > F.col("p"))).where("actual is not null")
     folds = research.walk_forward_folds(days, "n", "resolved", 365, 30, 7)
     fit = F.broadcast(folds.select("fold_index", "test_start", "test_end"))  # a row a month
     train = days.join(fit, F.col("resolved") < F.col("test_start") - 7)
@@ -325,7 +330,6 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return test.select("fold_index", "n", "actual", F.inline(kinds))
 
 
-_N = Window.partitionBy(F.lit(0)).orderBy("n")
 _PRED = f"""{_DAILY}, y AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, p, lead(p, 7) OVER (ORDER BY d) > p AS actual FROM daily), l AS (SELECT n, n + 7 + n % 3 AS resolved, p, actual, row_number() OVER (ORDER BY n) - 1 AS i FROM y WHERE actual IS NOT NULL),
 b AS (SELECT (i - 365) // 30 AS block, min(n) AS s, max(n) AS e, min(i) AS f FROM l WHERE i >= 365 GROUP BY 1), folds AS (SELECT row_number() OVER (ORDER BY block) - 1 AS fold_index, * FROM b WHERE EXISTS (SELECT 1 FROM l WHERE l.resolved < s - 7)),
 r AS (SELECT fold_index, s, e, (sum(actual::int) + 1.0) / (count(*) + 2) AS b0, (coalesce(sum(actual::int) FILTER (p > 150000), 0) + 1.0) / (count(*) FILTER (p > 150000) + 2) AS hi, (coalesce(sum(actual::int) FILTER (p <= 150000), 0) + 1.0) / (count(*) FILTER (p <= 150000) + 2) AS lo FROM folds JOIN l ON resolved < s - 7 GROUP BY ALL),
@@ -520,7 +524,7 @@ def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS decisions, round(avg(((q > 0.5) = y)::int), 4) AS accuracy, round(avg((q - y::int) ** 2), 4) AS brier, round(avg(abs(q - 0.5) * 2), 4) AS conviction FROM s""")
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
-    x = daily(spark, sf_dir).select((F.row_number().over(_W) - 1).alias("i"), (scale(timeseries.trailing_return(p, _W, 30), 0.45) / 100).alias("q"), (F.lead("p", 7).over(_W) / p - 1).alias("f"))
+    x = daily(spark, sf_dir).select((F.row_number().over(_series()) - 1).alias("i"), (scale(timeseries.trailing_return(p, _series(), 30), 0.45) / 100).alias("q"), (F.lead("p", 7).over(_series()) / p - 1).alias("f"))
     s = x.where((F.col("i") >= 365) & ((F.col("i") - 365) % 7 == 0) & F.col("f").isNotNull()).select("q", (F.col("f") > 0).alias("y"))
     return rounded(s.agg(F.count("*").alias("decisions"), F.avg(((F.col("q") > 0.5) == F.col("y")).cast("int")).alias("accuracy"), F.avg((F.col("q") - F.col("y").cast("int")) ** 2).alias("brier"), F.avg(F.abs(F.col("q") - 0.5) * 2).alias("conviction")))
 

@@ -68,7 +68,7 @@ def book_stream(deltas: DataFrame) -> DataFrame:
     """Order books as state of a symbol: deltas (symbol, kind, first_id, last_id, side, price, quantity rows as arrays).
 
     In: symbol, kind ('snapshot' or 'delta'), first_id, last_id, bids and asks (arrays of price, quantity). Out: symbol,
-    last_id, synchronised, best_bid, best_ask, problem. A snapshot resets; a delta older than the book is passed over;
+    last_id, synchronised, best_bid, best_ask, problem. A snapshot resets; a delta older than the book, or before any, is passed over;
     one that does not follow it is a GAP, a crossed book is CROSSED, and both last until the next snapshot."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -85,7 +85,7 @@ def book_stream(deltas: DataFrame) -> DataFrame:
             problem = None
             if r.kind == "snapshot":
                 last, ok, bids, asks = r.last_id, True, {}, {}
-            elif r.last_id <= last:
+            elif r.last_id <= last or last < 0:
                 continue
             elif not ok or r.first_id > last + 1:
                 ok, problem = False, "GAP"
