@@ -105,6 +105,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         joined = "".join(texts)
         ends = np.cumsum([len(t) for t in texts])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)

@@ -78,8 +78,8 @@ class LanguageModel:
     def word_scores(self, words: Words) -> np.ndarray:
         """Words x languages: log shares against the best language, at least -WORD_LIMIT; languages that the script
         rules out get the limit, but where it rules out all, all are as likely."""
-        if not len(words.first):
-            return np.empty((0, len(self.languages)), np.float32)
+        if not len(words.first) or not self.languages:
+            return np.empty((len(words.first), len(self.languages)), np.float32)
         total = np.add.reduceat(self.scores[words.buckets], words.first, axis=0)
         can = self.scripts[words.script]
         none = ~can.any(axis=1)
@@ -130,7 +130,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for batch in batches:
             for part in sliced(batch, "text", 1_000_000):
                 langs, words = part.column(0).to_pylist(), words_of(strings(part.column(1)))
-                by_word = np.array([hash_ for hash_ in words.text], np.int64)
+                by_word = words.text
                 for lang in set(langs):
                     have = np.isin(by_word, [i for i, x in enumerate(langs) if x == lang])
                     tri, script = seen.setdefault(lang, (np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS), np.int64)))
