@@ -41,8 +41,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """id, part of every line (part: its number in the text, from 0) that a line before it is similar to: 100 * overlap
     >= 80 * union of their token sets. Before: smaller (id, part)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = token_sets(source, _lines(min_words), False)
-    may = written(classes(sets), "lines")
+    sets = token_sets(source, _lines(min_words), False, True)
+    may = written(classes(sets, "dfs"), "lines")
     # Equal sets: all but the first line of each go.
     firsts = may.select("sig", "first")
     leads = sets.where("lead").select("sig", "id", "part").join(firsts, "sig").where(F.struct("id", "part") != F.col("first")).select("id", "part")
@@ -73,8 +73,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with later similar lines removed from its text, and `lines_removed`.
 
     All other columns stay, and every row: a text that loses all its lines is empty, a null text stays null. Rows
-    without an id are left as they are; rows of equal ids count as one text each with the same line numbers, so they
-    should not differ. Lines of fewer than `min_words` distinct words stay. Ties: the smaller (id, number) is earlier.
+    without an id are left as they are; a repeated row is treated as the first one is, so rows of equal ids should not
+    differ. Lines of fewer than `min_words` distinct words stay. Ties: the smaller (id, number) is earlier.
     An empty table stays empty.
     """
     gone = later_matches(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("part").alias("_gone"))

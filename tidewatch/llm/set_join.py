@@ -25,6 +25,8 @@ from tidewatch.llm.hashing import mixed, shingles, word_hashes
 
 #: Similarity as a ratio of integers: 100 * overlap >= 80 * union.
 PERCENT = 80
+#: Bits of a hash that travel; set sizes are counted on all 64.
+TOKEN_BITS = 56
 #: Sets and tokens of a block at most; sets are numbered in two bytes.
 BLOCK_SETS, BLOCK_TOKENS = 60_000, 3_000_000
 _MAP = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("df", pa.binary()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())), ("reps", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("sigs", pa.list_(pa.binary()))])
@@ -38,7 +40,7 @@ def least_overlap(size: int) -> int:
 
 
 def pack(tokens: np.ndarray) -> bytes:
-    """Ascending 64-bit values as bytes of their differences, the bytes of one weight together: they compress."""
+    """Ascending values as bytes of their differences, the bytes of one weight together: they compress."""
     delta = np.diff(tokens, prepend=np.uint64(0)).astype("<u8")
     return np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T).tobytes()
 
@@ -96,39 +98,43 @@ class _Block:
         reps[keys] = lead
         yield _row(bucket=self.number % (1 << self.bits), block=self.number, n=-1, ids=self.ids, parts=self.parts, reps=reps.tolist(), sizes=sizes.tolist(), sigs=[bytes(x) for x in sigs])
         alone = reps[owner] == owner
-        tokens, owner = tokens[alone], owner[alone]
+        tokens, owner = tokens[alone] >> np.uint64(64 - TOKEN_BITS), owner[alone]
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order].astype("<u2")
-        edges = np.searchsorted(tokens, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.empty(0, np.int64)
+        edges = np.searchsorted(tokens, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(TOKEN_BITS - self.bits)) if self.bits else np.empty(0, np.int64)
         cuts = [0, *edges.tolist(), len(tokens)]
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if j > i:
                 yield _row(bucket=b, block=self.number, n=j - i, tokens=pack(tokens[i:j]), owner=owner[i:j].tobytes())
 
 
-def _count(rows: pa.Table) -> pa.Table:
-    """A bucket: tokens that two sets or more hold, back to the blocks of those sets."""
-    blocks, n = rows.column("block").to_pylist(), rows.column("n").to_pylist()
-    out = [rows.slice(i, 1) for i, k in enumerate(n) if k < 0]
-    have = [i for i, k in enumerate(n) if k > 0]
-    if have:
-        raw, own = rows.column("tokens"), rows.column("owner")
-        tokens = [unpack(raw[i].as_py()) for i in have]
-        everything = np.concatenate(tokens)
-        everything.sort()
-        start = np.flatnonzero(np.append(True, everything[1:] != everything[:-1]))
-        held = np.diff(np.append(start, len(everything)))
-        shared, df = everything[start][held > 1], held[held > 1]
-        for i, t in zip(have, tokens):
-            at = np.minimum(np.searchsorted(shared, t), max(0, len(shared) - 1))
-            hit = np.flatnonzero(shared[at] == t) if len(shared) else np.empty(0, np.int64)
-            if len(hit):
-                part = _row(bucket=0, block=blocks[i], n=len(hit), tokens=pack(t[hit]), owner=np.frombuffer(own[i].as_py(), "<u2")[hit].tobytes(), df=df[at[hit]].astype("<u4").tobytes())
-                out.append(pa.Table.from_batches([part]))
-    return pa.concat_tables(out) if out else _empty(_MAP)
-
-
-def _gather(all_sets: bool) -> Callable[[pa.Table], pa.Table]:
+def _count(with_df: bool) -> Callable[[pa.Table], pa.Table]:
+    """A bucket: tokens that two sets or more hold, with the number of the sets, back to the blocks of those sets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        blocks, n = rows.column("block").to_pylist(), rows.column("n").to_pylist()
+        out = [rows.slice(i, 1) for i, k in enumerate(n) if k < 0]
+        have = [i for i, k in enumerate(n) if k > 0]
+        if have:
+            raw, own = rows.column("tokens"), rows.column("owner")
+            tokens = [unpack(raw[i].as_py()) for i in have]
+            everything = np.concatenate(tokens)
+            everything.sort()
+            start = np.flatnonzero(np.append(True, everything[1:] != everything[:-1]))
+            held = np.diff(np.append(start, len(everything)))
+            shared, df = everything[start][held > 1], held[held > 1]
+            for i, t in zip(have, tokens):
+                at = np.minimum(np.searchsorted(shared, t), max(0, len(shared) - 1))
+                hit = np.flatnonzero(shared[at] == t) if len(shared) else np.empty(0, np.int64)
+                if len(hit):
+                    part = _row(bucket=0, block=blocks[i], n=len(hit), tokens=pack(t[hit]), owner=np.frombuffer(own[i].as_py(), "<u2")[hit].tobytes(), df=df[at[hit]].astype("<u4").tobytes() if with_df else None)
+                    out.append(pa.Table.from_batches([part]))
+        return pa.concat_tables(out) if out else _empty(_MAP)
+
+    return run
+
+
+def _gather(all_sets: bool, with_df: bool) -> Callable[[pa.Table], pa.Table]:
     """A block: one row a set (all, or those that lead and may have a similar one, and those that equal a leader)."""
     schema = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("sig", pa.binary()), ("size", pa.int64()), ("lead", pa.bool_()), ("tokens", pa.binary()), ("dfs", pa.binary())])
 
@@ -140,7 +146,7 @@ def _gather(all_sets: bool) -> Callable[[pa.Table], pa.Table]:
         col = lambda name: [rows.column(name)[i].as_py() for i in have]
         tokens = np.concatenate([unpack(x) for x in col("tokens")]) if have else np.empty(0, np.uint64)
         owner = np.concatenate([np.frombuffer(x, "<u2") for x in col("owner")]).astype(np.int64) if have else np.empty(0, np.int64)
-        df = np.concatenate([np.frombuffer(x, "<u4") for x in col("df")]) if have else np.empty(0, np.uint32)
+        df = np.concatenate([np.frombuffer(x, "<u4") for x in col("df")]) if have and with_df else np.zeros(len(owner), np.uint32)
         count = np.bincount(owner, minlength=n)
         may = (sizes > 0) & (count >= -(-PERCENT * sizes // 100)) & (reps == np.arange(n))
         inside = may[owner]
@@ -148,9 +154,11 @@ def _gather(all_sets: bool) -> Callable[[pa.Table], pa.Table]:
         order = np.lexsort((tokens, df, owner))  # rare tokens first
         tokens, owner, df = tokens[order], owner[order], df[order]
         edges = np.searchsorted(owner, np.arange(n + 1))
-        keep = np.arange(n) if all_sets else np.flatnonzero(may | (reps != np.arange(n)) & (sizes > 0))
+        ids, parts = np.array(block["ids"], np.int64), np.array(block["parts"], np.int64)
+        equal = (sizes > 0) & ((ids != ids[reps]) | (parts != parts[reps]))  # a repeated row is not its own copy
+        keep = np.arange(n) if all_sets else np.flatnonzero(may | equal)
         cut = lambda a, kind: [a[edges[i] : edges[i + 1]].astype(kind).tobytes() if may[i] else None for i in keep]
-        return pa.Table.from_pydict({"id": [block["ids"][i] for i in keep], "part": [block["parts"][i] for i in keep], "sig": [block["sigs"][i] for i in keep], "size": sizes[keep], "lead": reps[keep] == keep, "tokens": cut(tokens, "<u8"), "dfs": cut(df, "<u4")}, schema=schema)
+        return pa.Table.from_pydict({"id": [block["ids"][i] for i in keep], "part": [block["parts"][i] for i in keep], "sig": [block["sigs"][i] for i in keep], "size": sizes[keep], "lead": reps[keep] == keep, "tokens": cut(tokens, "<u8"), "dfs": cut(df, "<u4") if with_df else [None] * len(keep)}, schema=schema)
 
     return run
 
@@ -158,12 +166,13 @@ def _gather(all_sets: bool) -> Callable[[pa.Table], pa.Table]:
 Explode = Callable[[pa.RecordBatch], tuple[list[int], list[int], list[bytes]]]
 
 
-def token_sets(source: DataFrame, explode: Explode, all_sets: bool) -> DataFrame:
+def token_sets(source: DataFrame, explode: Explode, all_sets: bool, with_df: bool) -> DataFrame:
     """id, part, sig, size, lead, tokens, dfs of the sets that `explode` makes of each batch: ids, parts, and texts.
 
     sig tells sets apart (128 bits, the same for equal sets); `lead` is true for the first of equal sets of a block;
     tokens (binary, rare first) and dfs are null unless the set leads and may have a similar one. all_sets: a row for
-    every set; else only those that lead and may, and those that do not lead. Written to the scratch folder."""
+    every set; else only those that lead and may, and those that do not lead. with_df: dfs are wanted; without, tokens ascend. Written
+    to the scratch folder."""
     bits = min(16, power_of_two(2 * partitions(source)).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +191,15 @@ def token_sets(source: DataFrame, explode: Explode, all_sets: bool) -> DataFrame
             yield from block.rows()
 
     packed = source.mapInArrow(run, _MAP_DDL)
-    counted = packed.groupBy("bucket").applyInArrow(_count, _MAP_DDL)
-    return written(counted.groupBy("block").applyInArrow(_gather(all_sets), SETS_DDL), "sets")
+    counted = packed.groupBy("bucket").applyInArrow(_count(with_df), _MAP_DDL)
+    return written(counted.groupBy("block").applyInArrow(_gather(all_sets, with_df), SETS_DDL), "sets")
 
 
-def classes(sets: DataFrame) -> DataFrame:
-    """One row for each distinct set that may have a similar one: sig, size, tokens, dfs, first (smallest id, part)."""
+def classes(sets: DataFrame, *packed: str) -> DataFrame:
+    """One row for each distinct set that may have a similar one: sig, size, first (smallest id, part), tokens, and
+    other packed columns."""
     place = F.struct("id", "part")
-    return sets.where(F.col("tokens").isNotNull()).groupBy("sig").agg(F.min(place).alias("first"), F.min("size").alias("size"), F.min_by("tokens", place).alias("tokens"), F.min_by("dfs", place).alias("dfs"))
+    return sets.where(F.col("tokens").isNotNull()).groupBy("sig").agg(F.min(place).alias("first"), F.min("size").alias("size"), *(F.min_by(c, place).alias(c) for c in ("tokens", *packed)))
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
