@@ -532,3 +532,49 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'receipt:sha256:' || sha256(cast(o_orderkey AS varchar) || chr(31) || o_orderpriority || chr(31) || o_orderstatus) AS id, o_orderkey FROM orders")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(content_id("receipt", F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")).alias("id"), "o_orderkey")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_tax / 100 - 0.0003 AS funding, l_extendedprice AS mark, l_extendedprice * (1 + (l_discount - 0.05) / 10) AS idx FROM lineitem), b AS (SELECT *, (mark - idx) / idx * 1e4 AS basis FROM l)
+SELECT l_partkey, count(*) AS n, count_if(funding > 5e-4) AS crowded, count_if(funding < -5e-4) AS paid, count_if(abs(basis) > 25) AS wide, round(avg(basis), 4) AS mean_basis_bps FROM b GROUP BY 1""")
+def derivatives_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_tax") / 100 - 0.0003).alias("funding"), F.col("l_extendedprice").alias("mark"), (F.col("l_extendedprice") * (1 + (F.col("l_discount") - 0.05) / 10)).alias("idx"))
+    risk = microstructure.derivatives_risk(rows, "funding", "mark", "idx")
+    has = lambda flag: F.count_if(F.array_contains("flags", flag))
+    return rounded(risk.groupBy("l_partkey").agg(F.count("*").alias("n"), has("FUNDING_POSITIVE").alias("crowded"), has("FUNDING_NEGATIVE").alias("paid"), has("WIDE_BASIS").alias("wide"), F.avg("basis_bps").alias("mean_basis_bps")))
+
+
+@query(f"""WITH {_OBS}, c AS (SELECT provider, CASE WHEN boundary IS NULL OR boundary > TIMESTAMP '2000-01-01' THEN 'INELIGIBLE' WHEN fetched <= TIMESTAMP '2000-01-01' THEN 'STRICT_REPLAY' WHEN basis IS NOT NULL THEN 'RECONSTRUCTED_PIT' ELSE 'INELIGIBLE' END AS class FROM o)
+SELECT provider, count(*) AS n, round(avg((class = 'STRICT_REPLAY')::int), 6) AS strict_share, round(avg((class = 'RECONSTRUCTED_PIT')::int), 6) AS reconstructed_share FROM c GROUP BY 1""")
+def dataset_version_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.lit("2000-01-01").cast("timestamp_ntz")
+    df = observations(spark, sf_dir).withColumn("class", pit.eligibility(F.col("boundary"), F.col("fetched"), F.col("basis"), at))
+    share = lambda k: F.round(F.avg((F.col("class") == k).cast("int")), 6)
+    return df.groupBy("provider").agg(F.count("*").alias("n"), share("STRICT_REPLAY").alias("strict_share"), share("RECONSTRUCTED_PIT").alias("reconstructed_share"))
+
+
+@query(f"WITH {_FOLDS} SELECT fold_index, s AS test_start, n_test, least(fit, 365) AS n_train, f - fit AS n_purged FROM folds")
+def walk_forward_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return research.walk_forward_folds(_labelled(spark, sf_dir), "n", "resolved", 365, 30, 7, max_train=365).select("fold_index", "test_start", "n_test", "n_train", "n_purged")
+
+
+@query("""WITH l AS (SELECT l_partkey AS part, l_extendedprice / l_quantity AS price, l_quantity AS q, l_orderkey, l_linenumber FROM lineitem), m AS (SELECT part, median(price) AS mid FROM l GROUP BY 1),
+s AS (SELECT part, sum(price * q) FILTER (price < mid AND (mid - price) / mid * 1e4 <= 2500) AS bid, sum(price * q) FILTER (price > mid AND (price - mid) / mid * 1e4 <= 2500) AS ask FROM l JOIN m USING (part) GROUP BY 1)
+SELECT part, round(coalesce((coalesce(bid, 0) - coalesce(ask, 0)) / nullif(coalesce(bid, 0) + coalesce(ask, 0), 0), 0), 4) AS imbalance FROM s""")
+def book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("q"))
+    mid = rows.groupBy("part").agg(F.median("price").alias("mid"))
+    near = F.abs(F.col("price") - F.col("mid")) / F.col("mid") * 1e4 <= 2500
+    side = lambda c: F.coalesce(F.sum(F.when(c & near, F.col("price") * F.col("q"))), F.lit(0.0))
+    s = rows.join(mid, "part").groupBy("part").agg(side(F.col("price") < F.col("mid")).alias("bid"), side(F.col("price") > F.col("mid")).alias("ask"))
+    return s.select("part", F.round(F.coalesce(F.try_divide(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask")), F.lit(0.0)), 4).alias("imbalance"))
+
+
+@query("""WITH c AS (SELECT conv_id AS claim, any_value(CASE WHEN turn % 2 = 0 THEN 'FACT' ELSE 'OPINION' END) AS status FROM conversations WHERE turn = (SELECT min(turn) FROM conversations) GROUP BY 1), l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45 AND l_partkey <> l_suppkey),
+p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), k AS (SELECT a, b FROM p WHERE a IN (SELECT claim FROM c) AND b IN (SELECT claim FROM c))
+SELECT claim, CASE WHEN status = 'FACT' AND EXISTS (SELECT 1 FROM k JOIN c d ON d.claim = k.b WHERE k.a = c.claim AND d.status = 'FACT') THEN 'DISPUTED' ELSE status END AS status FROM c""")
+def disputed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    first = talk.agg(F.min("turn").alias("_t"))  # one row
+    claims = talk.join(F.broadcast(first), F.col("turn") == F.col("_t")).select(F.col("conv_id").alias("claim"), F.when(F.col("turn") % 2 == 0, "FACT").otherwise("OPINION").alias("status")).distinct()
+    links = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return semantic.disputed(claims, semantic.contradictions(links, claims, "l_partkey", "l_suppkey", "claim"), "claim", "status")
