@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import strings, written
 from tidewatch.llm.hashing import mixed
-from tidewatch.llm.set_join import classes, components, exploded, least, similar, token_sets
+from tidewatch.llm.set_join import classes, components, least, similar, token_sets
 
 #: Min-hash keys by which first groups form; they only decide how much is left for the matrix, not the result.
 KEYS = 3
@@ -54,11 +54,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     only id and text are read.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).alias("text"))
-    sets = token_sets(source, _texts, True)
+    sets = token_sets(source, _texts, True, False)
     may = written(classes(sets), "classes")
     keys = written(_keys(may), "keys")
     leaders = keys.groupBy("key").agg(F.min_by("sig", F.struct("id", "sig")).alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = keys.join(leaders, "key").where("sig != b").select(F.col("sig").alias("a"), "b").distinct()
+    stars = keys.join(leaders, "key").where("sig != b").groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     first = written(similar(stars, may).select("a", "b"), "links")
     links = written(first.union(_across(may, components(first))), "links")
     found = components(links)
@@ -72,33 +72,47 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(whole("id").alias("id"), F.col("size").alias("n_shingles"), whole("component_id").alias("component_id"))
 
 
+def _cells(sets: DataFrame, name: str) -> DataFrame:
+    """token and the row's column `name` (long), for each token of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                tokens = [np.frombuffer(x, "<i8") for x in part.column(1).to_pylist()]
+                rows = np.repeat(np.arange(part.num_rows), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), part.column(0).take(pa.array(rows))], names=["token", name])
+
+    return sets.select(name, "tokens").mapInArrow(run, f"token bigint, {name} bigint")
+
+
 def _across(may: DataFrame, grouped: DataFrame) -> DataFrame:
     """Links a, b between documents of different groups, all of them."""
-    members = may.join(grouped, may["sig"] == grouped["node"], "left").select("sig", "size", "tokens", "dfs", F.coalesce("component", "sig").alias("group"))
-    cells = exploded(members, ("sig", "size", "group"))
-    # The matrix: token x group, with the number of groups that hold the token; those of one group can't lead across.
-    matrix = written(cells.select("token", "group").distinct(), "matrix")
-    spread = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    wide = written(cells.join(spread, "token").select("sig", "size", "group", "token", "groups"), "wide")
+    short = may.join(grouped, may["sig"] == grouped["node"], "left").select("sig", F.xxhash64("sig").alias("row"), F.xxhash64(F.coalesce("component", "sig")).alias("group"), "size", "tokens")
+    members = written(short, "members")
+    about = members.select("row", "group", "size")
+    # Tokens of one group alone can't lead across.
+    spread = _cells(members, "group").groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("token")
+    wide = written(_cells(members, "row").join(spread, "token").join(about, "row"), "wide")
     # A query needs 0.8 of its tokens in groups other than its own, so in tokens of several groups.
-    able = wide.groupBy("sig").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(F.col("n") >= least(F.col("size"))).select("sig", "n")
-    queries = written(wide.join(able, "sig"), "queries")
-    narrow = queries.select(
-        "sig", "size", "group", "token",
-        (F.col("size") - F.col("n") + F.row_number().over(_by_spread())).alias("rank"),
-    ).where(F.col("rank") <= F.col("size") - least(F.col("size")) + 1)
-    narrow = written(narrow, "prefixes")
-    shared = matrix.join(spread, "token").select("token", F.col("group").alias("other"))
-    asked = narrow.join(shared, "token").where(F.col("group") != F.col("other")).select("sig", "other").distinct()
-    held = queries.select("sig", "size", "token").join(asked, "sig").join(shared, ["token", "other"])
-    opened = held.groupBy("sig", "other").agg(F.count("*").alias("bound"), F.min("size").alias("size")).where(F.col("bound") >= least(F.col("size"))).select("sig", "other")
-    # Opened groups: members that hold one of the query's rare tokens and are of a size that can be similar.
-    inside = wide.select("token", F.col("sig").alias("b"), F.col("size").alias("b_size"), F.col("group").alias("other"))
-    pairs = narrow.join(opened, "sig").join(inside, ["token", "other"]).where((F.col("b_size") >= least(F.col("size"))) & (F.col("size") >= least(F.col("b_size"))))
-    return similar(pairs.select(F.col("sig").alias("a"), "b").distinct(), may).select("a", "b")
-
-
-def _by_spread():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("sig").orderBy("groups", "token")
+    able = wide.groupBy("row").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(F.col("n") >= least(F.col("size"))).select("row", "n")
+    held = written(wide.join(able, "row"), "queries")
+    # The matrix: token x group over documents that may link across, and how many groups hold the token.
+    matrix = written(held.select("token", F.col("group").alias("other")).distinct(), "matrix")
+    groups = matrix.groupBy("token").agg(F.count("*").alias("groups"))
+    rank = F.col("size") - F.col("n") + F.row_number().over(Window.partitionBy("row").orderBy("groups", "token"))
+    ranked = held.join(groups, "token").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least(F.col("size")) + 1)
+    # Rare tokens of each document; `rest` tokens stand from this one on, and no more can be shared with what shares it first.
+    prefix = written(ranked.where("groups > 1").select("row", "size", "group", "token", (F.col("size") - F.col("rank") + 1).alias("rest")), "prefixes")
+    cells = prefix.groupBy("token", F.col("group").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("rest").alias("far"))
+    fits = (F.col("group") != F.col("other")) & (F.col("high") >= least(F.col("size"))) & (F.col("size") >= least(F.col("low"))) & (180 * F.least("rest", "far") >= 80 * (F.col("size") + F.greatest("low", least(F.col("size")))))
+    asked = prefix.join(cells, "token").where(fits).select("row", "other").distinct()
+    # How many tokens of the query the group's union holds bounds its overlap with every member.
+    bound = held.select("row", "size", "token").join(asked, "row").join(matrix, ["token", "other"]).groupBy("row", "other").agg(F.count("*").alias("bound"), F.min("size").alias("size"))
+    opened = bound.where(F.col("bound") >= least(F.col("size"))).select("row", "other")
+    # Opened groups: members that share a rare token and are of a size that can be similar.
+    inside = prefix.select("token", F.col("row").alias("member"), F.col("size").alias("m"), F.col("group").alias("other"), F.col("rest").alias("m_rest"))
+    n, m = F.col("size"), F.col("m")
+    pairs = prefix.join(opened, "row").join(inside, ["token", "other"]).where((m >= least(n)) & (n >= least(m)) & (180 * F.least("rest", "m_rest") >= 80 * (n + m))).select("row", "member").distinct()
+    sig = lambda a, b: members.select(F.col("row").alias(a), F.col("sig").alias(b))
+    return similar(pairs.join(sig("row", "a"), "row").join(sig("member", "b"), "member").select("a", "b"), may).select("a", "b")
