@@ -139,8 +139,8 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if seen:
             yield pa.RecordBatch.from_pydict({"lang": list(seen), "tri": [x.tobytes() for x, _ in seen.values()], "script": [x.tobytes() for _, x in seen.values()]}, schema=pa.schema([("lang", pa.string()), ("tri", pa.binary()), ("script", pa.binary())]))
 
-    # Eight tasks at most, one row a language from each: what comes to the driver is bounded by the sample's languages.
-    found = picked.select("lang", "text").coalesce(8).mapInArrow(count, "lang string, tri binary, script binary").collect()
+    # The scan keeps its partitions; the sample alone goes to eight tasks, and each gives one row a language to the driver.
+    found = picked.select("lang", "text").repartition(8).mapInArrow(count, "lang string, tri binary, script binary").collect()
     languages = tuple(sorted({r.lang for r in found}))
     tri, script = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
     for r in found:
