@@ -19,29 +19,24 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import strings, written
 from tidewatch.llm.set_join import classes, exploded, least, similar, token_sets
 
-#: Lines with fewer distinct words stay: short lines recur without being copies.
-MIN_WORDS = 3
 
+def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+    """Every line with a word, however short: one of fewer words than a shingle is one token, and only copies equal it."""
+    ids, parts, texts = [], [], []
+    for row, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
+        for number, line in enumerate(text.encode().lower().split(b"\n")):
+            if line.strip():
+                ids.append(row)
+                parts.append(number)
+                texts.append(line)
+    return ids, parts, texts
 
-def _lines(min_words: int):
-    def run(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
-        ids, parts, texts = [], [], []
-        for row, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-            for number, line in enumerate(text.encode().lower().split(b"\n")):
-                if len(set(line.split())) >= min_words:
-                    ids.append(row)
-                    parts.append(number)
-                    texts.append(line)
-        return ids, parts, texts
 
-    return run
-
-
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, part of every line (part: its number in the text, from 0) that a line before it is similar to: 100 * overlap
     >= 80 * union of their token sets. Before: smaller (id, part)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sets = token_sets(source, _lines(min_words), False, True)
+    sets = token_sets(source, _lines, False, True)
     may = written(classes(sets, "dfs"), "lines")
     # Equal sets: all but the first line of each go.
     firsts = may.select("sig", "first")
@@ -69,15 +64,15 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return equal.union(gone).distinct()
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later similar lines removed from its text, and `lines_removed`.
 
     All other columns stay, and every row: a text that loses all its lines is empty, a null text stays null. Rows
     without an id are left as they are; a repeated row is treated as the first one is, so rows of equal ids should not
-    differ. Lines of fewer than `min_words` distinct words stay. Ties: the smaller (id, number) is earlier.
+    differ. Lines without a word stay; in scripts without spaces a line is one word, so its copies go and near copies stay. Ties: the smaller (id, number) is earlier.
     An empty table stays empty.
     """
-    gone = later_matches(docs, id_col, text_col, min_words).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("part").alias("_gone"))
+    gone = later_matches(docs, id_col, text_col).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("part").alias("_gone"))
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("_gone_id"), "left")
     numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
     kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["x"])
