@@ -7,6 +7,7 @@ words, word beginnings and byte-class pairs, which scores every text. The same i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import sliced, strings
 from tidewatch.llm.hashing import word_hashes
 
-#: Bound of the sample (smallest hashes of the id), buckets of the words, and texts a feature must be in to count.
+#: Bound of the sample (smallest hashes of the id; labelled texts first, up to half of it), buckets of the words, and texts a feature must be in to count.
 SAMPLE, BUCKETS, SUPPORT = 12_000, 1 << 16, 5
 #: Texts are kept from this quality on and below this toxicity: clean texts matter more.
 POOR, TOXIC = 0.5, 0.7
@@ -26,12 +27,15 @@ POOR, TOXIC = 0.5, 0.7
 PREFIXES, PAIRS = (4, 5), 256
 SHARES = ("stutter", "symbols", "upper", "bangs", "pipes")
 SIZE = BUCKETS + PAIRS + len(SHARES)
-#: Common insults that the lexicon labeller looks for.
+#: Common insults, swear words by their beginnings, contempt and threats, each for a labeller of its own.
 INSULTS = ("clown", "disgusting", "fool", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+SWEARING = ("asshole", "bastard", "bitch", "bullshit", "cunt", "dickhead", "fuck", "goddamn", "motherfuck", "piss", "shit", "slut", "wanker", "whore")
+CONTEMPT = re.compile(r"\b(shut up|get lost|go to hell|nobody (likes|wants|asked) you|i hate you|hate you all|you people|you make me sick|you disgust|shame on you|your kind|(you|they)( are|'re|r) (all |just |such |so |really |nothing but |an? |the )*(\w+ )?(ass|clowns?|disgrace|disgusting|dumb|fools?|garbage|idiots?|jokes?|liars?|losers?|morons?|nobody|pathetic|pigs?|scum|stupid|trash|ugly|useless|vermin|worthless))\b")
+THREATS = re.compile(r"\b(i('ll| will|'m going to| am going to| hope (you|they)( will)?) (die|kill|hurt|beat|find you|burn|destroy you|suffer)|kill (yourself|yourselves|them all|you)|you (should|will|deserve to) (die|burn|suffer|pay for this)|drop dead|watch your back)\b")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Names of the labellers, in the order of their votes.
 QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd", "annotator")
-TOXIC_LABELLERS = ("lexicon", "annotator")
+TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude", "annotator")
 _CLASS = np.full(256, 15, np.uint8)  # byte classes: white, line end, upper, lower, digit, then punctuation by kind, other bytes
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!", b"?", b"'\"", b"#*$%&", b"|", b"<>", b"()[]{}", b"-_/\\", b"@=+~^`")):
     _CLASS[list(_chars)] = _k
@@ -76,11 +80,11 @@ def scaled(index: np.ndarray, value: np.ndarray, text: np.ndarray, n: int) -> np
 
 def votes(text: str) -> tuple[list[int], list[int]]:
     """Votes of the heuristic labellers, without the annotators, on quality and on toxicity. Each symptom's labeller
-    can only object; that no symptom shows at all is one labeller's vote for the text."""
+    can only object; that no symptom shows at all is one labeller's vote for the text, for quality and for toxicity."""
     words = text.split()
     n, chars = len(words), max(1, sum(map(len, words)))
     if not n:
-        return [ABSTAIN] * 5 + [BAD, ABSTAIN, ABSTAIN], [ABSTAIN]
+        return [ABSTAIN] * 5 + [BAD, ABSTAIN, ABSTAIN], [ABSTAIN] * 4 + [GOOD]
     letters = max(1, sum(c.isalpha() for c in text))
     lines = [x for x in text.split("\n") if x.strip()]
     shares = (
@@ -94,8 +98,10 @@ def votes(text: str) -> tuple[list[int], list[int]]:
     )
     odd = [BAD if x > most else ABSTAIN for x, most in shares]
     clean = GOOD if all(x <= 0.4 * most for x, most in shares) else ABSTAIN
-    insults = sum(w.strip(".,;:!?'\"()").lower() in INSULTS for w in words)
-    return [*odd, clean], [BAD if insults else ABSTAIN]
+    bare = [w.strip(".,;:!?'\"()").lower() for w in words]
+    plain = " ".join(text.lower().replace("\u2019", "'").split())
+    rude = [any(w in INSULTS for w in bare), any(w.startswith(SWEARING) for w in bare), bool(CONTEMPT.search(plain)), bool(THREATS.search(plain))]
+    return [*odd, clean], [*(BAD if x else ABSTAIN for x in rude), ABSTAIN if any(rude) else GOOD]
 
 
 def expectation_maximisation(vote: np.ndarray, rounds: int = 60, prior: float = 0.15, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +180,21 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    """Fits on at most `sample` texts (smallest hashes of the id). labels: doc_id, quality, toxic of annotators, who
-    are labellers like the others and abstain where they have not looked. No texts: a scorer that gives one half."""
+    """Fits on at most `sample` texts (smallest hashes of the id): first labelled ones of docs, up to half of the sample, so
+    that few labels are in it however large docs are, then any. labels: doc_id, quality, toxic of annotators, who are
+    labellers like the others and abstain where they have not looked. No texts: a scorer that gives one half."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
-    picked = rows.join(F.broadcast(chosen), "id", "left_semi")
+    first = lambda ids, n: ids.orderBy(F.xxhash64("id"), "id").limit(n).distinct()
+    chosen = first(rows.select("id"), sample)
     if labels is None:
+        picked = rows.join(F.broadcast(chosen), "id", "left_semi")
         marked = picked.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
     else:
+        looked = labels.where("quality is not null or toxic is not null").select(F.col("doc_id").alias("id")).distinct()
+        sure = first(looked.join(rows.select("id"), "id", "left_semi"), sample // 2).withColumn("sure", F.lit(1))
+        both = sure.unionByName(chosen.withColumn("sure", F.lit(0))).groupBy("id").agg(F.max("sure").alias("sure"))
+        chosen = both.orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(sample).select("id")
+        picked = rows.join(F.broadcast(chosen), "id", "left_semi")
         known = labels.join(F.broadcast(chosen), labels["doc_id"] == chosen["id"], "left_semi").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
         marked = picked.join(F.broadcast(known), picked["id"] == known["doc_id"], "left").select("id", "text", "quality", "toxic")
 
