@@ -319,7 +319,7 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B0 (training rate) and B1 (rate given the last known outcome's side) of each fold, for every test day."""
+    """B0 (training rate) and B1 (rate above or below a constant price) of each fold, for every test day."""
     days = _labelled(spark, sf_dir).withColumn("actual", (F.lead("p", 7).over(_series("n")) > F.col("p"))).where("actual is not null")
     folds = research.walk_forward_folds(days, "n", "resolved", 365, 30, 7)
     fit = F.broadcast(folds.select("fold_index", "test_start", "test_end"))  # a row a month
