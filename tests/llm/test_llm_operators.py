@@ -1,6 +1,7 @@
 """Each operator against brute force, on rows with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -19,6 +20,7 @@ from tidewatch.llm.library_encoding import LibraryEncoder
 
 RANKS, BYTES, WORDS = (P.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, lang string, id string, n int, tokens string, label string"
+library_of, encoder_of = functools.cache(Tokenizer.from_file), functools.cache(LibraryEncoder)
 
 
 def words(k, n):
@@ -62,14 +64,14 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\t\x0b\x1c\x85\u3000'strevmdlabAB12.,!\u00e9\u00bd\u4f60", max_size=30), max_size=4))
+@given(st.lists(st.lists(st.one_of(st.text(alphabet=" \n\t\x0b\x1c\x85\u3000'strevmdlabAB12.,!\u00e9\u00bd\u4f60", max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "\u00cf"])), max_size=6).map("".join), max_size=4))
 def test_encoders_equal_their_libraries(batch):
     model = bpe.model(RANKS)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
     assert [np.frombuffer(x, "<u4").tolist() for x in model.encode(batch)] == [library.encode_ordinary(t) for t in batch]
     for path, drops in ((BYTES, False), (WORDS, True)):
-        plain = Tokenizer.from_file(path)
-        assert [np.frombuffer(x, "<u4").tolist() for x in LibraryEncoder(path, drops).encode(batch)] == [plain.encode(t, add_special_tokens=False).ids for t in batch]
+        plain = library_of(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder_of(path, drops).encode(batch)] == [plain.encode(t, add_special_tokens=False).ids for t in batch]
 
 
 @settings(max_examples=100, deadline=None)

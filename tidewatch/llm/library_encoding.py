@@ -1,5 +1,5 @@
-"""Encoding with the tokenizers library: texts are cut at white space, where its merges can't reach across, and each
-distinct chunk is coded once and kept in a bounded cache."""
+"""Encoding as the tokenizers library does: texts are cut at its special strings and at white space, where merges can't
+reach across, and each distinct chunk is coded once and kept in a bounded cache."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import re
 from array import array
 from functools import lru_cache
 
+from tidewatch.llm.pair_merges import PairMerges
 from tidewatch.llm.pretokenize import WHITE_SPACE
 
 _W = re.escape("".join(map(chr, WHITE_SPACE)))
@@ -18,8 +19,9 @@ KEPT = re.compile(f" ?{_RUN}| ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 #: For models that drop white space: any subset of it may cut, the rest stays inside a chunk for the library to drop.
 DROPPED = re.compile(f"{_RUN}|[^ \n]+")
 _PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Chunks that a worker keeps, in two generations, and characters up to which chunks are kept.
-CACHED, LONGEST = 600_000, 64
+#: Characters of the chunks that a worker keeps, in two generations, and characters up to which chunks are kept.
+CACHED, LONGEST = 5_000_000, 64
+
 
 class LibraryEncoder:
     """`drops_space`: whether the model's normaliser and splitter drop white space and case."""
@@ -27,34 +29,39 @@ class LibraryEncoder:
     def __init__(self, path: str, drops_space: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # The same model for runs of letters, which its normaliser and splitter leave whole.
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer = None
-        self.words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.drops_space, self.cache, self.old = drops_space, {}, {}
+        self.merges = PairMerges(path)  # for runs of letters, which normaliser and splitter leave whole
+        #: Strings that the library takes out of a text before anything else; each is one id.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.find = (DROPPED if drops_space else KEPT).findall
+        self.drops_space, self.cache, self.old, self.held = drops_space, {}, {}, 0
 
     def _chunks(self, text: str) -> list[str]:
-        return DROPPED.findall(text) if self.drops_space else KEPT.findall(text)
+        if not any(s in text for s in self.special):
+            return self.find(text)
+        parts = self.cut.split(text)  # every other one is a special string
+        return [c for k, part in enumerate(parts) for c in ([part] if k % 2 else self.find(part))]
 
     def _coded(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, in two calls of the library."""
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
-        rest = [c for c in chunks if not _PLAIN.fullmatch(c)]
-        ids = self.words.encode_batch_fast([c.lower() for c in plain] if self.drops_space else plain, add_special_tokens=False)
-        ids += self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(plain + rest, ids)}
+        """Ids of chunks: runs of letters by their pair merges, all others by the library."""
+        plain = [c for c in chunks if len(c) <= LONGEST and _PLAIN.fullmatch(c)]
+        rest = list(set(chunks).difference(plain))
+        found = dict(zip(plain, self.merges.encode([c.lower() for c in plain] if self.drops_space else plain)))
+        found.update(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
+        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens around it."""
         chunks = [self._chunks(t) for t in texts]
         distinct = set().union(*chunks)
         new = distinct.difference(self.cache)
-        if len(self.cache) + len(new) > CACHED // 2:
-            self.old, self.cache, new = self.cache, {}, distinct
+        size = sum(map(len, new))
+        if self.held + size > CACHED // 2:
+            self.old, self.cache, self.held, new = self.cache, {}, 0, distinct
+            size = sum(map(len, new))
+        self.held += size
         if self.old:
             again = new.intersection(self.old)
             self.cache.update(zip(again, map(self.old.__getitem__, again)))
@@ -64,10 +71,11 @@ class LibraryEncoder:
         for c in new:
             if len(c) > LONGEST:
                 del self.cache[c]
+                self.held -= len(c)
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, drops_space: bool) -> LibraryEncoder:
     """One encoder a worker."""
     return LibraryEncoder(path, drops_space)
