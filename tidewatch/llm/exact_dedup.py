@@ -1,20 +1,22 @@
 """Exact dedup by a tree-merge of sorted digest runs, DataFrame functions only.
 
-Each input partition is one run: its rows grouped and sorted by digest, one entry per distinct text with the row to
-keep and a count. Runs then meet in binomial rounds: in each, FAN neighbouring runs become one, entries of equal
-digests merge to the better row, so a text that fills a third of the table is reduced to one entry a run before it
+Each input partition is one run: its rows sorted by digest and grouped, one entry per distinct text with the row to
+keep and a count. Runs then meet in binomial rounds, ROUNDS at most: in each, as many neighbouring runs as that takes
+become one, sorted again, and entries of equal digests merge to the better row, so a text that fills a third of the table is reduced to one entry a run before it
 ever moves. The verdict goes back down by (run, digest), so no key gathers all its copies anywhere.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import SPACE, partitions, power_of_two, written
 
-#: Runs that merge into one in a round (a power of two).
-FAN = 4
+#: Runs that merge into one in a round, at least (a power of two), and rounds at most: more runs merge more at once.
+FAN, ROUNDS = 4, 4
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,10 +41,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = power_of_two(partitions(docs))
     base = written(digested(docs, id_col, text_col).withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs))), "digests")
     key = ["digest", "proof"]
-    first = base.groupBy("run", *key).agg(F.min(_best(F.col("size"), F.col("id"))).alias("best"), F.count("*").alias("n"))
-    level, left = first, runs
+    entries = base.select("run", *key, _best(F.col("size"), F.col("id")).alias("best"), F.lit(1).cast("long").alias("n")).sortWithinPartitions("run", *key)
+    level, left = entries.groupBy("run", *key).agg(F.min("best").alias("best"), F.sum("n").alias("n")), runs
+    fan = max(FAN, power_of_two(math.ceil(runs ** (1 / ROUNDS))))
     while left > 1:
-        step = min(FAN, left)
+        step = min(fan, left)
         level = level.withColumn("run", F.expr(f"run div {step}")).groupBy("run", *key).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         left //= step
     winners = level.select(*key, F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"))
