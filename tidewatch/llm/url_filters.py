@@ -133,14 +133,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(globs)
+        names = pa.array([r.name for r in ranked] + [None] * (len(own) + 1), pa.string())
+        verdicts = pa.array([r.verdict for r in everything] + [default], pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 urls = [(a + b).encode() for a, b in zip(strings(part.column(1)), strings(part.column(2)))]
                 hits = automaton.match(urls)
-                first = [int(owner[np.argmax(row)]) if row.any() else -1 for row in hits]
-                rule = [everything[k].name if 0 <= k < len(ranked) else None for k in first]
-                verdict = [everything[k].verdict if k >= 0 else default for k in first]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
+                first = pa.array(np.where(hits.any(axis=1), owner[hits.argmax(axis=1)], len(everything)))
+                yield pa.RecordBatch.from_arrays([*part.columns, names.take(first), verdicts.take(first)], names=["id", "host", "path", "rule", "verdict"])
 
     return parts.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string")
