@@ -19,8 +19,8 @@ from tidewatch.llm.common import sliced, strings
 from tidewatch.llm.pretokenize import LETTER, classes
 
 #: Buckets of trigrams; bound of the labelled sample (smallest hashes of the id); cost of a switch, in nats; what one
-#: word can say against a language at most; texts' words that one Viterbi pass takes.
-BUCKETS, SAMPLE, SWITCH, WORD_LIMIT, PASS = 1 << 16, 20_000, 8.0, 12.0, 1_500_000
+#: word can say against a language at most; texts' words that one Viterbi pass takes; letters scored at once.
+BUCKETS, SAMPLE, SWITCH, WORD_LIMIT, PASS, LETTERS = 1 << 16, 20_000, 8.0, 12.0, 1_500_000, 2_000_000
 #: First code points of script ranges (Unicode blocks), by ascending start; 0 is Latin.
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0E00, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
 SCRIPT_NAMES = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "southeast", "hangul", "latin", "greek", "other", "kana", "other", "han", "other", "hangul", "other", "han", "other")
@@ -80,17 +80,27 @@ class LanguageModel:
         rules out get the limit, but where it rules out all, all are as likely."""
         if not len(words.first) or not self.languages:
             return np.empty((len(words.first), len(self.languages)), np.float32)
-        total = np.add.reduceat(self.scores[words.buckets], words.first, axis=0)
-        can = self.scripts[words.script]
-        none = ~can.any(axis=1)
-        total = np.where(can, total, -np.inf)
-        total[none] = 0
-        return np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT).astype(np.float32)
+        out = np.empty((len(words.first), len(self.languages)), np.float32)
+        ends = np.append(words.first[1:], len(words.buckets))
+        i = 0
+        while i < len(out):  # LETTERS at a time, one word at least
+            j = max(i + 1, int(np.searchsorted(ends, words.first[i] + LETTERS, side="right")))
+            total = np.add.reduceat(self.scores[words.buckets[words.first[i] : ends[j - 1]]], words.first[i:j] - words.first[i], axis=0)
+            can = self.scripts[words.script[i:j]]
+            none = ~can.any(axis=1)
+            total = np.where(can, total, -np.inf)
+            total[none] = 0
+            out[i:j] = np.maximum(total - total.max(axis=1, keepdims=True), -WORD_LIMIT)
+            i = j
+        return out
 
     def label(self, scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Language of each word. counts: words of each text, in order. All texts take a step at once; those that have
-        ended drop out, as longer texts stand first."""
-        labels = np.zeros(len(scores), np.uint8)
+        ended drop out, as longer texts stand first. What leads back is a few bytes a word, however long a text is."""
+        k = scores.shape[1]
+        kind = np.min_scalar_type(max(1, k - 1))
+        labels, top_of = np.zeros(len(scores), kind), np.zeros(len(scores), kind)
+        stay_of = np.zeros((len(scores), -(-k // 8)), np.uint8)
         order = np.argsort(-counts, kind="stable")
         sizes = counts[order]
         begins = (np.cumsum(counts) - counts)[order]
@@ -98,23 +108,22 @@ class LanguageModel:
         if not live:
             return labels
         best = scores[begins[:live]].copy()
-        back = []
         for t in range(1, int(sizes[0])):
             live = int(np.searchsorted(-sizes[:live], -t, side="left"))
             top = best[:live].argmax(axis=1)
             jump = best[np.arange(live), top] - np.float32(SWITCH)
             stay = best[:live] >= jump[:, None]
-            back.append((top.astype(np.uint8), np.packbits(stay, axis=1, bitorder="little") if stay.shape[1] <= 8 else stay))
-            best[:live] = np.where(stay, best[:live], jump[:, None]) + scores[begins[:live] + t]
-        at = best.argmax(axis=1)  # texts that ended early keep their last row
+            at = begins[:live] + t
+            top_of[at], stay_of[at] = top, np.packbits(stay, axis=1, bitorder="little")
+            best[:live] = np.where(stay, best[:live], jump[:, None]) + scores[at]
+        now = best.argmax(axis=1)  # texts that ended early keep their last row
         for t in range(int(sizes[0]) - 1, 0, -1):
-            top, stay = back[t - 1]
-            live = len(top)
-            labels[begins[:live] + t] = at[:live]
-            kept = (stay[:, 0] >> at[:live].astype(np.uint8)) & 1 if stay.dtype == np.uint8 else stay[np.arange(live), at[:live]]
-            at[:live] = np.where(kept, at[:live], top)
-        live = len(best)
-        labels[begins[:live]] = at[:live]
+            live = int(np.searchsorted(-sizes[: len(best)], -t, side="left"))
+            at, own = begins[:live] + t, now[:live]
+            labels[at] = own
+            kept = (stay_of[at, own >> 3] >> (own & 7).astype(np.uint8)) & 1
+            now[:live] = np.where(kept, own, top_of[at])
+        labels[begins[: len(best)]] = now
         return labels
 
 
@@ -157,8 +166,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Null and empty texts, and those without a letter, are `und` with score 0 and no spans. Texts of any length are
     labelled whole; a tie goes to the language first by name; repeated rows get equal rows; an empty table gives no
-    rows; only `keep`, id and text are read, and nothing is shuffled.
+    rows; only `keep`, id and text are read, and nothing is shuffled. A column of `keep` that has the name of a result
+    gives way to it.
     """
+    keep = tuple(c for c in keep if c not in ("id", "lang_pred", "score", "spans"))
     source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
     span = "array<struct<start: bigint, end: bigint, lang: string>>"
