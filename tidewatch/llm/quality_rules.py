@@ -54,38 +54,47 @@ def _step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`keep` and the counts of each whole text (null: none), without a shuffle.
-
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as in the contract, and what FEATURES need. A word
-    in a five-word window that occurs twice or more counts once, however many windows hold it: equal windows stand
-    side by side once (hash, place) pairs are sorted, and the places found are unions of runs of five.
+#: The counts of the contract, and what each feature is a share of: (count, whole).
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SHARES = {
+    "chars_per_word": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "shout_share": ("n_shouts", "n_words"), "bang_share": ("n_bangs", "word_chars"),
+    "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "stutter_share": ("n_stutters", "n_words"), "upper_share": ("n_upper", "word_chars"),
+}
+
+
+def statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), features: Sequence[str] = FEATURES) -> DataFrame:
+    """`keep`, the counts of each whole text (null: none) and `features`, without a shuffle. A column of `keep` that has
+    the name of a count or a feature gives way to it.
+
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are as in the contract; other counts are taken only for
+    features that need them. A word in a five-word window that occurs twice or more counts once, however many windows
+    hold it: equal windows stand side by side once (hash, place) pairs are sorted, and the places found are unions of
+    runs of five. Texts whose windows are all different aren't sorted.
     """
+    need = {c for f in features for c in SHARES[f]}
     text = F.coalesce(F.col(text_col), F.lit(""))
     ahead = lambda a: F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
     behind = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
     count = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0)).cast("long")
-    words = _step(docs.select(*keep, text.alias("_t")), _w=F.array_remove(F.split("_t", f"{SPACE}+"), ""), _l=F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    words = _step(docs.select(F.struct(*keep).alias("_kept"), text.alias("_t")), _w=F.array_remove(F.split("_t", f"{SPACE}+"), ""), _l=F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    patterns = {"n_bangs": "!", "n_upper": r"\p{Lu}", "n_shouts": r"(?<!\p{L})\p{Lu}{2}"}
     hashed = _step(
         words,
         n_words=F.size("_w").cast("long"),
         word_chars=F.length(F.array_join("_w", "")).cast("long"),
         n_symbols=F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long"),
-        n_bangs=F.regexp_count("_t", F.lit("!")).cast("long"),
-        n_upper=F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long"),
-        n_shouts=F.regexp_count("_t", F.lit(r"(?<!\p{L})\p{Lu}{2}")).cast("long"),
         n_lines=F.size("_l").cast("long"),
         n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
         _h=F.transform("_w", lambda x: F.xxhash64(x)),
+        **{c: F.regexp_count("_t", F.lit(p)).cast("long") for c, p in patterns.items() if c in need},
     ).drop("_t", "_w", "_l")
     grams = _step(
         hashed,
-        n_stutters=count(F.zip_with(ahead("_h"), behind("_h"), lambda a, b: a == b)),
         _g=F.transform(F.slice("_h", 1, F.greatest(F.size("_h") - 4, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2), F.get("_h", i + 3), F.get("_h", i + 4))),
+        **{"n_stutters": count(F.zip_with(ahead("_h"), behind("_h"), lambda a, b: a == b))} if "n_stutters" in need else {},
     ).drop("_h")
-    ordered = _step(grams, _s=F.sort_array("_g"))
-    twice = F.exists(F.zip_with(ahead("_s"), behind("_s"), lambda a, b: a == b), lambda x: x)
-    pairs = _step(ordered, _p=F.when(twice, F.sort_array(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_g", "_s")
+    twice = F.size(F.array_distinct("_g")) < F.size("_g")
+    pairs = _step(grams, _p=F.when(twice, F.sort_array(F.transform("_g", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_g")
     again = lambda x, i: (i > 0) & F.get("_p", i - 1)["h"].eqNullSafe(x["h"]) | F.get("_p", i + 1)["h"].eqNullSafe(x["h"])
     places = _step(pairs, _q=F.sort_array(F.transform(F.filter("_p", again), lambda x: x["i"]))).drop("_p")
     covered = F.aggregate(
@@ -95,10 +104,8 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("
     )
     out = _step(places, n_repeat_words=F.coalesce(covered, F.lit(0).cast("long"))).drop("_q")
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return out.select(
-        "*", share("word_chars", "n_words").alias("chars_per_word"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_shouts", "n_words").alias("shout_share"), share("n_bangs", "word_chars").alias("bang_share"),
-        share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("n_stutters", "n_words").alias("stutter_share"), share("n_upper", "word_chars").alias("upper_share"),
-    )
+    stay = [F.col("_kept")[c].alias(c) for c in keep if c not in COUNTS and c not in features]
+    return out.select(*stay, *COUNTS, *(share(*SHARES[f]).alias(f) for f in features))
 
 
 def base_failed() -> Column:
@@ -182,19 +189,23 @@ def rules_column(rules: Sequence[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """Learns from at most `sample` labelled texts (smallest hashes of doc_id); quality 0 is bad. Null labels are left out."""
+    """Learns from at most `sample` labelled texts (smallest hashes of doc_id, of any type); quality 0 is bad. Null labels
+    are left out; without any the list is empty."""
     marked = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = statistics(texts, "text", ("doc_id", "quality")).where(~base_failed()).select("doc_id", "quality", *FEATURES).collect()
-    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    found = statistics(texts.withColumn("order", F.xxhash64("doc_id")), "text", ("order", "quality")).where(~base_failed()).select("order", "quality", *FEATURES).collect()
+    rows = sorted((r.asDict() for r in found), key=lambda r: (r["order"], *(r[f] for f in FEATURES)))
     return learn([r | {"bad": r["quality"] == 0} for r in rows])
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`keep`, the counts, base_failed, rule (number of the first one met, else null) and kept.
+    """`keep`, the counts, the features that the rules test, base_failed, rule (number of the first one met, else null)
+    and kept. A column of `keep` that has the name of one of these gives way to it.
 
     Null, empty and one-word texts fail the base; ties cannot occur, as each row is judged alone; repeated rows get
     equal rows; an empty table gives an empty result; only `keep` and the text are read.
     """
-    return statistics(docs, text_col, keep).withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    tested = tuple(f for f in FEATURES if any(t.feature == f for r in rules for t in r.tests))
+    keep = [c for c in keep if c not in ("base_failed", "rule", "kept")]
+    return statistics(docs, text_col, keep, tested).withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
