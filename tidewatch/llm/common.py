@@ -14,9 +14,12 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine), an own one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return found.rstrip("/")
+    """The folder named by spark.checkpoint.dir. Where that is unset, one machine gets a folder of its own; on a cluster
+    it is an error, as executors would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 @cache
@@ -31,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the scratch tables that these frames of `written` read, once nothing reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(df: DataFrame) -> int:
     """Number of the scan's partitions: what the plan's fan-out is sized by."""
     return max(1, df.rdd.getNumPartitions())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import strings, written
-from tidewatch.llm.set_join import classes, exploded, least, similar, token_sets
+from tidewatch.llm.set_join import band, bands, classes, exploded, least, similar, token_sets
 
 
 def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
@@ -40,8 +40,9 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     may = written(classes(sets, "dfs"), "lines")
     # Equal sets: all but the first line of each go.
     firsts = may.select("sig", "first")
-    leads = sets.where("lead").select("sig", "id", "part").join(firsts, "sig").where(F.struct("id", "part") != F.col("first")).select("id", "part")
-    equal = sets.where("not lead").select("id", "part").union(leads)
+    leads = sets.where("tokens is not null").select("sig", "id", "part").join(firsts, "sig").where(F.struct("id", "part") != F.col("first")).select("id", "part")
+    copies = sets.where(F.size("ids") > 1).select("id", "part", F.inline(F.arrays_zip("ids", "parts")))
+    equal = copies.where((F.col("ids") != F.col("id")) | (F.col("parts") != F.col("part"))).select(F.col("ids").alias("id"), F.col("parts").alias("part")).union(leads)
     # Similar sets: only whether an earlier one exists matters, and of each set only its first line is still there.
     tokens = exploded(may.withColumns({"id": F.col("first.id"), "part": F.col("first.part")}), ("sig", "size", "id", "part"))
     prefix = written(tokens.where(F.col("place") <= F.col("size") - least(F.col("size"))), "prefixes")
@@ -50,31 +51,33 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = prefix.join(heads, "token")
     stars = shared.where(F.col("sig") != F.col("head.sig")).select(F.col("sig").alias("a"), F.col("head.sig").alias("b")).distinct()
     settled = written(similar(stars, may).select("a").distinct(), "settled")
-    left = written(shared.join(settled, F.col("sig") == F.col("a"), "left_anti").select("sig", "size", "id", "part", "place", "token"), "open")
-    other = prefix.join(heads.select("token"), "token").select("token", F.col("sig").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.struct("id", "part").alias("b_first"))
+    left = written(shared.join(settled, F.col("sig") == F.col("a"), "left_anti").select("sig", "size", "id", "part", "place", "token", F.explode(bands(F.col("size"))).alias("band")), "open")
+    other = prefix.join(heads.select("token"), "token").select("token", band(F.col("size")).alias("band"), F.col("sig").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.struct("id", "part").alias("b_first"))
     n, m = F.col("size"), F.col("b_size")
     close = (
         (F.col("b_first") < F.struct("id", "part"))
         & (m >= least(n)) & (n >= least(m))
         & (180 * F.least(n - F.col("place"), m - F.col("b_place")) >= 80 * (n + m))
     )
-    pairs = left.join(other, "token").where(close).select(F.col("sig").alias("a"), "b").distinct()
+    pairs = left.join(other, ["token", "band"]).where(close).select(F.col("sig").alias("a"), "b").distinct()
     near = settled.union(similar(pairs, may).select("a")).distinct()
     gone = may.join(near, may["sig"] == near["a"], "left_semi").select("first.id", "first.part")
     return equal.union(gone).distinct()
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later similar lines removed from its text, and `lines_removed`.
+    """docs with later similar lines removed from its text, and `lines_removed` (in the place of a column of that name).
 
     All other columns stay, and every row: a text that loses all its lines is empty, a null text stays null. Rows
     without an id are left as they are; a repeated row is treated as the first one is, so rows of equal ids should not
     differ. Lines without a word stay; in scripts without spaces a line is one word, so its copies go and near copies stay. Ties: the smaller (id, number) is earlier.
     An empty table stays empty.
     """
-    gone = later_matches(docs, id_col, text_col).groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set("part").alias("_gone"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("_gone_id"), "left")
-    numbered = F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
+    gone = later_matches(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set("part").alias("_gone"))
+    rows = docs.select(F.struct("*").alias("_row"))  # whatever names the columns have
+    text = F.col("_row")[text_col]
+    joined = rows.join(gone, F.col("_row")[id_col].cast("long") == F.col("_id"), "left")
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
     kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["x"])
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({text_col: text, "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_gone", "_gone_id")
+    found = {text_col: F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")), "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    return joined.select(*(found.get(c, F.col("_row")[c]).alias(c) for c in dict.fromkeys([*docs.columns, *found])))

@@ -17,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import strings, written
+from tidewatch.llm.common import discard, strings, written
 from tidewatch.llm.hashing import mixed
-from tidewatch.llm.set_join import classes, components, least, similar, token_sets
+from tidewatch.llm.set_join import band, bands, classes, components, least, looked_up, similar, token_sets
 
 #: Min-hash keys by which first groups form; they only decide how much is left for the matrix, not the result.
 KEYS = 3
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+    """Rows without an id have the largest id and part 1, so that they stand behind a row that has it."""
     texts = [t.encode().lower() for t in strings(batch.column(1))]
-    return batch.column(0).to_pylist(), [0] * len(texts), texts
+    ids = batch.column(0).to_pylist()
+    return [2**63 - 1 if i is None else i for i in ids], [int(i is None) for i in ids], texts
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -53,23 +55,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts as larger than any; repeated rows link; an empty table gives no rows; texts of any length count whole;
     only id and text are read.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).alias("text"))
-    sets = token_sets(source, _texts, True, False)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = token_sets(source, _texts, True, False)  # a row for each different set of a block, with all its ids
     may = written(classes(sets), "classes")
     keys = written(_keys(may), "keys")
-    leaders = keys.groupBy("key").agg(F.min_by("sig", F.struct("id", "sig")).alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = keys.join(leaders, "key").where("sig != b").groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    leaders = keys.groupBy("key").agg(F.min_by("sig", F.struct("id", "sig")).alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    stars = looked_up(keys, leaders, "key").where("sig != b").groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     first = written(similar(stars, may).select("a", "b"), "links")
     links = written(first.union(_across(may, components(first))), "links")
     found = components(links)
-    label = sets.where("size > 0").select("sig", "id").join(found, sets["sig"] == found["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
-    least_id = label.groupBy("component", "sig").agg(F.min("id").alias("id"))
-    smallest = least_id.groupBy("component").agg(F.min("id").alias("component_id"))
-    verdict = least_id.join(smallest, "component").select(F.col("sig"), "component_id")
-    out = sets.where("size > 0").select("sig", "id", "size").join(verdict, "sig").select("id", "size", "component_id")
-    out = out.union(sets.where("size = 0").select("id", "size", F.col("id").alias("component_id")))
-    whole = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c))
-    return out.select(whole("id").alias("id"), F.col("size").alias("n_shingles"), whole("component_id").alias("component_id"))
+    discard(may, keys, first, links)
+    one = F.struct("id", "part")
+    label = sets.where("size > 0").select("sig", "id", "part").join(found, sets["sig"] == found["node"], "left").select("sig", "id", "part", F.coalesce("component", "sig").alias("component"))
+    least_id = label.groupBy("component", "sig").agg(F.min(one).alias("one"))
+    smallest = least_id.groupBy("component").agg(F.min("one").alias("best"))
+    verdict = looked_up(least_id, smallest, "component").select("sig", "best")
+    # Blocks have one row for each different set, so a text that fills a third of the table is a row a block here.
+    linked = sets.where("size > 0").select("sig", "size", "ids", "parts").join(verdict, "sig").select("size", "best", F.inline(F.arrays_zip("ids", "parts")))
+    whole = lambda i, p: F.when(p == 0, i)
+    out = linked.select(whole(F.col("ids"), F.col("parts")).alias("id"), F.col("size").alias("n_shingles"), whole(F.col("best.id"), F.col("best.part")).alias("component_id"))
+    alone = sets.where("size = 0").select("size", F.inline(F.arrays_zip("ids", "parts"))).select(whole(F.col("ids"), F.col("parts")).alias("id"), F.col("size").alias("n_shingles"))
+    return out.union(alone.withColumn("component_id", F.col("id")))
 
 
 def _cells(sets: DataFrame, name: str) -> DataFrame:
@@ -111,8 +117,10 @@ def _across(may: DataFrame, grouped: DataFrame) -> DataFrame:
     bound = held.select("row", "size", "token").join(asked, "row").join(matrix, ["token", "other"]).groupBy("row", "other").agg(F.count("*").alias("bound"), F.min("size").alias("size"))
     opened = bound.where(F.col("bound") >= least(F.col("size"))).select("row", "other")
     # Opened groups: members that share a rare token and are of a size that can be similar.
-    inside = prefix.select("token", F.col("row").alias("member"), F.col("size").alias("m"), F.col("group").alias("other"), F.col("rest").alias("m_rest"))
+    inside = prefix.select("token", band(F.col("size")).alias("band"), F.col("row").alias("member"), F.col("size").alias("m"), F.col("group").alias("other"), F.col("rest").alias("m_rest"))
     n, m = F.col("size"), F.col("m")
-    pairs = prefix.join(opened, "row").join(inside, ["token", "other"]).where((m >= least(n)) & (n >= least(m)) & (180 * F.least("rest", "m_rest") >= 80 * (n + m))).select("row", "member").distinct()
+    pairs = prefix.join(opened, "row").withColumn("band", F.explode(bands(F.col("size")))).join(inside, ["token", "other", "band"]).where((m >= least(n)) & (n >= least(m)) & (180 * F.least("rest", "m_rest") >= 80 * (n + m))).select("row", "member").distinct()
     sig = lambda a, b: members.select(F.col("row").alias(a), F.col("sig").alias(b))
-    return similar(pairs.join(sig("row", "a"), "row").join(sig("member", "b"), "member").select("a", "b"), may).select("a", "b")
+    links = written(similar(pairs.join(sig("row", "a"), "row").join(sig("member", "b"), "member").select("a", "b"), may).select("a", "b"), "across")
+    discard(members, wide, held, matrix, prefix)
+    return links
