@@ -3,6 +3,7 @@
 Overlapping heuristic labellers vote on a bounded sample. Expectation-maximisation estimates from their votes alone how
 each votes on good and on bad texts; the posteriors of the sample's texts then train a linear scorer over hashed
 words, word beginnings and byte-class pairs, which scores every text. The same is done a second time for toxicity.
+Annotators' labels, where there are any, only measure what came out.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import sliced, strings
+from tidewatch.llm.common import discard, sliced, strings, written
 from tidewatch.llm.hashing import word_hashes
 
 #: Bound of the sample (smallest hashes of the id; labelled texts first, up to half of it), buckets of the words, and texts a feature must be in to count.
 SAMPLE, BUCKETS, SUPPORT = 12_000, 1 << 16, 5
+#: Tasks that train side by side, rounds after which their weights are averaged, and passes of each over its rows in a round.
+WORKERS, ROUNDS, PASSES = 4, 12, 5
 #: Texts are kept from this quality on and below this toxicity: clean texts matter more.
 POOR, TOXIC = 0.5, 0.7
 #: Word beginnings (bytes), byte-class pairs, and shares by the name of SHARES.
@@ -34,8 +37,8 @@ CONTEMPT = re.compile(r"\b(shut up|get lost|go to hell|nobody (likes|wants|asked
 THREATS = re.compile(r"\b(i('ll| will|'m going to| am going to| hope (you|they)( will)?) (die|kill|hurt|beat|find you|burn|destroy you|suffer)|kill (yourself|yourselves|them all|you)|you (should|will|deserve to) (die|burn|suffer|pay for this)|drop dead|watch your back)\b")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Names of the labellers, in the order of their votes.
-QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd", "annotator")
-TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude", "annotator")
+QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd")
+TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude")
 _CLASS = np.full(256, 15, np.uint8)  # byte classes: white, line end, upper, lower, digit, then punctuation by kind, other bytes
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!", b"?", b"'\"", b"#*$%&", b"|", b"<>", b"()[]{}", b"-_/\\", b"@=+~^`")):
     _CLASS[list(_chars)] = _k
@@ -79,7 +82,7 @@ def scaled(index: np.ndarray, value: np.ndarray, text: np.ndarray, n: int) -> np
 
 
 def votes(text: str) -> tuple[list[int], list[int]]:
-    """Votes of the heuristic labellers, without the annotators, on quality and on toxicity. Each symptom's labeller
+    """Votes of the labellers on quality and on toxicity. Each symptom's labeller
     can only object; that no symptom shows at all is one labeller's vote for the text, for quality and for toxicity."""
     words = text.split()
     n, chars = len(words), max(1, sum(map(len, words)))
@@ -104,70 +107,80 @@ def votes(text: str) -> tuple[list[int], list[int]]:
     return [*odd, clean], [*(BAD if x else ABSTAIN for x in rude), ABSTAIN if any(rude) else GOOD]
 
 
-def expectation_maximisation(vote: np.ndarray, rounds: int = 60, prior: float = 0.15, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(vote: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, prior: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of bad for each row, table[labeller, class, vote]) of a two-class model whose labellers vote
-    independently given the class. vote: rows x labellers of ABSTAIN, GOOD, BAD. Starts from the majority of votes;
-    counts are smoothed, so unanimous labellers give no infinite weight. anchor: the labeller whose votes are taken as
-    nearly certain in every round (people who looked), so that the others' accuracies are measured against them where
-    they voted. No rows give no posteriors."""
+    independently given the class. vote: rows x labellers of ABSTAIN, GOOD, BAD; weight: how many texts voted like it.
+    Starts from the majority of votes; counts are smoothed, so unanimous labellers give no infinite weight. No rows give
+    no posteriors."""
+    weight = np.ones(len(vote)) if weight is None else weight
     good, bad = (vote == GOOD).sum(axis=1), (vote == BAD).sum(axis=1)
     post = np.clip(np.where(good + bad > 0, (bad + 2 * prior * (bad > 0)) / np.maximum(good * 0.3 + bad, 1), prior), 0.02, 0.98)
     table = np.full((vote.shape[1], 2, 3), 1 / 3)
     for _ in range(rounds if len(vote) else 0):
+        right, wrong = weight * (1 - post), weight * post
         for j in range(vote.shape[1]):
             for v in range(3):
                 hit = vote[:, j] == v
-                table[j, 0, v] = ((1 - post)[hit].sum() + 0.5 + (v == GOOD)) / ((1 - post).sum() + 2.5)
-                table[j, 1, v] = (post[hit].sum() + 0.5 + (v == BAD)) / (post.sum() + 2.5)
-        share = np.clip(post.mean(), 1e-3, 0.5)
+                table[j, 0, v] = (right[hit].sum() + 0.5 + (v == GOOD)) / (right.sum() + 2.5)
+                table[j, 1, v] = (wrong[hit].sum() + 0.5 + (v == BAD)) / (wrong.sum() + 2.5)
+        share = np.clip(wrong.sum() / weight.sum(), 1e-3, 0.5)
         odds = np.log(share / (1 - share)) + sum(np.log(table[j, 1, vote[:, j]] / table[j, 0, vote[:, j]]) for j in range(vote.shape[1]))
         post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
-        if anchor is not None:
-            post = np.where(vote[:, anchor] == BAD, 0.98, np.where(vote[:, anchor] == GOOD, 0.02, post))
     return post, table
 
 
-def train(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, post: np.ndarray, epochs: int = 25, rate: float = 0.3, sparse: float = 2e-4) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic model of the posteriors: AdaGrad over small batches, features of fewer than
-    SUPPORT texts left at 0, weights drawn to 0 by `sparse`. Rows whose posterior is
-    between 0.1 and 0.9, or on which all labellers abstained (given as 0.5), are left out."""
-    weights, bias = np.zeros(SIZE), 0.0
+@dataclass
+class Linear:
+    """A logistic model in training: weights, bias, and what AdaGrad has summed up for each."""
+
+    weights: np.ndarray
+    bias: float
+    grown: np.ndarray
+    grown_bias: float
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([self.weights, [self.bias], self.grown, [self.grown_bias]])
+
+    @staticmethod
+    def unpack(flat: np.ndarray) -> Linear:
+        return Linear(flat[:SIZE].copy(), float(flat[SIZE]), flat[SIZE + 1 : 2 * SIZE + 1].copy(), float(flat[-1]))
+
+
+def train(model: Linear, index: np.ndarray, value: np.ndarray, sizes: np.ndarray, post: np.ndarray, usable: np.ndarray, seed: int, passes: int = PASSES, rate: float = 0.3, sparse: float = 2e-4) -> None:
+    """Moves the model by AdaGrad over small batches; features that aren't usable stay at 0, weights are drawn to 0 by
+    `sparse`. Rows whose posterior is between 0.1 and 0.9, or on which all labellers abstained (given as 0.5), are
+    left out."""
     known = np.flatnonzero((post <= 0.1) | (post >= 0.9))
-    if not len(known):
-        return weights, bias
-    first = np.cumsum(sizes) - sizes
-    usable = np.bincount(index, minlength=SIZE) >= SUPPORT
-    grown, grown_bias = np.full(SIZE, 1e-6), 1e-6
-    bias = float(np.log((post[known].sum() + 1) / ((1 - post[known]).sum() + 1)))
-    rng = np.random.Generator(np.random.PCG64(7))
-    for _ in range(epochs):
+    first, rng = np.cumsum(sizes) - sizes, np.random.Generator(np.random.PCG64(seed))
+    for _ in range(passes):
         rng.shuffle(known)
-        for at in range(0, len(known), 256):
-            rows = known[at : at + 256]
+        for at in range(0, len(known), 64):
+            rows = known[at : at + 64]
             n = sizes[rows]
             take = np.repeat(first[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             own, ix, x = np.repeat(np.arange(len(rows)), n), index[take], value[take]
-            margin = bias + np.bincount(own, weights=weights[ix] * x, minlength=len(rows))
+            margin = model.bias + np.bincount(own, weights=model.weights[ix] * x, minlength=len(rows))
             error = 1 / (1 + np.exp(-np.clip(margin, -35, 35))) - post[rows]
             slope = np.bincount(ix, weights=x * error[own], minlength=SIZE) / len(rows)
             slope[~usable] = 0
             moved = np.flatnonzero(slope)
-            grown[moved] += slope[moved] ** 2
-            step = rate / np.sqrt(grown[moved])
-            new = weights[moved] - step * slope[moved]
-            weights[moved] = np.sign(new) * np.maximum(np.abs(new) - step * sparse, 0)
-            grown_bias += error.mean() ** 2
-            bias -= rate * error.mean() / np.sqrt(grown_bias)
-    return weights, bias
+            model.grown[moved] += slope[moved] ** 2
+            step = rate / np.sqrt(model.grown[moved])
+            new = model.weights[moved] - step * slope[moved]
+            model.weights[moved] = np.sign(new) * np.maximum(np.abs(new) - step * sparse, 0)
+            model.grown_bias += error.mean() ** 2
+            model.bias -= rate * error.mean() / np.sqrt(model.grown_bias)
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """Two linear models over the same features, and what the labellers were found to be worth."""
+    """Two linear models over the same features, and what the labellers were found to be worth: `accuracies` as estimated,
+    `measured` against annotators: (votes that agree, votes) of each labeller on annotated texts of the sample."""
 
     quality: tuple[np.ndarray, float]
     toxicity: tuple[np.ndarray, float]
     accuracies: dict[str, float]
+    measured: dict[str, tuple[int, int]]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(probability of good quality, probability of toxicity) of each text."""
@@ -179,64 +192,127 @@ class Scorer:
         return 1 - out[0], out[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    """Fits on at most `sample` texts (smallest hashes of the id): first labelled ones of docs, up to half of the sample, so
-    that few labels are in it however large docs are, then any. labels: doc_id, quality, toxic of annotators, who are
-    labellers like the others and abstain where they have not looked. No texts: a scorer that gives one half."""
+def _sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """id, text, quality, toxic (of annotators; null where they haven't looked) of `sample` rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     first = lambda ids, n: ids.orderBy(F.xxhash64("id"), "id").limit(n).distinct()
     chosen = first(rows.select("id"), sample)
     if labels is None:
-        picked = rows.join(F.broadcast(chosen), "id", "left_semi")
-        marked = picked.withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
-    else:
-        looked = labels.where("quality is not null or toxic is not null").select(F.col("doc_id").alias("id")).distinct()
-        sure = first(looked.join(rows.select("id"), "id", "left_semi"), sample // 2).withColumn("sure", F.lit(1))
-        both = sure.unionByName(chosen.withColumn("sure", F.lit(0))).groupBy("id").agg(F.max("sure").alias("sure"))
-        chosen = both.orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(sample).select("id")
-        picked = rows.join(F.broadcast(chosen), "id", "left_semi")
-        known = labels.join(F.broadcast(chosen), labels["doc_id"] == chosen["id"], "left_semi").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-        marked = picked.join(F.broadcast(known), picked["id"] == known["doc_id"], "left").select("id", "text", "quality", "toxic")
+        return rows.join(F.broadcast(chosen), "id", "left_semi").withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")})
+    looked = labels.where("quality is not null or toxic is not null").select(F.col("doc_id").alias("id")).distinct()
+    sure = first(looked.join(rows.select("id"), "id", "left_semi"), sample // 2).withColumn("sure", F.lit(1))
+    both = sure.unionByName(chosen.withColumn("sure", F.lit(0))).groupBy("id").agg(F.max("sure").alias("sure"))
+    chosen = both.orderBy(F.desc("sure"), F.xxhash64("id"), "id").limit(sample).select("id")
+    known = labels.join(F.broadcast(chosen), labels["doc_id"] == chosen["id"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    return rows.join(F.broadcast(chosen), "id", "left_semi").join(F.broadcast(known), "id", "left").select("id", "text", "quality", "toxic")
+
+
+def _measured(seen: list) -> dict[str, tuple[int, int]]:
+    out: dict[str, tuple[int, int]] = {}
+    for r in seen:
+        for k, name in enumerate(f"{n}/{kind}" for kind, names in (("quality", QUALITY_LABELLERS), ("toxicity", TOXIC_LABELLERS)) for n in names):
+            gold = r.quality if k < len(QUALITY_LABELLERS) else None if r.toxic is None else 1 - r.toxic
+            if gold is not None and r.votes[k] != ABSTAIN:
+                agree, n = out.get(name, (0, 0))
+                out[name] = agree + r.n * ((r.votes[k] == GOOD) == bool(gold)), n + r.n
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    """Fits on at most `sample` texts (smallest hashes of the id, of any type): first annotated ones of docs, up to half of
+    the sample, then any. labels: doc_id, quality, toxic of annotators; they are no labellers, and only `measured` rests
+    on them. No texts: a scorer that gives one half.
+
+    Features and votes of the sample are a table in the scratch folder. WORKERS tasks train on its parts and their models
+    are averaged ROUNDS times, so the driver holds vote patterns and a few models, however long the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text", 1_000_000):
-                texts = strings(part.column(1))
+                texts = strings(part.column(0))
                 index, value, text = features(texts)
-                ends = np.searchsorted(text, np.arange(len(texts) + 1))
-                out = {"index": [], "value": [], "votes": []}
-                for k, (t, q, x) in enumerate(zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist())):
-                    a, b = votes(t)
-                    out["votes"].append(bytes([*a, ABSTAIN if q is None else GOOD if q else BAD, *b, ABSTAIN if x is None else BAD if x else GOOD]))
-                    out["index"].append(index[ends[k] : ends[k + 1]].astype("<i4").tobytes())
-                    out["value"].append(value[ends[k] : ends[k + 1]].astype("<f4").tobytes())
-                yield pa.RecordBatch.from_pydict(out | {"id": part.column(0)}, schema=pa.schema([("index", pa.binary()), ("value", pa.binary()), ("votes", pa.binary()), ("id", part.schema.field(0).type)]))
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = sorted(marked.mapInArrow(run, f"index binary, value binary, votes binary, id {kind}").collect(), key=lambda r: (r.id is None, r.id or 0, r.votes))
-    vote = np.array([list(r.votes) for r in found], np.int8).reshape(len(found), len(QUALITY_LABELLERS) + len(TOXIC_LABELLERS))
-    sizes = np.array([len(r["index"]) // 4 for r in found], np.int64)
-    index = np.frombuffer(b"".join(r["index"] for r in found), "<i4").astype(np.int64)
-    value = np.frombuffer(b"".join(r.value for r in found), "<f4").astype(np.float64)
-    text = np.repeat(np.arange(len(found)), sizes)
-    models, accuracies, at = [], {}, 0
-    for names, prior in ((QUALITY_LABELLERS, 0.15), (TOXIC_LABELLERS, 0.1)):
+                ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+                cut = lambda a: [a[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+                voted = [bytes([*a, *b]) for a, b in map(votes, texts)]
+                yield pa.RecordBatch.from_arrays([pa.array(cut(index.astype("<i4")), pa.binary()), pa.array(cut(value.astype("<f4")), pa.binary()), pa.array(voted, pa.binary()), *part.columns[1:]], names=["index", "value", "votes", "quality", "toxic", "order"])
+
+    rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"))
+    made = rows.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint")
+    table = written(made, "votes")
+    table = table.withColumn("part", F.pmod(F.col("order"), F.lit(WORKERS)))
+    seen = table.groupBy("votes", "quality", "toxic").agg(F.count("*").alias("n")).orderBy("votes").collect()  # patterns of votes
+    patterns = sorted({bytes(r.votes) for r in seen})
+    vote = np.array([list(p) for p in patterns], np.int8).reshape(len(patterns), len(QUALITY_LABELLERS) + len(TOXIC_LABELLERS))
+    weight = np.zeros(len(patterns))
+    for r in seen:
+        weight[patterns.index(bytes(r.votes))] += r.n
+    posts, accuracies, models, at = [], {}, [], 0
+    for kind, names, prior in (("quality", QUALITY_LABELLERS, 0.15), ("toxicity", TOXIC_LABELLERS, 0.1)):
         own = vote[:, at : at + len(names)]
         at += len(names)
         voted = (own != ABSTAIN).any(axis=1)
-        post = np.full(len(found), 0.5)
-        post[voted], table = expectation_maximisation(own[voted], prior=prior, anchor=len(names) - 1)
-        models.append(train(index, scaled(index, value, text, len(found)) if names is QUALITY_LABELLERS else value, sizes, post))
-        accuracies |= {f"{n}/{'quality' if names is QUALITY_LABELLERS else 'toxicity'}": float((table[j, 0, GOOD] + table[j, 1, BAD]) / (table[j, :, GOOD].sum() + table[j, :, BAD].sum())) for j, n in enumerate(names)}
-    return Scorer(models[0], models[1], accuracies)
+        post = np.full(len(patterns), 0.5)
+        post[voted], found = expectation_maximisation(own[voted], weight[voted], prior=prior)
+        posts.append(post)
+        sure = (post <= 0.1) | (post >= 0.9)
+        bias = float(np.log(((weight * post)[sure].sum() + 1) / ((weight * (1 - post))[sure].sum() + 1))) if sure.any() else 0.0
+        models.append(Linear(np.zeros(SIZE), bias, np.full(SIZE, 1e-6), 1e-6))
+        accuracies |= {f"{n}/{kind}": float((found[j, 0, GOOD] + found[j, 1, BAD]) / (found[j, :, GOOD].sum() + found[j, :, BAD].sum())) for j, n in enumerate(names)}
+    if patterns:
+        models = _averaged(table, dict(zip(patterns, zip(*(p.tolist() for p in posts)))), models)
+    discard(table)
+    return Scorer(*((m.weights, m.bias) for m in models), accuracies, _measured(seen))
+
+
+def _averaged(table: DataFrame, post: dict[bytes, tuple[float, float]], models: list[Linear]) -> list[Linear]:
+    """The models after ROUNDS of training on the parts of the sample. Each part is a task's rows, sample / WORKERS."""
+    dealt = table.repartitionById(WORKERS, F.col("part").cast("int")).sortWithinPartitions("order", "votes", "index").select("index", "value", "votes")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        index, value, sizes, posts = [], [], [], []
+        for batch in batches:
+            for i, v, p in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                index.append(np.frombuffer(i, "<i4"))
+                value.append(np.frombuffer(v, "<f4"))
+                sizes.append(len(i) // 4)
+                posts.append(post[p])
+        whole = lambda a, kind: np.concatenate(a) if a else np.empty(0, kind)
+        return whole(index, np.int32), whole(value, np.float32), np.array(sizes, np.int64), np.array(posts).reshape(-1, 2)
+
+    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"n": [np.bincount(parts(batches)[0], minlength=SIZE).astype("<i8").tobytes()]}, schema=pa.schema([("n", pa.binary())]))
+
+    usable = sum(np.frombuffer(r.n, "<i8") for r in dealt.mapInArrow(support, "n binary").collect()) >= SUPPORT
+    context = table.sparkSession.sparkContext
+    for turn in range(ROUNDS):
+        shared = context.broadcast((usable, [m.pack() for m in models]))  # four numbers a feature
+
+        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            index, value, sizes, posts = parts(batches)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            for k, flat in enumerate(shared.value[1]):
+                model = Linear.unpack(flat)
+                train(model, index, scaled(index, value, text, len(sizes)) if k == 0 else value, sizes, posts[:, k], shared.value[0], turn)
+                sure = int(((posts[:, k] <= 0.1) | (posts[:, k] >= 0.9)).sum())
+                yield pa.RecordBatch.from_pydict({"k": [k], "n": [sure], "flat": [model.pack().tobytes()]}, schema=pa.schema([("k", pa.int32()), ("n", pa.int64()), ("flat", pa.binary())]))
+
+        found = dealt.mapInArrow(run, "k int, n bigint, flat binary").where("n > 0").collect()  # two models a worker
+        for k in range(len(models)):
+            own = [(r.n, np.frombuffer(r.flat)) for r in found if r.k == k]
+            if own:
+                models[k] = Linear.unpack(sum(n * flat for n, flat in own) / sum(n for n, _ in own))
+        shared.destroy()
+    return models
 
 
 def classify(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, `keep`, quality (0 to 1), toxicity (0 to 1) and kept (quality of POOR at least, toxicity below TOXIC).
 
     Null texts are scored as empty ones; texts of any length are scored whole; repeated rows get equal rows; an empty
-    table gives no rows; only `keep`, id and text are read, and nothing is shuffled.
+    table gives no rows; only `keep`, id and text are read, and nothing is shuffled. A column of `keep` that has the
+    name of a result gives way to it.
     """
+    keep = tuple(c for c in keep if c not in ("id", "quality", "toxicity", "kept"))
     source = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # SIZE floats, twice
 
