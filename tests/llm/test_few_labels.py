@@ -27,10 +27,11 @@ def test_toxic_texts_go_with_few_labels(spark, labelled):
     assert all((x >= quality_classifier.TOXIC) == (k % 10 == 0) for k, x in got.items())
 
 
-def test_labelled_texts_are_in_the_sample(spark):
-    """Twenty labelled texts among 500 and a sample of 20: half of it is labelled, so that counts smoothed by 2.5 rows still show it."""
+def test_annotators_only_measure(spark):
+    """Twenty annotated texts among 500 and a sample of 20: half of it is annotated; what is learned doesn't hang on them."""
     docs = spark.createDataFrame([(k, text(k)) for k in range(1, 1000, 2)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1, 1) for k in range(1, 1000, 50)] + [(5000, 1, 1)], "doc_id long, quality int, toxic int")
-    accuracies = quality_classifier.fit(docs, labels, sample=20).accuracies
-    none = quality_classifier.fit(docs, None, sample=20).accuracies
-    assert accuracies["annotator/toxicity"] > none["annotator/toxicity"] and accuracies["annotator/toxicity"] > 0.85
+    some = quality_classifier.fit(docs, labels, sample=20)
+    assert some.measured["nothing_rude/toxicity"] == (0, 10) and quality_classifier.fit(docs, None, sample=20).measured == {}
+    other = quality_classifier.fit(docs, labels.withColumns({"quality": 1 - labels.quality, "toxic": 1 - labels.toxic}), sample=20)
+    assert (some.toxicity[0] == other.toxicity[0]).all() and (some.quality[0] == other.quality[0]).all() and some.accuracies == other.accuracies

@@ -13,9 +13,10 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, simple8b, token_files, url_filters
+from tidewatch.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, set_join, simple8b, token_files, url_filters
 from tidewatch.llm.library_encoding import LibraryEncoder
 
 RANKS, BYTES, WORDS = (P.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -138,15 +139,26 @@ def test_ngram_join_finds_links_across_groups(spark):
     assert got == {961}
 
 
+def test_a_hub_and_hot_tokens(spark, monkeypatch):
+    """A star of 10,000 edges, and shingles that every text holds, with hot keys and tokens told apart early."""
+    monkeypatch.setattr(set_join, "HOT_ROWS", 100)
+    edges = spark.range(1, 10_001).select(F.lit(b"0000").alias("a"), F.encode(F.lpad(F.col("id").cast("string"), 6, "0"), "utf-8").alias("b")).repartition(4)
+    found = set_join.components(edges)
+    assert found.count() == 10_001 and [bytes(r.component) for r in found.select("component").distinct().collect()] == [b"0000"]
+    common = words(50, 40)
+    rows = [(k, " ".join([*words(1000 + k, 30), *common])) for k in range(300)] + [(500 + k, " ".join([*words(1000 + k, 30)[1:], *common])) for k in range(0, 300, 7)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {k: (len(shingles(t)), k - 500 if k >= 500 else k) for k, t in rows}
+
+
 def test_line_dedup(docs, empty):
     seen, gone = [], set()
     for i, t in sorted(set(pairs(docs))):
         for k, line in enumerate(t.split("\n")):
-            if len(set(re.findall(r"[^\x20\x09-\x0d]+", line.lower()))) >= 3:
-                s = shingles(line)
-                if any(near(s, x) for x in seen):
-                    gone.add((i, k))
-                seen.append(s)
+            s = shingles(line)
+            if any(near(s, x) for x in seen):
+                gone.add((i, k))
+            seen.append(s)
     assert {(r.id, r.part) for r in line_dedup.later_matches(docs.dropDuplicates(["doc_id"])).collect()} == gone
     out = line_dedup.without_repeats(docs)
     assert out.count() == docs.count() and set(docs.columns) < set(out.columns)
@@ -157,17 +169,17 @@ def test_line_dedup(docs, empty):
 
 
 def test_packing(docs, empty):
+    """Every id of every document lies in one piece, the pieces' digests are right, and windows are full or powers of two."""
     plain = Tokenizer.from_file(WORDS)
     rows = packing.pack_documents(docs, packing.library_encode(WORDS, True), 1).collect()
-    want = collections.Counter()
-    for i, t in pairs(docs):
-        want[i] += len(plain.encode(t, add_special_tokens=False).ids) + 1
-    got = collections.Counter()
-    windows = collections.defaultdict(list)
+    ids = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in pairs(docs)}
+    rows_of = collections.Counter(i for i, _ in pairs(docs))
+    windows, covered = collections.defaultdict(list), collections.Counter()
     for r in rows:
-        got[r.doc_id] += r.length
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        covered.update((r.doc_id, r.start + k) for k in range(r.length))
         windows[r.sequence_id].append((r.offset, r.length))
-    assert got == want
+    assert covered == {(i, k): rows_of[i] for i, x in ids.items() for k in range(len(x))}
     for w in windows.values():
         at = 0
         for offset, length in sorted(w):
@@ -215,11 +227,25 @@ def test_rule_statistics(docs, empty):
         c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         again = {j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(again))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(again))
         assert r.base_failed == (len(w) < 10 or 100 * len(again) > 20 * len(w)) and r.kept == (not r.base_failed)
     assert quality_rules.judged(empty, []).count() == 0
 
 
+def test_ordered_rules(spark, docs):
+    """The first rule met counts, each a conjunction; string ids, a clashing column and rows without a label are fine."""
+    test = quality_rules.Test
+    rules = [quality_rules.Rule((test("chars_per_word", True, 3.0), test("upper_share", True, 0.2))), quality_rules.Rule((test("chars_per_word", True, 3.0),)), quality_rules.Rule((test("repeat_share", False, 0.0),))]
+    for r in quality_rules.judged(docs.withColumn("n_words", F.lit("x")), rules, keep=("doc_id", "text", "n_words")).collect():
+        w = re.findall(r"[^\x20\x09-\x0d]+", r.text or "")
+        chars = sum(map(len, w))
+        mean, upper = chars / max(1, len(w)), sum(c.isupper() for c in r.text or "") / max(1, chars)
+        assert r.n_words == len(w) and r.rule == (1 if mean > 3 and upper > 0.2 else 2 if mean > 3 else 3 if r.n_repeat_words == 0 else None)
+        assert r.kept == (not r.base_failed and r.rule is None)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality_rules.fit(named, named.select("doc_id", F.lit(1).alias("quality"))) == [] and quality_rules.fit(named, named.select("doc_id", F.lit(None).cast("int").alias("quality"))) == []
+
+
 def test_learned_rules_find_the_symptom_and_spare_the_rest():
     rng = random.Random(1)
     rows = [{f: rng.random() * 0.1 for f in quality_rules.FEATURES} | {"bad": False} for _ in range(300)]
@@ -258,6 +284,18 @@ def test_viterbi_equals_a_plain_one():
         at += n
 
 
+def test_many_languages_and_long_texts():
+    """The 280th of 300 languages is no smaller number, and a text of 50,000 words is labelled like its parts."""
+    model = language_id.LanguageModel(tuple(map(str, range(300))), np.zeros((1, 300)), np.ones((1, 300), bool))
+    scores = np.full((7, 300), -3, np.float32)
+    scores[:, 280] = 0
+    assert model.label(scores, np.array([5, 2])).tolist() == [280] * 7
+    three = language_id.LanguageModel(("a", "b", "c"), np.zeros((1, 3)), np.ones((1, 3), bool))
+    long = np.full((50_000, 3), -2, np.float32)
+    long[:20_000, 1] = long[20_000:, 2] = 0
+    assert three.label(long, np.array([50_000])).tolist() == [1] * 20_000 + [2] * 30_000
+
+
 def test_classifier_on_held_out_texts(spark, docs, empty):
     rng = random.Random(2)
     make = lambda k: " ".join(words(k, 60)) if k % 3 else " ".join(w + "***" for w in words(k, 60))
