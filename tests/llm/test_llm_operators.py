@@ -151,7 +151,9 @@ def test_a_hub_and_hot_tokens(spark, monkeypatch):
     assert got == {k: (len(shingles(t)), k - 500 if k >= 500 else k) for k, t in rows}
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("wide", [1000, 1])
+def test_line_dedup(docs, empty, monkeypatch, wide):
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
     seen, gone = [], set()
     for i, t in sorted(set(pairs(docs))):
         for k, line in enumerate(t.split("\n")):

@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import strings, written
+from tidewatch.llm.common import discard, strings, written
 from tidewatch.llm.set_join import band, bands, classes, exploded, least, similar, token_sets
 
+#: Sets of one prefix token beyond which they meet by length band.
+WIDE = 1000
+
 
 def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
     """Every line with a word, however short: one of fewer words than a shingle is one token, and only copies equal it."""
@@ -45,24 +48,28 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal = copies.where((F.col("ids") != F.col("id")) | (F.col("parts") != F.col("part"))).select(F.col("ids").alias("id"), F.col("parts").alias("part")).union(leads)
     # Similar sets: only whether an earlier one exists matters, and of each set only its first line is still there.
     tokens = exploded(may.withColumns({"id": F.col("first.id"), "part": F.col("first.part")}), ("sig", "size", "id", "part"))
-    prefix = written(tokens.where(F.col("place") <= F.col("size") - least(F.col("size"))), "prefixes")
+    prefix = written(tokens.where(F.col("place") <= F.col("size") - least(F.col("size"))).drop("df"), "prefixes")
     order = F.struct("id", "part", "sig")
-    heads = prefix.groupBy("token").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head")
+    heads = prefix.groupBy("token").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head", "n")
     shared = prefix.join(heads, "token")
     stars = shared.where(F.col("sig") != F.col("head.sig")).select(F.col("sig").alias("a"), F.col("head.sig").alias("b")).distinct()
     settled = written(similar(stars, may).select("a").distinct(), "settled")
-    left = written(shared.join(settled, F.col("sig") == F.col("a"), "left_anti").select("sig", "size", "id", "part", "place", "token", F.explode(bands(F.col("size"))).alias("band")), "open")
-    other = prefix.join(heads.select("token"), "token").select("token", band(F.col("size")).alias("band"), F.col("sig").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.struct("id", "part").alias("b_first"))
-    n, m = F.col("size"), F.col("b_size")
+    left = written(shared.join(settled, F.col("sig") == F.col("a"), "left_anti").select("sig", "size", "id", "part", "place", "token", "n"), "open")
+    # Sets of a frequent token meet by length band; the length filter leaves no pair outside.
+    wide, n, m = F.col("n") > WIDE, F.col("size"), F.col("b_size")
+    asked = left.withColumn("band", F.explode(F.when(wide, bands(n)).otherwise(F.array(F.lit(-1).cast("long")))))
+    other = prefix.join(heads.select("token", "n"), "token").select("token", F.when(wide, band(n)).otherwise(F.lit(-1).cast("long")).alias("band"), F.col("sig").alias("b"), n.alias("b_size"), F.col("place").alias("b_place"), F.struct("id", "part").alias("b_first"))
     close = (
         (F.col("b_first") < F.struct("id", "part"))
         & (m >= least(n)) & (n >= least(m))
         & (180 * F.least(n - F.col("place"), m - F.col("b_place")) >= 80 * (n + m))
     )
-    pairs = left.join(other, ["token", "band"]).where(close).select(F.col("sig").alias("a"), "b").distinct()
+    pairs = asked.join(other, ["token", "band"]).where(close).select(F.col("sig").alias("a"), "b").distinct()
     near = settled.union(similar(pairs, may).select("a")).distinct()
     gone = may.join(near, may["sig"] == near["a"], "left_semi").select("first.id", "first.part")
-    return equal.union(gone).distinct()
+    found = written(equal.union(gone).distinct(), "gone")
+    discard(sets, may, prefix, settled, left)
+    return found
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,7 +109,7 @@ class _Block:
     def rows(self) -> Iterator[pa.RecordBatch]:
         """The block's sets, then its tokens by bucket. Of equal sets the one of the smallest id and part leads."""
         tokens, owner, sizes = np.concatenate(self.tokens), np.concatenate(self.owners).astype(np.int64), np.concatenate(self.sizes)
-        n, home = len(sizes), self.number % (1 << self.bits)
+        n, home = len(sizes), int(mixed(np.array([self.number], np.uint64))[0]) % (1 << self.bits)  # blocks' rows spread over all buckets
         first = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(np.append(f(tokens), np.uint64(0)), np.minimum(first, len(tokens))) * (sizes > 0) for f in (mixed, lambda x: mixed(x ^ np.uint64(0x5851F42D4C957F2D)))]
         sigs = np.stack([x.astype("<u8") for x in sums], axis=1).tobytes()
