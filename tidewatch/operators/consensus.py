@@ -19,31 +19,26 @@ def consensus_close(
 ) -> DataFrame:
     """One row per asset from one quote per provider: median, spread, agreement, freshness, validity, flags.
 
-    With three providers or more, prices further than `outlier` from the median are left out (inclusive bound); the
-    time alignment looks at all quotes. The value is null unless valid: enough providers, no CONFLICT, STALE or
-    INVALID. Quotes that are null or not positive, or close after `now`, don't count.
-    """
-    now = F.lit(None).cast("timestamp_ntz") if now is None else now
+    With three providers or more, prices further than `outlier` from the median are left out (inclusive bound). Quotes
+    closing after `now` (default: the current time) make the asset INVALID; the time alignment, a CONFLICT if it fails,
+    looks at all quotes; spread, agreement and freshness at those that stay. The value is null unless valid: enough
+    providers, and no CONFLICT, STALE or INVALID. Quotes whose price is null or not positive, or whose time is null, are
+    no quotes."""
+    now = F.current_timestamp() if now is None else now
     epoch = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    good = (F.col(price) > 0) & (F.col(close_time) <= now)
-    base = quotes.where(good).select(F.col(asset).alias("asset"), F.col(price).alias("p"), epoch(F.col(close_time)).alias("t"))
-    middle = base.groupBy("asset").agg(F.median("p").alias("mid"), F.count("*").alias("inputs"), (F.max("t") - F.min("t")).alias("skew"), F.median("t").alias("mid_t"))
+    base = quotes.where((F.col(price) > 0) & F.col(close_time).isNotNull()).select(F.col(asset).alias("asset"), F.col(price).alias("p"), epoch(F.col(close_time)).alias("t"), epoch(now).alias("now"))
+    middle = base.groupBy("asset").agg(F.median("p").alias("mid"), F.count("*").alias("inputs"), (F.max("t") - F.min("t")).alias("skew"), F.max(F.col("t") > F.col("now")).alias("future"))
     # The median comes back by a join: a window over a hot asset would gather all its quotes in one task unsplit.
-    kept = base.join(middle, "asset").where((F.col("inputs") < 3) | (F.abs(F.col("p") - F.col("mid")) / F.col("mid") <= outlier))
-    out = kept.groupBy("asset").agg(F.count("*").alias("providers"), F.median("p").alias("value"), F.max("p").alias("hi"), F.min("p").alias("lo"))
+    kept = base.join(middle.select("asset", "mid", F.col("inputs").alias("all")), "asset").where((F.col("all") < 3) | (F.abs(F.col("p") - F.col("mid")) / F.col("mid") <= outlier))
+    out = kept.groupBy("asset").agg(F.count("*").alias("providers"), F.median("p").alias("value"), F.max("p").alias("hi"), F.min("p").alias("lo"), F.median(F.greatest(F.lit(0.0), F.col("now") - F.col("t"))).alias("age"))
     spread = F.when(F.col("providers") < 2, F.lit(0.0)).otherwise(ratio(F.col("hi") - F.col("lo"), F.col("value")))
-    age = F.greatest(F.lit(0.0), epoch(now) - F.col("mid_t"))
-    full = middle.join(out, "asset", "left").withColumns({"providers": F.coalesce("providers", F.lit(0)), "spread": F.coalesce(spread, F.lit(0.0)), "age": age})
-    marks = flags(
-        MISSING=F.col("providers") < min_providers,
-        MISALIGNED=F.col("skew") > alignment_seconds,
-        OUTLIER=F.col("inputs") > F.col("providers"),
-        CONFLICT=F.col("spread") > max_spread,
-        STALE=F.col("age") > max_age_seconds,
-    )
-    full = full.withColumn("flags", marks).withColumn("valid", (F.col("providers") >= min_providers) & ~F.arrays_overlap("flags", F.array(F.lit("MISALIGNED"), F.lit("CONFLICT"), F.lit("STALE"))))
+    full = middle.join(out, "asset", "left").withColumns({"providers": F.coalesce("providers", F.lit(0)), "age": F.coalesce("age", F.lit(float("inf")))})
+    full = full.withColumn("spread", F.coalesce(spread, F.lit(0.0)))
+    apart = (F.col("skew") > alignment_seconds) | (F.col("spread") > max_spread)
+    marks = flags(INVALID=F.col("future"), CONFLICT=apart, OUTLIER=F.col("inputs") > F.col("providers"), MISSING=F.col("providers") < min_providers, STALE=F.col("age") > max_age_seconds)
+    full = full.withColumn("flags", marks).withColumn("valid", (F.col("providers") >= min_providers) & ~F.arrays_overlap("flags", F.array(F.lit("INVALID"), F.lit("CONFLICT"), F.lit("STALE"))))
     return full.select(
-        "asset", "inputs", "providers", F.when(F.col("valid"), F.col("value")).alias("value"), "spread",
+        "asset", "inputs", "providers", (F.col("inputs") - F.col("providers")).alias("rejected"), F.when(F.col("valid"), F.col("value")).alias("value"), "spread",
         F.greatest(F.lit(0.0), 1 - F.least(F.col("spread") / max_spread, F.lit(1.0))).alias("agreement"),
         F.greatest(F.lit(0.0), 1 - F.least(F.col("age") / max_age_seconds, F.lit(1.0))).alias("freshness"),
         "valid", "flags",

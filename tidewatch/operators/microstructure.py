@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import flags, ratio
@@ -42,26 +42,55 @@ def book_metrics(books: DataFrame, bids: str = "bids", asks: str = "asks") -> Da
     return df.withColumns(out).withColumn("flags", flags(WIDE_SPREAD=F.col("spread_bps") > 20, CROSSED=F.col("spread_bps") <= 0))
 
 
-def trailing_windows(events: DataFrame, times: DataFrame, seconds: float, event_time: str, value: Column, at: str = "at", keys: Sequence[str] = ()) -> DataFrame:
-    """For each time T and key: n, first, last, sum, age and flags of events in (T - seconds, T].
+def trailing_windows(samples: DataFrame, times: DataFrame, seconds: int, event_time: str, value: Column, available: Column, fetched: Column, at: str = "at", keys: Sequence[str] = (), sums: Mapping[str, Column] | None = None, series: Mapping[str, Column] | None = None) -> DataFrame:
+    """For each time T and key: what the samples in (T - seconds, T] say that were available and fetched by T.
 
-    Events and times meet by bucket of the window's length: each event goes to its own bucket and the next, so no event
-    meets a time it can't belong to by more than one window; a hot bucket is an ordinary skewed join."""
+    n, first_value, last_value, total, return_bps, age_seconds, lag_seconds (from observation to fetch of the last
+    sample), the `sums`, `<name>_first` and `<name>_last` of each of `series` (null unless two samples have it), flags and
+    regime_eligible. Samples stand by observation, availability and fetch, then value. Flags: SPARSE_WINDOW for one
+    sample or less than half of the window covered, <NAME>_NO_DATA for a series without two samples, STALE_WINDOW and
+    INGESTION_LAG beyond the limits of WINDOWS; the last two make a window ineligible. No sample: no row.
+
+    Samples and times meet by key and bucket of the window's length: each sample goes to its own bucket and the next, so
+    no sample meets a time it can't belong to by more than one window."""
+    if seconds not in WINDOWS:
+        raise ValueError(f"window of {seconds} seconds; there are {sorted(WINDOWS)}")
+    sums, series = sums or {}, series or {}
+    fresh, late = WINDOWS[seconds]
     t = epoch(F.col(event_time))
-    own = events.select(*keys, t.alias("_t"), value.alias("_v"))
+    own = samples.select(*keys, t.alias("_t"), epoch(available).alias("_a"), epoch(fetched).alias("_f"), value.alias("_v"), *(c.alias(k) for k, c in {**sums, **series}.items()))
     spread = own.withColumn("_b", F.explode(F.array(F.floor(F.col("_t") / seconds), F.floor(F.col("_t") / seconds) + 1)))
     grid = times.select(at, epoch(F.col(at)).alias("_at")).withColumn("_b", F.floor(F.col("_at") / seconds))
-    met = spread.join(grid, "_b").where((F.col("_t") > F.col("_at") - seconds) & (F.col("_t") <= F.col("_at")))
-    order = F.struct("_t", "_v")
+    met = spread.join(grid, "_b").where((F.col("_t") > F.col("_at") - seconds) & (F.greatest("_t", "_a", "_f") <= F.col("_at")) & F.col("_a").isNotNull() & F.col("_f").isNotNull())
+    order = F.struct("_t", "_a", "_f", "_v")
+    pair = lambda k, f: F.when(F.count(k) >= 2, f(k, F.when(F.col(k).isNotNull(), order)))
     out = met.groupBy(at, "_at", *keys).agg(
-        F.count("*").alias("n"), F.min_by("_v", order).alias("first_value"), F.max_by("_v", order).alias("last_value"),
-        F.sum("_v").alias("total"), F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+        F.count("*").alias("n"), F.min_by("_v", order).alias("first_value"), F.max_by("_v", order).alias("last_value"), F.sum("_v").alias("total"),
+        F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max_by("_f", order).alias("_fetched"), *(F.sum(k).alias(k) for k in sums),
+        *(pair(k, f).alias(f"{k}_{end}") for k in series for end, f in (("first", F.min_by), ("last", F.max_by))),
+    )
+    age, lag, cover = F.col("_at") - F.col("_last"), F.col("_fetched") - F.col("_last"), F.col("_last") - F.col("_first")
+    marks = flags(SPARSE_WINDOW=(F.col("n") < 2) | (cover < 0.5 * seconds), **{f"{k.upper()}_NO_DATA": F.col(f"{k}_first").isNull() for k in series}, STALE_WINDOW=age > fresh, INGESTION_LAG=lag > late)
+    return out.select(
+        at, *keys, "n", "first_value", "last_value", "total", ((ratio(F.col("last_value"), F.col("first_value")) - 1) * 1e4).alias("return_bps"), *sums, *(f"{k}_{end}" for k in series for end in ("first", "last")),
+        age.alias("age_seconds"), lag.alias("lag_seconds"), marks.alias("flags"), ((age <= fresh) & (lag <= late)).alias("regime_eligible"),
+    )
+
+
+def flow_windows(samples: DataFrame, times: DataFrame, seconds: int, at: str = "at", key: str = "symbol") -> DataFrame:
+    """Trailing windows of flow samples: symbol, observed_at, available_at, fetched_at, mid_price, depth_imbalance_25bps,
+    aggressive_buy_notional, aggressive_sell_notional, and open_interest, funding_rate, basis_bps (null where unknown)."""
+    c = F.col
+    out = trailing_windows(
+        samples, times, seconds, "observed_at", c("mid_price"), c("available_at"), c("fetched_at"), at, [key],
+        {"_depth": c("depth_imbalance_25bps"), "_buys": c("aggressive_buy_notional"), "_sells": c("aggressive_sell_notional")},
+        {"open_interest": c("open_interest"), "funding": c("funding_rate"), "basis": c("basis_bps")},
     )
-    fresh = WINDOWS.get(int(seconds), (seconds / 4, seconds / 12))[0]
-    cover = F.col("_last") - F.col("_first")
+    cvd, first = c("_buys") - c("_sells"), c("open_interest_first")
     return out.select(
-        at, *keys, "n", "first_value", "last_value", "total", ((F.col("last_value") / F.col("first_value") - 1) * 1e4).alias("return_bps"), (F.col("_at") - F.col("_last")).alias("age_seconds"),
-        flags(SPARSE_WINDOW=(F.col("n") < 2) | (cover < 0.5 * seconds), STALE_WINDOW=F.col("_at") - F.col("_last") > fresh).alias("flags"),
+        at, key, c("n").alias("sample_count"), c("return_bps").alias("mid_return_bps"), (c("_depth") / c("n")).alias("mean_depth_imbalance_25bps"), c("_buys").alias("aggressive_buy_notional"), c("_sells").alias("aggressive_sell_notional"),
+        cvd.alias("cvd_quote"), F.coalesce(ratio(cvd, c("_buys") + c("_sells")), F.lit(0.0)).alias("taker_imbalance"), F.when(first > 0, ratio(c("open_interest_last") - first, first)).alias("open_interest_delta_pct"),
+        ((c("funding_last") - c("funding_first")) * 1e4).alias("funding_delta_bps"), (c("basis_last") - c("basis_first")).alias("basis_delta_bps"), c("age_seconds").alias("last_sample_age_seconds"), c("lag_seconds").alias("ingestion_lag_seconds"), "regime_eligible", "flags",
     )
 
 
@@ -95,7 +124,26 @@ def reconcile(df: DataFrame, bid_removed: str, ask_removed: str, aggressive_buy:
     return df.withColumns({"compatible": comp, "residual": rest, "unmatched": loose, "coverage": ratio(comp, b + a)})
 
 
+#: Funding beyond which it is elevated, and basis in basis points beyond which it is wide.
+FUNDING_LIMIT, BASIS_LIMIT = 5e-4, 25
+
+
 def derivatives_risk(df: DataFrame, funding: str, mark: str, index: str) -> DataFrame:
-    """df with basis_bps and risk flags of funding and basis."""
+    """df with basis_bps and risk flags of funding and basis; a value that is missing flags nothing."""
     basis = ratio(F.col(mark) - F.col(index), F.col(index)) * 1e4
-    return df.withColumn("basis_bps", basis).withColumn("flags", flags(FUNDING_POSITIVE=F.col(funding) > 5e-4, FUNDING_NEGATIVE=F.col(funding) < -5e-4, WIDE_BASIS=F.abs(F.col("basis_bps")) > 25))
+    return df.withColumn("basis_bps", basis).withColumn("flags", flags(FUNDING_POSITIVE=F.col(funding) > FUNDING_LIMIT, FUNDING_NEGATIVE=F.col(funding) < -FUNDING_LIMIT, WIDE_BASIS=F.abs(F.col("basis_bps")) > BASIS_LIMIT))
+
+
+def level_changes(books: DataFrame, keys: Sequence[str], order: str, bids: str = "bids", asks: str = "asks") -> DataFrame:
+    """keys, order and, for each book after the first of its keys, the notional added to and removed from each side since the
+    book before: bid_added, bid_removed, ask_added, ask_removed. A level is a price; its change is that of its quantity
+    at its price. Books are arrays of price and quantity; a price that a side holds twice counts by its sum."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    pairs = books.select(*keys, order, *(F.col(c).alias(n) for c, n in ((bids, "_b"), (asks, "_a"))), F.lag(bids).over(w).alias("_b0"), F.lag(asks).over(w).alias("_a0"), F.lag(order).over(w).alias("_before")).where(F.col("_before").isNotNull())
+    at = lambda side, price: F.aggregate(F.filter(side, lambda x: x["price"] == price), F.lit(0.0), lambda s, x: s + x["quantity"])
+
+    def change(now: str, was: str, sign: int):
+        prices = F.array_union(F.transform(now, lambda x: x["price"]), F.transform(was, lambda x: x["price"]))
+        return F.aggregate(prices, F.lit(0.0), lambda s, p: s + p * F.greatest(F.lit(0.0), sign * (at(now, p) - at(was, p))))
+
+    return pairs.select(*keys, order, change("_b", "_b0", 1).alias("bid_added"), change("_b", "_b0", -1).alias("bid_removed"), change("_a", "_a0", 1).alias("ask_added"), change("_a", "_a0", -1).alias("ask_removed"))
