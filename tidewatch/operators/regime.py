@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions import clip, flags, scale
+from tidewatch.functions import clip, finite, flags, scale
 
-#: Fixed values: (feature, width, sign) of each component's terms.
+#: Fixed values: (feature, width, sign) of each component's terms. `asset` stands for the asset that is scored.
 TERMS = {
-    "macro": (("ndx_20d", 0.10, 1), ("dxy_20d", 0.05, -1), ("us10y_change_20d", 0.50, -1), ("vix_z_20d", 2.0, -1)),
-    "crypto": (("btc_7d", 0.15, 1), ("btc_30d", 0.30, 1), ("eth_btc_7d", 0.10, 1), ("dominance_20d", 0.08, -1)),
-    "relative": (("asset_7d", 0.20, 1), ("asset_30d", 0.45, 1), ("asset_btc_7d", 0.15, 1), ("asset_btc_30d", 0.30, 1), ("ma100_distance", 0.40, 1)),
+    "macro": (("ndx_return_20d", 0.10, 1), ("dxy_return_20d", 0.05, -1), ("us10y_change_20d", 0.50, -1), ("vix_z_20d", 2.0, -1)),
+    "crypto": (("btc_return_7d", 0.15, 1), ("btc_return_30d", 0.30, 1), ("eth_btc_return_7d", 0.10, 1), ("btc_dominance_change_20d", 0.08, -1)),
+    "relative": (("asset_return_7d", 0.20, 1), ("asset_return_30d", 0.45, 1), ("asset_btc_return_7d", 0.15, 1), ("asset_btc_return_30d", 0.30, 1), ("asset_ma100_distance", 0.40, 1)),
 }
 #: Component weights of each horizon.
 WEIGHTS = {
@@ -39,7 +39,7 @@ def component_scores(features: DataFrame) -> DataFrame:
     parts = {k: [scale(have(f), w, sign=s) for f, w, s in terms] for k, terms in TERMS.items()}
     calm = lambda n, w: 100 * (1 - clip(F.abs(have(n)) / w, 0.0, 1.0))
     parts["derivatives"] = [calm("funding_z", 2.5), calm("oi_price_divergence", 2.0), scale(have("liquidation_impulse"), 1.0)]
-    parts["ledger"] = [scale(have("activity_z"), 2.0)]
+    parts["ledger"] = [scale(have("ledger_activity_z"), 2.0)]
     out = {}
     for k, terms in parts.items():
         out[f"score_{k}"], out[f"coverage_{k}"] = component(terms)
@@ -75,7 +75,7 @@ def blended(scored: DataFrame, weights: Mapping[str, float], quality: Column | N
 
 def key_drivers(scored: DataFrame, names: Sequence[str], n: int = 4) -> Column:
     """The n covered components furthest from 50, declaration order on ties."""
-    parts = F.array(*(F.struct((-F.abs(F.col(f"score_{k}") - 50)).alias("far"), F.lit(i).alias("i"), F.lit(k).alias("name"), F.col(f"coverage_{k}").alias("c")) for i, k in enumerate(names)))
+    parts = F.array(*(F.struct((-F.round(F.abs(F.col(f"score_{k}") - 50), 9)).alias("far"), F.lit(i).alias("i"), F.lit(k).alias("name"), F.col(f"coverage_{k}").alias("c")) for i, k in enumerate(names)))
     return F.transform(F.slice(F.array_sort(F.filter(parts, lambda x: x["c"] > 0)), 1, n), lambda x: x["name"])
 
 
@@ -109,39 +109,93 @@ def ladder(rungs: Sequence[tuple[str, Column]], default: str = "NO_DATA") -> Col
     return out
 
 
-def regime_ladder() -> Column:
-    """Research regime of signals in [-1, 1] by name: the first rung that holds."""
+#: Fixed values: (signal, feature, scale) of the canonical policy, the signals it requires, the least share known, and thresholds.
+SIGNALS = (
+    ("trend", "trailing_return_30d", 0.30), ("relative_strength", "asset_btc_return_30d", 0.25), ("spot_flow", "spot_flow_imbalance", 1.0), ("leverage", "leverage_expansion", 1.0),
+    ("crowding", "long_crowding", 1.0), ("deleveraging", "deleveraging", 1.0), ("breakout", "breakout_score", 1.0), ("distribution", "distribution_score", 1.0),
+    ("volatility", "realized_volatility_z", 2.0), ("drawdown_stress", "drawdown_stress", 1.0), ("liquidity", "liquidity_risk_on", 1.0),
+)
+REQUIRED, LEAST_COVERAGE = ("trend", "relative_strength"), 0.70
+THRESHOLDS = {
+    "breakout": 0.65, "failed_breakout": -0.55, "deleveraging": 0.60, "distribution": 0.60, "crowding": 0.60, "expansion_trend": 0.35, "spot_flow": 0.40, "leverage": 0.45,
+    "capitulation_trend": -0.65, "capitulation_volatility": 0.55, "capitulation_drawdown": 0.55, "recovery_trend": 0.15, "recovery_drawdown": 0.30, "risk_on_liquidity": 0.35,
+    "accumulation_abs_trend_max": 0.25, "accumulation_spot_flow": 0.10,
+}
+
+
+def signals(features: DataFrame, specs: Sequence[tuple[str, str, float]] = SIGNALS, center: float = 0.0, direction: float = 1.0) -> DataFrame:
+    """features with a column for each signal: direction * (feature - center) / scale, held within [-1, 1]; a feature
+    that is null or no column is unknown."""
+    have = lambda n: finite(F.col(n).cast("double")) if n in features.columns else F.lit(None).cast("double")
+    return features.withColumns({s: clip(direction * (have(f) - center) / scale, -1.0, 1.0) for s, f, scale in specs})
+
+
+def _rungs(t: Mapping[str, float]) -> list[tuple[str, Column]]:
     s = F.col
-    return ladder([
-        ("FAILED_BREAKOUT", s("breakout") <= -0.55),
-        ("DELEVERAGING", s("deleveraging") >= 0.60),
-        ("CAPITULATION", (s("trend") <= -0.65) & (s("volatility") >= 0.55) & (s("drawdown") >= 0.55)),
-        ("LONG_CROWDING", (s("crowding") >= 0.60) & (s("leverage") >= 0.45)),
-        ("DISTRIBUTION", s("distribution") >= 0.60),
-        ("BREAKOUT", (s("breakout") >= 0.65) & (s("trend") >= 0.35)),
-        ("SPOT_LED_EXPANSION", (s("trend") >= 0.35) & (s("spot") >= 0.40) & (s("leverage") < 0.45)),
-        ("LEVERAGED_EXPANSION", (s("trend") >= 0.35) & (s("leverage") >= 0.45) & (s("crowding") < 0.60)),
-        ("RECOVERY", (s("trend") >= 0.15) & (s("drawdown") >= 0.30)),
-        ("RISK_ON", (s("liquidity") >= 0.35) & (s("trend") >= 0.15) & (s("relative") >= 0)),
-        ("ACCUMULATION", (F.abs(s("trend")) <= 0.25) & (s("spot") >= 0.10) & (s("leverage") < 0.45) & (s("distribution") < 0.60)),
-    ])
+    return [
+        ("FAILED_BREAKOUT", s("breakout") <= t["failed_breakout"]),
+        ("DELEVERAGING", s("deleveraging") >= t["deleveraging"]),
+        ("CAPITULATION", (s("trend") <= t["capitulation_trend"]) & (s("volatility") >= t["capitulation_volatility"]) & (s("drawdown_stress") >= t["capitulation_drawdown"])),
+        ("LONG_CROWDING", (s("crowding") >= t["crowding"]) & (s("leverage") >= t["leverage"])),
+        ("DISTRIBUTION", s("distribution") >= t["distribution"]),
+        ("BREAKOUT", (s("breakout") >= t["breakout"]) & (s("trend") >= t["expansion_trend"])),
+        ("SPOT_LED_EXPANSION", (s("trend") >= t["expansion_trend"]) & (s("spot_flow") >= t["spot_flow"]) & (s("leverage") < t["leverage"])),
+        ("LEVERAGED_EXPANSION", (s("trend") >= t["expansion_trend"]) & (s("leverage") >= t["leverage"]) & (s("crowding") < t["crowding"])),
+        ("RECOVERY", (s("trend") >= t["recovery_trend"]) & (s("drawdown_stress") >= t["recovery_drawdown"])),
+        ("RISK_ON", (s("liquidity") >= t["risk_on_liquidity"]) & (s("trend") >= t["recovery_trend"]) & (s("relative_strength") >= 0)),
+        ("ACCUMULATION", (F.abs(s("trend")) <= t["accumulation_abs_trend_max"]) & (s("spot_flow") >= t["accumulation_spot_flow"]) & (s("leverage") < t["leverage"]) & (s("distribution") < t["distribution"])),
+    ]
+
+
+def classified(signalled: DataFrame, thresholds: Mapping[str, float] = THRESHOLDS, required: Sequence[str] = REQUIRED, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """Adds regime, confidence, signal_coverage and reasons to rows with a column for each signal of SIGNALS.
+
+    NO_DATA with a reason where a required signal is missing, where fewer than least_coverage of the signals are known, or
+    where no rung holds; a rung with a missing signal is passed over. Confidence: the coverage, halved where no signal is
+    strong; 0 for NO_DATA."""
+    names = [s for s, _, _ in SIGNALS]
+    known = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
+    strongest = F.coalesce(F.greatest(*(F.abs(F.col(n)) for n in names)), F.lit(0.0))
+    missing = F.array_sort(F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in required))))
+    df = signalled.withColumn("signal_coverage", known / F.lit(float(len(names))))
+    low = F.col("signal_coverage") < least_coverage
+    found = ladder(_rungs(thresholds))
+    df = df.withColumn("regime", F.when((F.size(missing) > 0) | low, "NO_DATA").otherwise(found))
+    why = F.when(F.size(missing) > 0, F.concat(F.lit("MISSING_REQUIRED_SIGNALS:"), F.array_join(missing, ","))).when(low, "INSUFFICIENT_SIGNAL_COVERAGE").when(F.col("regime") == "NO_DATA", "NO_RULE_WITH_SUFFICIENT_SEPARATION")
+    sure = F.when(F.col("regime") == "NO_DATA", 0.0).otherwise(F.least(F.lit(1.0), F.col("signal_coverage") * (0.5 + 0.5 * strongest)))
+    return df.withColumns({"confidence": sure, "reasons": F.array_compact(F.array(why))})
+
+
+#: Bounds of book support and taker flow, of imbalance for a state, and the confidence of each label.
+DEPTH, TAKER, IMBALANCE, WIDE_CAP = 0.25, 0.20, 0.35, 0.50
+FLOW_CONFIDENCE = {"NO_DATA": 0.0, "SPOT_LED_DEMAND": 0.72, "SELL_PRESSURE": 0.72, "BID_ABSORPTION": 0.68, "LEVERAGED_DEMAND": 0.60, "LONG_CROWDING": 0.55, "MIXED": 0.45}
+STATE_CONFIDENCE = {"NO_DATA": 0.0, "ABSORPTION": 0.62, "DISTRIBUTION": 0.62, "LONG_CROWDING": 0.58, "BALANCED": 0.45}
+
+
+def _sure(label: Column, by: Mapping[str, float], wide_basis: Column) -> Column:
+    sure = F.lit(None).cast("double")
+    for name, value in by.items():
+        sure = F.when(label == name, value).otherwise(sure)
+    return F.when(wide_basis, F.least(sure, F.lit(WIDE_CAP))).otherwise(sure)
 
 
 def flow_regime(depth: Column, taker: Column, positive_funding: Column, wide_basis: Column) -> tuple[Column, Column]:
-    """(label, confidence) of book support and taker flow; NO_DATA without either."""
-    support, pressure, buying, selling = depth >= 0.25, depth <= -0.25, taker >= 0.20, taker <= -0.20
-    label = (
-        F.when(depth.isNull() | taker.isNull(), "NO_DATA")
-        .when(support & buying, F.when(positive_funding, "LEVERAGED_DEMAND").otherwise("SPOT_LED_DEMAND"))
-        .when(support & selling, F.when(positive_funding, "LONG_CROWDING").otherwise("BID_ABSORPTION"))
-        .when(pressure & selling, "SELL_PRESSURE").otherwise("MIXED")
-    )
-    sure = F.when(label == "NO_DATA", 0.0).when(label.isin("SPOT_LED_DEMAND", "SELL_PRESSURE"), 0.72).when(label == "BID_ABSORPTION", 0.68).when(label == "LEVERAGED_DEMAND", 0.60).when(label == "LONG_CROWDING", 0.55).otherwise(0.45)
-    return label, F.when(wide_basis, F.least(sure, F.lit(0.50))).otherwise(sure)
+    """(label, confidence) of book support and taker flow; NO_DATA without either; unknown funding is not positive."""
+    crowded = F.coalesce(positive_funding, F.lit(False))
+    demand, absorbed = (depth >= DEPTH) & (taker >= TAKER), (depth >= DEPTH) & (taker <= -TAKER)
+    label = ladder([
+        ("NO_DATA", depth.isNull() | taker.isNull()), ("LEVERAGED_DEMAND", demand & crowded), ("SPOT_LED_DEMAND", demand),
+        ("LONG_CROWDING", absorbed & crowded), ("BID_ABSORPTION", absorbed), ("SELL_PRESSURE", (depth <= -DEPTH) & (taker <= -TAKER)),
+    ], "MIXED")
+    return label, _sure(label, FLOW_CONFIDENCE, wide_basis)
 
 
 def market_state(imbalance: Column, micro_above: Column, positive_funding: Column, wide_basis: Column) -> tuple[Column, Column]:
-    """(label, confidence) of book imbalance and where the microprice stands; micro_above: microprice minus mid."""
-    label = F.when((imbalance >= 0.35) & (micro_above > 0), F.when(positive_funding, "LONG_CROWDING").otherwise("ABSORPTION")).when((imbalance <= -0.35) & (micro_above < 0), "DISTRIBUTION").otherwise("BALANCED")
-    sure = F.when(label.isin("ABSORPTION", "DISTRIBUTION"), 0.62).when(label == "LONG_CROWDING", 0.58).otherwise(0.45)
-    return label, F.when(wide_basis, F.least(sure, F.lit(0.50))).otherwise(sure)
+    """(label, confidence) of book imbalance and where the microprice stands (micro_above: microprice minus mid); NO_DATA
+    without either."""
+    bid = (imbalance >= IMBALANCE) & (micro_above > 0)
+    label = ladder([
+        ("NO_DATA", imbalance.isNull() | micro_above.isNull()), ("LONG_CROWDING", bid & F.coalesce(positive_funding, F.lit(False))),
+        ("ABSORPTION", bid), ("DISTRIBUTION", (imbalance <= -IMBALANCE) & (micro_above < 0)),
+    ], "BALANCED")
+    return label, _sure(label, STATE_CONFIDENCE, wide_basis)
