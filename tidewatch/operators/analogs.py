@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +19,48 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return F.when((norm(a) == 0) & (norm(b) == 0), F.lit(0.0)).when((norm(a) == 0) | (norm(b) == 0), F.lit(1.0)).otherwise(1 - dot / (norm(a) * norm(b)))
 
 
-def nearest(queries: DataFrame, history: DataFrame, vector: str, order: str, k: int, metric: str, min_history: int = 1) -> DataFrame:
-    """query, candidate, distance, rank: the k nearest earlier rows of each query.
+#: Vectors of the query set that one pass over history takes: what is sent everywhere is this many vectors.
+BLOCK = 2000
+#: Slices of history that each give their own best.
+SLICES = 64
+
+
+def normaliser(history: DataFrame, vector: str, size: int) -> tuple[Column, Column]:
+    """(means, scales) of the components of history's vectors as array literals; a component that doesn't vary has scale 1.
+    One aggregate of 2 * size numbers."""
+    parts = [f(F.get(vector, k)).alias(f"{n}{k}") for k in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    row = history.agg(*parts).first()
+    scales = [row[f"s{k}"] if row[f"s{k}"] is not None and row[f"s{k}"] > 1e-12 else 1.0 for k in range(size)]
+    return F.array(*(F.lit(row[f"m{k}"] or 0.0) for k in range(size))), F.array(*map(F.lit, scales))
+
+
+def normalised(v: Column, means: Column, scales: Column) -> Column:
+    """(v - mean) / scale by component."""
+    return F.zip_with(F.zip_with(v, means, lambda x, m: x - m), scales, lambda x, s: x / s)
+
+
+def nearest(queries: DataFrame, history: DataFrame, vector: str, order: str, k: int, metric: str, min_history: int = 1, prior_only: bool = True) -> DataFrame:
+    """query, candidate, distance, rank: the k nearest rows of each query, earlier ones only (prior_only) or any but itself.
 
-    `queries` is a stated set (renamed columns: query, query_vector, query_order); it is sent to all of history in one
-    pass. Partial top-k: history is cut by hash, each slice gives its k best of a query, and those meet."""
-    met = history.join(F.broadcast(queries), F.col(order) < F.col("query_order"))
-    scored = met.select("query", F.col(order).alias("candidate"), distance(F.col(vector), F.col("query_vector"), metric).alias("distance"), F.pmod(F.xxhash64(order), F.lit(64)).alias("_slice"))
-    part = Window.partitionBy("query", "_slice").orderBy("distance", "candidate")
-    best = scored.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= k)
+    `queries` is a stated set (query, query_vector, query_order, one row each); it meets all of history in blocks of BLOCK
+    queries, so what is sent everywhere doesn't grow with it. Partial top-k: history is cut by hash, each slice gives its k
+    best of a query, and those meet. min_history: queries with fewer candidates get none."""
+    counted = queries.select(F.pmod(F.xxhash64("query"), F.lit(2**31 - 1)).alias("_h"), "*")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    allowed = F.col(order) < F.col("query_order") if prior_only else F.col(order) != F.col("query_order")
+    found = []
+    for b in range(blocks):
+        some = counted.where(F.col("_h") % blocks == b).drop("_h") if blocks > 1 else counted.drop("_h")
+        met = history.join(F.broadcast(some), allowed)  # BLOCK vectors, give or take
+        scored = met.select("query", F.col(order).alias("candidate"), distance(F.col(vector), F.col("query_vector"), metric).alias("distance"), F.pmod(F.xxhash64(order), F.lit(SLICES)).alias("_slice"))
+        # rank <= k right above the window lets Spark keep k rows a slice before it shuffles them.
+        best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("query", "_slice").orderBy("distance", "candidate"))).where(F.col("_r") <= k)
+        if min_history > 1:
+            enough = scored.groupBy("query").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_history).select("query")
+            best = best.join(enough, "query", "left_semi")
+        found.append(best)
     whole = Window.partitionBy("query").orderBy("distance", "candidate")
-    out = best.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query", "candidate", "distance", "rank")
-    if min_history > 1:
-        enough = scored.groupBy("query").count().where(F.col("count") >= min_history).select("query")
-        out = out.join(enough, "query", "left_semi")
-    return out
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("query", "candidate", "distance", "rank")
 
 
 def vote(neighbours: DataFrame, actual: Column, prior: float = 0.5, strength: float = 1.0) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import content_id
 
 def availability_boundary(precision: Column, available_at: Column, available_date: Column) -> Column:
     """When an observation became usable: its instant; for a date, the next midnight; null when unknown."""
@@ -18,14 +20,32 @@ def eligibility(boundary: Column, fetched_at: Column, basis: Column, at: Column)
     return F.when(boundary.isNull() | (boundary > at), "INELIGIBLE").when(fetched_at <= at, "STRICT_REPLAY").when(basis.isNotNull(), "RECONSTRUCTED_PIT").otherwise("INELIGIBLE")
 
 
-def as_of(observations: DataFrame, times: DataFrame, series: Sequence[str], boundary: str, rank: Sequence[Column], at: str = "at") -> DataFrame:
+#: Times that one pass of `as_of` takes; a longer list is taken in blocks.
+TIMES = 1000
+
+
+def as_of(observations: DataFrame, times: DataFrame, series: Sequence[str], boundary: str, rank: Sequence[str], at: str = "at") -> DataFrame:
     """For each time and series, the row of the highest rank among those with boundary <= time.
 
-    `times` is a stated set of prediction times (a grid or a list). Rank must break all ties; see `ambiguous` for rows
-    that disagree at the top. Each history row meets only times not before it."""
-    joined = observations.join(F.broadcast(times), F.col(boundary) <= F.col(at))
-    w = Window.partitionBy(at, *series).orderBy(*rank)
-    return joined.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    `times` is a stated set of prediction times. `rank`: columns, larger is better and null is least; they must break all
+    ties; see `ambiguous` for rows that disagree at the top. Rows never meet times: each row falls into the slot of the
+    first time that it is usable at, the best of each slot and series is one aggregate, and a running best over a series'
+    slots (as many as times at most) holds until the next slot that has one."""
+    kind = times.schema[at].dataType
+    moments = [r[0] for r in times.select(F.col(at).cast("string")).distinct().where(F.col(at).isNotNull()).orderBy(F.col(at).cast(kind)).collect()]
+    found = [_as_of_block(observations, moments[k : k + TIMES], kind, series, boundary, rank, at) for k in range(0, max(1, len(moments)), TIMES)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _as_of_block(observations: DataFrame, moments: list[str], kind, series: Sequence[str], boundary: str, rank: Sequence[str], at: str) -> DataFrame:
+    stated = F.array(*(F.lit(m).cast(kind) for m in moments)).cast(f"array<{kind.simpleString()}>")
+    slot = F.size(F.filter(stated, lambda t: t < F.col(boundary)))
+    rows = observations.where(F.col(boundary).isNotNull()).select(*series, F.struct(*rank).alias("_rank"), F.struct("*").alias("_row"), slot.alias("_slot")).where(F.col("_slot") < len(moments))
+    best = rows.groupBy(*series, "_slot").agg(F.max("_rank").alias("_rank"), F.max_by("_row", "_rank").alias("_row"))
+    w = Window.partitionBy(*series).orderBy("_slot")  # a row a time at most
+    running = best.select(F.max_by("_row", "_rank").over(w).alias("_row"), "_slot", (F.coalesce(F.lead("_slot").over(w), F.lit(len(moments))) - 1).alias("_to"))
+    held = running.select("_row", F.explode(F.sequence("_slot", "_to")).alias("_k"))
+    return held.select("_row.*", F.element_at(stated, F.col("_k") + 1).alias(at))
 
 
 def as_of_latest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -64,15 +84,30 @@ def gaps(observations: DataFrame, series: Sequence[str], observed: str, seconds:
     return times.withColumn("gap_start", F.lag(observed).over(w)).withColumn("gap_seconds", secs).where(F.col("gap_seconds") > seconds).select(*series, "gap_start", F.col(observed).alias("gap_end"), "gap_seconds")
 
 
-def snapshots(chosen: DataFrame, at: str, observation_id: str, provider: str, kind: str) -> DataFrame:
-    """One row per time: number of observations, digest of their sorted ids, providers, and RECONSTRUCTED_PIT if any is.
+def digest(row: Column) -> tuple[Column, Column]:
+    """Two aggregates that tell sets of rows apart whatever their order, and count repeats: sums of two hashes of `row`."""
+    wide = lambda h: F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    return wide(F.xxhash64(row)), wide(F.xxhash64(F.lit("second"), row))
 
-    Ids are combined by sums of hashes and min/max, so a snapshot of any size is one aggregate row."""
-    return chosen.groupBy(at).agg(
+
+def snapshots(chosen: DataFrame, at: str, observation_id: str, provider: str, kind: str, payload: Sequence[str] = ()) -> DataFrame:
+    """One row per time: number of observations, providers, RECONSTRUCTED_PIT if any is, and snapshot_id.
+
+    The id is a content id of the time, the number, and digests of every observation's id and `payload`, so a snapshot of
+    any size is one aggregate row and one other member changes it."""
+    one, two = digest(F.struct(observation_id, *payload))
+    out = chosen.groupBy(at).agg(
         F.count("*").alias("n"), F.min(observation_id).alias("first_id"), F.max(observation_id).alias("last_id"),
-        F.array_sort(F.collect_set(provider)).alias("providers"),
+        F.array_sort(F.collect_set(provider)).alias("providers"), one.alias("_one"), two.alias("_two"),
         F.when(F.count_if(F.col(kind) == "RECONSTRUCTED_PIT") > 0, "RECONSTRUCTED_PIT").otherwise("STRICT_REPLAY").alias("class"),
     )
+    return out.withColumn("snapshot_id", content_id("snapshot", F.col(at), F.col("n"), F.col("_one"), F.col("_two"))).drop("_one", "_two")
+
+
+def changed_snapshots(stated: DataFrame, found: DataFrame, at: str = "at") -> DataFrame:
+    """Times whose snapshot is not the stated one: at, stated, found (null where there is none)."""
+    both = stated.select(at, F.col("snapshot_id").alias("stated")).join(found.select(at, F.col("snapshot_id").alias("found")), at, "full_outer")
+    return both.where(~F.col("stated").eqNullSafe(F.col("found")))
 
 
 def violations(df: DataFrame, **rules: Column) -> DataFrame:

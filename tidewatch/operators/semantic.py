@@ -43,11 +43,29 @@ def hash_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFr
     return raw.join(norm, key).select(key, "index", (F.col("_v") / F.col("_norm")).alias("value"))
 
 
+#: What stands for a secret.
+MARK = "[REDACTED]"
+#: Names whose values are secrets, as a pattern.
+_NAMES = r"(?:api[_-]?key|apikey|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|(?:access|refresh|auth|id)?[_-]?token|password|passwd|pwd|signature|sig)"
+#: (pattern, replacement), in order: credentials of an Authorization header up to the line's end or a comma or quote, bearer
+#: tokens in their whole alphabet, user info in addresses, and values of secret names up to white space, a comma, quote or
+#: the separators & # ; of an address.
+REDACTIONS = (
+    (r"(?i)(authorization\s*[=:]\s*[\"']?(?:(?:basic|bearer|digest|token)\s+)?)[^\s,\"']+", "$1" + MARK),
+    (r"(?i)\b(bearer\s+)[A-Za-z0-9\-._~+/]+=*", "$1" + MARK),
+    (r"(?i)\b([a-z][a-z0-9+.-]*://)[^\s/?#@]+@", "$1" + MARK + "@"),
+    (rf"(?i)\b({_NAMES}[\"']?\s*[=:]\s*[\"']?)[^\s,;&#\"']+", "$1" + MARK),
+    (r"(?i)([?&]key=)[^\s&#,;\"']+", "$1" + MARK),
+)
+
+
 def redacted(text: Column) -> Column:
-    """Secrets in key=value pairs, bearer headers and query strings give way to a mark."""
-    out = F.regexp_replace(text, r"(?i)(api[_-]?key|secret|token|password)(\s*[=:]\s*)\S+", "$1$2[REDACTED]")
-    out = F.regexp_replace(out, r"(?i)(bearer )[A-Za-z0-9._-]+", "$1[REDACTED]")
-    return F.regexp_replace(out, r"(?i)([?&](?:key|sig|signature)=)[^&\s]+", "$1[REDACTED]")
+    """Secrets in headers, bearer tokens, addresses and key=value pairs give way to a mark; the rest of a line, other
+    parameters of an address among it, stays."""
+    out = text
+    for pattern, replacement in REDACTIONS:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
 
 
 def sanitized_uri(url: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import flags
 from tidewatch.operators.consensus import latest_by
+from tidewatch.operators.pit import digest
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -34,9 +36,50 @@ def resolved_pairs(predictions: DataFrame, outcomes: DataFrame, key: str) -> tup
 
 
 def manifest(rows: DataFrame, partition: Sequence[str], row_key: Column, observed: str) -> DataFrame:
-    """One row per partition: n, first and last time, and a digest of its rows that their order doesn't change."""
-    h = F.xxhash64(row_key)
-    return rows.groupBy(*partition).agg(F.count("*").alias("n"), F.min(observed).alias("first_at"), F.max(observed).alias("last_at"), F.bit_xor(h).alias("digest"))
+    """One row per partition: n, first and last time, and a digest of its rows that their order doesn't change and that
+    repeats do."""
+    one, two = digest(row_key)
+    out = rows.groupBy(*partition).agg(F.count("*").alias("n"), F.min(observed).alias("first_at"), F.max(observed).alias("last_at"), one.alias("_one"), two.alias("_two"))
+    return out.withColumn("digest", F.sha2(F.concat_ws("/", F.col("n").cast("string"), "_one", "_two"), 256)).drop("_one", "_two")
+
+
+def verified(stated: DataFrame, rows: DataFrame, partition: Sequence[str], row_key: Column, observed: str) -> DataFrame:
+    """partition and problem of each partition that isn't as a manifest states: MISSING, UNSTATED or CHANGED."""
+    now = manifest(rows, partition, row_key, observed).select(*partition, F.col("digest").alias("_now"))
+    both = stated.select(*partition, F.col("digest").alias("_was")).join(now, list(partition), "full_outer")
+    problem = F.when(F.col("_now").isNull(), "MISSING").when(F.col("_was").isNull(), "UNSTATED").when(F.col("_now") != F.col("_was"), "CHANGED")
+    return both.select(*partition, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def partitions_of(stated: DataFrame, partition: Sequence[str], first: Column, last: Column) -> DataFrame:
+    """Rows of a manifest whose times meet [first, last], in partition order."""
+    return stated.where((F.col("last_at") >= first) & (F.col("first_at") <= last)).orderBy(*partition)
+
+
+def page_problems(pages: DataFrame, source: str, page: str, cursor: str, following: str, rows: str) -> DataFrame:
+    """source, page, problem of landed pages of a backfill: pages are numbered from 0, each begins at the cursor that the
+    page before gave, no cursor comes twice, and only a last page has none to follow.
+
+    REPEATED (a page number twice), GAP (no page before), CURSOR (not where the page before ended), LOOP (a cursor seen
+    before), AFTER_END (the page before was the last), NEGATIVE (fewer rows than none). A source's pages are one window
+    partition: thousands of rows at most, whatever the pages hold."""
+    w, seen = Window.partitionBy(source).orderBy(page), Window.partitionBy(source, cursor).orderBy(page)
+    one = pages.groupBy(source, page).agg(F.count("*").alias("_n"), F.min(cursor).alias(cursor), F.min(following).alias(following), F.min(rows).alias(rows))
+    before, number = F.lag(following).over(w), F.lag(page).over(w)
+    marks = one.withColumns({"_before": before, "_number": number, "_again": F.row_number().over(seen) > 1})
+    problem = flags(
+        REPEATED=F.col("_n") > 1, GAP=F.coalesce(F.col(page) != F.col("_number") + 1, F.col(page) != 0), AFTER_END=F.col("_number").isNotNull() & F.col("_before").isNull(),
+        CURSOR=F.col("_before") != F.col(cursor), LOOP=F.col("_again") & F.col(cursor).isNotNull(), NEGATIVE=F.col(rows) < 0,
+    )
+    return marks.select(source, page, F.explode(problem).alias("problem"))
+
+
+def checkpoints(pages: DataFrame, problems: DataFrame, source: str, page: str, following: str, rows: str) -> DataFrame:
+    """source, pages, rows, next_cursor, done: how far a backfill may go on, up to the first page with a problem."""
+    bad = problems.groupBy(source).agg(F.min(page).alias("_bad"))
+    good = pages.join(bad, source, "left").where(F.col("_bad").isNull() | (F.col(page) < F.col("_bad")))
+    out = good.groupBy(source).agg(F.count("*").alias("pages"), F.sum(rows).alias("rows"), F.max_by(F.struct(F.col(following).alias("c")), page).alias("_last"))
+    return out.select(source, "pages", "rows", F.col("_last.c").alias("next_cursor"), F.col("_last.c").isNull().alias("done"))
 
 
 def write_partitioned(rows: DataFrame, path: str, partition: Sequence[str], order: Sequence[str]) -> None:

@@ -1,4 +1,4 @@
-"""Provider payloads landed as JSON, parsed to candles, observations and books; and a paged source for backfills.
+"""Provider payloads landed as JSON, parsed to candles, observations, books, funding and pages of backfills.
 
 Each parser takes rows with the payload's text, its fetch time and the asset, so a scan is one `spark.read.text` (or a
 table of blobs) away and nothing here talks to a network.
@@ -6,11 +6,8 @@ table of blobs) away and nothing here talks to a network.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Places of time, open, high, low, close and volume in each provider's rows, and the time's unit.
 LAYOUTS = {"binance": (0, 1, 2, 3, 4, 5, "ms"), "coinbase": (0, 3, 2, 1, 4, 5, "s"), "kraken": (0, 1, 2, 3, 4, 6, "s"), "kucoin": (0, 1, 3, 4, 2, 5, "s")}
@@ -85,36 +82,25 @@ def health(landed: DataFrame, healthy: Column, provider: str = "provider", check
     return landed.select(provider, checked_at, F.when(ok, "ok").otherwise("down").alias("status"), ok.cast("double").alias("freshness"), ok.cast("double").alias("agreement"))
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
-
-
-class PagedSource(DataSource):
-    """`paged`: pages of rows by number, each read by its own task. Options: pages, rows; a subclass gives `page`."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return "page int, row int, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options, self.page)
-
-    @staticmethod
-    def page(number: int, rows: int) -> Iterator[Sequence]:
-        """The rows of one page; a stand-in for a provider's paged history."""
-        return ((number, i, float((number * 31 + i * 7) % 101)) for i in range(rows))
+def pages(landed: DataFrame, payload: str = "payload", source: str = "source", page: str = "page") -> DataFrame:
+    """source, page, cursor, following, rows, items of landed pages of a backfill, whose payload is an object with `cursor`,
+    `next` and `items`; `store.page_problems` says which of them can't be used. A payload that doesn't parse has null
+    rows."""
+    item = F.from_json(F.get_json_object(payload, "$.items"), "array<string>")
+    return landed.select(F.col(source).alias("source"), F.col(page).cast("long").alias("page"), F.get_json_object(payload, "$.cursor").alias("cursor"), F.get_json_object(payload, "$.next").alias("following"), F.size(item).cast("long").alias("rows"), item.alias("items"))
 
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, options, page):
-        self.pages, self.rows, self.page = int(options.get("pages", 1)), int(options.get("rows", 10)), page
+def funding_states(landed: DataFrame, payload: str = "payload", fetched_at: str = "fetched_at") -> DataFrame:
+    """symbol, mark_price, index_price, funding_rate, funding_at, observed_at, fetched_at of premium-index payloads, which are
+    one object or an array of them; what isn't a number is null."""
+    kind = "array<struct<symbol:string,markPrice:string,indexPrice:string,lastFundingRate:string,nextFundingTime:bigint,time:bigint>>"
+    text = F.trim(payload)
+    rows = landed.select(F.col(fetched_at).cast("timestamp_ntz").alias("fetched_at"), F.inline(F.from_json(F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]"))), kind)))
+    at = lambda c: F.timestamp_millis(c).cast("timestamp_ntz")
+    return rows.select("symbol", *(F.expr(f"try_cast({c} AS double)").alias(n) for c, n in (("markPrice", "mark_price"), ("indexPrice", "index_price"), ("lastFundingRate", "funding_rate"))), at("nextFundingTime").alias("funding_at"), at("time").alias("observed_at"), "fetched_at")
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(k) for k in range(self.pages)]
 
-    def read(self, partition: _Page):
-        yield from self.page(partition.number, self.rows)
+def open_interest(landed: DataFrame, payload: str = "payload", fetched_at: str = "fetched_at") -> DataFrame:
+    """symbol, open_interest, observed_at, fetched_at of open-interest payloads."""
+    get = lambda path, kind: F.expr(f"try_cast(get_json_object({payload}, '{path}') AS {kind})")
+    return landed.select(F.get_json_object(payload, "$.symbol").alias("symbol"), get("$.openInterest", "double").alias("open_interest"), F.timestamp_millis(get("$.time", "bigint")).cast("timestamp_ntz").alias("observed_at"), F.col(fetched_at).cast("timestamp_ntz").alias("fetched_at"))
