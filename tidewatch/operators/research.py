@@ -46,15 +46,18 @@ def walk_forward_folds(labelled: DataFrame, time: str, resolved: str, min_train:
     """One row per emitted fold: fold_index, test_start, test_end, n_test, n_train, n_purged.
 
     Rows are numbered by time (unique); test blocks of test_size follow the first min_train rows. Training rows come
-    before the block and are resolved strictly before its start less the embargo; the rest are purged, counted before
+    before the block (nothing resolves before its own time) and are resolved strictly before its start less the embargo; the rest are purged, counted before
     a rolling window cuts the training set to its latest max_train rows. Blocks without a training row are not emitted
     and take no number."""
     w = Window.partitionBy(F.lit(0)).orderBy(time)
     rows = labelled.select(time, resolved).withColumn("_n", F.row_number().over(w) - 1)
     blocks = rows.where(F.col("_n") >= min_train).groupBy(F.floor((F.col("_n") - min_train) / test_size).alias("_block")).agg(F.min(time).alias("test_start"), F.max(time).alias("test_end"), F.count("*").alias("n_test"), F.min("_n").alias("_from"))
-    # Purging by cumulative counts over time: rows before the block, less those resolved before the cutoff.
-    joined = blocks.join(rows, rows[resolved] < F.col("test_start") - embargo, "left").where((F.col("_n") < F.col("_from")) | F.col("_n").isNull())
-    fits = joined.groupBy("_block", "test_start", "test_end", "n_test", "_from").agg(F.count("_n").alias("_fit"))
+    # Purging by cumulative counts: rows and cutoffs stand in one order, a cutoff before rows resolved at its time.
+    ends = rows.select(F.col(resolved).alias("_v"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_block"))
+    cuts = blocks.select((F.col("test_start") - embargo).alias("_v"), F.lit(0).alias("_row"), F.col("_block").cast("long"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("_v", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ends.union(cuts).where("_v IS NOT NULL").select("_block", F.sum("_row").over(upto).alias("_fit")).where("_block IS NOT NULL")
+    fits = blocks.join(counts, "_block")
     kept = fits.where(F.col("_fit") >= 1).withColumn("fold_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_block")) - 1)
     train = F.col("_fit") if max_train is None else F.least(F.col("_fit"), F.lit(max_train))
     return kept.select("fold_index", "test_start", "test_end", "n_test", train.alias("n_train"), (F.col("_from") - F.col("_fit")).alias("n_purged"))
@@ -65,6 +68,39 @@ def smoothed_rate(actual: Column, smoothing: float = 1.0) -> Column:
     return (F.sum(actual.cast("double")) + smoothing) / (F.count(actual) + 2 * smoothing)
 
 
+def fit_baselines(training: DataFrame, keys: Sequence[str], order: str, actual: str, signal: str, smoothing: float = 1.0) -> DataFrame:
+    """keys, n, base_rate (B0), rate_after_true, rate_after_false and last_actual (B1), base_logit, signal_mean and
+    signal_scale (B2, B3) of each fold's training rows. `order` is unique within a fold; a signal that doesn't vary has
+    scale 1."""
+    before = F.lag(actual).over(Window.partitionBy(*keys).orderBy(order))
+    y = F.col(actual)
+    rate = lambda c: smoothed_rate(F.when(c, y), smoothing)
+    out = training.withColumn("_before", before).groupBy(*keys).agg(
+        F.count("*").alias("n"), smoothed_rate(y, smoothing).alias("base_rate"), rate(F.col("_before")).alias("rate_after_true"), rate(~F.col("_before")).alias("rate_after_false"),
+        F.max_by(actual, order).alias("last_actual"), F.avg(signal).alias("signal_mean"), F.stddev_pop(signal).alias("_sd"),
+    )
+    return out.withColumns({"base_logit": logit(F.col("base_rate")), "signal_scale": F.when(F.col("_sd") > 1e-12, F.col("_sd")).otherwise(1.0)}).drop("_sd")
+
+
+def predict_baselines(rows: DataFrame, fits: DataFrame, keys: Sequence[str], signal: str) -> DataFrame:
+    """rows, one for each kind B0 to B3, with kind and score. Fits are a row a fold."""
+    joined = rows.join(F.broadcast(fits.drop("n")), list(keys))
+    z = (F.col(signal) - F.col("signal_mean")) / F.col("signal_scale")
+    scores = {"B0": F.col("base_rate"), "B1": F.when(F.col("last_actual"), F.col("rate_after_true")).otherwise(F.col("rate_after_false")), "B2": sigmoid(F.col("base_logit") + z), "B3": sigmoid(F.col("base_logit") - z)}
+    return joined.select(*rows.columns, F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("score")) for k, c in scores.items()))))
+
+
+def oos_predictions(labelled: DataFrame, time: str, resolved: str, actual: str, signal: str, min_train: int, test_size: int, embargo: int) -> DataFrame:
+    """labelled rows of every test block, fold_index, kind (B0 to B3) and score, each fitted on what was resolved before
+    its block, less the embargo. Rows without a signal or an outcome are left out first. Training sets of folds overlap,
+    so rows meet folds: as many rows as the folds train on in all."""
+    rows = labelled.where(F.col(signal).isNotNull() & F.col(actual).isNotNull())
+    folds = F.broadcast(walk_forward_folds(rows, time, resolved, min_train, test_size, embargo).select("fold_index", "test_start", "test_end"))  # a row a block
+    fits = fit_baselines(rows.join(folds, F.col(resolved) < F.col("test_start") - embargo), ["fold_index"], time, actual, signal)
+    tests = rows.join(folds, F.col(time).between(F.col("test_start"), F.col("test_end"))).drop("test_start", "test_end")
+    return predict_baselines(tests, fits, ["fold_index"], signal)
+
+
 def calibration(predictions: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual", eps: float = 1e-12) -> DataFrame:
     """keys, n, base_rate, brier, brier_reference, brier_skill, log_loss."""
     p, y = clip(F.col(score), eps, 1 - eps), F.col(actual).cast("double")
@@ -132,17 +168,26 @@ def _logistic(pdf: pd.DataFrame, features: list[str], iterations: int, rate: flo
 
 
 def fit_logistic(training: DataFrame, keys: Sequence[str], features: Sequence[str], order: Sequence[str], iterations: int = 500, rate: float = 0.1, l2: float = 1.0) -> DataFrame:
-    """keys, n, intercept, weights: full-batch gradient descent of a fixed number of steps for each fold (fold-sized
-    groups), on standardised features, rows sorted by `order` so that sums repeat."""
+    """keys, n, intercept, weights, means, scales: full-batch gradient descent of a fixed number of steps for each fold
+    (fold-sized groups), on standardised features, rows sorted by `order` so that sums repeat."""
     names = list(features)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
-        w, b, _, _ = _logistic(pdf, names, iterations, rate, l2)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(pdf), "intercept": b, "weights": w.tolist()}])
+        w, b, mean, sd = _logistic(pdf, names, iterations, rate, l2)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(pdf), "intercept": b, "weights": w.tolist(), "means": mean.tolist(), "scales": sd.tolist()}])
 
     kinds = ", ".join(f"{k} {training.schema[k].dataType.simpleString()}" for k in keys)
-    return training.groupBy(*keys).applyInPandas(run, f"{kinds}, n bigint, intercept double, weights array<double>")
+    return training.groupBy(*keys).applyInPandas(run, f"{kinds}, n bigint, intercept double, weights array<double>, means array<double>, scales array<double>")
+
+
+def predict_logistic(rows: DataFrame, fits: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """rows with kind B4 and score, by the fits of `fit_logistic` on the same features (a row a fold)."""
+    joined = rows.join(F.broadcast(fits.drop("n")), list(keys))
+    linear = F.col("intercept")
+    for k, f in enumerate(features):
+        linear = linear + F.get("weights", k) * (F.col(f) - F.get("means", k)) / F.get("scales", k)
+    return joined.select(*rows.columns, F.lit("B4").alias("kind"), sigmoid(linear).alias("score"))
 
 
 def platt(predictions: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual", least_n: int = 20, least_class: int = 5, rounds: int = 12) -> DataFrame:
@@ -158,3 +203,18 @@ def platt(predictions: DataFrame, keys: Sequence[str], score: str = "score", act
         rows = sums.select(*keys, "n", (F.col("a") + (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).alias("a"), (F.col("b") + (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).alias("b"))
         fit = predictions.sparkSession.createDataFrame(rows.collect(), rows.schema)  # a row a key: models, not data
     return fit
+
+
+def apply_platt(predictions: DataFrame, fits: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
+    """predictions with `calibrated`, sigmoid(a + b logit(score)) by the fits of `platt` (a row a key); null where a key has
+    no fit."""
+    p = sigmoid(F.col("a") + F.col("b") * logit(F.col(score), 1e-6))
+    return predictions.join(F.broadcast(fits.select(*keys, "a", "b")), list(keys), "left").withColumn("calibrated", p).drop("a", "b")
+
+
+def platt_evaluation(predictions: DataFrame, fits: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual") -> DataFrame:
+    """keys, n, brier and log loss before and after calibration, and whether both got no worse; keys with a fit only."""
+    rows = apply_platt(predictions, fits, keys, score).where("calibrated IS NOT NULL")
+    side = lambda s, names: calibration(rows, keys, s, actual).select(*keys, "n", *(F.col(c).alias(n) for c, n in zip(("brier", "log_loss"), names)))
+    both = side(score, ("brier", "log_loss")).join(side("calibrated", ("brier_after", "log_loss_after")).drop("n"), list(keys))
+    return both.withColumn("improved", (F.col("brier_after") <= F.col("brier")) & (F.col("log_loss_after") <= F.col("log_loss")))
