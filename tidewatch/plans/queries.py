@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewatch.functions import content_id, scale
+from tidewatch.functions import content_id, horizon_end, scale
 from tidewatch.operators import analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
 from tidewatch.sources import table
 
@@ -67,16 +67,20 @@ def provider_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir).select("asset", "provider", (F.floor(F.col("price") * 10000 + 0.5) / 10000).alias("price"), F.to_date("close_time").alias("day"))
 
 
-@query(f"""WITH {_QUOTES}, m AS (SELECT asset, median(price) AS mid, count(*) AS inputs, epoch(max(close_time)) - epoch(min(close_time)) AS skew, median(epoch(close_time)) AS mid_t FROM q WHERE price > 0 AND close_time <= TIMESTAMP '2002-01-01' GROUP BY asset),
-k AS (SELECT q.asset, count(*) AS providers, median(price) AS value, max(price) AS hi, min(price) AS lo FROM q JOIN m USING (asset) WHERE price > 0 AND close_time <= TIMESTAMP '2002-01-01' AND (inputs < 3 OR abs(price - mid) / mid <= 0.6) GROUP BY q.asset),
-s AS (SELECT m.asset, inputs, coalesce(providers, 0) AS providers, value, CASE WHEN providers IS NULL OR providers < 2 THEN 0.0 ELSE (hi - lo) / value END AS spread, skew, greatest(0.0, epoch(TIMESTAMP '2002-01-01') - mid_t) AS age FROM m LEFT JOIN k USING (asset)),
-v AS (SELECT *, providers >= 2 AND spread <= 0.8 AND skew <= 2e8 AND age <= 3e8 AS valid FROM s)
-SELECT asset, inputs, providers, round(CASE WHEN valid THEN value END, 4) AS value, round(spread, 4) AS spread, round(greatest(0.0, 1 - least(spread / 0.8, 1.0)), 4) AS agreement, round(greatest(0.0, 1 - least(age / 3e8, 1.0)), 4) AS freshness, valid,
-  concat_ws(',', CASE WHEN providers < 2 THEN 'MISSING' END, CASE WHEN skew > 2e8 THEN 'MISALIGNED' END, CASE WHEN inputs > providers THEN 'OUTLIER' END, CASE WHEN spread > 0.8 THEN 'CONFLICT' END, CASE WHEN age > 3e8 THEN 'STALE' END) AS flags
+#: The time of the consensus: some quotes close after it.
+_NOW = "1998-06-01"
+
+
+@query(f"""WITH {_QUOTES}, m AS (SELECT asset, median(price) AS mid, count(*) AS inputs, epoch(max(close_time)) - epoch(min(close_time)) AS skew, max(close_time) > TIMESTAMP '{_NOW}' AS late FROM q WHERE price > 0 GROUP BY asset),
+k AS (SELECT q.asset, count(*) AS providers, median(price) AS value, max(price) AS hi, min(price) AS lo, median(greatest(0.0, epoch(TIMESTAMP '{_NOW}') - epoch(close_time))) AS age FROM q JOIN m USING (asset) WHERE price > 0 AND (inputs < 3 OR abs(price - mid) / mid <= 0.4) GROUP BY q.asset),
+s AS (SELECT m.asset, inputs, coalesce(providers, 0) AS providers, value, CASE WHEN providers IS NULL OR providers < 2 THEN 0.0 ELSE (hi - lo) / value END AS spread, skew, late, coalesce(age, 'infinity'::double) AS age FROM m LEFT JOIN k USING (asset)),
+c AS (SELECT *, skew > 2e8 OR spread > 0.6 AS apart FROM s), v AS (SELECT *, providers >= 2 AND NOT apart AND NOT late AND age <= 1e8 AS valid FROM c)
+SELECT asset, inputs, providers, inputs - providers AS rejected, round(CASE WHEN valid THEN value END, 4) AS value, round(spread, 4) AS spread, round(greatest(0.0, 1 - least(spread / 0.6, 1.0)), 4) AS agreement, round(greatest(0.0, 1 - least(age / 1e8, 1.0)), 4) AS freshness, valid,
+  concat_ws(',', CASE WHEN late THEN 'INVALID' END, CASE WHEN apart THEN 'CONFLICT' END, CASE WHEN inputs > providers THEN 'OUTLIER' END, CASE WHEN providers < 2 THEN 'MISSING' END, CASE WHEN age > 1e8 THEN 'STALE' END) AS flags
 FROM v""")
 def consensus_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = F.lit("2002-01-01").cast("timestamp_ntz")
-    out = consensus.consensus_close(quotes(spark, sf_dir), now=now, max_age_seconds=3e8, max_spread=0.8, outlier=0.6, alignment_seconds=2e8)
+    now = F.lit(_NOW).cast("timestamp_ntz")
+    out = consensus.consensus_close(quotes(spark, sf_dir), now=now, max_age_seconds=1e8, max_spread=0.6, outlier=0.4, alignment_seconds=2e8)
     return rounded(out.withColumn("flags", F.array_join("flags", ",")))
 
 
@@ -121,6 +125,37 @@ def realized_vol_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(r.crossJoin(F.broadcast(per_year)).select("d", timeseries.realized_volatility(F.col("r"), _series(), 30, F.col("per_year")).alias("vol30")))
 
 
+_SERIES = "l AS (SELECT cast(o_orderdate AS date) AS d, o_orderkey % 15 AS k, avg(o_totalprice) AS x FROM orders GROUP BY 1, 2)"
+_W = "OVER (PARTITION BY k ORDER BY d ROWS {} PRECEDING)"
+
+
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily market frame: mean prices of the orders of one remainder by 15 stand for one column; days without are null."""
+    pick = lambda k: F.avg(F.when(F.col("o_orderkey") % 15 == k, F.col("o_totalprice")))
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(*(pick(k).alias(c) for k, c in enumerate(timeseries.REQUIRED)))
+
+
+def _feature_sql() -> str:
+    full = lambda n, x: f"CASE WHEN count(x) {_W.format(n - 1)} = {n} THEN {x} END"
+    kinds = {"return": lambda n: f"x / lag(x, {n}) OVER (PARTITION BY k ORDER BY d) - 1", "change": lambda n: f"x - lag(x, {n}) OVER (PARTITION BY k ORDER BY d)", "mean": lambda n: full(n, f"x / avg(x) {_W.format(n - 1)} - 1"), "drawdown": lambda n: full(n, f"x / max(x) {_W.format(n - 1)} - 1"), "zscore": lambda n: full(n, f"CASE WHEN stddev_pop(x) {_W.format(n - 1)} = 0 THEN 0.0 ELSE (x - avg(x) {_W.format(n - 1)}) / stddev_pop(x) {_W.format(n - 1)} END")}
+    want = {"asset_return_7d": ("return", 0, 7), "btc_return_30d": ("return", 1, 30), "asset_btc_return_7d": ("return", 2, 7), "btc_dominance_change_20d": ("return", 4, 20), "vix_z_20d": ("zscore", 7, 20), "us10y_change_20d": ("change", 9, 20), "asset_ma20_distance": ("mean", 0, 20), "asset_ma100_distance": ("mean", 0, 100), "asset_drawdown_365d": ("drawdown", 0, 365)}
+    made = ", ".join(f"{kinds[what](n)} AS {what}{n}" for what, n in dict.fromkeys((what, n) for what, _, n in want.values()))
+    wide = ", ".join(f"max({what}{n}) FILTER (k = {k}) AS {f}" for f, (what, k, n) in want.items())
+    fill = ", ".join(f"round(last_value({f} IGNORE NULLS) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 4) AS {f}" for f in want)
+    return f"""WITH {_SERIES}, m AS (SELECT d, k, x, {made} FROM l), w AS (SELECT d, {wide} FROM m GROUP BY d),
+b AS (SELECT p.d, p.x AS a, q.x AS b FROM l p JOIN l q ON p.d = q.d AND p.k = 0 AND q.k = 1), r AS (SELECT d, a / lag(a) OVER (ORDER BY d) - 1 AS ra, b / lag(b) OVER (ORDER BY d) - 1 AS rb FROM b), z AS (SELECT * FROM r WHERE ra IS NOT NULL),
+y AS (SELECT d, CASE WHEN count(ra) OVER v = 90 THEN covar_samp(ra, rb) OVER v / var_samp(rb) OVER v END AS beta FROM z WINDOW v AS (ORDER BY d ROWS 89 PRECEDING)), t AS (SELECT DISTINCT d FROM l)
+SELECT t.d, {fill}, round(last_value(beta IGNORE NULLS) OVER (ORDER BY t.d ROWS UNBOUNDED PRECEDING), 3) AS asset_beta_btc_90d FROM t LEFT JOIN w USING (d) LEFT JOIN y USING (d)""".replace("OVER (ORDER BY d ROWS UNB", "OVER (ORDER BY t.d ROWS UNB")
+
+
+@query(_feature_sql())
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembled daily features; those of each kind that SQL states here."""
+    names = ("asset_return_7d", "btc_return_30d", "asset_btc_return_7d", "btc_dominance_change_20d", "vix_z_20d", "us10y_change_20d", "asset_ma20_distance", "asset_ma100_distance", "asset_drawdown_365d")
+    out = timeseries.feature_rows(_market(spark, sf_dir), "d")
+    return out.select("d", *(F.round(n, 4).alias(n) for n in names), F.round("asset_beta_btc_90d", 3).alias("asset_beta_btc_90d"))
+
+
 @query("""WITH t AS (SELECT DISTINCT event_type, ts FROM events), g AS (SELECT event_type, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS a, ts AS b FROM t)
 SELECT event_type, cast(floor(epoch(a)) AS bigint) AS gap_from, cast(floor(epoch(b)) AS bigint) AS gap_to, (epoch_us(b) - epoch_us(a)) // 1000 AS gap_millis FROM g WHERE epoch(b) - epoch(a) > 1800""")
 def cadence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +206,7 @@ _TIMES = ("1997-01-01", "1999-01-01", "2001-01-01")
 
 def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = spark.createDataFrame([(t,) for t in _TIMES], "at string").select(F.col("at").cast("timestamp_ntz").alias("at"))
-    rank = [F.col(c).desc() for c in ("boundary", "fetched", "price", "l_orderkey", "l_linenumber", "l_quantity")]
-    return pit.as_of(observations(spark, sf_dir).where("boundary is not null"), times, ["asset", "provider"], "boundary", rank)
+    return pit.as_of(observations(spark, sf_dir), times, ["asset", "provider"], "boundary", ["boundary", "fetched", "price", "l_orderkey", "l_linenumber", "l_quantity"])
 
 
 _CHOSEN = f"""{_OBS}, t AS (SELECT unnest([TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01', TIMESTAMP '2001-01-01']) AS moment),
@@ -215,20 +249,59 @@ def _grid(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("at")).distinct()
 
 
+#: When an event was available and when it was fetched, in seconds after it happened: some only after the window's end.
+_AVAILABLE, _FETCHED = "event_id % 4", "event_id % 4 + event_id % 90"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = lambda c: F.col("ts") + F.make_dt_interval(secs=F.expr(c))
+    return table(spark, sf_dir, "events").withColumns({"available": after(_AVAILABLE), "fetched": after(_FETCHED)})
+
+
+def _window_sql(seconds: int, unit: str) -> str:
+    return f"""g AS (SELECT DISTINCT date_trunc('{unit}', ts) AS moment FROM events), s AS (SELECT *, epoch(ts) + {_AVAILABLE} AS av, epoch(ts) + {_FETCHED} AS fe FROM events),
+met AS (SELECT moment, s.* FROM g JOIN s ON epoch(ts) > epoch(moment) - {seconds} AND ts <= moment AND av <= epoch(moment) AND fe <= epoch(moment))"""
+
+
+#: Freshness and ingestion-lag limits by window.
+_LIMITS = {60: (15, 5), 300: (60, 15), 900: (180, 30), 3600: (600, 60)}
+
+
 def _windows(seconds: int, unit: str):
-    fresh = microstructure.WINDOWS.get(seconds, (seconds / 4, 0))[0]
-    sql = f"""WITH g AS (SELECT DISTINCT date_trunc('{unit}', ts) AS moment FROM events), w AS (SELECT moment, event_type, count(*) AS n, min_by(value, ts) AS f, max_by(value, ts) AS l, sum(value) AS total, min(epoch(ts)) AS a, max(epoch(ts)) AS b FROM g JOIN events ON epoch(ts) > epoch(moment) - {seconds} AND ts <= moment GROUP BY 1, 2)
-SELECT cast(floor(epoch(moment)) AS bigint) AS moment, event_type, n, round(f, 4) AS first_value, round(l, 4) AS last_value, round(total, 4) AS total, round((l / f - 1) * 1e4, 2) AS return_bps, round(epoch(moment) - b, 3) AS age_seconds, concat_ws(',', CASE WHEN n < 2 OR b - a < 0.5 * {seconds} THEN 'SPARSE_WINDOW' END, CASE WHEN epoch(moment) - b > {fresh} THEN 'STALE_WINDOW' END) AS flags FROM w"""
+    fresh, late = _LIMITS[seconds]
+    sql = f"""WITH {_window_sql(seconds, unit)}, w AS (SELECT moment, event_type, count(*) AS n, min_by(value, (ts, av, fe)) AS f, max_by(value, (ts, av, fe)) AS l, sum(value) AS total, min(epoch(ts)) AS a, max(epoch(ts)) AS b, max_by(fe, (ts, av, fe)) AS c FROM met GROUP BY 1, 2)
+SELECT cast(floor(epoch(moment)) AS bigint) AS moment, event_type, n, round(f, 4) AS first_value, round(l, 4) AS last_value, round(total, 4) AS total, round((l / f - 1) * 1e4, 2) AS return_bps, round(epoch(moment) - b, 3) AS age_seconds, round(c - b, 3) AS lag_seconds, epoch(moment) - b <= {fresh} AND round(c - b, 3) <= {late} AS regime_eligible,
+  concat_ws(',', CASE WHEN n < 2 OR b - a < 0.5 * {seconds} THEN 'SPARSE_WINDOW' END, CASE WHEN epoch(moment) - b > {fresh} THEN 'STALE_WINDOW' END, CASE WHEN round(c - b, 3) > {late} THEN 'INGESTION_LAG' END) AS flags FROM w"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = microstructure.trailing_windows(table(spark, sf_dir, "events"), _grid(spark, sf_dir, unit), seconds, "ts", F.col("value"), keys=["event_type"])
-        return out.select(microstructure.epoch(F.col("at")).cast("bigint").alias("moment"), "event_type", "n", *(F.round(c, k).alias(c) for c, k in (("first_value", 4), ("last_value", 4), ("total", 4), ("return_bps", 2), ("age_seconds", 3))), F.array_join("flags", ",").alias("flags"))
+        out = microstructure.trailing_windows(_samples(spark, sf_dir), _grid(spark, sf_dir, unit), seconds, "ts", F.col("value"), F.col("available"), F.col("fetched"), keys=["event_type"])
+        return out.select(microstructure.epoch(F.col("at")).cast("bigint").alias("moment"), "event_type", "n", *(F.round(c, k).alias(c) for c, k in (("first_value", 4), ("last_value", 4), ("total", 4), ("return_bps", 2), ("age_seconds", 3), ("lag_seconds", 3))), "regime_eligible", F.array_join("flags", ",").alias("flags"))
 
     QUERIES[f"pit_windows_{seconds}s"], SQL[f"pit_windows_{seconds}s"] = run, sql
 
 
-for _seconds, _unit in ((60, "hour"), (300, "hour"), (900, "hour"), (3600, "hour"), (86400, "day")):
-    _windows(_seconds, _unit)
+for _seconds in _LIMITS:
+    _windows(_seconds, "hour")
+
+
+@query(f"""WITH {_window_sql(3600, 'hour')}, x AS (SELECT *, (ts, av, fe, value) AS o, CASE WHEN user_id % 3 = 0 THEN value END AS oi, CASE WHEN user_id % 5 = 0 THEN value / 1e5 END AS fu, CASE WHEN user_id % 2 = 0 THEN value - 50 END AS ba FROM met),
+w AS (SELECT moment, count(*) AS n, min_by(value, o) AS f, max_by(value, o) AS l, sum((user_id % 21 - 10) / 10.0) / count(*) AS depth, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS buys, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS sells,
+  CASE WHEN count(oi) >= 2 THEN min_by(oi, o) FILTER (oi IS NOT NULL) END AS oi0, max_by(oi, o) FILTER (oi IS NOT NULL) AS oi1, CASE WHEN count(fu) >= 2 THEN min_by(fu, o) FILTER (fu IS NOT NULL) END AS fu0, max_by(fu, o) FILTER (fu IS NOT NULL) AS fu1, CASE WHEN count(ba) >= 2 THEN min_by(ba, o) FILTER (ba IS NOT NULL) END AS ba0, max_by(ba, o) FILTER (ba IS NOT NULL) AS ba1,
+  min(epoch(ts)) AS a, max(epoch(ts)) AS b, max_by(fe, o) AS c FROM x GROUP BY 1)
+SELECT cast(floor(epoch(moment)) AS bigint) AS moment, n AS sample_count, round((l / f - 1) * 1e4, 2) AS mid_return_bps, round(depth, 4) AS mean_depth_imbalance_25bps, round(buys - sells, 4) AS cvd_quote, round(CASE WHEN buys + sells = 0 THEN 0.0 ELSE (buys - sells) / (buys + sells) END, 4) AS taker_imbalance,
+  round(CASE WHEN oi0 > 0 THEN (oi1 - oi0) / oi0 END, 4) AS open_interest_delta_pct, round((fu1 - fu0) * 1e4, 4) AS funding_delta_bps, round(ba1 - ba0, 4) AS basis_delta_bps, epoch(moment) - b <= 600 AND round(c - b, 3) <= 60 AS regime_eligible,
+  concat_ws(',', CASE WHEN n < 2 OR b - a < 1800 THEN 'SPARSE_WINDOW' END, CASE WHEN oi0 IS NULL THEN 'OPEN_INTEREST_NO_DATA' END, CASE WHEN fu0 IS NULL THEN 'FUNDING_NO_DATA' END, CASE WHEN ba0 IS NULL THEN 'BASIS_NO_DATA' END, CASE WHEN epoch(moment) - b > 600 THEN 'STALE_WINDOW' END, CASE WHEN round(c - b, 3) > 60 THEN 'INGESTION_LAG' END) AS flags FROM w""")
+def flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows of flow samples; users stand for what a sample holds of open interest, funding and basis."""
+    v, u = F.col("value"), F.col("user_id")
+    side = lambda k: F.when(F.col("event_type") == k, v).otherwise(0.0)
+    samples = _samples(spark, sf_dir).select(
+        F.lit("x").alias("symbol"), F.col("ts").alias("observed_at"), F.col("available").alias("available_at"), F.col("fetched").alias("fetched_at"), v.alias("mid_price"), ((u % 21 - 10) / 10.0).alias("depth_imbalance_25bps"),
+        side("purchase").alias("aggressive_buy_notional"), side("error").alias("aggressive_sell_notional"), F.when(u % 3 == 0, v).alias("open_interest"), F.when(u % 5 == 0, v / 1e5).alias("funding_rate"), F.when(u % 2 == 0, v - 50).alias("basis_bps"),
+    )
+    out = microstructure.flow_windows(samples, _grid(spark, sf_dir, "hour"), 3600)
+    names = (("mid_return_bps", 2), *((n, 4) for n in ("mean_depth_imbalance_25bps", "cvd_quote", "taker_imbalance", "open_interest_delta_pct", "funding_delta_bps", "basis_delta_bps")))
+    return out.select(microstructure.epoch(F.col("at")).cast("bigint").alias("moment"), "sample_count", *(F.round(c, k).alias(c) for c, k in names), "regime_eligible", F.array_join("flags", ",").alias("flags"))
 
 
 @query("""WITH g AS (SELECT DISTINCT date_trunc('hour', ts) AS moment FROM events), m AS (SELECT moment, max(CASE WHEN event_type = 'view' AND epoch(moment) - epoch(ts) < 1200 THEN epoch(ts) END) AS v, max(CASE WHEN event_type = 'click' AND epoch(moment) - epoch(ts) < 2400 THEN epoch(ts) END) AS c, max(CASE WHEN event_type = 'purchase' AND epoch(moment) - epoch(ts) < 3600 THEN epoch(ts) END) AS p FROM g LEFT JOIN events ON ts <= moment AND epoch(ts) > epoch(moment) - 3600 GROUP BY 1)
@@ -248,31 +321,64 @@ def depth_trade_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(microstructure.reconcile(hours, "br", "ar", "b", "s").select("hour", "compatible", "residual", "unmatched", "coverage"))
 
 
-@query("""WITH d AS (SELECT cast(ts AS date) AS day, sum(value) FILTER (event_type = 'view') AS a, sum(value) FILTER (event_type = 'click') AS b, sum(value) FILTER (event_type = 'purchase') AS p, sum(value) FILTER (event_type = 'error') AS e FROM events GROUP BY 1), i AS (SELECT day, (a - b) / (a + b) AS depth, (p - e) / (p + e) AS taker FROM d),
-l AS (SELECT *, CASE WHEN depth IS NULL OR taker IS NULL THEN 'NO_DATA' WHEN depth >= 0.25 AND taker >= 0.2 THEN 'SPOT_LED_DEMAND' WHEN depth >= 0.25 AND taker <= -0.2 THEN 'BID_ABSORPTION' WHEN depth <= -0.25 AND taker <= -0.2 THEN 'SELL_PRESSURE' ELSE 'MIXED' END AS flow,
-  CASE WHEN depth >= 0.35 AND taker > 0 THEN 'ABSORPTION' WHEN depth <= -0.35 AND taker < 0 THEN 'DISTRIBUTION' ELSE 'BALANCED' END AS state FROM i)
-SELECT day, flow, round(CASE flow WHEN 'NO_DATA' THEN 0.0 WHEN 'SPOT_LED_DEMAND' THEN 0.72 WHEN 'SELL_PRESSURE' THEN 0.72 WHEN 'BID_ABSORPTION' THEN 0.68 ELSE 0.45 END, 4) AS flow_confidence, state, round(CASE WHEN state = 'BALANCED' THEN 0.45 ELSE 0.62 END, 4) AS state_confidence FROM l""")
+@query("""WITH d AS (SELECT cast(ts AS date) AS day, user_id % 50 AS u, sum(value) FILTER (event_type = 'view') AS a, sum(value) FILTER (event_type = 'click') AS b, sum(value) FILTER (event_type = 'purchase') AS p, sum(value) FILTER (event_type = 'error') AS e FROM events GROUP BY 1, 2),
+i AS (SELECT day, u, (a - b) / (a + b) AS depth, (p - e) / (p + e) AS taker, CASE WHEN u % 7 > 0 THEN u % 3 = 0 END AS funding, u % 4 = 0 AS wide FROM d),
+l AS (SELECT *, coalesce(funding, false) AS hot, CASE WHEN depth IS NULL OR taker IS NULL THEN 'NO_DATA' WHEN depth >= 0.25 AND taker >= 0.2 THEN CASE WHEN coalesce(funding, false) THEN 'LEVERAGED_DEMAND' ELSE 'SPOT_LED_DEMAND' END WHEN depth >= 0.25 AND taker <= -0.2 THEN CASE WHEN coalesce(funding, false) THEN 'LONG_CROWDING' ELSE 'BID_ABSORPTION' END WHEN depth <= -0.25 AND taker <= -0.2 THEN 'SELL_PRESSURE' ELSE 'MIXED' END AS flow FROM i),
+z AS (SELECT *, CASE WHEN depth IS NULL OR taker IS NULL THEN 'NO_DATA' WHEN depth >= 0.35 AND taker > 0 THEN CASE WHEN hot THEN 'LONG_CROWDING' ELSE 'ABSORPTION' END WHEN depth <= -0.35 AND taker < 0 THEN 'DISTRIBUTION' ELSE 'BALANCED' END AS state FROM l),
+c AS (SELECT *, CASE flow WHEN 'NO_DATA' THEN 0.0 WHEN 'SPOT_LED_DEMAND' THEN 0.72 WHEN 'SELL_PRESSURE' THEN 0.72 WHEN 'BID_ABSORPTION' THEN 0.68 WHEN 'LEVERAGED_DEMAND' THEN 0.6 WHEN 'LONG_CROWDING' THEN 0.55 ELSE 0.45 END AS f, CASE state WHEN 'NO_DATA' THEN 0.0 WHEN 'BALANCED' THEN 0.45 WHEN 'LONG_CROWDING' THEN 0.58 ELSE 0.62 END AS g FROM z)
+SELECT day, u, flow, cast(CASE WHEN wide THEN least(f, 0.5) ELSE f END AS double) AS flow_confidence, state, cast(CASE WHEN wide THEN least(g, 0.5) ELSE g END AS double) AS state_confidence FROM c""")
 def flow_and_market_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")))
-    d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(pick("view").alias("a"), pick("click").alias("b"), pick("purchase").alias("p"), pick("error").alias("e"))
-    i = d.select("day", F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")).alias("depth"), F.try_divide(F.col("p") - F.col("e"), F.col("p") + F.col("e")).alias("taker"))
-    flow, sure = regime.flow_regime(F.col("depth"), F.col("taker"), F.lit(False), F.lit(False))
-    state, sure2 = regime.market_state(F.col("depth"), F.col("taker"), F.lit(False), F.lit(False))
-    return rounded(i.select("day", flow.alias("flow"), sure.alias("flow_confidence"), state.alias("state"), sure2.alias("state_confidence")))
-
-
-@query(f"""WITH {_DAILY}, f AS (SELECT d, p / lag(p, 20) OVER w - 1 AS a, p / lag(p, 7) OVER w - 1 AS b, p / lag(p, 30) OVER w - 1 AS c FROM daily WINDOW w AS (ORDER BY d)),
-s AS (SELECT d, greatest(0.0, least(100.0, 50 + 50 * a / 0.1)) AS m1, greatest(0.0, least(100.0, 50 + 50 * b / 0.15)) AS c1, greatest(0.0, least(100.0, 50 + 50 * c / 0.3)) AS c2, greatest(0.0, least(100.0, 50 + 50 * b / 0.2)) AS r1, greatest(0.0, least(100.0, 50 + 50 * c / 0.45)) AS r2, a, b, c FROM f),
-k AS (SELECT d, CASE WHEN a IS NULL THEN 50.0 ELSE m1 END AS macro, (a IS NOT NULL)::int / 4.0 AS km, CASE WHEN b IS NULL THEN 50.0 WHEN c IS NULL THEN c1 ELSE (c1 + c2) / 2 END AS crypto, ((b IS NOT NULL)::int + (c IS NOT NULL)::int) / 4.0 AS kc, CASE WHEN b IS NULL THEN 50.0 WHEN c IS NULL THEN r1 ELSE (r1 + r2) / 2 END AS rel, ((b IS NOT NULL)::int + (c IS NOT NULL)::int) / 5.0 AS kr FROM s),
-z AS (SELECT *, 0.25 * km + 0.3 * kc + 0.3 * kr AS cov FROM k),
-y AS (SELECT *, CASE WHEN cov = 0 THEN 50.0 ELSE (0.25 * km * macro + 0.3 * kc * crypto + 0.3 * kr * rel) / cov END AS bull FROM z)
-SELECT d, round(macro, 4) AS score_macro, round(crypto, 4) AS score_crypto, round(rel, 4) AS score_relative, round(cov, 4) AS coverage, round(bull, 4) AS bull_score, round(abs(bull - 50) / 50, 4) AS conviction, round(cov, 4) AS data_confidence, true AS blocked, 'DEGRADED' AS label FROM y""")
+    d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), (F.col("user_id") % 50).alias("u")).agg(pick("view").alias("a"), pick("click").alias("b"), pick("purchase").alias("p"), pick("error").alias("e"))
+    i = d.select("day", "u", F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")).alias("depth"), F.try_divide(F.col("p") - F.col("e"), F.col("p") + F.col("e")).alias("taker"))
+    funding, wide = F.when(F.col("u") % 7 > 0, F.col("u") % 3 == 0), F.col("u") % 4 == 0
+    flow, sure = regime.flow_regime(F.col("depth"), F.col("taker"), funding, wide)
+    state, sure2 = regime.market_state(F.col("depth"), F.col("taker"), funding, wide)
+    return rounded(i.select("day", "u", flow.alias("flow"), sure.alias("flow_confidence"), state.alias("state"), sure2.alias("state_confidence")))
+
+
+#: The terms as the SQL states them: (component, feature, width, sign), and what each feature is here, by user and day.
+_TERMS = (
+    ("macro", "ndx_return_20d", 0.10, 1), ("macro", "dxy_return_20d", 0.05, -1), ("macro", "us10y_change_20d", 0.50, -1), ("macro", "vix_z_20d", 2.0, -1), ("crypto", "btc_return_7d", 0.15, 1), ("crypto", "btc_return_30d", 0.30, 1),
+    ("crypto", "eth_btc_return_7d", 0.10, 1), ("crypto", "btc_dominance_change_20d", 0.08, -1), ("relative", "asset_return_7d", 0.20, 1), ("relative", "asset_return_30d", 0.45, 1), ("relative", "asset_btc_return_7d", 0.15, 1),
+    ("relative", "asset_btc_return_30d", 0.30, 1), ("relative", "asset_ma100_distance", 0.40, 1), ("derivatives", "liquidation_impulse", 1.0, 1), ("ledger", "ledger_activity_z", 2.0, 1),
+)
+_CALM = (("funding_z", 2.5), ("oi_price_divergence", 2.0))
+
+
+def _score_ctes() -> str:
+    """Components s_ and their coverage k_, bull, cov, alignment, conviction, sure and blocked, as table d."""
+    clip = lambda x: f"greatest(0.0, least(100.0, {x}))"
+    width = {f: w for _, f, w, _ in _TERMS} | dict(_CALM)
+    feature = {f: f"CASE WHEN (u + {3 * k}) % 37 > 2 THEN (m - 50) / 25 * {w} * {sign} + (u % {5 + k} - {2 + k // 2}) / {10.0 + k} * {w} * {0.2 if k else 0.4} END" for k, (f, w, sign) in enumerate([(f, w, s) for _, f, w, s in _TERMS] + [(f, w, 1) for f, w in _CALM])}
+    terms = {c: [clip(f"50 + 50 * ({s} * {f}) / {w}") + f" + 0 * {f}" for k, f, w, s in _TERMS if k == c] for c in dict.fromkeys(t[0] for t in _TERMS)}
+    terms["derivatives"] = [f"100 * (1 - greatest(0.0, least(1.0, abs({f}) / {w})))" for f, w in _CALM] + terms["derivatives"]
+    assert set(width) == set(feature)
+    parts = ", ".join(f"list_avg(list_filter([{', '.join(v)}], lambda x: x IS NOT NULL)) AS s_{c}, len(list_filter([{', '.join(v)}], lambda x: x IS NOT NULL)) / {float(len(v))} AS k_{c}" for c, v in terms.items())
+    weights = {"macro": 0.25, "crypto": 0.3, "relative": 0.3, "derivatives": 0.1, "ledger": 0.05}
+    cov = " + ".join(f"{w} * k_{c}" for c, w in weights.items())
+    bull = " + ".join(f"{w} * k_{c} * coalesce(s_{c}, 50)" for c, w in weights.items())
+    alive = ", ".join(f"CASE WHEN k_{c} > 0 THEN s_{c} END" for c in weights)
+    return f"""v AS (SELECT user_id AS u, cast(ts AS date) AS day, avg(value) AS m FROM events GROUP BY 1, 2), f AS (SELECT u, day, {', '.join(f'{x} AS {n}' for n, x in feature.items())}, CASE WHEN u % 11 = 0 THEN 0.4 ELSE 1.0 END AS quality FROM v),
+p AS (SELECT u, day, quality, {parts} FROM f), b AS (SELECT *, {cov} AS cov, list_filter([{alive}], lambda x: x IS NOT NULL) AS alive, {bull} AS total FROM p),
+e AS (SELECT *, CASE WHEN cov = 0 THEN 50.0 ELSE total / cov END AS bull, CASE WHEN len(alive) >= 2 THEN greatest(0.0, least(1.0, 1 - list_stddev_pop(alive) / 50)) ELSE 0.0 END AS alignment FROM b),
+d AS (SELECT *, abs(bull - 50) / 50 AS conviction, greatest(0.0, least(1.0, least(quality, cov))) AS sure, quality < 1 OR round(cov, 9) < 0.6 OR least(quality, cov) < 0.5 AS blocked FROM e)"""
+
+
+def _scored_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
+    given = [(f, w, s) for _, f, w, s in _TERMS] + [(f, w, 1) for f, w in _CALM]
+    value = lambda k, w, s: F.when((F.col("u") + 3 * k) % 37 > 2, (F.col("m") - 50) / 25 * w * s + (F.col("u") % (5 + k) - (2 + k // 2)) / (10.0 + k) * w * (0.2 if k else 0.4))
+    return regime.component_scores(v.select("u", "day", *(value(k, w, s).alias(f) for k, (f, w, s) in enumerate(given))))
+
+
+@query(f"""WITH {_score_ctes()} SELECT u, day, round(bull, 4) AS bull_score, round(cov, 4) AS coverage, round(alignment, 4) AS alignment, round(conviction, 4) AS conviction, round(sure, 4) AS data_confidence, round(sqrt(sure * (0.65 * cov + 0.2 * alignment + 0.15 * conviction)), 4) AS confidence, blocked,
+  CASE WHEN blocked THEN 'DEGRADED' WHEN bull >= 72 THEN 'STRONG_BULL' WHEN bull >= 58 THEN 'BULLISH' WHEN bull >= 43 THEN 'NEUTRAL' WHEN bull >= 28 THEN 'BEARISH' ELSE 'STRONG_BEAR' END AS label FROM d""")
 def regime_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p")
-    f = daily(spark, sf_dir).select("d", timeseries.trailing_return(p, _series(), 20).alias("ndx_20d"), timeseries.trailing_return(p, _series(), 7).alias("btc_7d"), timeseries.trailing_return(p, _series(), 30).alias("btc_30d"))
-    f = f.withColumns({"asset_7d": F.col("btc_7d"), "asset_30d": F.col("btc_30d")})
-    out = regime.blended(regime.component_scores(f), regime.WEIGHTS["1d"])
-    return rounded(out.select("d", "score_macro", "score_crypto", "score_relative", "coverage", "bull_score", "conviction", "data_confidence", "blocked", "label"))
+    """All features of all components vary, some are unknown, and some rows are of poor quality."""
+    quality = F.when(F.col("u") % 11 == 0, 0.4).otherwise(1.0)
+    out = regime.blended(_scored_regimes(spark, sf_dir), regime.WEIGHTS["1d"], quality)
+    return rounded(out.select("u", "day", "bull_score", "coverage", "alignment", "conviction", "data_confidence", "confidence", "blocked", "label"))
 
 
 @query("""WITH u AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY 1), z AS (SELECT user_id, (m - 50) / 10 AS a, (s - 30) / 10 AS b FROM u),
@@ -286,13 +392,41 @@ def prototype_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("user_id", F.array_join(near, ",").alias("nearest"))
 
 
-@query("""WITH s AS (SELECT user_id, cast(ts AS date) AS day, avg(value) / 50 - 1 AS trend, stddev_pop(value) / 30 - 0.5 AS volatility, count(*) / 10.0 - 1 AS crowding, max(value) / 100 - 0.5 AS breakout, 0.5 - min(value) / 50 AS drawdown FROM events GROUP BY 1, 2)
-SELECT user_id, day, CASE WHEN breakout <= -0.55 THEN 'FAILED_BREAKOUT' WHEN trend <= -0.65 AND volatility >= 0.55 AND drawdown >= 0.55 THEN 'CAPITULATION' WHEN crowding >= 0.6 AND volatility >= 0.45 THEN 'LONG_CROWDING' WHEN breakout >= 0.65 AND trend >= 0.35 THEN 'BREAKOUT'
-  WHEN trend >= 0.35 AND drawdown >= 0.40 AND volatility < 0.45 THEN 'SPOT_LED_EXPANSION' WHEN trend >= 0.35 AND volatility >= 0.45 AND crowding < 0.6 THEN 'LEVERAGED_EXPANSION' WHEN trend >= 0.15 AND drawdown >= 0.30 THEN 'RECOVERY' WHEN abs(trend) <= 0.25 AND drawdown >= 0.10 AND volatility < 0.45 AND -1.0 < 0.60 THEN 'ACCUMULATION' ELSE 'NO_DATA' END AS regime FROM s""")
+_SIGNALS = ("trend", "relative_strength", "spot_flow", "leverage", "crowding", "deleveraging", "breakout", "distribution", "volatility", "drawdown_stress", "liquidity")
+
+
+def _signal_sql(k: int) -> str:
+    return f"CASE WHEN (u * {k + 3} + epoch(day) / 86400) % {13 + k} >= {1 if k > 1 else 0.5} THEN greatest(-1.0, least(1.0, (((u * {7 + 2 * k} + epoch(day) / 86400 * {5 + k}) % 41) - 20) / 18.0)) END"
+
+
+@query(f"""WITH v AS (SELECT user_id AS u, cast(ts AS date) AS day FROM events GROUP BY 1, 2), s AS (SELECT u, day, {', '.join(f'{_signal_sql(k)} AS {n}' for k, n in enumerate(_SIGNALS))} FROM v),
+c AS (SELECT *, len(list_filter([{', '.join(_SIGNALS)}], lambda x: x IS NOT NULL)) / 11.0 AS coverage, list_max(list_transform(list_filter([{', '.join(_SIGNALS)}], lambda x: x IS NOT NULL), lambda x: abs(x))) AS strongest FROM s),
+r AS (SELECT *, trend IS NULL OR relative_strength IS NULL AS missing, CASE WHEN trend IS NULL OR relative_strength IS NULL OR coverage < 0.7 THEN 'NO_DATA' WHEN breakout <= -0.55 THEN 'FAILED_BREAKOUT' WHEN deleveraging >= 0.6 THEN 'DELEVERAGING' WHEN trend <= -0.65 AND volatility >= 0.55 AND drawdown_stress >= 0.55 THEN 'CAPITULATION'
+  WHEN crowding >= 0.6 AND leverage >= 0.45 THEN 'LONG_CROWDING' WHEN distribution >= 0.6 THEN 'DISTRIBUTION' WHEN breakout >= 0.65 AND trend >= 0.35 THEN 'BREAKOUT' WHEN trend >= 0.35 AND spot_flow >= 0.4 AND leverage < 0.45 THEN 'SPOT_LED_EXPANSION' WHEN trend >= 0.35 AND leverage >= 0.45 AND crowding < 0.6 THEN 'LEVERAGED_EXPANSION'
+  WHEN trend >= 0.15 AND drawdown_stress >= 0.3 THEN 'RECOVERY' WHEN liquidity >= 0.35 AND trend >= 0.15 AND relative_strength >= 0 THEN 'RISK_ON' WHEN abs(trend) <= 0.25 AND spot_flow >= 0.1 AND leverage < 0.45 AND distribution < 0.6 THEN 'ACCUMULATION' ELSE 'NO_DATA' END AS regime FROM c)
+SELECT u, day, regime, round(coverage, 4) AS coverage, round(CASE WHEN regime = 'NO_DATA' THEN 0.0 ELSE least(1.0, coverage * (0.5 + 0.5 * strongest)) END, 4) AS confidence,
+  CASE WHEN missing THEN 'MISSING_REQUIRED_SIGNALS:' || concat_ws(',', CASE WHEN relative_strength IS NULL THEN 'relative_strength' END, CASE WHEN trend IS NULL THEN 'trend' END) WHEN coverage < 0.7 THEN 'INSUFFICIENT_SIGNAL_COVERAGE' WHEN regime = 'NO_DATA' THEN 'NO_RULE_WITH_SUFFICIENT_SEPARATION' ELSE '' END AS reasons FROM r""")
 def regime_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg((F.avg("value") / 50 - 1).alias("trend"), (F.stddev_pop("value") / 30 - 0.5).alias("volatility"), (F.count("*") / 10.0 - 1).alias("crowding"), (F.max("value") / 100 - 0.5).alias("breakout"), (0.5 - F.min("value") / 50).alias("drawdown"))
-    s = s.withColumns({"leverage": F.col("volatility"), "spot": F.col("drawdown"), "distribution": F.lit(-1.0), "deleveraging": F.lit(None).cast("double"), "liquidity": F.lit(None).cast("double"), "relative": F.lit(None).cast("double")})
-    return s.select("user_id", "day", regime.regime_ladder().alias("regime"))
+    """Regimes of users and days whose signals go through all values, some unknown."""
+    v = table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.to_date("ts").alias("day")).distinct()
+    n = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    signal = lambda k: F.when((F.col("u") * (k + 3) + n) % (13 + k) >= (1 if k > 1 else 0.5), (((F.col("u") * (7 + 2 * k) + n * (5 + k)) % 41) - 20) / 18.0)
+    known = regime.signals(v.select("u", "day", *(signal(k).alias(s) for k, s in enumerate(_SIGNALS))), [(s, s, 1.0) for s in _SIGNALS])
+    out = regime.classified(known)
+    return rounded(out.select("u", "day", "regime", F.col("signal_coverage").alias("coverage"), "confidence", F.array_join("reasons", ",").alias("reasons")))
+
+
+_COMPONENTS = ("macro", "crypto", "relative", "derivatives", "ledger")
+
+
+@query(f"""WITH {_score_ctes()}, x AS (SELECT u, day, unnest([{', '.join(f"{{i: {i}, name: '{c}', far: round(abs(round(s_{c}, 9) - 50), 9), known: k_{c}}}" for i, c in enumerate(_COMPONENTS))}], recursive := true) FROM d),
+y AS (SELECT u, day, name, row_number() OVER (PARTITION BY u, day ORDER BY far DESC, i) AS k FROM x WHERE known > 0)
+SELECT d.u, d.day, coalesce(string_agg(name, ',' ORDER BY k) FILTER (k <= 4), '') AS drivers FROM d LEFT JOIN y ON d.u = y.u AND d.day = y.day GROUP BY 1, 2""")
+def key_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four components furthest from neutral."""
+    scored = _scored_regimes(spark, sf_dir)
+    scored = scored.withColumns({f"score_{c}": F.round(F.col(f"score_{c}"), 9) for c in _COMPONENTS})
+    return scored.select("u", "day", F.array_join(regime.key_drivers(scored, _COMPONENTS), ",").alias("drivers"))
 
 
 @query(f"""WITH {_DAILY}, n AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, p, ln(p / lag(p) OVER (ORDER BY d)) AS r FROM daily),
@@ -319,21 +453,18 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B0 (training rate) and B1 (rate above or below a constant price) of each fold, for every test day."""
-    days = _labelled(spark, sf_dir).withColumn("actual", (F.lead("p", 7).over(_series("n")) > F.col("p"))).where("actual is not null")
-    folds = research.walk_forward_folds(days, "n", "resolved", 365, 30, 7)
-    fit = F.broadcast(folds.select("fold_index", "test_start", "test_end"))  # a row a month
-    train = days.join(fit, F.col("resolved") < F.col("test_start") - 7)
-    b0 = train.groupBy("fold_index").agg(research.smoothed_rate(F.col("actual")).alias("b0"), research.smoothed_rate(F.when(F.col("p") > 150000, F.col("actual"))).alias("hi"), research.smoothed_rate(F.when(F.col("p") <= 150000, F.col("actual"))).alias("lo"))
-    test = days.join(fit, F.col("n").between(F.col("test_start"), F.col("test_end"))).join(F.broadcast(b0), "fold_index")
-    kinds = F.array(F.struct(F.lit("B0").alias("kind"), F.col("b0").alias("score")), F.struct(F.lit("B1").alias("kind"), F.when(F.col("p") > 150000, F.col("hi")).otherwise(F.col("lo")).alias("score")))
-    return test.select("fold_index", "n", "actual", F.inline(kinds))
+    """B0 to B3 of each fold, for every test day: does the price rise over a week; the signal is the last week's return."""
+    w = _series("n")
+    days = _labelled(spark, sf_dir).withColumns({"actual": F.lead("p", 7).over(w) > F.col("p"), "r7": timeseries.trailing_return(F.col("p"), w, 7)})
+    return research.oos_predictions(days, "n", "resolved", "actual", "r7", 365, 30, 7).select("fold_index", "n", "actual", "kind", "score")
 
 
-_PRED = f"""{_DAILY}, y AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, p, lead(p, 7) OVER (ORDER BY d) > p AS actual FROM daily), l AS (SELECT n, n + 7 + n % 3 AS resolved, p, actual, row_number() OVER (ORDER BY n) - 1 AS i FROM y WHERE actual IS NOT NULL),
-b AS (SELECT (i - 365) // 30 AS block, min(n) AS s, max(n) AS e, min(i) AS f FROM l WHERE i >= 365 GROUP BY 1), folds AS (SELECT row_number() OVER (ORDER BY block) - 1 AS fold_index, * FROM b WHERE EXISTS (SELECT 1 FROM l WHERE l.resolved < s - 7)),
-r AS (SELECT fold_index, s, e, (sum(actual::int) + 1.0) / (count(*) + 2) AS b0, (coalesce(sum(actual::int) FILTER (p > 150000), 0) + 1.0) / (count(*) FILTER (p > 150000) + 2) AS hi, (coalesce(sum(actual::int) FILTER (p <= 150000), 0) + 1.0) / (count(*) FILTER (p <= 150000) + 2) AS lo FROM folds JOIN l ON resolved < s - 7 GROUP BY ALL),
-t AS (SELECT fold_index, n, actual, p, b0, hi, lo FROM r JOIN l ON n BETWEEN s AND e), pred AS (SELECT fold_index, n, actual, 'B0' AS kind, b0 AS score FROM t UNION ALL SELECT fold_index, n, actual, 'B1', CASE WHEN p > 150000 THEN hi ELSE lo END FROM t)"""
+_DAYS = f"""{_DAILY}, y AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, p, lead(p, 7) OVER (ORDER BY d) > p AS actual, p / lag(p, 7) OVER (ORDER BY d) - 1 AS r7, p / lag(p, 1) OVER (ORDER BY d) - 1 AS r1 FROM daily), l AS (SELECT n, n + 7 + n % 3 AS resolved, p, actual, r7, r1, row_number() OVER (ORDER BY n) - 1 AS i FROM y WHERE actual IS NOT NULL AND r7 IS NOT NULL),
+b AS (SELECT (i - 365) // 30 AS block, min(n) AS s, max(n) AS e, min(i) AS f FROM l WHERE i >= 365 GROUP BY 1), folds AS (SELECT row_number() OVER (ORDER BY block) - 1 AS fold_index, * FROM b WHERE EXISTS (SELECT 1 FROM l WHERE l.resolved < s - 7))"""
+_PRED = f"""{_DAYS}, j AS (SELECT fold_index, s, e, l.*, lag(actual) OVER (PARTITION BY fold_index ORDER BY n) AS prior FROM folds JOIN l ON resolved < s - 7),
+r AS (SELECT fold_index, s, e, (sum(actual::int) + 1.0) / (count(*) + 2) AS b0, (coalesce(sum(actual::int) FILTER (prior), 0) + 1.0) / (count(*) FILTER (prior) + 2) AS yes, (coalesce(sum(actual::int) FILTER (NOT prior), 0) + 1.0) / (count(*) FILTER (NOT prior) + 2) AS no, arg_max(actual, n) AS last, avg(r7) AS m, CASE WHEN stddev_pop(r7) > 1e-12 THEN stddev_pop(r7) ELSE 1.0 END AS sd FROM j GROUP BY ALL),
+t AS (SELECT fold_index, n, actual, b0, CASE WHEN last THEN yes ELSE no END AS b1, greatest(-35.0, least(35.0, ln(b0 / (1 - b0)) + (r7 - m) / sd)) AS up, greatest(-35.0, least(35.0, ln(b0 / (1 - b0)) - (r7 - m) / sd)) AS down FROM r JOIN l ON n BETWEEN s AND e),
+pred AS (SELECT fold_index, n, actual, 'B0' AS kind, b0 AS score FROM t UNION ALL SELECT fold_index, n, actual, 'B1', b1 FROM t UNION ALL SELECT fold_index, n, actual, 'B2', 1 / (1 + exp(-up)) FROM t UNION ALL SELECT fold_index, n, actual, 'B3', 1 / (1 + exp(-down)) FROM t)"""
 
 
 @query(f"WITH {_PRED} SELECT fold_index, n, kind, round(score, 6) AS score, actual FROM pred")
@@ -350,7 +481,7 @@ def calibration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", "n", *(F.round(c, 6).alias(c) for c in ("base_rate", "brier", "log_loss", "brier_reference")), F.round("brier_skill", 4).alias("brier_skill"))
 
 
-@query(f"WITH {_METRICS} SELECT a.kind, a.n, round(b.brier - a.brier, 6) AS brier_gain, round(a.log_loss - b.log_loss, 6) AS log_loss_change, b.brier - a.brier >= 0 AND a.log_loss - b.log_loss <= 0 AS passed FROM m a, m b WHERE a.kind = 'B1' AND b.kind = 'B0'")
+@query(f"WITH {_METRICS} SELECT a.kind, a.n, round(b.brier - a.brier, 6) AS brier_gain, round(a.log_loss - b.log_loss, 6) AS log_loss_change, b.brier - a.brier >= 0 AND a.log_loss - b.log_loss <= 0 AS passed FROM m a, m b WHERE a.kind <> 'B0' AND b.kind = 'B0'")
 def skill_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics = research.calibration(_predictions(spark, sf_dir), ["kind"])
     out = research.skill_gate(metrics.withColumn("cell", F.lit(1)), ["cell"], "kind")
@@ -389,10 +520,17 @@ def research_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("horizon", "event", F.coalesce("n", F.lit(0)).alias("n"), "state")
 
 
-def _near(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = v.where(F.col("vec_id").isin(*range(100, 120))).select(F.col("vec_id").alias("query"), F.col("v").alias("query_vector"), F.col("vec_id").alias("query_order"))
-    return analogs.nearest(asked, v, "v", "vec_id", 5, metric)
+#: Components of the vectors in embeddings.
+_SIZE = 64
+
+
+def _near(spark: SparkSession, sf_dir: str, metric: str, prior: bool = False) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 100, among all rows, or all earlier ones; components
+    are normalised by all rows."""
+    raw = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    v = raw.select("vec_id", analogs.normalised(F.col("v"), *analogs.normaliser(raw, "v", _SIZE)).alias("v"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("query_vector"), F.col("vec_id").alias("query_order"))
+    return analogs.nearest(asked, v, "v", "vec_id", 5, metric, prior_only=prior)
 
 
 _DIST = {
@@ -400,30 +538,32 @@ _DIST = {
     "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2])))",
     "cosine": "1 - list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))",
 }
+_VECTORS = """e AS (SELECT vec_id, unnest(cast(embedding AS double[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), st AS (SELECT i, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1.0 END AS s FROM e GROUP BY i), v AS (SELECT vec_id, list((x - m) / s ORDER BY i) AS v FROM e JOIN st USING (i) GROUP BY vec_id)"""
 
 
-def _near_sql(metric: str, name: str = "k") -> str:
-    return f"v AS (SELECT vec_id, cast(embedding AS double[]) AS v FROM embeddings), {name} AS (SELECT * FROM (SELECT a.vec_id AS query, b.vec_id AS candidate, {_DIST[metric]} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST[metric]}, b.vec_id) AS rank FROM v a JOIN v b ON b.vec_id < a.vec_id WHERE a.vec_id BETWEEN 100 AND 119) WHERE rank <= 5)"
+def _near_sql(metric: str, name: str = "k", prior: bool = False) -> str:
+    which = "b.vec_id < a.vec_id" if prior else "b.vec_id <> a.vec_id"
+    return f"{name} AS (SELECT * FROM (SELECT query, candidate, distance, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS candidate, {_DIST[metric]} AS distance FROM v a JOIN v b ON {which} WHERE a.vec_id % 100 = 0)) WHERE rank <= 5)"
 
 
 def _knn(metric: str):
     QUERIES[f"knn_{metric}"] = lambda spark, sf_dir: rounded(_near(spark, sf_dir, metric).withColumn("rank", F.col("rank").cast("bigint")))
-    SQL[f"knn_{metric}"] = f"WITH {_near_sql(metric)} SELECT query, candidate, round(distance, 4) AS distance, rank FROM k"
+    SQL[f"knn_{metric}"] = f"WITH {_VECTORS}, {_near_sql(metric)} SELECT query, candidate, round(distance, 4) AS distance, rank FROM k"
 
 
 for _metric in _DIST:
     _knn(_metric)
 
 
-@query(f"WITH {_near_sql('euclidean')} SELECT query, count(*) AS n, round(greatest(0.0, least(1.0, (0.5 + sum((label % 2) / (1 + distance))) / (1 + sum(1 / (1 + distance))))), 4) AS probability FROM k JOIN embeddings ON candidate = vec_id GROUP BY 1")
+@query(f"WITH {_VECTORS}, {_near_sql('euclidean', prior=True)} SELECT query, count(*) AS n, round(greatest(0.0, least(1.0, (0.5 + sum((label % 2) / (1 + distance))) / (1 + sum(1 / (1 + distance))))), 4) AS probability FROM k JOIN embeddings ON candidate = vec_id GROUP BY 1")
 def analog_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _near(spark, sf_dir, "euclidean").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("candidate"), "label"), "candidate")
+    near = _near(spark, sf_dir, "euclidean", prior=True).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("candidate"), "label"), "candidate")
     return rounded(analogs.vote(near, F.col("label") % 2))
 
 
-@query(f"WITH {_near_sql('euclidean', 'k')}, {_near_sql('cosine', 'c').split('FROM embeddings), ', 1)[1]}, x AS (SELECT query, list(candidate) AS a FROM k GROUP BY 1), y AS (SELECT query, list(candidate) AS b FROM c GROUP BY 1) SELECT query, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) AS jaccard FROM x JOIN y USING (query)")
+@query(f"WITH {_VECTORS}, {_near_sql('euclidean', 'k', True)}, {_near_sql('cosine', 'c', True)}, x AS (SELECT query, list(candidate) AS a FROM k GROUP BY 1), y AS (SELECT query, list(candidate) AS b FROM c GROUP BY 1) SELECT query, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 4) AS jaccard FROM x JOIN y USING (query)")
 def analog_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analogs.overlap(_near(spark, sf_dir, "euclidean"), _near(spark, sf_dir, "cosine")))
+    return rounded(analogs.overlap(_near(spark, sf_dir, "euclidean", prior=True), _near(spark, sf_dir, "cosine", prior=True)))
 
 
 @query(r"SELECT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS claim, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
@@ -444,9 +584,24 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(semantic.hash_embedding(table(spark, sf_dir, "benchmark"), "item_id", "text"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(api[_-]?key|secret|token|password)(\s*[=:]\s*)\S+', '\1\2[REDACTED]', 'gi'), '(bearer )[A-Za-z0-9._-]+', '\1[REDACTED]', 'gi'), '([?&](?:key|sig|signature)=)[^&\s]+', '\1[REDACTED]', 'gi')) AS digest FROM documents""")
+def _redact_sql() -> str:
+    names = "(?:api[_-]?key|apikey|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|(?:access|refresh|auth|id)?[_-]?token|password|passwd|pwd|signature|sig)"
+    steps = (
+        (r"(authorization\s*[=:]\s*[\"'']?(?:(?:basic|bearer|digest|token)\s+)?)[^\s,\"'']+", r"\1[REDACTED]"), (r"\b(bearer\s+)[A-Za-z0-9\-._~+/]+=*", r"\1[REDACTED]"), (r"\b([a-z][a-z0-9+.-]*://)[^\s/?#@]+@", r"\1[REDACTED]@"),
+        (rf"\b({names}[\"'']?\s*[=:]\s*[\"'']?)[^\s,;&#\"'']+", r"\1[REDACTED]"), (r"([?&]key=)[^\s&#,;\"'']+", r"\1[REDACTED]"),
+    )
+    text = "x"
+    for pattern, new in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'gi')"
+    return f"WITH t AS (SELECT doc_id AS id, text AS x FROM documents UNION ALL SELECT -1 - page_id, 'GET ' || url || '?api_key=k' || page_id || '&y=1' || chr(10) || 'Authorization: Basic dTpw' || page_id || chr(10) || 'Bearer abc+def/gh==' FROM pages) SELECT id, sha256({text}) AS digest FROM t"
+
+
+@query(_redact_sql())
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(semantic.redacted(F.col("text")), 256).alias("digest"))
+    """Documents, and requests for pages with secrets in addresses and headers."""
+    request = F.concat(F.lit("GET "), "url", F.lit("?api_key=k"), F.col("page_id").cast("string"), F.lit("&y=1\nAuthorization: Basic dTpw"), F.col("page_id").cast("string"), F.lit("\nBearer abc+def/gh=="))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(table(spark, sf_dir, "pages").select(-1 - F.col("page_id"), request))
+    return rows.select("id", F.sha2(semantic.redacted(F.col("text")), 256).alias("digest"))
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') THEN regexp_replace(url, '#.*$', '') END AS uri FROM pages")
@@ -460,9 +615,9 @@ def entity_alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.alias_conflicts(rows.withColumn("alias", F.concat("n_name", F.lit("-"), (F.col("c_custkey") % 7).cast("string"))), "alias", "c_mktsegment")
 
 
-@query("WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 40), z AS (SELECT a, b FROM l UNION SELECT b, a FROM l), k AS (SELECT p_partkey AS c FROM part WHERE p_size < 30) SELECT a, b FROM z WHERE a <> b AND a IN (FROM k) AND b IN (FROM k)")
+@query("WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), z AS (SELECT a, b FROM l UNION SELECT b, a FROM l), k AS (SELECT p_partkey AS c FROM part) SELECT a, b FROM z WHERE a <> b AND a IN (FROM k) AND b IN (FROM k)")
 def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.contradictions(table(spark, sf_dir, "lineitem").where("l_quantity > 40"), table(spark, sf_dir, "part").where("p_size < 30"), "l_partkey", "l_suppkey", "p_partkey")
+    return semantic.contradictions(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"), "l_partkey", "l_suppkey", "p_partkey")
 
 
 @query("""WITH b AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, (o_orderstatus = 'O')::int AS fresh FROM orders) SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price, fresh FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY fresh DESC, o_orderdate DESC, o_orderkey DESC) AS rn FROM b) WHERE rn = 1""")
@@ -498,26 +653,89 @@ def tumbling_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("window_start").cast("bigint").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT event_type AS key, ts FROM events WHERE value > 50), k AS (SELECT key, min(ts) AS ts FROM a GROUP BY key UNION ALL SELECT k.key, min(a.ts) AS ts FROM k JOIN a ON a.key = k.key AND a.ts >= k.ts + INTERVAL 4 HOUR GROUP BY k.key)
+SELECT key, epoch_us(ts) AS fired FROM k""")
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.streaming import cooled
 
     hot = table(spark, sf_dir, "events").where("value > 50").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return cooled(hot, "key", "ts", 4 * 3600).select("key", F.col("ts").cast("string").alias("ts"))
+    return cooled(hot, "key", "ts", 4 * 3600).select("key", F.unix_micros("ts").alias("fired"))
+
+
+def _logistic_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, w = F.col("p"), _series("n")
+    days = _labelled(spark, sf_dir).select("n", "resolved", (F.lead("p", 7).over(w) > p).alias("actual"), timeseries.trailing_return(p, w, 1).alias("r1"), timeseries.trailing_return(p, w, 7).alias("r7")).dropna()
+    return days, F.broadcast(research.walk_forward_folds(days, "n", "resolved", 365, 30, 7).select("fold_index", "test_start", "test_end"))
 
 
 @query()
 def baseline_b4_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("p")
-    w = Window.partitionBy(F.lit(0)).orderBy("n")
-    days = _labelled(spark, sf_dir).select("n", "resolved", (F.lead("p", 7).over(w) > p).alias("actual"), timeseries.trailing_return(p, w, 1).alias("r1"), timeseries.trailing_return(p, w, 7).alias("r7")).dropna()
-    fit = F.broadcast(research.walk_forward_folds(days, "n", "resolved", 365, 365, 7).select("fold_index", "test_start"))
-    return research.fit_logistic(days.join(fit, F.col("resolved") < F.col("test_start") - 7), ["fold_index"], ["r1", "r7"], ["n"], iterations=200)
+    """Each fold's logistic model and its predictions of the fold's days; tests hold it against plain loops."""
+    days, folds = _logistic_days(spark, sf_dir)
+    fits = research.fit_logistic(days.join(folds, F.col("resolved") < F.col("test_start") - 7), ["fold_index"], ["r1", "r7"], ["n"])
+    tests = days.join(folds, F.col("n").between(F.col("test_start"), F.col("test_end"))).select("fold_index", "n", "actual", "r1", "r7")
+    return research.predict_logistic(tests, fits, ["fold_index"], ["r1", "r7"]).select("fold_index", "n", "actual", "kind", F.round("score", 6).alias("score"))
 
 
 @query()
 def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(research.platt(_scored(spark, sf_dir), ["lang"]))
+    """Calibration of each language's scores, and what it does to them; tests hold it against plain Newton steps."""
+    scored = _scored(spark, sf_dir)
+    fits = research.platt(scored, ["lang"])
+    return rounded(fits.join(research.platt_evaluation(scored, fits, ["lang"]).drop("n"), "lang"))
+
+
+@query("SELECT o_orderkey, epoch(cast(o_orderdate AS timestamp) + INTERVAL 7 DAY)::bigint AS week, epoch(cast(o_orderdate AS timestamp) + INTERVAL 1 MONTH)::bigint AS month, epoch(cast(o_orderdate AS timestamp) + INTERVAL 3 MONTH)::bigint AS quarter, epoch(cast(o_orderdate AS timestamp) + INTERVAL 1 YEAR)::bigint AS year FROM orders")
+def horizon_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    ends = {"week": "1w", "month": "1mo", "quarter": "3mo", "year": "1y"}
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(F.floor(microstructure.epoch(horizon_end(at, h))).alias(n) for n, h in ends.items()))
+
+
+@query("""WITH old AS (SELECT o_orderkey AS k, o_orderstatus AS d FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS d FROM lineitem)
+SELECT k, d, 'NEW' AS state FROM new WHERE k NOT IN (SELECT k FROM old) UNION ALL SELECT DISTINCT new.k, NULL, 'CONFLICT' FROM new JOIN old USING (k) WHERE new.d <> old.d""")
+def ledger_insert_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows of a ledger, and keys that are there with another digest."""
+    old = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("d"))
+    fresh, clash = store.insert_once(old, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("d")), "k", "d")
+    return fresh.select("k", "d", F.lit("NEW").alias("state")).union(clash.select("k", F.lit(None).cast("string"), F.lit("CONFLICT")))
+
+
+@query("""WITH a AS (SELECT event_type, cast(ts AS date) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, day, CASE WHEN event_type = 'error' THEN 'MISSING' ELSE 'CHANGED' END AS problem FROM a
+WHERE event_type = 'error' OR EXISTS (SELECT 1 FROM events e WHERE e.event_type = a.event_type AND cast(e.ts AS date) = a.day AND e.event_id % 1000 = 7)""")
+def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest against rows of which one type is gone and some others come twice: repeats don't cancel."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    now = events.where("event_type <> 'error'")
+    now = now.union(now.where("event_id % 1000 = 7")).union(now.where("event_id % 1000 = 7"))
+    return store.verified(store.manifest(events, ["event_type", "day"], F.col("event_id"), "ts"), now, ["event_type", "day"], F.col("event_id"), "ts")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, 'c' || turn AS cursor, CASE WHEN turn < (SELECT max(turn) FROM conversations) THEN 'c' || (turn + CASE WHEN conv_id % 7 = 3 THEN 2 ELSE 1 END) END AS following FROM conversations WHERE NOT (conv_id % 5 = 2 AND turn = 1)),
+w AS (SELECT conv_id, turn, cursor, following, lag(turn) OVER v AS t0, lag(following) OVER v AS f0 FROM (SELECT conv_id, turn, any_value(cursor) AS cursor, any_value(following) AS following FROM c GROUP BY 1, 2) WINDOW v AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, 'GAP' AS problem FROM w WHERE coalesce(turn <> t0 + 1, turn <> 0) UNION ALL SELECT conv_id, turn, 'AFTER_END' FROM w WHERE t0 IS NOT NULL AND f0 IS NULL UNION ALL SELECT conv_id, turn, 'CURSOR' FROM w WHERE f0 <> cursor""")
+def backfill_page_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stand for pages of a conversation's backfill; some are missing, and some cursors skip one."""
+    talk = table(spark, sf_dir, "conversations")
+    last = talk.agg(F.max("turn").alias("_last"))  # one row
+    rows = talk.where(~((F.col("conv_id") % 5 == 2) & (F.col("turn") == 1))).join(F.broadcast(last), how="cross").dropDuplicates(["conv_id", "turn"])
+    cursor = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    pages = rows.select("conv_id", "turn", cursor(F.col("turn")).alias("cursor"), F.when(F.col("turn") < F.col("_last"), cursor(F.col("turn") + F.when(F.col("conv_id") % 7 == 3, 2).otherwise(1))).alias("following"), F.lit(1).alias("rows"))
+    return store.page_problems(pages, "conv_id", "turn", "cursor", "following", "rows").select("conv_id", "turn", "problem")
+
+
+@query("""WITH l AS (SELECT l_partkey AS part, round(l_extendedprice / l_quantity, 2) AS price, l_quantity AS q FROM lineitem), m AS (SELECT part, median(price) AS mid FROM l GROUP BY 1),
+b AS (SELECT part, list({p: price, q: q} ORDER BY price DESC, q) FILTER (price < mid) AS bids, list({p: price, q: q} ORDER BY price, q) FILTER (price > mid) AS asks FROM l JOIN m USING (part) GROUP BY 1), t AS (SELECT *, (bids[1].p + asks[1].p) / 2 AS mid FROM b WHERE len(bids) > 0 AND len(asks) > 0),
+i AS (SELECT *, coalesce(list_sum(list_transform(list_filter(bids, lambda x: round(abs(x.p - mid) / mid * 1e4, 6) <= 100), lambda x: x.p * x.q)), 0) AS x, coalesce(list_sum(list_transform(list_filter(asks, lambda x: round(abs(x.p - mid) / mid * 1e4, 6) <= 100), lambda x: x.p * x.q)), 0) AS y FROM t)
+SELECT part, round(mid, 4) AS mid, round((asks[1].p - bids[1].p) / mid * 1e4, 4) AS spread_bps, round((asks[1].p * bids[1].q + bids[1].p * asks[1].q) / (asks[1].q + bids[1].q), 4) AS microprice, round(CASE WHEN x + y = 0 THEN 0.0 ELSE (x - y) / (x + y) END, 4) AS imbalance_100 FROM i""")
+def book_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part's lines below and above its median price are the sides of its book."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.col("l_quantity").alias("quantity"))
+    level, both = F.struct("price", "quantity"), rows.join(rows.groupBy("part").agg(F.median("price").alias("mid")), "part")
+    # A part has a few dozen lines at any scale.
+    side = lambda c, sign: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct((sign * F.col("price")).alias("o"), "quantity", level.alias("level"))))), lambda x: x["level"])
+    books = both.groupBy("part").agg(side(F.col("price") < F.col("mid"), -1).alias("bids"), side(F.col("price") > F.col("mid"), 1).alias("asks")).where("size(bids) > 0 and size(asks) > 0")
+    return rounded(microstructure.book_metrics(books).select("part", "mid", "spread_bps", "microprice", "imbalance_100"))
 
 
 @query(f"""WITH {_DAILY}, x AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, p, p / lag(p, 30) OVER (ORDER BY d) - 1 AS r, lead(p, 7) OVER (ORDER BY d) / p - 1 AS f FROM daily), s AS (SELECT greatest(0.0, least(100.0, 50 + 50 * r / 0.45)) / 100 AS q, f > 0 AS y FROM x WHERE i >= 365 AND (i - 365) % 7 = 0 AND f IS NOT NULL)
@@ -569,12 +787,11 @@ def book_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("part", F.round(F.coalesce(F.try_divide(F.col("bid") - F.col("ask"), F.col("bid") + F.col("ask")), F.lit(0.0)), 4).alias("imbalance"))
 
 
-@query("""WITH c AS (SELECT conv_id AS claim, any_value(CASE WHEN turn % 2 = 0 THEN 'FACT' ELSE 'OPINION' END) AS status FROM conversations WHERE turn = (SELECT min(turn) FROM conversations) GROUP BY 1), l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45 AND l_partkey <> l_suppkey),
+@query("""WITH c AS (SELECT conv_id AS claim, any_value(CASE WHEN turn % 2 = 0 THEN 'FACT' ELSE 'OPINION' END) AS status FROM conversations WHERE turn = (SELECT min(turn) FROM conversations) GROUP BY 1), l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey <> l_suppkey),
 p AS (SELECT a, b FROM l UNION SELECT b, a FROM l), k AS (SELECT a, b FROM p WHERE a IN (SELECT claim FROM c) AND b IN (SELECT claim FROM c))
 SELECT claim, CASE WHEN status = 'FACT' AND EXISTS (SELECT 1 FROM k JOIN c d ON d.claim = k.b WHERE k.a = c.claim AND d.status = 'FACT') THEN 'DISPUTED' ELSE status END AS status FROM c""")
 def disputed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations")
     first = talk.agg(F.min("turn").alias("_t"))  # one row
     claims = talk.join(F.broadcast(first), F.col("turn") == F.col("_t")).select(F.col("conv_id").alias("claim"), F.when(F.col("turn") % 2 == 0, "FACT").otherwise("OPINION").alias("status")).distinct()
-    links = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
-    return semantic.disputed(claims, semantic.contradictions(links, claims, "l_partkey", "l_suppkey", "claim"), "claim", "status")
+    return semantic.disputed(claims, semantic.contradictions(table(spark, sf_dir, "lineitem"), claims, "l_partkey", "l_suppkey", "claim"), "claim", "status")
