@@ -1,7 +1,9 @@
 """Small fixtures with known answers."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -57,14 +59,14 @@ def test_zscore_of_a_flat_window_is_zero_and_a_short_one_null(spark):
 
 
 def test_scores_without_features_are_blocked_and_fifty(spark):
-    df = spark.createDataFrame([(1,)], "d int").withColumn("btc_7d", F.lit(None).cast("double"))
+    df = spark.createDataFrame([(1,)], "d int").withColumn("btc_return_7d", F.lit(None).cast("double"))
     row = regime.blended(regime.component_scores(df), regime.WEIGHTS["1d"]).first()
     assert row.bull_score == 50 and row.label == "DEGRADED" and row.coverage == 0
 
 
 def test_full_features_give_a_label_and_drivers(spark):
-    names = [f for terms in regime.TERMS.values() for f, _, _ in terms] + ["funding_z", "oi_price_divergence", "liquidation_impulse", "activity_z"]
-    df = spark.createDataFrame([(1,)], "d int").withColumns({n: F.lit(0.0) for n in names}).withColumn("btc_7d", F.lit(1.0))
+    names = [f for terms in regime.TERMS.values() for f, _, _ in terms] + ["funding_z", "oi_price_divergence", "liquidation_impulse", "ledger_activity_z"]
+    df = spark.createDataFrame([(1,)], "d int").withColumns({n: F.lit(0.0) for n in names}).withColumn("btc_return_7d", F.lit(1.0))
     scored = regime.blended(regime.component_scores(df), regime.WEIGHTS["1d"])
     row = scored.select("*", regime.key_drivers(scored, list(regime.WEIGHTS["1d"])).alias("top")).first()
     assert row.label in ("BULLISH", "NEUTRAL") and not row.blocked and row.top[0] == "derivatives"
@@ -72,11 +74,26 @@ def test_full_features_give_a_label_and_drivers(spark):
     assert regime.alerts(scored, "d", F.lit(80.0)).first().rule == "distribution_risk"
 
 
-@pytest.mark.parametrize(("signals", "want"), [({"breakout": -0.8}, "FAILED_BREAKOUT"), ({}, "NO_DATA"), ({"trend": 0.2, "drawdown": 0.4}, "RECOVERY")])
-def test_ladder(spark, signals, want):
-    names = ("trend", "relative", "volatility", "drawdown", "crowding", "leverage", "distribution", "breakout", "spot", "liquidity", "deleveraging")
-    df = spark.range(1).withColumns({n: F.lit(signals.get(n)).cast("double") for n in names})
-    assert df.select(regime.regime_ladder().alias("r")).first().r == want
+SIGNALS = [n for n, _, _ in regime.SIGNALS]
+
+
+@pytest.mark.parametrize(("signals", "want"), [
+    ({"breakout": -0.8}, ("FAILED_BREAKOUT", 1.0)), ({"trend": 0.2, "drawdown_stress": 0.4}, ("RECOVERY", 1.0)), ({"trend": None}, ("NO_DATA", "MISSING_REQUIRED_SIGNALS:trend")),
+    ({"trend": 0.3}, ("NO_DATA", "NO_RULE_WITH_SUFFICIENT_SEPARATION")), ({n: None for n in SIGNALS[4:]}, ("NO_DATA", "INSUFFICIENT_SIGNAL_COVERAGE")),
+])
+def test_classified(spark, signals, want):
+    """Signals are 0 where the case doesn't say otherwise."""
+    row = regime.classified(spark.range(1).withColumns({n: F.lit(signals.get(n, 0.0)).cast("double") for n in SIGNALS})).first()
+    if row.regime == "NO_DATA":
+        assert (row.regime, *row.reasons) == want and row.confidence == 0
+    else:
+        strongest = max(abs(v) for v in signals.values())
+        assert (row.regime, row.signal_coverage) == want and row.reasons == [] and row.confidence == pytest.approx(0.5 + 0.5 * strongest)
+
+
+def test_signals_are_scaled_and_clipped(spark):
+    row = regime.signals(spark.range(1).select(F.lit(0.15).alias("trailing_return_30d"), F.lit(9.0).alias("breakout_score"), F.lit(float("nan")).alias("distribution_score"))).first()
+    assert row.trend == pytest.approx(0.5) and row.breakout == 1.0 and row.distribution is None and row.leverage is None
 
 
 def test_eligibility(spark):
@@ -122,11 +139,40 @@ def test_purge_is_strict(spark):
     assert [(f.test_start, f.n_train, f.n_purged) for f in folds] == [(4, 1, 3), (6, 3, 3), (8, 5, 3)]
 
 
-def test_window_is_open_on_the_left(spark):
+def samples(spark, rows):
+    """rows: (seconds before T0 of the observation, of availability, of the fetch, value)."""
+    back = lambda s: T0 - dt.timedelta(seconds=s)
+    return spark.createDataFrame([(back(o), back(a), back(f), v) for o, a, f, v in rows], "ts timestamp_ntz, av timestamp_ntz, fe timestamp_ntz, v double")
+
+
+def window(spark, rows, seconds=60):
     at = spark.createDataFrame([(T0,)], "at timestamp_ntz")
-    ev = spark.createDataFrame([(T0 - dt.timedelta(seconds=s), float(s)) for s in (0, 20, 59, 60, 61)], "ts timestamp_ntz, v double")
-    row = microstructure.trailing_windows(ev, at, 60, "ts", F.col("v")).first()
-    assert row.n == 3 and row.last_value == 0.0 and row.first_value == 59.0 and row.flags == []
+    return microstructure.trailing_windows(samples(spark, rows), at, seconds, "ts", F.col("v"), F.col("av"), F.col("fe")).first()
+
+
+def test_window_is_open_on_the_left(spark):
+    row = window(spark, [(s, s, s, float(s)) for s in (0, 20, 59, 60, 61)])
+    assert row.n == 3 and row.last_value == 0.0 and row.first_value == 59.0 and row.flags == [] and row.regime_eligible
+
+
+def test_window_knows_nothing_that_came_later(spark):
+    row = window(spark, [(50, 50, 50, 1.0), (10, 8, 7, 2.0), (5, -1, -1, 3.0), (4, 4, -1, 4.0), (3, -1, 3, 5.0)])
+    assert row.n == 2 and row.last_value == 2.0 and row.lag_seconds == 3.0 and row.flags == [] and row.regime_eligible
+    late = window(spark, [(50, 50, 50, 1.0), (10, 3, 3, 2.0)])
+    assert late.flags == ["INGESTION_LAG"] and not late.regime_eligible
+    assert window(spark, [(5, -1, -1, 3.0)]) is None and "STALE_WINDOW" in window(spark, [(50, 50, 50, 1.0), (30, 30, 30, 1.0)]).flags
+    with pytest.raises(ValueError, match="window of 61"):
+        window(spark, [(5, 5, 5, 1.0)], 61)
+
+
+def test_consensus_invalid_and_default_now(spark):
+    later = T0 - dt.timedelta(seconds=3600)
+    row = consensus.consensus_close(quotes(spark, [1.0, 1.0, 1.001]), now=F.lit(later).cast("timestamp_ntz")).first()
+    assert row.flags == ["INVALID"] and row.value is None and row.providers == 3 and row.freshness == 1.0
+    fresh = spark.createDataFrame([("x", p) for p in (1.0, 1.001)], "asset string, price double").withColumn("close_time", F.current_timestamp() - F.expr("INTERVAL 1 MINUTE"))
+    assert consensus.consensus_close(fresh).first().valid
+    old = quotes(spark, [1.0, 1.0]).union(quotes(spark, [5.0], 20_000))  # the stale quote is the outlier: what stays is fresh
+    assert consensus.consensus_close(old, now=F.lit(T0).cast("timestamp_ntz"), alignment_seconds=1e6).first().flags == ["OUTLIER"]
 
 
 def test_book(spark):
@@ -145,6 +191,71 @@ def test_analogs_see_only_the_past(spark):
     assert (r.x, r.y) == (0.0, 1.0)
 
 
+def test_analogs_in_blocks_and_normalised(spark, monkeypatch):
+    monkeypatch.setattr(analogs, "BLOCK", 3)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(5, 2), rng.gauss(0, 1), 4.0]) for i in range(40)]
+    raw = spark.createDataFrame(rows, "i long, v array<double>")
+    v = raw.select("i", analogs.normalised(F.col("v"), *analogs.normaliser(raw, "v", 3)).alias("v"))
+    z = np.array([r for _, r in rows])
+    z = (z - z.mean(axis=0)) / np.where(z.std(axis=0) > 1e-12, z.std(axis=0), 1.0)
+    q = v.where("i % 4 = 0").select(F.col("i").alias("query"), F.col("v").alias("query_vector"), F.col("i").alias("query_order"))
+    for prior in (True, False):
+        got = {(r.query, r["rank"]): (r.candidate, r.distance) for r in analogs.nearest(q, v, "v", "i", 3, "euclidean", min_history=2, prior_only=prior).collect()}
+        want = {}
+        for a in range(0, 40, 4):
+            near = sorted((round(float(np.linalg.norm(z[a] - z[b])), 9), b) for b in range(40) if (b < a if prior else b != a))
+            want |= {(a, k + 1): b for k, (_, b) in enumerate(near[:3])} if len(near) >= 2 else {}
+        assert {k: b for k, (b, _) in got.items()} == want
+
+
+def test_as_of_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pit, "TIMES", 2)
+    rng = random.Random(4)
+    rows = [(k, rng.choice("ab"), None if k % 9 == 0 else T0 + dt.timedelta(hours=rng.randrange(50)), rng.choice([None, 1, 2])) for k in range(80)]
+    obs = spark.createDataFrame(rows, "k int, s string, b timestamp_ntz, r int")
+    times = [T0 + dt.timedelta(hours=h) for h in (-5, 3, 10, 10, 30, 99)]
+    got = sorted((r.at, r.s, r.k) for r in pit.as_of(obs, spark.createDataFrame([(t,) for t in times], "at timestamp_ntz"), ["s"], "b", ["b", "r", "k"]).collect())
+    want = []
+    for t in sorted(set(times)):
+        for s in "ab":
+            able = [(b, -1 if r is None else r, k) for k, x, b, r in rows if x == s and b is not None and b <= t]
+            want += [(t, s, max(able)[2])] if able else []
+    assert got == sorted(want) and pit.as_of(obs, spark.createDataFrame([], "at timestamp_ntz"), ["s"], "b", ["b", "k"]).count() == 0
+
+
+def test_snapshots_and_manifests_see_one_other_member(spark):
+    rows = [(1, "a", i, "p", "STRICT_REPLAY") for i in (1, 2, 3, 9)]
+    make = lambda r: pit.snapshots(spark.createDataFrame(r, "at int, s string, i int, p string, k string"), "at", "i", "p", "k", ["s"])
+    same, other, text = make(rows[::-1]), make([r if r[2] != 2 else (*r[:2], 4, *r[3:]) for r in rows]), make([(1, "z", *rows[0][2:]), *rows[1:]])
+    assert pit.changed_snapshots(make(rows), same).count() == 0 and pit.changed_snapshots(make(rows), other).count() == 1 == pit.changed_snapshots(make(rows), text).count()
+    day = spark.createDataFrame([("d", k, T0) for k in (1, 2)], "d string, k int, t timestamp_ntz")
+    stated = store.manifest(day, ["d"], F.col("k"), "t")
+    assert store.verified(stated, day, ["d"], F.col("k"), "t").count() == 0
+    twice = day.union(day.where("k = 1")).union(day.where("k = 1"))
+    assert [r.problem for r in store.verified(stated, twice, ["d"], F.col("k"), "t").collect()] == ["CHANGED"]
+    more = day.union(spark.createDataFrame([("e", 1, T0)], day.schema))
+    assert [tuple(r) for r in store.verified(stated, more, ["d"], F.col("k"), "t").collect()] == [("e", "UNSTATED")]
+    assert [tuple(r) for r in store.verified(stated, day.limit(0), ["d"], F.col("k"), "t").collect()] == [("d", "MISSING")]
+    assert store.partitions_of(stated, ["d"], F.lit(T0), F.lit(T0)).count() == 1 and store.partitions_of(stated, ["d"], F.lit(T0 + dt.timedelta(1)), F.lit(T0 + dt.timedelta(2))).count() == 0
+
+
+def test_backfill_pages(spark):
+    rows = [("ok", 0, None, "b", 5), ("ok", 1, "b", None, 2), ("loop", 0, None, "b", 1), ("loop", 1, "b", "c", 1), ("loop", 2, "c", "b", 1), ("loop", 3, "b", "c", 1), ("gap", 0, None, "b", 1), ("gap", 2, "c", None, 1), ("end", 0, None, None, 1), ("end", 1, "x", None, -1), ("two", 0, None, "b", 1), ("two", 0, None, "b", 1)]
+    pages = spark.createDataFrame(rows, "source string, page long, cursor string, following string, rows long")
+    bad = store.page_problems(pages, "source", "page", "cursor", "following", "rows")
+    assert sorted(tuple(r) for r in bad.collect()) == [("end", 1, "AFTER_END"), ("end", 1, "NEGATIVE"), ("gap", 2, "CURSOR"), ("gap", 2, "GAP"), ("loop", 3, "LOOP"), ("two", 0, "REPEATED")]
+    at = {r.source: (r.pages, r.rows, r.next_cursor, r.done) for r in store.checkpoints(pages, bad, "source", "page", "following", "rows").collect()}
+    assert at == {"ok": (2, 7, None, True), "loop": (3, 3, "b", False), "gap": (1, 1, "b", False), "end": (1, 1, None, True)}
+
+
+def test_level_changes(spark):
+    level = "array<struct<price:double,quantity:double>>"
+    df = spark.createDataFrame([("x", 1, [(10.0, 2.0), (9.0, 1.0)], [(11.0, 1.0)]), ("x", 2, [(10.0, 3.0)], [(11.0, 1.0), (12.0, 2.0)]), ("y", 1, [], [])], f"s string, n int, bids {level}, asks {level}")
+    (row,) = microstructure.level_changes(df, ["s"], "n").collect()
+    assert (row.bid_added, row.bid_removed, row.ask_added, row.ask_removed) == (10.0, 9.0, 24.0, 0.0)
+
+
 def test_disputed_facts(spark):
     claims = spark.createDataFrame([("a", "FACT"), ("b", "FACT"), ("c", "OPINION")], "claim string, status string")
     links = spark.createDataFrame([("a", "b"), ("c", "a"), ("a", "zz")], "x string, y string")
@@ -172,3 +283,12 @@ def test_scalars(spark):
     ).first()
     assert row.r is None and row.s == 100 and row.n is None and row.p == pytest.approx(0.3) and row.j == 0.5 and row.c
     assert row.h == dt.datetime(2026, 2, 28) and row.red == "token=[REDACTED] Bearer [REDACTED]" and row.u is None and row.v == "https://h/a"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("Bearer abc+def/ghi==", "Bearer [REDACTED]"), ("Authorization: Basic dXNlcjpw, next", "Authorization: Basic [REDACTED], next"), ("Authorization: Bearer a.b-c~d\nline", "Authorization: Bearer [REDACTED]\nline"),
+    ("https://h/?api_key=x&y=1#z", "https://h/?api_key=[REDACTED]&y=1#z"), ("https://u:p@h/a", "https://[REDACTED]@h/a"), ('{"password": "p w", "a": 1}', '{"password": "[REDACTED] w", "a": 1}'),
+    ("refresh_token = q, SECRET:z", "refresh_token = [REDACTED], SECRET:[REDACTED]"), ("the bearer of news, tokens and keys", "the bearer [REDACTED] news, tokens and keys"), ("", ""),
+])
+def test_redaction(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(semantic.redacted(F.col("t")).alias("r")).first().r == want

@@ -40,7 +40,15 @@ def test_macro_and_books(spark):
     assert {r.metric: r.value for r in landed.ledger_metrics(rows(spark, {"result": {"info": {}}})).collect()} == {"load_factor": 1.0, "base_fee": 0.0, "sequence": 0.0}
 
 
-def test_paged_source(spark):
-    spark.dataSource.register(landed.PagedSource)
-    df = spark.read.format("paged").option("pages", 3).option("rows", 4).load()
-    assert df.count() == 12 and df.select(F.count_distinct("page")).first()[0] == 3
+def test_pages_funding_and_open_interest(spark):
+    envelope = spark.createDataFrame([("s", 0, json.dumps({"cursor": None, "next": "b", "items": [{"a": 1}, 2]})), ("s", 1, "not json")], "source string, page int, payload string")
+    first, second = landed.pages(envelope).orderBy("page").collect()
+    assert (first.cursor, first.following, first.rows, first["items"]) == (None, "b", 2, ['{"a":1}', "2"]) and second["items"] is None
+    one = {"symbol": "X", "markPrice": "1.5", "indexPrice": "bad", "lastFundingRate": "-0.0001", "nextFundingTime": T * 1000, "time": T * 1000}
+    for payload in (one, [one]):
+        (row,) = landed.funding_states(rows(spark, payload)).collect()
+        assert (row.symbol, row.mark_price, row.index_price, row.funding_rate, row.observed_at, row.fetched_at) == ("X", 1.5, None, -0.0001, dt.datetime(2026, 1, 1), NOW)
+    (row,) = landed.open_interest(rows(spark, {"symbol": "X", "openInterest": "12.5", "time": T * 1000})).collect()
+    assert (row.symbol, row.open_interest, row.observed_at) == ("X", 12.5, dt.datetime(2026, 1, 1))
+    health = landed.health(spark.createDataFrame([("p", NOW, True), ("q", NOW, None)], "provider string, checked_at timestamp_ntz, ok boolean"), F.col("ok"))
+    assert sorted((r.provider, r.status, r.freshness) for r in health.collect()) == [("p", "ok", 1.0), ("q", "down", 0.0)]
