@@ -16,11 +16,12 @@ PRICE_BARRIERS = (2, 3, 3.65, 5, 7.34, 10, 17, 26.6, 50)
 RETURN_BARRIERS = (0.01, 0.02, 0.05, 0.10)
 
 
-def outcome_labels(series: DataFrame, key: Sequence[str], step: str, price: str, horizon: int, returns: Sequence[float] = RETURN_BARRIERS) -> DataFrame:
+def outcome_labels(series: DataFrame, key: Sequence[str], step: str, price: str, horizon: int, returns: Sequence[float] = RETURN_BARRIERS, prices: Sequence[float] = ()) -> DataFrame:
     """Adds to each row the outcome over the next `horizon` steps (`step` is a whole number, such as a day).
 
     future_return, mfe >= 0 >= mae (the start counts), path_volatility (root of summed squared log returns),
-    max_drawdown, n_path, resolved_step and touch_up_<k>/touch_down_<k>. Each row meets `horizon` rows at most, found by
+    max_drawdown, n_path, resolved_step, touch_up_<k>/touch_down_<k>, and for `prices` touch_price_<k>: whether the path
+    reaches a level from the side that it starts on. Each row meets `horizon` rows at most, found by
     windows over the series; rows without a full path have resolved null."""
     w = Window.partitionBy(*key).orderBy(step) if key else Window.partitionBy(F.lit(0)).orderBy(step)
     ahead = w.rangeBetween(0, horizon)
@@ -38,10 +39,37 @@ def outcome_labels(series: DataFrame, key: Sequence[str], step: str, price: str,
         "path_volatility": F.sqrt(F.sum(F.col("_log") * F.col("_log")).over(after)),
         "max_drawdown": falls,
     })
+    level = lambda k: F.when(p < k, F.max(p).over(ahead) >= k).when(p > k, F.min(p).over(ahead) <= k).otherwise(True)
+    df = df.withColumns({f"touch_price_{number_name(k).replace('.', '_')}": level(k) for k in prices})
     touch = {f"touch_{d}_{str(k).replace('.', '_')}": (F.col("mfe") >= k) if d == "up" else (F.col("mae") <= -k) for k in returns for d in ("up", "down")}
     return df.withColumns(touch).drop("_log", "_path")
 
 
+def number_name(k: float) -> str:
+    """A number as short text: 2 for 2.0, 3.65 as it is."""
+    return str(int(k)) if float(k).is_integer() else repr(float(k))
+
+
+def event_keys(returns: Sequence[float] = RETURN_BARRIERS, prices: Sequence[float] = PRICE_BARRIERS) -> list[str]:
+    """Names of the binary events that a label answers, in order."""
+    out = ["return_gt_0"]
+    for k in returns:
+        out += [f"touch_return_up:{number_name(k)}", f"touch_return_down:{number_name(k)}"]
+    return out + [f"touch_price:{number_name(k)}" for k in prices]
+
+
+def event_outcomes(labels: DataFrame, key: Sequence[str], returns: Sequence[float] = RETURN_BARRIERS, prices: Sequence[float] = PRICE_BARRIERS) -> DataFrame:
+    """key, event, actual: one row for each label and event of `event_keys`. Labels are those of `outcome_labels` with the
+    same barriers; a label without a path answers nothing."""
+    name = lambda k: str(k).replace(".", "_")
+    answers = [F.col("future_return") > 0]
+    for k in returns:
+        answers += [F.col(f"touch_up_{name(k)}"), F.col(f"touch_down_{name(k)}")]
+    answers += [F.col(f"touch_price_{number_name(k).replace('.', '_')}") for k in prices]
+    rows = F.array(*(F.struct(F.lit(e).alias("event"), a.alias("actual")) for e, a in zip(event_keys(returns, prices), answers)))
+    return labels.where("n_path > 0").select(*key, F.inline(rows))
+
+
 def walk_forward_folds(labelled: DataFrame, time: str, resolved: str, min_train: int, test_size: int, embargo: int, max_train: int | None = None) -> DataFrame:
     """One row per emitted fold: fold_index, test_start, test_end, n_test, n_train, n_purged.
 
@@ -149,6 +177,17 @@ def skill_gate(metrics: DataFrame, keys: Sequence[str], kind: str = "kind", base
     return df.withColumn("reasons", why).withColumn("passed", F.size("reasons") == 0).drop("_b", "_l")
 
 
+def model_registry(metrics: DataFrame, keys: Sequence[str], kind: str = "kind", baseline: str = "B0") -> tuple[DataFrame, DataFrame]:
+    """(entries, cells). entries: keys, kind, n, brier, log_loss and state, REFERENCE_BASELINE, ELIGIBLE_CHALLENGER (it passes
+    the skill gate) or REJECTED. cells: keys, eligible and challenger, the eligible kind of the least brier, then log loss,
+    then name; null where none is eligible. Models in it have no authority of their own."""
+    cols = [*keys, kind, "n", "brier", "log_loss"]
+    first = metrics.where(F.col(kind) == baseline).select(*cols, F.lit("REFERENCE_BASELINE").alias("state"))
+    entries = first.union(skill_gate(metrics, keys, kind, baseline).select(*cols, F.when(F.col("passed"), "ELIGIBLE_CHALLENGER").otherwise("REJECTED")))
+    able = F.col("state") == "ELIGIBLE_CHALLENGER"
+    return entries, entries.groupBy(*keys).agg(F.count_if(able).alias("eligible"), F.min_by(kind, F.when(able, F.struct("brier", "log_loss", kind))).alias("challenger"))
+
+
 def research_matrix(horizons: DataFrame, events: DataFrame, cells: DataFrame) -> DataFrame:
     """Every horizon and event (small stated lists) with its state, MISSING where there is no cell."""
     return horizons.crossJoin(events).join(cells, ["horizon", "event"], "left").withColumn("state", F.coalesce("state", F.lit("MISSING")))

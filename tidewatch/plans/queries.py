@@ -437,6 +437,19 @@ def future_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("n", "n_path", "resolved_step", "future_return", "mfe", "mae", "path_volatility", "max_drawdown", "touch_up_0_05", "touch_down_0_1"))
 
 
+@query(f"""WITH {_DAILY}, n AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, p FROM daily), j AS (SELECT a.n, a.p, b.n AS m, b.p AS q FROM n a JOIN n b ON b.n BETWEEN a.n AND a.n + 7),
+l AS (SELECT n, any_value(p) AS p, max(q) AS hi, min(q) AS lo, arg_max(q, m) AS last FROM j GROUP BY n HAVING count(*) > 1),
+e AS (SELECT n, unnest([{{e: 'return_gt_0', y: last / p - 1 > 0}}, {{e: 'touch_return_up:0.05', y: hi / p - 1 >= 0.05}}, {{e: 'touch_return_down:0.05', y: lo / p - 1 <= -0.05}}, {{e: 'touch_return_up:0.1', y: hi / p - 1 >= 0.1}}, {{e: 'touch_return_down:0.1', y: lo / p - 1 <= -0.1}},
+  {', '.join(f"{{e: 'touch_price:{k}', y: CASE WHEN p < {k} THEN hi >= {k} WHEN p > {k} THEN lo <= {k} ELSE true END}}" for k in (120000, 150000.5))}], recursive := true) FROM l)
+SELECT e AS event, count(*) AS n, count_if(y) AS yes FROM e GROUP BY 1""")
+def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each binary event comes true within a week."""
+    returns, prices = (0.05, 0.1), (120000, 150000.5)
+    labels = research.outcome_labels(daily(spark, sf_dir).select("n", "p"), [], "n", "p", 7, returns, prices)
+    out = research.event_outcomes(labels, ["n"], returns, prices)
+    return out.groupBy("event").agg(F.count("*").alias("n"), F.count_if("actual").alias("yes"))
+
+
 _LABELLED = f"{_DAILY}, x AS (SELECT date_diff('day', DATE '1970-01-01', d) AS n, row_number() OVER (ORDER BY d) - 1 AS i FROM daily), l AS (SELECT n, n + 7 + n % 3 AS resolved, i FROM x)"
 _FOLDS = f"""{_LABELLED}, b AS (SELECT (i - 365) // 30 AS block, min(n) AS s, max(n) AS e, count(*) AS n_test, min(i) AS f FROM l WHERE i >= 365 GROUP BY 1),
 t AS (SELECT block, s, e, n_test, f, count(l.n) AS fit FROM b LEFT JOIN l ON l.resolved < s - 7 AND l.i < f GROUP BY ALL),
@@ -488,6 +501,17 @@ def skill_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", "n", F.round("brier_gain", 6).alias("brier_gain"), F.round("log_loss_change", 6).alias("log_loss_change"), "passed")
 
 
+@query(f"""WITH {_PRED}, m AS (SELECT n % 4 AS cell, kind, count(*) AS n, avg(actual::int) AS base_rate, avg((score - actual::int) ** 2) AS brier, avg(-(actual::int * ln(score) + (1 - actual::int) * ln(1 - score))) AS log_loss FROM pred GROUP BY 1, 2),
+g AS (SELECT a.cell, a.kind, a.brier, a.log_loss, CASE WHEN a.kind = 'B0' THEN 'REFERENCE_BASELINE' WHEN a.n >= 50 AND round(a.base_rate * a.n) >= 5 AND a.n - round(a.base_rate * a.n) >= 5 AND b.brier - a.brier >= 0 AND a.log_loss - b.log_loss <= 0 THEN 'ELIGIBLE_CHALLENGER' ELSE 'REJECTED' END AS state FROM m a JOIN m b ON a.cell = b.cell AND b.kind = 'B0')
+SELECT cell, count_if(state = 'ELIGIBLE_CHALLENGER') AS eligible, arg_min(kind, brier) FILTER (state = 'ELIGIBLE_CHALLENGER') AS challenger, string_agg(kind || ':' || state, ',' ORDER BY kind) AS entries FROM g GROUP BY 1""")
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each kind of model, by cell (days by their remainder by 4), and the challenger of each."""
+    metrics = research.calibration(_predictions(spark, sf_dir).withColumn("cell", F.col("n") % 4), ["cell", "kind"])
+    entries, cells = research.model_registry(metrics, ["cell"])
+    listed = entries.groupBy("cell").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(":"), "state"))), ",").alias("entries"))  # a kind each
+    return cells.join(listed, "cell")
+
+
 _SCORED = "s AS (SELECT lang, quality = 1 AS actual, least(1.0, round(n_chars / 8000.0, 3)) AS score FROM documents JOIN labels USING (doc_id))"
 
 
