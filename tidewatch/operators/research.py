@@ -177,6 +177,19 @@ def skill_gate(metrics: DataFrame, keys: Sequence[str], kind: str = "kind", base
     return df.withColumn("reasons", why).withColumn("passed", F.size("reasons") == 0).drop("_b", "_l")
 
 
+def challenger_on_subset(challenger: DataFrame, baseline: DataFrame, key: Sequence[str], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The skill gate of a challenger that answers some cases only: both are measured on the cases that it answers.
+
+    challenger, baseline: `key` of the case, `keys` of the cell, score and actual; the baseline has a row for every case of
+    the challenger's, or that case counts for neither."""
+    own = challenger.where("score IS NOT NULL AND actual IS NOT NULL").select(*keys, *key, F.col("score"), F.col("actual"))
+    side = baseline.select(*keys, *key, F.col("score").alias("_base"))
+    both = own.join(side, [*keys, *key]).select(*keys, "actual", F.inline(F.array(F.struct(F.lit("B0").alias("kind"), F.col("_base").alias("score")), F.struct(F.lit(name).alias("kind"), F.col("score").alias("score")))))
+    cell = both if keys else both.withColumn("cell", F.lit(1))
+    by = list(keys) or ["cell"]
+    return skill_gate(calibration(cell, [*by, "kind"]), by)
+
+
 def model_registry(metrics: DataFrame, keys: Sequence[str], kind: str = "kind", baseline: str = "B0") -> tuple[DataFrame, DataFrame]:
     """(entries, cells). entries: keys, kind, n, brier, log_loss and state, REFERENCE_BASELINE, ELIGIBLE_CHALLENGER (it passes
     the skill gate) or REJECTED. cells: keys, eligible and challenger, the eligible kind of the least brier, then log loss,

@@ -590,6 +590,19 @@ def analog_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analogs.overlap(_near(spark, sf_dir, "euclidean", prior=True), _near(spark, sf_dir, "cosine", prior=True)))
 
 
+@query(f"""WITH {_VECTORS}, {_near_sql('euclidean', prior=True)}, p AS (SELECT query, greatest(0.0, least(1.0, (0.5 + sum((label % 2) / (1 + distance))) / (1 + sum(1 / (1 + distance))))) AS score FROM k JOIN embeddings ON candidate = vec_id GROUP BY 1), b AS (SELECT (sum(label % 2) + 1.0) / (count(*) + 2) AS base FROM embeddings WHERE vec_id % 100 <> 0),
+x AS (SELECT label % 2 AS y, greatest(1e-12, least(1 - 1e-12, score)) AS s, base FROM p JOIN embeddings ON query = vec_id, b)
+SELECT count(*) AS n, round(avg((base - y) ** 2) - avg((s - y) ** 2), 6) AS brier_gain, round(avg(-(y * ln(s) + (1 - y) * ln(1 - s))) - avg(-(y * ln(base) + (1 - y) * ln(1 - base))), 6) AS log_loss_change, count(*) >= 50 AND sum(y) >= 5 AND count(*) - sum(y) >= 5 AND avg((base - y) ** 2) >= avg((s - y) ** 2) AND avg(-(y * ln(s) + (1 - y) * ln(1 - s))) <= avg(-(y * ln(base) + (1 - y) * ln(1 - base))) AS passed FROM x""")
+def analog_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of earlier analogs against the rate of all other rows, on the rows that have analogs."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2 == 1).alias("actual"))
+    votes = analogs.vote(_near(spark, sf_dir, "euclidean", prior=True).join(rows.withColumnRenamed("vec_id", "candidate"), "candidate"), F.col("actual"))
+    mine = votes.select(F.col("query").alias("vec_id"), F.col("probability").alias("score")).join(rows, "vec_id")
+    base = rows.where("vec_id % 100 <> 0").agg(research.smoothed_rate(F.col("actual")).alias("score"))  # one row
+    out = research.challenger_on_subset(mine, rows.where("vec_id % 100 = 0").select("vec_id").crossJoin(F.broadcast(base)), ["vec_id"], "ANALOG")
+    return out.select("n", F.round("brier_gain", 6).alias("brier_gain"), F.round("log_loss_change", 6).alias("log_loss_change"), "passed")
+
+
 @query(r"SELECT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS claim, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(semantic.claim_id(F.col("text")).alias("claim")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
