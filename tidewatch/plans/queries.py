@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
 from tidewatch.operators import analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
-from tidewatch.sources import table
+from tidewatch.sources import landed, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -832,3 +832,28 @@ def disputed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = talk.agg(F.min("turn").alias("_t"))  # one row
     claims = talk.join(F.broadcast(first), F.col("turn") == F.col("_t")).select(F.col("conv_id").alias("claim"), F.when(F.col("turn") % 2 == 0, "FACT").otherwise("OPINION").alias("status")).distinct()
     return semantic.disputed(claims, semantic.contradictions(table(spark, sf_dir, "lineitem"), claims, "l_partkey", "l_suppkey", "claim"), "claim", "status")
+
+
+@query("""WITH h AS (SELECT event_type, cast(ts AS date) AS day, date_trunc('hour', ts) AS t, arg_min(value, ts) AS o, max(value) AS hi, min(value) AS lo, arg_max(value, ts) AS c, sum(value) AS v FROM events GROUP BY 1, 2, 3), f AS (SELECT event_type, cast(ts AS date) AS day, max(ts) AS fetched FROM events GROUP BY 1, 2),
+r AS (SELECT h.*, row_number() OVER (PARTITION BY event_type, day ORDER BY t DESC) AS k FROM h JOIN f USING (event_type, day) WHERE t + INTERVAL 1 HOUR <= fetched)
+SELECT event_type AS asset, epoch(t)::bigint AS open_time, round(o, 4) AS open, round(hi, 4) AS high, round(lo, 4) AS low, round(c, 4) AS close, round(v, 3) AS volume FROM r WHERE k <= 5""")
+def landed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of events landed as one JSON payload a day and type; bars that were open at the fetch and older ones than five are left out."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    hours = events.groupBy("event_type", "day", F.date_trunc("hour", "ts").alias("t")).agg(F.min_by("value", "ts").alias("o"), F.max("value").alias("h"), F.min("value").alias("l"), F.max_by("value", "ts").alias("c"), F.sum("value").alias("v"))
+    bar = F.array(F.unix_millis("t").cast("string"), *(F.col(c).cast("string") for c in "ohlcv"))
+    payloads = hours.groupBy("event_type", "day").agg(F.to_json(F.collect_list(bar)).alias("payload"))  # 24 bars at most
+    fetched = events.groupBy("event_type", "day").agg(F.max("ts").alias("fetched_at"))
+    out = landed.candles(payloads.join(fetched, ["event_type", "day"]).withColumnRenamed("event_type", "asset"), "binance", 3600, limit=5)
+    return out.select("asset", F.floor(microstructure.epoch(F.col("open_time"))).alias("open_time"), *(F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")), F.round("volume", 3).alias("volume"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS series, cast(o_orderdate AS date) AS d, o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 <> 1)
+SELECT series, k, d AS observed, round(v, 2) AS value, CASE WHEN k % 3 = 0 THEN d + 2 ELSE d END AS available FROM o""")
+def landed_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as macro observations, one payload each; values that are missing are left out."""
+    o = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    item = F.struct(F.col("d").cast("string").alias("date"), F.when(F.col("o_orderkey") % 3 == 0, F.date_add("d", 2)).otherwise(F.date_sub("d", 1)).cast("string").alias("realtime_start"), F.when(F.col("o_orderkey") % 4 == 1, ".").otherwise(F.col("o_totalprice").cast("string")).alias("value"))
+    rows = o.select(F.concat("o_orderpriority", F.lit("#"), F.col("o_orderkey").cast("string")).alias("series"), F.to_json(F.struct(F.array(item).alias("observations"))).alias("payload"))
+    out, name = landed.macro_observations(rows), F.split("series", "#")
+    return out.select(name[0].alias("series"), name[1].cast("bigint").alias("k"), F.to_date("observed_at").alias("observed"), F.round("value", 2).alias("value"), F.to_date("available_at").alias("available"))
