@@ -63,3 +63,51 @@ def horizon_end(at: Column, horizon: str) -> Column:
     """at plus one of 1h, 4h, 1d, 1w, 1mo, 3mo, 1y; calendar steps clamp to the month's end."""
     step = {"1h": "INTERVAL 1 HOUR", "4h": "INTERVAL 4 HOUR", "1d": "INTERVAL 1 DAY", "1w": "INTERVAL 7 DAY", "1mo": "INTERVAL 1 MONTH", "3mo": "INTERVAL 3 MONTH", "1y": "INTERVAL 1 YEAR"}[horizon]
     return at + F.expr(step)
+
+
+def flat_features(families: Column) -> Column:
+    """A map of families of features as one map `family.name` -> value, of the values that are known and finite."""
+    pairs = F.flatten(F.transform(F.map_entries(families), lambda f: F.transform(F.map_entries(f["value"]), lambda x: F.struct(F.concat_ws(".", f["key"], x["key"]).alias("key"), x["value"].alias("value")))))
+    return F.map_from_entries(F.array_sort(F.filter(pairs, lambda x: finite(x["value"]).isNotNull())))
+
+
+def feature_at(families: Column, key: str) -> Column:
+    """The value of `family.name`, null where it isn't there, unknown or not finite."""
+    family, _, name = key.partition(".")
+    if not name:
+        raise ValueError("feature keys are family.name")
+    return finite(F.element_at(F.element_at(families, family), name))
+
+
+#: How names of what happened afterwards begin; they are no features.
+LOOK_AHEAD = ("future_", "label_", "target_", "touch_", "outcome_", "mfe", "mae")
+
+
+def family_problems(families: Column) -> Column:
+    """What is wrong with a map of families: EMPTY, EMPTY_FAMILY, UNNAMED (a blank or spaced name), LOOK_AHEAD (a name of what
+    happened afterwards), NOT_FINITE."""
+    later = lambda k: F.lower(F.trim(k)).rlike("^(" + "|".join(LOOK_AHEAD) + ")")
+    entries = F.map_entries(families)
+    blank = lambda k: ~F.coalesce(k.rlike(r"^[A-Za-z0-9_.:/-]+$"), F.lit(False))
+    return flags(
+        EMPTY=F.coalesce(F.size(families) < 1, F.lit(True)),
+        EMPTY_FAMILY=F.exists(entries, lambda f: F.coalesce(F.size(f["value"]) < 1, F.lit(True))),
+        UNNAMED=F.exists(entries, lambda f: blank(f["key"]) | F.exists(F.map_keys(f["value"]), blank)),
+        LOOK_AHEAD=F.exists(entries, lambda f: F.exists(F.map_keys(f["value"]), later)),
+        NOT_FINITE=F.exists(entries, lambda f: F.exists(F.map_values(f["value"]), lambda x: x.isNotNull() & finite(x).isNull())),
+    )
+
+
+def is_safe_segment(x: Column) -> Column:
+    """Whether x can be a part of a path: letters, digits, underscore, dot, equals sign and dash."""
+    return F.coalesce(x.rlike(r"^[A-Za-z0-9_.=-]+$"), F.lit(False))
+
+
+def asset_name(x: Column) -> Column:
+    """Upper case without dashes and underscores; null where nothing is left."""
+    return F.nullif(F.upper(F.translate(x, "_-", "")), F.lit(""))
+
+
+def canonical_json(x: Column) -> Column:
+    """A map's JSON with its keys in order, so that equal maps have equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(x))))

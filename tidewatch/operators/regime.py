@@ -46,6 +46,20 @@ def component_scores(features: DataFrame) -> DataFrame:
     return features.withColumns(out)
 
 
+#: Features that say how good the data are.
+QUALITY = ("provider_agreement", "freshness_score", "source_coverage")
+
+
+def data_quality(features: DataFrame) -> tuple[Column, Column, Column]:
+    """(quality from 0 to 100, coverage, confidence) of rows: the mean of the features of QUALITY that are known, held within
+    [0, 1], the share that is known, and their product; 0 without any."""
+    have = [clip(finite(F.col(n).cast("double")), 0.0, 1.0) if n in features.columns else F.lit(None).cast("double") for n in QUALITY]
+    known = sum((h.isNotNull().cast("int") for h in have), F.lit(0))
+    mean = F.when(known > 0, sum((F.coalesce(h, F.lit(0.0)) for h in have), F.lit(0.0)) / known).otherwise(0.0)
+    coverage = known / F.lit(float(len(QUALITY)))
+    return mean * 100, coverage, mean * coverage
+
+
 def blended(scored: DataFrame, weights: Mapping[str, float], quality: Column | None = None, least_confidence: float = 0.5) -> DataFrame:
     """Adds bull_score, coverage, alignment, conviction, data_confidence, confidence, blocked, reasons and label.
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions import clip, logit, ratio, sigmoid
+from tidewatch.functions import clip, content_id, logit, ratio, sigmoid
+from tidewatch.operators.pit import digest
 
 #: Price barriers and return thresholds.
 PRICE_BARRIERS = (2, 3, 3.65, 5, 7.34, 10, 17, 26.6, 50)
@@ -96,6 +97,15 @@ def smoothed_rate(actual: Column, smoothing: float = 1.0) -> Column:
     return (F.sum(actual.cast("double")) + smoothing) / (F.count(actual) + 2 * smoothing)
 
 
+def training_digests(training: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
+    """keys, n, training_id and repeated (ids that a fold has twice): a content id of the set of rows that a fold was trained
+    on, one aggregate a fold whatever its size."""
+    one, two = digest(F.col(row_id))
+    once = training.groupBy(*keys, row_id).agg(F.count("*").alias("_n"))
+    out = once.groupBy(*keys).agg(F.count("*").alias("n"), one.alias("_one"), two.alias("_two"), F.count_if(F.col("_n") > 1).alias("repeated"))
+    return out.select(*keys, "n", content_id("training", F.col("n"), F.col("_one"), F.col("_two")).alias("training_id"), "repeated")
+
+
 def fit_baselines(training: DataFrame, keys: Sequence[str], order: str, actual: str, signal: str, smoothing: float = 1.0) -> DataFrame:
     """keys, n, base_rate (B0), rate_after_true, rate_after_false and last_actual (B1), base_logit, signal_mean and
     signal_scale (B2, B3) of each fold's training rows. `order` is unique within a fold; a signal that doesn't vary has
