@@ -1,9 +1,10 @@
-"""Quality classifier without gold labels: a weak-label model and a hashed linear scorer.
+"""Quality classifier: a weak-label model and a hashed linear scorer.
 
-Overlapping heuristic labellers vote on a bounded sample. Expectation-maximisation estimates from their votes alone how
-each votes on good and on bad texts; the posteriors of the sample's texts then train a linear scorer over hashed
-words, word beginnings and byte-class pairs, which scores every text. The same is done a second time for toxicity.
-Annotators' labels, where there are any, only measure what came out.
+Overlapping labellers vote on a bounded sample. Expectation-maximisation estimates from their votes alone how each votes
+on good and on bad texts; the posteriors of the sample's texts then train a linear scorer over hashed words, word
+beginnings and byte-class pairs, which scores every text. The same is done a second time for toxicity. Annotators, where
+there are any, are one more labeller, who isn't asked where they haven't looked and is believed as far as the votes of all
+bear them out. A share of their labels is withheld from that and measures what came out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tidewatch.llm.hashing import word_hashes
 SAMPLE, BUCKETS, SUPPORT = 12_000, 1 << 16, 5
 #: Tasks that train side by side, rounds after which their weights are averaged, and passes of each over its rows in a round.
 WORKERS, ROUNDS, PASSES = 4, 12, 5
+#: One label of so many is withheld, by the hash of the id.
+WITHHELD = 5
 #: Texts are kept from this quality on and below this toxicity: clean texts matter more.
 POOR, TOXIC = 0.5, 0.7
 #: Word beginnings (bytes), byte-class pairs, and shares by the name of SHARES.
@@ -35,10 +38,13 @@ INSULTS = ("clown", "disgusting", "fool", "idiot", "loser", "moron", "pathetic",
 SWEARING = ("asshole", "bastard", "bitch", "bullshit", "cunt", "dickhead", "fuck", "goddamn", "motherfuck", "piss", "shit", "slut", "wanker", "whore")
 CONTEMPT = re.compile(r"\b(shut up|get lost|go to hell|nobody (likes|wants|asked) you|i hate you|hate you all|you people|you make me sick|you disgust|shame on you|your kind|(you|they)( are|'re|r) (all |just |such |so |really |nothing but |an? |the )*(\w+ )?(ass|clowns?|disgrace|disgusting|dumb|fools?|garbage|idiots?|jokes?|liars?|losers?|morons?|nobody|pathetic|pigs?|scum|stupid|trash|ugly|useless|vermin|worthless))\b")
 THREATS = re.compile(r"\b(i('ll| will|'m going to| am going to| hope (you|they)( will)?) (die|kill|hurt|beat|find you|burn|destroy you|suffer)|kill (yourself|yourselves|them all|you)|you (should|will|deserve to) (die|burn|suffer|pay for this)|drop dead|watch your back)\b")
-ABSTAIN, GOOD, BAD = 0, 1, 2
+#: Function words of English, and of other languages in which the lists above are of no use.
+ENGLISH = frozenset("the of and to in is that was for with".split())
+OTHER = frozenset("der die das und ist nicht ein eine mit auf le la les des et est une dans de el los las que y en del por".split())
+ABSTAIN, GOOD, BAD, NOT_ASKED = 0, 1, 2, 3
 #: Names of the labellers, in the order of their votes.
-QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd")
-TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude")
+QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd", "annotator")
+TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude", "annotator")
 _CLASS = np.full(256, 15, np.uint8)  # byte classes: white, line end, upper, lower, digit, then punctuation by kind, other bytes
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!", b"?", b"'\"", b"#*$%&", b"|", b"<>", b"()[]{}", b"-_/\\", b"@=+~^`")):
     _CLASS[list(_chars)] = _k
@@ -82,8 +88,9 @@ def scaled(index: np.ndarray, value: np.ndarray, text: np.ndarray, n: int) -> np
 
 
 def votes(text: str) -> tuple[list[int], list[int]]:
-    """Votes of the labellers on quality and on toxicity. Each symptom's labeller
-    can only object; that no symptom shows at all is one labeller's vote for the text, for quality and for toxicity."""
+    """Votes of the heuristic labellers, without the annotators, on quality and on toxicity. Each symptom's labeller
+    can only object; that no symptom shows at all is one labeller's vote for the text, for quality and for toxicity. The word lists are
+    English: in a text with more function words of other languages they find nothing or aren't asked (NOT_ASKED)."""
     words = text.split()
     n, chars = len(words), max(1, sum(map(len, words)))
     if not n:
@@ -104,31 +111,39 @@ def votes(text: str) -> tuple[list[int], list[int]]:
     bare = [w.strip(".,;:!?'\"()").lower() for w in words]
     plain = " ".join(text.lower().replace("\u2019", "'").split())
     rude = [any(w in INSULTS for w in bare), any(w.startswith(SWEARING) for w in bare), bool(CONTEMPT.search(plain)), bool(THREATS.search(plain))]
-    return [*odd, clean], [*(BAD if x else ABSTAIN for x in rude), ABSTAIN if any(rude) else GOOD]
+    silent = NOT_ASKED if sum(w in OTHER for w in bare) > sum(w in ENGLISH for w in bare) else ABSTAIN
+    return [*odd, clean], [*(BAD if x else silent for x in rude), ABSTAIN if any(rude) else NOT_ASKED if silent else GOOD]
 
 
 def expectation_maximisation(vote: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, prior: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of bad for each row, table[labeller, class, vote]) of a two-class model whose labellers vote
-    independently given the class. vote: rows x labellers of ABSTAIN, GOOD, BAD; weight: how many texts voted like it.
+    independently given the class; that a labeller abstains is a vote of its own, that it wasn't asked says nothing. vote: rows x labellers of ABSTAIN, GOOD, BAD, NOT_ASKED; weight: how many texts voted like it.
     Starts from the majority of votes; counts are smoothed, so unanimous labellers give no infinite weight. No rows give
     no posteriors."""
     weight = np.ones(len(vote)) if weight is None else weight
     good, bad = (vote == GOOD).sum(axis=1), (vote == BAD).sum(axis=1)
     post = np.clip(np.where(good + bad > 0, (bad + 2 * prior * (bad > 0)) / np.maximum(good * 0.3 + bad, 1), prior), 0.02, 0.98)
-    table = np.full((vote.shape[1], 2, 3), 1 / 3)
+    table = np.full((vote.shape[1], 2, 4), 1 / 3)
+    table[:, :, NOT_ASKED] = 1  # says nothing
     for _ in range(rounds if len(vote) else 0):
         right, wrong = weight * (1 - post), weight * post
         for j in range(vote.shape[1]):
-            for v in range(3):
+            asked = vote[:, j] != NOT_ASKED
+            for v in (ABSTAIN, GOOD, BAD):
                 hit = vote[:, j] == v
-                table[j, 0, v] = (right[hit].sum() + 0.5 + (v == GOOD)) / (right.sum() + 2.5)
-                table[j, 1, v] = (wrong[hit].sum() + 0.5 + (v == BAD)) / (wrong.sum() + 2.5)
+                table[j, 0, v] = (right[hit].sum() + 0.5 + (v == GOOD)) / (right[asked].sum() + 2.5)
+                table[j, 1, v] = (wrong[hit].sum() + 0.5 + (v == BAD)) / (wrong[asked].sum() + 2.5)
         share = np.clip(wrong.sum() / weight.sum(), 1e-3, 0.5)
         odds = np.log(share / (1 - share)) + sum(np.log(table[j, 1, vote[:, j]] / table[j, 0, vote[:, j]]) for j in range(vote.shape[1]))
         post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
     return post, table
 
 
+def _sure(post: np.ndarray) -> np.ndarray:
+    """Posteriors that a scorer is trained on."""
+    return (post <= 0.2) | (post >= 0.8)
+
+
 @dataclass
 class Linear:
     """A logistic model in training: weights, bias, and what AdaGrad has summed up for each."""
@@ -148,9 +163,8 @@ class Linear:
 
 def train(model: Linear, index: np.ndarray, value: np.ndarray, sizes: np.ndarray, post: np.ndarray, usable: np.ndarray, seed: int, passes: int = PASSES, rate: float = 0.3, sparse: float = 2e-4) -> None:
     """Moves the model by AdaGrad over small batches; features that aren't usable stay at 0, weights are drawn to 0 by
-    `sparse`. Rows whose posterior is between 0.1 and 0.9, or on which all labellers abstained (given as 0.5), are
-    left out."""
-    known = np.flatnonzero((post <= 0.1) | (post >= 0.9))
+    `sparse`. Rows whose posterior isn't sure, or on which all labellers abstained (given as 0.5), are left out."""
+    known = np.flatnonzero(_sure(post))
     first, rng = np.cumsum(sizes) - sizes, np.random.Generator(np.random.PCG64(seed))
     for _ in range(passes):
         rng.shuffle(known)
@@ -208,11 +222,13 @@ def _sample(docs: DataFrame, labels: DataFrame | None, id_col: str, text_col: st
 
 
 def _measured(seen: list) -> dict[str, tuple[int, int]]:
+    """(votes that agree with withheld labels, votes) of each labeller."""
+    names = [f"{n}/quality" for n in QUALITY_LABELLERS] + [f"{n}/toxicity" for n in TOXIC_LABELLERS]
     out: dict[str, tuple[int, int]] = {}
     for r in seen:
-        for k, name in enumerate(f"{n}/{kind}" for kind, names in (("quality", QUALITY_LABELLERS), ("toxicity", TOXIC_LABELLERS)) for n in names):
+        for k, name in enumerate(names):
             gold = r.quality if k < len(QUALITY_LABELLERS) else None if r.toxic is None else 1 - r.toxic
-            if gold is not None and r.votes[k] != ABSTAIN:
+            if r.held and gold is not None and r.votes[k] in (GOOD, BAD):
                 agree, n = out.get(name, (0, 0))
                 out[name] = agree + r.n * ((r.votes[k] == GOOD) == bool(gold)), n + r.n
     return out
@@ -220,8 +236,8 @@ def _measured(seen: list) -> dict[str, tuple[int, int]]:
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     """Fits on at most `sample` texts (smallest hashes of the id, of any type): first annotated ones of docs, up to half of
-    the sample, then any. labels: doc_id, quality, toxic of annotators; they are no labellers, and only `measured` rests
-    on them. No texts: a scorer that gives one half.
+    the sample, then any. labels: doc_id, quality, toxic of annotators, one more labeller; one label in WITHHELD doesn't
+    vote, and `measured` rests on those alone. No texts: a scorer that gives one half.
 
     Features and votes of the sample are a table in the scratch folder. WORKERS tasks train on its parts and their models
     are averaged ROUNDS times, so the driver holds vote patterns and a few models, however long the texts are."""
@@ -233,14 +249,16 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
                 index, value, text = features(texts)
                 ends = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
                 cut = lambda a: [a[i:j].tobytes() for i, j in zip(ends, ends[1:])]
-                voted = [bytes([*a, *b]) for a, b in map(votes, texts)]
-                yield pa.RecordBatch.from_arrays([pa.array(cut(index.astype("<i4")), pa.binary()), pa.array(cut(value.astype("<f4")), pa.binary()), pa.array(voted, pa.binary()), *part.columns[1:]], names=["index", "value", "votes", "quality", "toxic", "order"])
+                held = part.column(4).to_pylist()
+                own = lambda c, good: [NOT_ASKED if x is None or h else GOOD if (x == 1) == good else BAD for x, h in zip(part.column(c).to_pylist(), held)]
+                voted = [bytes([*a, q, *b, x]) for (a, b), q, x in zip(map(votes, texts), own(1, True), own(2, False))]
+                yield pa.RecordBatch.from_arrays([pa.array(cut(index.astype("<i4")), pa.binary()), pa.array(cut(value.astype("<f4")), pa.binary()), pa.array(voted, pa.binary()), *part.columns[1:]], names=["index", "value", "votes", "quality", "toxic", "order", "held"])
 
-    rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"))
-    made = rows.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint")
+    rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"), (F.pmod(F.xxhash64("id"), F.lit(WITHHELD)) == 0).alias("held"))
+    made = rows.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint, held boolean")
     table = written(made, "votes")
     table = table.withColumn("part", F.pmod(F.col("order"), F.lit(WORKERS)))
-    seen = table.groupBy("votes", "quality", "toxic").agg(F.count("*").alias("n")).orderBy("votes").collect()  # patterns of votes
+    seen = table.groupBy("votes", "quality", "toxic", "held").agg(F.count("*").alias("n")).orderBy("votes").collect()  # patterns of votes
     patterns = sorted({bytes(r.votes) for r in seen})
     vote = np.array([list(p) for p in patterns], np.int8).reshape(len(patterns), len(QUALITY_LABELLERS) + len(TOXIC_LABELLERS))
     weight = np.zeros(len(patterns))
@@ -250,11 +268,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     for kind, names, prior in (("quality", QUALITY_LABELLERS, 0.15), ("toxicity", TOXIC_LABELLERS, 0.1)):
         own = vote[:, at : at + len(names)]
         at += len(names)
-        voted = (own != ABSTAIN).any(axis=1)
+        voted = np.isin(own, (GOOD, BAD)).any(axis=1)
         post = np.full(len(patterns), 0.5)
         post[voted], found = expectation_maximisation(own[voted], weight[voted], prior=prior)
         posts.append(post)
-        sure = (post <= 0.1) | (post >= 0.9)
+        sure = _sure(post)
         bias = float(np.log(((weight * post)[sure].sum() + 1) / ((weight * (1 - post))[sure].sum() + 1))) if sure.any() else 0.0
         models.append(Linear(np.zeros(SIZE), bias, np.full(SIZE, 1e-6), 1e-6))
         accuracies |= {f"{n}/{kind}": float((found[j, 0, GOOD] + found[j, 1, BAD]) / (found[j, :, GOOD].sum() + found[j, :, BAD].sum())) for j, n in enumerate(names)}
@@ -293,7 +311,7 @@ def _averaged(table: DataFrame, post: dict[bytes, tuple[float, float]], models:
             for k, flat in enumerate(shared.value[1]):
                 model = Linear.unpack(flat)
                 train(model, index, scaled(index, value, text, len(sizes)) if k == 0 else value, sizes, posts[:, k], shared.value[0], turn)
-                sure = int(((posts[:, k] <= 0.1) | (posts[:, k] >= 0.9)).sum())
+                sure = int(_sure(posts[:, k]).sum())
                 yield pa.RecordBatch.from_pydict({"k": [k], "n": [sure], "flat": [model.pack().tobytes()]}, schema=pa.schema([("k", pa.int32()), ("n", pa.int64()), ("flat", pa.binary())]))
 
         found = dealt.mapInArrow(run, "k int, n bigint, flat binary").where("n > 0").collect()  # two models a worker
