@@ -285,7 +285,7 @@ for _seconds in _LIMITS:
 
 
 @query(f"""WITH {_window_sql(3600, 'hour')}, x AS (SELECT *, (ts, av, fe, value) AS o, CASE WHEN user_id % 3 = 0 THEN value END AS oi, CASE WHEN user_id % 5 = 0 THEN value / 1e5 END AS fu, CASE WHEN user_id % 2 = 0 THEN value - 50 END AS ba FROM met),
-w AS (SELECT moment, count(*) AS n, min_by(value, o) AS f, max_by(value, o) AS l, sum((user_id % 21 - 10) / 10.0) / count(*) AS depth, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS buys, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS sells,
+w AS (SELECT moment, count(*) AS n, min_by(value, o) AS f, max_by(value, o) AS l, sum((user_id % 21 - 10) / 9.7) / count(*) AS depth, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS buys, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS sells,
   CASE WHEN count(oi) >= 2 THEN min_by(oi, o) FILTER (oi IS NOT NULL) END AS oi0, max_by(oi, o) FILTER (oi IS NOT NULL) AS oi1, CASE WHEN count(fu) >= 2 THEN min_by(fu, o) FILTER (fu IS NOT NULL) END AS fu0, max_by(fu, o) FILTER (fu IS NOT NULL) AS fu1, CASE WHEN count(ba) >= 2 THEN min_by(ba, o) FILTER (ba IS NOT NULL) END AS ba0, max_by(ba, o) FILTER (ba IS NOT NULL) AS ba1,
   min(epoch(ts)) AS a, max(epoch(ts)) AS b, max_by(fe, o) AS c FROM x GROUP BY 1)
 SELECT cast(floor(epoch(moment)) AS bigint) AS moment, n AS sample_count, round((l / f - 1) * 1e4, 2) AS mid_return_bps, round(depth, 4) AS mean_depth_imbalance_25bps, round(buys - sells, 4) AS cvd_quote, round(CASE WHEN buys + sells = 0 THEN 0.0 ELSE (buys - sells) / (buys + sells) END, 4) AS taker_imbalance,
@@ -296,7 +296,7 @@ def flow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, u = F.col("value"), F.col("user_id")
     side = lambda k: F.when(F.col("event_type") == k, v).otherwise(0.0)
     samples = _samples(spark, sf_dir).select(
-        F.lit("x").alias("symbol"), F.col("ts").alias("observed_at"), F.col("available").alias("available_at"), F.col("fetched").alias("fetched_at"), v.alias("mid_price"), ((u % 21 - 10) / 10.0).alias("depth_imbalance_25bps"),
+        F.lit("x").alias("symbol"), F.col("ts").alias("observed_at"), F.col("available").alias("available_at"), F.col("fetched").alias("fetched_at"), v.alias("mid_price"), ((u % 21 - 10) / 9.7).alias("depth_imbalance_25bps"),
         side("purchase").alias("aggressive_buy_notional"), side("error").alias("aggressive_sell_notional"), F.when(u % 3 == 0, v).alias("open_interest"), F.when(u % 5 == 0, v / 1e5).alias("funding_rate"), F.when(u % 2 == 0, v - 50).alias("basis_bps"),
     )
     out = microstructure.flow_windows(samples, _grid(spark, sf_dir, "hour"), 3600)
@@ -352,7 +352,7 @@ def _score_ctes() -> str:
     width = {f: w for _, f, w, _ in _TERMS} | dict(_CALM)
     feature = {f: f"CASE WHEN (u + {3 * k}) % 37 > 2 THEN (m - 50) / 25 * {w} * {sign} + (u % {5 + k} - {2 + k // 2}) / {10.0 + k} * {w} * {0.2 if k else 0.4} END" for k, (f, w, sign) in enumerate([(f, w, s) for _, f, w, s in _TERMS] + [(f, w, 1) for f, w in _CALM])}
     terms = {c: [clip(f"50 + 50 * ({s} * {f}) / {w}") + f" + 0 * {f}" for k, f, w, s in _TERMS if k == c] for c in dict.fromkeys(t[0] for t in _TERMS)}
-    terms["derivatives"] = [f"100 * (1 - greatest(0.0, least(1.0, abs({f}) / {w})))" for f, w in _CALM] + terms["derivatives"]
+    terms["derivatives"] = [f"100 * (1 - greatest(0.0, least(1.0, abs({f}) / {w}))) + 0 * {f}" for f, w in _CALM] + terms["derivatives"]
     assert set(width) == set(feature)
     parts = ", ".join(f"list_avg(list_filter([{', '.join(v)}], lambda x: x IS NOT NULL)) AS s_{c}, len(list_filter([{', '.join(v)}], lambda x: x IS NOT NULL)) / {float(len(v))} AS k_{c}" for c, v in terms.items())
     weights = {"macro": 0.25, "crypto": 0.3, "relative": 0.3, "derivatives": 0.1, "ledger": 0.05}
@@ -761,18 +761,19 @@ def backfill_page_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.page_problems(pages, "conv_id", "turn", "cursor", "following", "rows").select("conv_id", "turn", "problem")
 
 
-@query("""WITH l AS (SELECT l_partkey AS part, round(l_extendedprice / l_quantity, 2) AS price, l_quantity AS q FROM lineitem), m AS (SELECT part, median(price) AS mid FROM l GROUP BY 1),
+@query("""WITH l AS (SELECT l_partkey AS part, l_extendedprice / l_quantity AS price, l_quantity AS q FROM lineitem), m AS (SELECT part, median(price) AS mid FROM l GROUP BY 1),
 b AS (SELECT part, list({p: price, q: q} ORDER BY price DESC, q) FILTER (price < mid) AS bids, list({p: price, q: q} ORDER BY price, q) FILTER (price > mid) AS asks FROM l JOIN m USING (part) GROUP BY 1), t AS (SELECT *, (bids[1].p + asks[1].p) / 2 AS mid FROM b WHERE len(bids) > 0 AND len(asks) > 0),
 i AS (SELECT *, coalesce(list_sum(list_transform(list_filter(bids, lambda x: round(abs(x.p - mid) / mid * 1e4, 6) <= 100), lambda x: x.p * x.q)), 0) AS x, coalesce(list_sum(list_transform(list_filter(asks, lambda x: round(abs(x.p - mid) / mid * 1e4, 6) <= 100), lambda x: x.p * x.q)), 0) AS y FROM t)
-SELECT part, round(mid, 4) AS mid, round((asks[1].p - bids[1].p) / mid * 1e4, 4) AS spread_bps, round((asks[1].p * bids[1].q + bids[1].p * asks[1].q) / (asks[1].q + bids[1].q), 4) AS microprice, round(CASE WHEN x + y = 0 THEN 0.0 ELSE (x - y) / (x + y) END, 4) AS imbalance_100 FROM i""")
+SELECT part, floor(mid * 1000 + 0.37) / 1000 AS mid, floor((asks[1].p - bids[1].p) / mid * 1e7 + 0.37) / 1000 AS spread_bps, floor((asks[1].p * bids[1].q + bids[1].p * asks[1].q) / (asks[1].q + bids[1].q) * 1000 + 0.37) / 1000 AS microprice, round(CASE WHEN x + y = 0 THEN 0.0 ELSE (x - y) / (x + y) END, 4) AS imbalance_100 FROM i""")
 def book_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part's lines below and above its median price are the sides of its book."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price"), F.col("l_quantity").alias("quantity"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"))
     level, both = F.struct("price", "quantity"), rows.join(rows.groupBy("part").agg(F.median("price").alias("mid")), "part")
     # A part has a few dozen lines at any scale.
     side = lambda c, sign: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct((sign * F.col("price")).alias("o"), "quantity", level.alias("level"))))), lambda x: x["level"])
     books = both.groupBy("part").agg(side(F.col("price") < F.col("mid"), -1).alias("bids"), side(F.col("price") > F.col("mid"), 1).alias("asks")).where("size(bids) > 0 and size(asks) > 0")
-    return rounded(microstructure.book_metrics(books).select("part", "mid", "spread_bps", "microprice", "imbalance_100"))
+    cut = lambda c: (F.floor(F.col(c) * 1000 + 0.37) / 1000).alias(c)
+    return microstructure.book_metrics(books).select("part", cut("mid"), cut("spread_bps"), cut("microprice"), F.round("imbalance_100", 4).alias("imbalance_100"))
 
 
 @query(f"""WITH {_DAILY}, x AS (SELECT row_number() OVER (ORDER BY d) - 1 AS i, p, p / lag(p, 30) OVER (ORDER BY d) - 1 AS r, lead(p, 7) OVER (ORDER BY d) / p - 1 AS f FROM daily), s AS (SELECT greatest(0.0, least(100.0, 50 + 50 * r / 0.45)) / 100 AS q, f > 0 AS y FROM x WHERE i >= 365 AND (i - 365) % 7 = 0 AND f IS NOT NULL)
