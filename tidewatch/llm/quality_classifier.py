@@ -256,8 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
     rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"), (F.pmod(F.xxhash64("id"), F.lit(WITHHELD)) == 0).alias("held"))
     made = rows.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint, held boolean")
-    table = written(made, "votes")
-    table = table.withColumn("part", F.pmod(F.col("order"), F.lit(WORKERS)))
+    table = written(made.repartitionById(WORKERS, F.pmod("order", F.lit(WORKERS)).cast("int")).sortWithinPartitions("order", "votes", "index"), "votes")  # a file a worker
     seen = table.groupBy("votes", "quality", "toxic", "held").agg(F.count("*").alias("n")).orderBy("votes").collect()  # patterns of votes
     patterns = sorted({bytes(r.votes) for r in seen})
     vote = np.array([list(p) for p in patterns], np.int8).reshape(len(patterns), len(QUALITY_LABELLERS) + len(TOXIC_LABELLERS))
@@ -283,8 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def _averaged(table: DataFrame, post: dict[bytes, tuple[float, float]], models: list[Linear]) -> list[Linear]:
-    """The models after ROUNDS of training on the parts of the sample. Each part is a task's rows, sample / WORKERS."""
-    dealt = table.repartitionById(WORKERS, F.col("part").cast("int")).sortWithinPartitions("order", "votes", "index").select("index", "value", "votes")
+    """The models after ROUNDS of training on the parts of the sample, which are read as they were written: no round shuffles."""
+    dealt = table.select("index", "value", "votes")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         index, value, sizes, posts = [], [], [], []
