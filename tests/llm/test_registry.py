@@ -31,7 +31,7 @@ def result(spark, name, folder=SMALL):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     rel, rows = con.sql(registry.ORACLE_SQL[name]), result(spark, name)
     assert collections.Counter(tuple(r) for r in rel.select(*rows[0].__fields__).fetchall()) == collections.Counter(map(tuple, rows))

@@ -24,16 +24,18 @@ CACHED, LONGEST = 5_000_000, 64
 
 
 class LibraryEncoder:
-    """`drops_space`: whether the model's normaliser and splitter drop white space and case."""
+    """`drops_space`: whether the model's normaliser and splitter drop white space and case. `special_is_text`: special
+    tokens' strings in a text are text like any other; else each is one id, as the library's default has it."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, special_is_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = PairMerges(path)  # for runs of letters, which normaliser and splitter leave whole
         #: Strings that the library takes out of a text before anything else; each is one id.
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if special_is_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = special_is_text
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.find = (DROPPED if drops_space else KEPT).findall
         self.drops_space, self.cache, self.old, self.held = drops_space, {}, {}, 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, exact_dedup, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
+from tidewatch.llm import alignment, bpe, exact_dedup, language_id, lexical, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
 from tidewatch.llm.common import scratch_dir
 from tidewatch.sources import table
 
@@ -113,9 +113,47 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "lines_removed", "text")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM items GROUP BY ALL
+), sizes AS (
+  SELECT count(*) AS n, sum(len(terms))::BIGINT AS total FROM docs WHERE len(terms) > 0
+), counts AS (
+  SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS size, unnest(terms) AS term FROM docs) GROUP BY ALL
+), known AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, sizes GROUP BY term
+), scores AS (
+  SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // total))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN known USING (term), sizes GROUP BY i, item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of two tokenizers end together in every document, and how usual those pairs are."""
+    found = alignment.scored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_alignment": op12_alignment,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
@@ -125,4 +163,4 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filters": OP6_SQL}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op11_lexical_search": OP11_SQL}
