@@ -141,9 +141,9 @@ def _matrix(texts: list[bytes]) -> tuple[Vocabulary, Matrix]:
     low = [_LOWER[np.frombuffer(t, np.uint8)] for t in texts]
     terms: set[bytes] = set()
     for buf in low:
+        raw = buf.tobytes()
         for a, b in _pieces(buf):
             edge = (np.flatnonzero(np.diff(_TERM[buf[a:b]], prepend=False, append=False)) + a).tolist()
-            raw = buf.tobytes()
             terms.update(raw[i:j] for i, j in zip(edge[::2], edge[1::2]))
     known = Vocabulary.of(terms)
     item, number, count, _ = known.found(texts)
@@ -237,7 +237,7 @@ def _ranked(rows: DataFrame, shared, top: int) -> DataFrame:
             made = np.append(0, np.cumsum(np.bincount(row, weights=size[number], minlength=batch.num_rows).astype(np.int64)))
             edges, at = np.searchsorted(row, np.arange(batch.num_rows + 1)), 0
             while at < batch.num_rows:  # rows whose products and scores are held at once, one at least
-                end = max(at + 1, min(at + max(1, CELLS // matrix.items), int(np.searchsorted(made, made[at] + PRODUCTS, side="right")) - 1))
+                end = max(at + 1, min(at + max(1, CELLS // max(1, matrix.items)), int(np.searchsorted(made, made[at] + PRODUCTS, side="right")) - 1))
                 end = min(end, batch.num_rows)
                 i, j = edges[at], edges[end]
                 each = size[number[i:j]]
