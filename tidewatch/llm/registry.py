@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import alignment, bpe, exact_dedup, language_id, lexical, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filters
+from tidewatch.llm import alignment, bpe, exact_dedup, language_id, lexical, line_dedup, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, url_filters
 from tidewatch.llm.common import scratch_dir
 from tidewatch.sources import table
 
@@ -149,11 +149,21 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scorer = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels"))
+    found = toxicity.classify(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), scorer, keep=("held_out",))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
     "op12_alignment": op12_alignment,
+    "op13_toxicity": op13_toxicity,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
