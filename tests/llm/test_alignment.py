@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -84,7 +85,21 @@ def test_batches_equal_single_texts(texts):
         a, b, groups, pairs = one(text)
         numbers = [int.from_bytes(links[k : k + 4], "little") for k in range(0, len(links), 4)]
         assert (n_a, n_b, n_groups, sha) == (len(a), len(b), len(groups), digest(groups))
-        assert [divmod(int(both.pairs[k]), both.n_b) for k in numbers] == pairs
+        assert numbers == (both.pair(*np.array(pairs).T).tolist() if pairs else [])
+        assert both.second(np.array(numbers, np.int64)).tolist() == [b for _, b in pairs]
+
+
+def test_pairs_have_numbers_of_their_own():
+    both = alignment.aligner(BYTES, PIECES)
+    known = {}
+    for j, x in enumerate(both.b_bytes):
+        known.setdefault(x, []).append(j)
+    of_a = {x: i for i, x in enumerate(both.a_bytes)}
+    pairs = {(i, j) for i, x in enumerate(both.a_bytes) for k in range(len(x)) for j in known.get(x[k:], ())}
+    pairs |= {(of_a[x[k:]], j) for j, x in enumerate(both.b_bytes) for k in range(len(x)) if x[k:] in of_a}
+    a, b = np.array(sorted(pairs)).T
+    numbers = both.pair(a, b)
+    assert len(np.unique(numbers)) == len(pairs) > 300_000 and numbers.max() < both.pairs and (both.second(numbers) == b).all()
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")

@@ -5,15 +5,16 @@ byte offset; the ends of all A tokens and of all B tokens are counted by byte on
 wherever both kinds end. Prefix sums over the cuts, read at the documents' offsets, give each document's groups, and
 the places of its tokens among them.
 
-A token's bytes end where the other's do, so one of a linked pair's byte strings is a suffix of the other's. That
-bounds the different pairs by the two vocabularies' bytes, whatever the corpus: all of them are numbered in advance, a
-link is its pair's number, and the corpus-wide counts of the pairs are an array that can be sent everywhere.
+A token's bytes end where the other's do, so one of a linked pair's byte strings is a suffix of the other's: the longer
+token and the length of the shorter one name the pair. That bounds the different pairs by the bytes of the two
+vocabularies, whatever the corpus; a link is its pair's number, and the corpus-wide counts of the pairs are an array that
+can be sent everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import sliced, strings, written
-from tidewatch.llm.library_encoding import LibraryEncoder
+from tidewatch.llm.library_encoding import LONGEST, LibraryEncoder
 
 ALIGNED = "id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary"
-#: Bytes of text that are aligned at once.
-PIECE = 1_000_000
+#: Bytes of text that are aligned at once; characters of the chunks that a worker keeps, in two generations.
+PIECE, CACHED = 500_000, 2_000_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -38,58 +39,112 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Aligner:
-    """Both tokenizers, the bytes of their tokens, and all pairs of tokens that can end together (`pairs`: a * n_b + b,
-    ascending). Special tokens' strings in a text are plain text."""
+class PieceEncoder:
+    """Ids of a piece model for whole texts, with the space that the model puts before them. Where no piece holds a space
+    after another character, a text falls into chunks of spaces and what follows them, and each distinct chunk is coded
+    once and kept in a bounded cache; else texts are coded whole."""
 
-    def __init__(self, byte_path: str, piece_path: str):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.a = LibraryEncoder(byte_path, False, special_is_text=True)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(len(names))])
+        self.bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(names, self.is_byte.tolist())]
+        whole = any("▁" in p.lstrip("▁") for p in names) or self.model.encode("") != []
+        self.find = (lambda text: [text]) if whole else re.compile(" +[^ ]*").findall
+        self.cache: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        self.held = 0
+
+    def _coded(self, chunk: str, ids: list[int]) -> bytes | None:
+        ids = ids or [self.model.piece_to_id("▁")]  # the model puts no space before an empty text
+        return np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == chunk.encode() else None
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text (which begins with the space that the model adds) as little-endian unsigned 32-bit integers;
+        null where their joined bytes are not the text's."""
+        chunks = [self.find(t) for t in texts]
+        distinct = set().union(*chunks)
+        new = distinct.difference(self.cache)
+        size = sum(map(len, new))
+        if self.held + size > CACHED // 2:
+            self.old, self.cache, self.held, new = self.cache, {}, 0, distinct
+            size = sum(map(len, new))
+        self.held += size
+        if self.old:
+            again = new.intersection(self.old)
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            new = new.difference(again)
+        coming = list(new)
+        self.cache.update(zip(coming, map(self._coded, coming, self.model.encode([c[1:] for c in coming], num_threads=1))))
+        found = [list(map(self.cache.__getitem__, c)) for c in chunks]
+        out = [None if None in c else b"".join(c) for c in found]
+        for c in coming:
+            if len(c) > LONGEST:
+                del self.cache[c]
+                self.held -= len(c)
+        return out
+
+
+class Aligner:
+    """Both tokenizers, the bytes of their tokens, and numbers of all pairs that can end together. Special tokens' strings in
+    a text are plain text."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a, self.b = LibraryEncoder(byte_path, False, special_is_text=True), PieceEncoder(piece_path)
         of, special = _byte_of(), {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         names = [self.a.tokenizer.id_to_token(i) for i in range(self.a.tokenizer.get_vocab_size())]
         self.a_bytes = [t.encode() if t in special else bytes(of[c] for c in t) for t in names]
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.n_b = len(self.b_bytes)
+        self.b_bytes = self.b.bytes
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.pairs = self._pairs()
+        # A byte piece and a plain one may hold the same byte; other than that a side's tokens differ in their bytes.
+        self.twin = self.b.is_byte.astype(np.int64)
+        self.by_a = np.cumsum(2 * self.a_size) - 2 * self.a_size
+        self.by_b = 2 * self.a_size.sum() + np.cumsum(self.b_size) - self.b_size
+        #: Numbers of pairs: all of an A token with its suffixes, then all of a B token with its shorter suffixes.
+        self.pairs = int(2 * self.a_size.sum() + self.b_size.sum())
         #: What a token adds to a document's string: its number and what follows, at 2 * id, and 2 * id + 1 at a group's end.
-        self.printed = [b"%d%s" % (i, end) for n, last in ((len(names), b"|"), (self.n_b, b";")) for i in range(n) for end in (b",", last)]
-
-    def _pairs(self) -> np.ndarray:
-        by_bytes: tuple[dict, dict] = (defaultdict(list), defaultdict(list))
-        for side, known in zip((self.a_bytes, self.b_bytes), by_bytes):
-            for i, x in enumerate(side):
-                known[x].append(i)
-        found = {i * self.n_b + j for i, x in enumerate(self.a_bytes) for k in range(len(x)) for j in by_bytes[1].get(x[k:], ())}
-        found.update(i * self.n_b + j for j, x in enumerate(self.b_bytes) for k in range(len(x)) for i in by_bytes[0].get(x[k:], ()))
-        return np.array(sorted(found), np.int64)
+        self.printed = [b"%d%s" % (i, end) for side, last in ((self.a_bytes, b"|"), (self.b_bytes, b";")) for i in range(len(side)) for end in (b",", last)]
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each pair of ids of which one's bytes end with the other's."""
+        n, m = self.a_size[a], self.b_size[b]
+        return np.where(m <= n, self.by_a[a] + 2 * (m - 1) + self.twin[b], self.by_b[b] + n - 1)
+
+    def second(self, pairs: np.ndarray) -> np.ndarray:
+        """The B id of each pair."""
+        plain, byte = ({x: i for i, x in enumerate(self.b_bytes) if self.b.is_byte[i] == kind} for kind in (False, True))
+        out = np.searchsorted(self.by_b, pairs, side="right") - 1
+        for k in np.flatnonzero(pairs < self.by_b[0]).tolist():
+            a = int(np.searchsorted(self.by_a, pairs[k], side="right")) - 1
+            size, twin = divmod(int(pairs[k] - self.by_a[a]), 2)
+            out[k] = (byte if twin else plain)[self.a_bytes[a][-size - 1 :]]
+        return out
 
     def align(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
         """(n_a, n_b, n_groups, groups_sha256, links) of each text; links are numbers of pairs, in order."""
         out: list[tuple[int, int, int, str, bytes]] = [(0, 0, 0, "", b"")] * len(texts)
         whole = [k for k, t in enumerate(texts) if t]
         a_ids = [np.frombuffer(x, "<u4") for x in self.a.encode([" " + texts[k] for k in whole])]
-        b_ids = self.b.encode([texts[k] for k in whole], num_threads=1)
+        b_ids = [None if x is None else np.frombuffer(x, "<u4") for x in self.b.encode([" " + texts[k] for k in whole])]
         kept, ends = [], [0]
         for n, k in enumerate(whole):
             text = (" " + texts[k]).encode()
-            if b"".join(map(self.a_bytes.__getitem__, a_ids[n].tolist())) == text == b"".join(map(self.b_bytes.__getitem__, b_ids[n])):
+            if b_ids[n] is not None and b"".join(map(self.a_bytes.__getitem__, a_ids[n].tolist())) == text:
                 kept.append(n)
                 ends.append(ends[-1] + len(text))
         if not kept:
             return out
         n_a, n_b = [len(a_ids[n]) for n in kept], [len(b_ids[n]) for n in kept]
         a = np.concatenate([a_ids[n] for n in kept]).astype(np.int64)
-        b = np.concatenate([np.array(b_ids[n], np.int64) for n in kept])
+        b = np.concatenate([b_ids[n] for n in kept]).astype(np.int64)
         a_end, b_end, offsets = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.array(ends)
         cut = (np.bincount(a_end, minlength=ends[-1] + 1) > 0) & (np.bincount(b_end, minlength=ends[-1] + 1) > 0)
         before = np.cumsum(cut)  # cuts up to and with each byte
         groups = np.diff(before[offsets])
         a_last, b_last = cut[a_end], cut[b_end]
-        links = np.searchsorted(self.pairs, a[a_last] * self.n_b + b[b_last]).astype("<u4")
+        links = self.pair(a[a_last], b[b_last]).astype("<u4")
         # Groups one after the other, in each the A tokens first.
         a_group, b_group = before[a_end - self.a_size[a]], before[b_end - self.b_size[b]]
         a_count, b_count = (np.bincount(g, minlength=int(before[-1])) for g in (a_group, b_group))
@@ -152,11 +207,13 @@ def scored(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_
     folder that the result reads."""
     both = aligner(byte_path, piece_path)
     aligned = written(align_documents(docs, byte_path, piece_path, id_col, text_col), "aligned")
-    counts = pair_counts(aligned, len(both.pairs))
-    of_b = both.pairs % both.n_b
-    top = np.zeros(both.n_b, np.int64)
-    np.maximum.at(top, of_b, counts)
-    shared = docs.sparkSession.sparkContext.broadcast((counts, counts == top[of_b]))  # a number for each possible pair
+    counts = pair_counts(aligned, both.pairs)
+    have = np.flatnonzero(counts)
+    of_b, top = both.second(have), np.zeros(len(both.b_bytes), np.int64)
+    np.maximum.at(top, of_b, counts[have])
+    highest = np.zeros(both.pairs, bool)
+    highest[have] = counts[have] == top[of_b]
+    shared = docs.sparkSession.sparkContext.broadcast((counts, highest))  # a number for each possible pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, best = shared.value

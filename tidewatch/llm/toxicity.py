@@ -108,18 +108,17 @@ def _cut(cp: np.ndarray, letter: np.ndarray, base: int, begins: np.ndarray, ends
 
 @dataclass(frozen=True)
 class Counts:
-    """Texts of the sample that hold each unit, by ascending unit: toxic and clean ones by fold; and all units' texts."""
+    """Texts of the sample that hold each unit, by ascending unit: toxic and clean ones by fold."""
 
     units: np.ndarray
     toxic: np.ndarray
     clean: np.ndarray
-    all_toxic: np.ndarray
-    all_clean: np.ndarray
 
     def without(self, fold: int) -> Model:
         """The model of the other folds; of all where fold is -1."""
         some = np.array([k != fold for k in range(FOLDS)])
-        return Model(self.units, self.toxic[:, some].sum(axis=1), self.clean[:, some].sum(axis=1), (self.all_toxic[some].sum() + 1) / (self.all_toxic[some].sum() + self.all_clean[some].sum() + 2))
+        toxic, clean = self.toxic[:, some].sum(axis=1), self.clean[:, some].sum(axis=1)
+        return Model(self.units, toxic, clean, (toxic.sum() + 1) / (toxic.sum() + clean.sum() + 2))
 
 
 @dataclass(frozen=True)
@@ -288,13 +287,11 @@ def _counts(table: DataFrame) -> Counts:
 
     found = table.mapInArrow(run, "unit bigint, " + ", ".join(f"{n} int" for n in names)).groupBy("unit").agg(*(F.sum(n).alias(n) for n in names))
     texts = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    own = found.agg(*(F.sum(n).alias(n) for n in names)).first()
     kept = found.where(texts >= SUPPORT).orderBy(F.desc(texts), "unit").limit(UNITS).toArrow()
     unit = kept.column(0).to_numpy().view(np.uint64)
     order = np.argsort(unit)
     of = lambda ns: np.stack([kept.column(n).to_numpy()[order] for n in ns], axis=1)
-    sums = np.array([own[n] or 0 for n in names])
-    return Counts(unit[order], of(names[:FOLDS]), of(names[FOLDS:]), sums[:FOLDS], sums[FOLDS:])
+    return Counts(unit[order], of(names[:FOLDS]), of(names[FOLDS:]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
