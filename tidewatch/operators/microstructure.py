@@ -51,8 +51,8 @@ def trailing_windows(samples: DataFrame, times: DataFrame, seconds: int, event_t
     sample or less than half of the window covered, <NAME>_NO_DATA for a series without two samples, STALE_WINDOW and
     INGESTION_LAG beyond the limits of WINDOWS; the last two make a window ineligible. No sample: no row.
 
-    Samples and times meet by key and bucket of the window's length: each sample goes to its own bucket and the next, so
-    no sample meets a time it can't belong to by more than one window."""
+    Samples and times meet by bucket of the window's length: each sample goes to its own bucket and the next, so no sample
+    meets a time it can't belong to by more than one window."""
     if seconds not in WINDOWS:
         raise ValueError(f"window of {seconds} seconds; there are {sorted(WINDOWS)}")
     sums, series = sums or {}, series or {}
@@ -69,6 +69,12 @@ def trailing_windows(samples: DataFrame, times: DataFrame, seconds: int, event_t
         F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max_by("_f", order).alias("_fetched"), *(F.sum(k).alias(k) for k in sums),
         *(pair(k, f).alias(f"{k}_{end}") for k in series for end, f in (("first", F.min_by), ("last", F.max_by))),
     )
+    return described(out, at, keys, F.lit(seconds), F.lit(fresh), F.lit(late), list(sums), list(series))
+
+
+def described(out: DataFrame, at: str, keys: Sequence[str], seconds: Column, fresh: Column, late: Column, sums: Sequence[str], series: Sequence[str]) -> DataFrame:
+    """Windows by what is aggregated of them (n, first and last value, _first, _last and _fetched, sums, ends of series): with
+    return, age, lag and flags, as `trailing_windows` states them."""
     age, lag, cover = F.col("_at") - F.col("_last"), F.col("_fetched") - F.col("_last"), F.col("_last") - F.col("_first")
     marks = flags(SPARSE_WINDOW=(F.col("n") < 2) | (cover < 0.5 * seconds), **{f"{k.upper()}_NO_DATA": F.col(f"{k}_first").isNull() for k in series}, STALE_WINDOW=age > fresh, INGESTION_LAG=lag > late)
     return out.select(
@@ -81,14 +87,26 @@ def flow_windows(samples: DataFrame, times: DataFrame, seconds: int, at: str = "
     """Trailing windows of flow samples: symbol, observed_at, available_at, fetched_at, mid_price, depth_imbalance_25bps,
     aggressive_buy_notional, aggressive_sell_notional, and open_interest, funding_rate, basis_bps (null where unknown)."""
     c = F.col
-    out = trailing_windows(
-        samples, times, seconds, "observed_at", c("mid_price"), c("available_at"), c("fetched_at"), at, [key],
-        {"_depth": c("depth_imbalance_25bps"), "_buys": c("aggressive_buy_notional"), "_sells": c("aggressive_sell_notional")},
-        {"open_interest": c("open_interest"), "funding": c("funding_rate"), "basis": c("basis_bps")},
-    )
+    out = trailing_windows(samples, times, seconds, "observed_at", c("mid_price"), c("available_at"), c("fetched_at"), at, [key], flow_sums(), flow_series())
+    return flow_columns(out, [at, key])
+
+
+def flow_sums() -> dict[str, Column]:
+    """What flow samples are summed by."""
+    return {"_depth": F.col("depth_imbalance_25bps"), "_buys": F.col("aggressive_buy_notional"), "_sells": F.col("aggressive_sell_notional")}
+
+
+def flow_series() -> dict[str, Column]:
+    """Series of flow samples of which the first and the last known value count."""
+    return {"open_interest": F.col("open_interest"), "funding": F.col("funding_rate"), "basis": F.col("basis_bps")}
+
+
+def flow_columns(out: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Windows over flow samples, of a table or a stream, by their names."""
+    c = F.col
     cvd, first = c("_buys") - c("_sells"), c("open_interest_first")
     return out.select(
-        at, key, c("n").alias("sample_count"), c("return_bps").alias("mid_return_bps"), (c("_depth") / c("n")).alias("mean_depth_imbalance_25bps"), c("_buys").alias("aggressive_buy_notional"), c("_sells").alias("aggressive_sell_notional"),
+        *keys, c("n").alias("sample_count"), c("return_bps").alias("mid_return_bps"), (c("_depth") / c("n")).alias("mean_depth_imbalance_25bps"), c("_buys").alias("aggressive_buy_notional"), c("_sells").alias("aggressive_sell_notional"),
         cvd.alias("cvd_quote"), F.coalesce(ratio(cvd, c("_buys") + c("_sells")), F.lit(0.0)).alias("taker_imbalance"), F.when(first > 0, ratio(c("open_interest_last") - first, first)).alias("open_interest_delta_pct"),
         ((c("funding_last") - c("funding_first")) * 1e4).alias("funding_delta_bps"), (c("basis_last") - c("basis_first")).alias("basis_delta_bps"), c("age_seconds").alias("last_sample_age_seconds"), c("lag_seconds").alias("ingestion_lag_seconds"), "regime_eligible", "flags",
     )

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidewatch.functions import content_id, horizon_end, scale
 from tidewatch.operators import analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
 from tidewatch.sources import landed, table
+from tidewatch.streaming import as_stream, drained
+from tidewatch.streaming.book import books
+from tidewatch.streaming.windows import sliding_windows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -485,7 +488,7 @@ def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(spark, sf_dir).select("fold_index", "n", "kind", F.round("score", 6).alias("score"), "actual")
 
 
-_METRICS = f"{_PRED}, m AS (SELECT kind, count(*) AS n, avg(actual::int) AS base_rate, avg((score - actual::int) ** 2) AS brier, avg(-(actual::int * ln(score) + (1 - actual::int) * ln(1 - score))) AS log_loss FROM pred GROUP BY 1)"
+_METRICS = f"{_PRED}, m AS (SELECT kind, count(*) AS n, avg(actual::int) AS base_rate, avg((score - actual::int) ** 2) AS brier, avg(-(actual::int * ln(greatest(1e-12, least(1 - 1e-12, score))) + (1 - actual::int) * ln(1 - greatest(1e-12, least(1 - 1e-12, score))))) AS log_loss FROM pred GROUP BY 1)"
 
 
 @query(f"WITH {_METRICS} SELECT kind, n, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(base_rate * (1 - base_rate), 6) AS brier_reference, round(1 - brier / (base_rate * (1 - base_rate)), 4) AS brier_skill FROM m")
@@ -501,7 +504,7 @@ def skill_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kind", "n", F.round("brier_gain", 6).alias("brier_gain"), F.round("log_loss_change", 6).alias("log_loss_change"), "passed")
 
 
-@query(f"""WITH {_PRED}, m AS (SELECT n % 4 AS cell, kind, count(*) AS n, avg(actual::int) AS base_rate, avg((score - actual::int) ** 2) AS brier, avg(-(actual::int * ln(score) + (1 - actual::int) * ln(1 - score))) AS log_loss FROM pred GROUP BY 1, 2),
+@query(f"""WITH {_PRED}, m AS (SELECT n % 4 AS cell, kind, count(*) AS n, avg(actual::int) AS base_rate, avg((score - actual::int) ** 2) AS brier, avg(-(actual::int * ln(greatest(1e-12, least(1 - 1e-12, score))) + (1 - actual::int) * ln(1 - greatest(1e-12, least(1 - 1e-12, score))))) AS log_loss FROM pred GROUP BY 1, 2),
 g AS (SELECT a.cell, a.kind, a.brier, a.log_loss, CASE WHEN a.kind = 'B0' THEN 'REFERENCE_BASELINE' WHEN a.n >= 50 AND round(a.base_rate * a.n) >= 5 AND a.n - round(a.base_rate * a.n) >= 5 AND b.brier - a.brier >= 0 AND a.log_loss - b.log_loss <= 0 THEN 'ELIGIBLE_CHALLENGER' ELSE 'REJECTED' END AS state FROM m a JOIN m b ON a.cell = b.cell AND b.kind = 'B0')
 SELECT cell, count_if(state = 'ELIGIBLE_CHALLENGER') AS eligible, arg_min(kind, brier) FILTER (state = 'ELIGIBLE_CHALLENGER') AS challenger, string_agg(kind || ':' || state, ',' ORDER BY kind) AS entries FROM g GROUP BY 1""")
 def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -690,6 +693,53 @@ def tumbling_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.col("window_start").cast("bigint").alias("hour"), "n", F.round("total", 4).alias("total"))
 
 
+_STREAMED = (300, 900, 3600)
+
+
+@query(f"""WITH s AS (SELECT event_type, value, epoch(ts) AS t, epoch(ts) + {_AVAILABLE} AS av, epoch(ts) + {_FETCHED} AS fe, CASE WHEN user_id % 3 = 0 THEN value END AS oi FROM events), k AS (SELECT *, ceil(fe / 3600) * 3600 AS moment, (t, av, fe, value) AS o FROM s),
+w AS (SELECT moment, event_type, seconds, count(*) AS n, min_by(value, o) AS f, max_by(value, o) AS l, sum(value) AS total, CASE WHEN count(oi) >= 2 THEN min_by(oi, o) FILTER (oi IS NOT NULL) END AS oi0, CASE WHEN count(oi) >= 2 THEN max_by(oi, o) FILTER (oi IS NOT NULL) END AS oi1, min(t) AS a, max(t) AS b, max_by(fe, o) AS c
+  FROM k JOIN (VALUES {', '.join(f'({x})' for x in _STREAMED)}) AS x(seconds) ON t > moment - seconds WHERE moment <= (SELECT max(fe) FROM s) - 600 GROUP BY 1, 2, 3),
+g AS (SELECT *, CASE seconds {' '.join(f'WHEN {x} THEN {_LIMITS[x][0]}' for x in _STREAMED)} END AS fresh, CASE seconds {' '.join(f'WHEN {x} THEN {_LIMITS[x][1]}' for x in _STREAMED)} END AS late FROM w)
+SELECT cast(moment AS bigint) AS moment, event_type, cast(seconds AS bigint) AS seconds, n, round(f, 4) AS first_value, round(l, 4) AS last_value, round(total, 4) AS total, round((l / f - 1) * 1e4, 2) AS return_bps, round(oi0, 4) AS interest_first, round(oi1, 4) AS interest_last, round(moment - b, 3) AS age_seconds, round(c - b, 3) AS lag_seconds, moment - b <= fresh AND round(c - b, 3) <= late AS regime_eligible,
+  concat_ws(',', CASE WHEN n < 2 OR b - a < 0.5 * seconds THEN 'SPARSE_WINDOW' END, CASE WHEN oi0 IS NULL THEN 'INTEREST_NO_DATA' END, CASE WHEN moment - b > fresh THEN 'STALE_WINDOW' END, CASE WHEN round(c - b, 3) > late THEN 'INGESTION_LAG' END) AS flags FROM g""")
+def stream_pit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of every hour as a stream sends them: all that the watermark, ten minutes behind, has passed."""
+    samples = _samples(spark, sf_dir).select("event_type", "value", "user_id", *(F.col(c).cast("timestamp").alias(c) for c in ("ts", "available", "fetched")))
+    stream = as_stream(samples, "samples")
+    out = drained(sliding_windows(stream, 3600, _STREAMED, "ts", F.col("value"), F.col("available"), F.col("fetched"), ["event_type"], "10 minutes", series={"interest": F.when(F.col("user_id") % 3 == 0, F.col("value"))}), "windows")
+    return out.select(microstructure.epoch(F.col("at")).cast("bigint").alias("moment"), "event_type", "seconds", "n", *(F.round(c, k).alias(c) for c, k in (("first_value", 4), ("last_value", 4), ("total", 4), ("return_bps", 2), ("interest_first", 4), ("interest_last", 4), ("age_seconds", 3), ("lag_seconds", 3))), "regime_eligible", F.array_join("flags", ",").alias("flags"))
+
+
+def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as order books of users: every tenth event of a user is a snapshot, the others change a level of each side;
+    some skip a number, some lack their clocks."""
+    e, own = table(spark, sf_dir, "events"), Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    e = e.withColumn("number", F.row_number().over(own).cast("bigint"))
+    level = lambda price, quantity: F.struct(price.cast("double").alias("price"), quantity.cast("double").alias("quantity"))
+    some = F.when(k % 4 == 0, 0).otherwise(F.ceil(F.col("value") / 10))
+    whole, first = F.col("number") % 10 == 1, F.col("number") + F.when(k % 37 == 0, 1).otherwise(0)
+    full = lambda low: F.array(*(level(F.lit(low + i), F.lit(1 + i % 3)) for i in range(5)))
+    clock = F.when(k % 11 > 0, at)
+    return e.select(
+        F.col("user_id").alias("symbol"), F.when(whole, "snapshot").otherwise("delta").alias("kind"), first.alias("first_id"), F.greatest(first, F.col("number")).alias("last_id"), at.alias("observed_at"), clock.alias("available_at"), clock.alias("fetched_at"),
+        F.when(whole, full(95)).otherwise(F.array(level(95 + k % 7, some))).alias("bids"), F.when(whole, full(101)).otherwise(F.array(level(101 + k % 6, some))).alias("asks"),
+    )
+
+
+#: Seconds after which a book is silent, and seconds by which the watermark is behind.
+BOOK_SILENCE, BOOK_DELAY = 86_400, 60
+
+
+@query()
+def stream_order_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of users with their three best levels and the dynamics of each change, from a stream; tests hold it against a
+    plain loop."""
+    out = drained(books(as_stream(book_events(spark, sf_dir), "book"), "symbol", f"{BOOK_DELAY} seconds", BOOK_SILENCE, 3), "books")
+    side = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("x", x["price"].cast("string"), x["quantity"].cast("string"))), ",").alias(c)
+    return rounded(out.select("symbol", F.unix_micros("observed_at").alias("observed_us"), "first_id", "last_id", "state", "problem", side("bids"), side("asks"), "elapsed_seconds", "bid_added", "bid_removed", "ask_added", "ask_removed", "provenance_complete", F.array_join("flags", ",").alias("flags")))
+
+
 @query("""WITH RECURSIVE a AS (SELECT DISTINCT event_type AS key, ts FROM events WHERE value > 50), k AS (SELECT key, min(ts) AS ts FROM a GROUP BY key UNION ALL SELECT k.key, min(a.ts) AS ts FROM k JOIN a ON a.key = k.key AND a.ts >= k.ts + INTERVAL 4 HOUR GROUP BY k.key)
 SELECT key, epoch_us(ts) AS fired FROM k""")
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:

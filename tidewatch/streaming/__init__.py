@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.scratch import fresh_path, put
+
 
 def tumbling(events: DataFrame, time: str, length: str, keys: Sequence[str], value: Column, watermark: str = "1 hour") -> DataFrame:
     """keys, window_start, n, total; the same for a table and for a stream, where late rows are dropped by watermark."""
@@ -64,44 +66,23 @@ def cooled_stream(alerts: DataFrame, key: str, time: str, seconds: float) -> Dat
     return alerts.select(key, time).groupBy(key).applyInPandasWithState(run, schema, "last timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def book_stream(deltas: DataFrame) -> DataFrame:
-    """Order books as state of a symbol: deltas (symbol, kind, first_id, last_id, side, price, quantity rows as arrays).
-
-    In: symbol, kind ('snapshot' or 'delta'), first_id, last_id, bids and asks (arrays of price, quantity). Out: symbol,
-    last_id, synchronised, best_bid, best_ask, problem. A snapshot resets; a delta older than the book, or before any, is passed over;
-    one that does not follow it is a GAP, a crossed book is CROSSED, and both last until the next snapshot."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    out = "symbol string, last_id bigint, synchronised boolean, best_bid double, best_ask double, problem string"
-    book = "last_id bigint, synchronised boolean, prices array<double>, bids array<double>, asks array<double>"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ok, bids, asks = -1, False, {}, {}
-        if state.exists:
-            last, ok, _, b, a = state.get
-            bids, asks = dict(zip(b[::2], b[1::2])), dict(zip(a[::2], a[1::2]))
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["last_id", "kind"], ascending=[True, False]).itertuples():
-            problem = None
-            if r.kind == "snapshot":
-                last, ok, bids, asks = r.last_id, True, {}, {}
-            elif r.last_id <= last or last < 0:
-                continue
-            elif not ok or r.first_id > last + 1:
-                ok, problem = False, "GAP"
-            for side, levels in ((bids, r.bids), (asks, r.asks)) if ok else ():
-                for x in levels:
-                    if x["quantity"] == 0:
-                        side.pop(x["price"], None)
-                    else:
-                        side[x["price"]] = x["quantity"]
-            last = max(last, r.last_id)
-            top, low = max(bids, default=None), min(asks, default=None)
-            if ok and (top is None or low is None or top >= low):
-                ok, problem = False, "CROSSED"
-            rows.append((key[0], last, ok, top, low, problem))
-        flat = lambda d: [v for kv in d.items() for v in kv]
-        state.update((last, ok, [], flat(bids), flat(asks)))
-        yield pd.DataFrame(rows, columns=["symbol", "last_id", "synchronised", "best_bid", "best_ask", "problem"])
-
-    return deltas.groupBy("symbol").applyInPandasWithState(run, out, book, "append", GroupStateTimeout.NoTimeout)
+def as_stream(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to the shared folder, as a stream of its files."""
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(put(rows, name))
+
+
+def drained(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """What the stream has to say of all that is there now, as a table at `path` (a fresh one in the shared folder), with the
+    RocksDB state store, which keeps state on the executors' disks and its changes in the checkpoint. Running again with
+    the same path goes on where the last run stopped."""
+    spark = stream.sparkSession
+    path = path or fresh_path(spark, name)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
