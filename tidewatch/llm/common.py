@@ -2,45 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.scratch import put, shared_dir
+
 #: White space of the contracts, [\x20\x09-\x0D], as a Java and RE2 class.
 SPACE = r"[\x20\x09-\x0D]"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir. Where that is unset, one machine gets a folder of its own; on a cluster
-    it is an error, as executors would not see each other's files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return (found or _own_dir()).rstrip("/")
-
-
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="scratch-")
+    """The folder named by spark.checkpoint.dir; see `shared_dir`."""
+    return shared_dir(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared scratch folder: cuts the lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = put(df, name)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the scratch tables that these frames of `written` read, once nothing reads them any more."""
+    """Deletes scratch tables, which are frames that `written` gave, once nothing reads them any more. No other frame is
+    taken, and nothing outside the scratch folder is deleted."""
     for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if not path or not path.startswith(scratch_dir(df.sparkSession) + "/"):
+            raise ValueError("only tables of `written` are scratch")
         context = df.sparkSession.sparkContext
-        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def partitions(df: DataFrame) -> int:
