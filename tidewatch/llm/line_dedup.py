@@ -13,10 +13,10 @@ settles nearly all of them, so the pairs within a family are never formed.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, strings, written
+from tidewatch.llm.common import discard, partitions, strings, written
 from tidewatch.llm.set_join import band, bands, classes, exploded, least, similar, token_sets
 
 #: Sets of one prefix token beyond which they meet by length band.
@@ -37,7 +37,8 @@ def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, part of every line (part: its number in the text, from 0) that a line before it is similar to: 100 * overlap
-    >= 80 * union of their token sets. Before: smaller (id, part)."""
+    >= 80 * union of their token sets. Before: smaller (id, part). Ids are unique and not null; `without_repeats` sees to
+    that."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sets = token_sets(source, _lines, False, True)
     may = written(classes(sets, "dfs"), "lines")
@@ -72,19 +73,34 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(rows, key): docs with each row as one column `_row`, and a unique key in the order of the documents. Ids are the key
+    where no two rows share one and none is null; else rows are sorted by (id, text), those without an id last, and
+    numbered as they are written."""
+    rows = docs.select(F.struct("*").alias("_row"))  # whatever names the columns have
+    own, text = F.col("_row")[id_col].cast("long"), F.col("_row")[text_col]
+    if not docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count():
+        return rows, own
+    order = [own.isNull(), own, F.xxhash64(text), text, F.col("_tie")]  # a row that stands a million times is split too
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(max(2, partitions(docs)), *order).sortWithinPartitions(*order)
+    return written(dealt.select("_row", F.monotonically_increasing_id().alias("_number")), "numbered"), F.col("_number")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later similar lines removed from its text, and `lines_removed` (in the place of a column of that name).
 
-    All other columns stay, and every row: a text that loses all its lines is empty, a null text stays null. Rows
-    without an id are left as they are; a repeated row is treated as the first one is, so rows of equal ids should not
-    differ. Lines without a word stay; in scripts without spaces a line is one word, so its copies go and near copies stay. Ties: the smaller (id, number) is earlier.
-    An empty table stays empty.
+    All other columns stay, and every row: a text that loses all its lines is empty, a null text stays null. A line is
+    later if its document's id is larger, or in the same document its number; rows that share an id are documents of their
+    own in the order of a hash of their texts (so a row that comes twice loses its lines the second time), and rows without
+    an id stand behind all others. Lines without a word stay; in scripts without spaces a line is one word, so its copies go
+    and near copies stay. Texts and lines may be of any length and number. An empty table stays empty.
     """
-    gone = later_matches(docs, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.collect_set("part").alias("_gone"))
-    rows = docs.select(F.struct("*").alias("_row"))  # whatever names the columns have
-    text = F.col("_row")[text_col]
-    joined = rows.join(gone, F.col("_row")[id_col].cast("long") == F.col("_id"), "left")
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("x")))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("_gone", x["i"])), lambda x: x["x"])
-    found = {text_col: F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")), "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
-    return joined.select(*(found.get(c, F.col("_row")[c]).alias(c) for c in dict.fromkeys([*docs.columns, *found])))
+    rows, key = _numbered(docs, id_col, text_col)
+    found = later_matches(rows.select(key.alias("id"), F.col("_row")[text_col].alias("text")), "id", "text")
+    gone = found.groupBy(F.col("id").alias("_id")).agg(F.collect_set("part").alias("_gone"))
+    joined = rows.join(gone, key == F.col("_id"), "left").withColumn("_lines", F.split(F.col("_row")[text_col], "\n"))
+    # Numbers of the lines that stay, by a hash set, so that a text costs what it has of lines.
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size("_lines") - 1).cast("long")), "_gone")
+    joined = joined.withColumn("_text", F.array_join(F.transform(left, lambda i: F.get("_lines", i.cast("int"))), "\n"))
+    new = {text_col: F.when(F.col("_gone").isNull(), F.col("_row")[text_col]).otherwise(F.col("_text")), "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    return joined.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in dict.fromkeys([*docs.columns, *new])))
