@@ -57,7 +57,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = token_sets(source, _texts, True, False)  # a row for each different set of a block, with all its ids
-    may = written(classes(sets), "classes")
+    may = written(classes(sets).withColumn("row", F.monotonically_increasing_id()), "classes")  # a number for each set, as it is written
     keys = written(_keys(may), "keys")
     leaders = keys.groupBy("key").agg(F.min_by("sig", F.struct("id", "sig")).alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     stars = looked_up(keys, leaders, "key").where("sig != b").groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
@@ -94,8 +94,10 @@ def _cells(sets: DataFrame, name: str) -> DataFrame:
 
 def _across(may: DataFrame, grouped: DataFrame) -> DataFrame:
     """Links a, b between documents of different groups, all of them."""
-    short = may.join(grouped, may["sig"] == grouped["node"], "left").select("sig", F.xxhash64("sig").alias("row"), F.xxhash64(F.coalesce("component", "sig")).alias("group"), "size", "tokens")
-    members = written(short, "members")
+    # A group is the number of its component's set; a set that links with none is a group of its own.
+    numbers = may.select(F.col("sig").alias("component"), F.col("row").alias("group"))
+    group = looked_up(grouped, numbers, "component").select("node", "group")
+    members = written(may.join(group, may["sig"] == group["node"], "left").select("sig", "row", F.coalesce("group", "row").alias("group"), "size", "tokens"), "members")
     about = members.select("row", "group", "size")
     # Tokens of one group alone can't lead across.
     spread = _cells(members, "group").groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low != high").select("token")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, partitions, power_of_two, strings, written
+from tidewatch.llm.common import discard, partitions, power_of_two, sliced, strings, written
 from tidewatch.llm.hashing import mixed, shingles, word_hashes
 
 #: Similarity as a ratio of integers: 100 * overlap >= 80 * union.
@@ -32,6 +32,8 @@ PERCENT = 80
 TOKEN_BITS = 56
 #: Sets and tokens of a block at most; sets are numbered in two bytes.
 BLOCK_SETS, BLOCK_TOKENS = 60_000, 3_000_000
+#: Bytes of text that are hashed at once (one text at least).
+PIECE = 4_000_000
 #: Buckets for each scan partition; sets of a block that make a token hot there; sets in a header row.
 SHARE, HOT, HEADER = 8, 64, 4096
 #: Rows of one key that are too many for one task, and how many such keys are told apart (the most frequent).
@@ -245,8 +247,8 @@ def token_sets(source: DataFrame, explode: Explode, all_sets: bool, with_df: boo
         number = TaskContext.get().partitionId() << 24
         block = _Block(number, bits)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, parts, texts = explode(batch.slice(at, 256))
+            for some in (part.slice(at, 256) for part in sliced(batch, "text", PIECE) for at in range(0, part.num_rows, 256)):
+                ids, parts, texts = explode(some)
                 for i in range(0, len(ids), BLOCK_SETS // 2):
                     block.add(ids[i : i + BLOCK_SETS // 2], parts[i : i + BLOCK_SETS // 2], texts[i : i + BLOCK_SETS // 2])
                     if len(block.ids) >= BLOCK_SETS // 2 or block.total >= BLOCK_TOKENS:
@@ -343,7 +345,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(looked_up(lower, jump, "low").select("node", F.least("low", "far").alias("component"), (F.least("low", "far") != F.col("old")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
         discard(labels, lower)
-        labels = new.select("node", "component")
+        labels = new
         if not moved:
             discard(both)
-            return labels
+            return new.select("node", "component")
