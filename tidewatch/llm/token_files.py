@@ -21,8 +21,8 @@ from tidewatch.llm.common import partitions, sliced, strings
 from tidewatch.llm.hashing import mixed
 from tidewatch.llm.library_encoding import encoder
 
-#: Ids of a page; a page has one document at least.
-PAGE_IDS = 1 << 17
+#: Ids of a page; a page has one document at least. Shards that one level of quantiles parts.
+PAGE_IDS, CUTS = 1 << 17, 1000
 PAGE = "shard int, page int, start bigint, n_ids bigint, ids array<bigint>, lengths binary, offsets binary, words binary"
 SCHEMA = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("offsets", pa.binary()), ("words", pa.binary())])
 #: Ids that are null count as the smallest, and stand before a row that has it.
@@ -30,10 +30,26 @@ LEAST = -(2**63)
 
 
 def _bounds(rows: DataFrame, shards: int) -> np.ndarray:
-    """Where the shards part: quantiles of the ids, one number a shard."""
-    shares = F.array(*(F.lit(k / shards) for k in range(1, shards)))
-    found = rows.agg(F.percentile_approx("key", shares, F.lit(max(10_000, 100 * shards))).alias("cut")).first().cut if shards > 1 else None
-    return np.array(found or [], np.int64)
+    """Where the shards part: quantiles of the ids, one number a shard. Beyond CUTS they are taken in two levels: quantiles of
+    the whole table cut it into groups, and each group gives its own, so no sketch and no list in a plan grows further."""
+    if shards < 2:
+        return np.empty(0, np.int64)
+    first = _quantiles(rows, min(shards, CUTS)).first().cut
+    if shards <= CUTS or not first:
+        return np.array(first or [], np.int64)
+    coarse, each = np.unique(np.array(first, np.int64)), -(-shards // CUTS)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(coarse, batch.column(0).to_numpy(), side="left"))], names=["key", "part"])
+
+    parts = _quantiles(rows.select("key").mapInArrow(grouped, "key bigint, part bigint"), each, "part").collect()  # a number a shard
+    return np.sort(np.array([*first, *(x for r in parts for x in r.cut)], np.int64))
+
+
+def _quantiles(rows: DataFrame, n: int, *by: str) -> DataFrame:
+    """`cut`: the n - 1 values that cut the keys into n shares."""
+    return rows.groupBy(*by).agg(F.percentile_approx("key", F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(10_000)).alias("cut")) if n > 1 else rows.groupBy(*by).agg(F.array().cast("array<bigint>").alias("cut"))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -46,6 +62,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     shards = partitions(docs)
     bounds = _bounds(rows, shards)
+    shards = max(shards, len(bounds) + 1)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, end = encoder(tokenizer, False), np.array([end_id], "<u4").tobytes()
