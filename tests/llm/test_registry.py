@@ -11,9 +11,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm import bpe, registry
+from tidewatch.llm import bpe, quality_classifier, registry
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="driver tables are not here")
@@ -96,10 +97,15 @@ def test_op10_learns_from_four_fifths_only(spark):
     assert len(held) > 100 and sum(r.lang_pred == known[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
-def test_op5_against_annotators(spark):
-    """Against all labels, of which the annotators' withheld ones had no vote."""
-    marks = duckdb.sql(f"select doc_id, quality, toxic from '{MIDDLE}/labels.parquet'").fetchall()
-    got = {r.doc_id: r for r in result(spark, "op5_quality_classifier", MIDDLE)}
-    poor, toxic = [i for i, q, _ in marks if q == 0 and i in got], [i for i, q, x in marks if x == 1 and q == 1 and i in got]
-    clean = [i for i, q, x in marks if q == 1 and x == 0 and i in got]
-    assert sum(not got[i].kept for i in poor) >= 0.9 * len(poor) and sum(not got[i].kept for i in toxic) >= 0.8 * len(toxic) and sum(got[i].kept for i in clean) >= 0.97 * len(clean)
+LARGE = "/root/testdata/sf0.1"
+
+
+def test_op5_on_withheld_labels(spark):
+    """Against the labels that had no vote in the fit, and no others."""
+    own = spark.read.parquet(f"{LARGE}/labels.parquet").where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_classifier.WITHHELD)) == 0).collect()
+    got = {r.doc_id: r for r in result(spark, "op5_quality_classifier", LARGE)}
+    good = {y: [r.doc_id for r in own if r.quality == 1 and r.toxic == y] for y in (0, 1)}
+    poor = [r.doc_id for r in own if r.quality == 0]
+    caught, gone, kept = sum(got[i].toxicity >= quality_classifier.TOXIC for i in good[1]), sum(not got[i].kept for i in poor), sum(got[i].kept for i in good[0])
+    print(f"withheld: {caught} of {len(good[1])} toxic, {gone} of {len(poor)} poor, {kept} of {len(good[0])} clean texts kept")
+    assert len(good[1]) > 60 and caught >= 0.9 * len(good[1]) and gone >= 0.95 * len(poor) and kept >= 0.97 * len(good[0])

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import toxicity
 from tidewatch.llm.common import discard, sliced, strings, written
 from tidewatch.llm.hashing import word_hashes
 
@@ -30,7 +31,7 @@ WITHHELD = 5
 #: Texts are kept from this quality on and below this toxicity: clean texts matter more.
 POOR, TOXIC = 0.5, 0.7
 #: Word beginnings (bytes), byte-class pairs, and shares by the name of SHARES.
-PREFIXES, PAIRS = (4, 5), 256
+PREFIXES, PAIRS = (5, 7), 256
 SHARES = ("stutter", "symbols", "upper", "bangs", "pipes")
 SIZE = BUCKETS + PAIRS + len(SHARES)
 #: Common insults, swear words by their beginnings, contempt and threats, each for a labeller of its own.
@@ -44,7 +45,9 @@ OTHER = frozenset("der die das und ist nicht ein eine mit auf le la les des et e
 ABSTAIN, GOOD, BAD, NOT_ASKED = 0, 1, 2, 3
 #: Names of the labellers, in the order of their votes.
 QUALITY_LABELLERS = ("symbols", "shouting", "exclamation", "stutter", "repeated_lines", "word_length", "pipes", "nothing_odd", "annotator")
-TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude", "annotator")
+TOXIC_LABELLERS = ("lexicon", "swearing", "contempt", "threats", "nothing_rude", "beginnings", "annotator")
+#: Scores of segments beyond FREE add up; a text with SHARED of them is objected to, one with next to none is voted for.
+FREE, SHARED, NONE = 1.0, 2.5, 0.5
 _CLASS = np.full(256, 15, np.uint8)  # byte classes: white, line end, upper, lower, digit, then punctuation by kind, other bytes
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".,;:", b"!", b"?", b"'\"", b"#*$%&", b"|", b"<>", b"()[]{}", b"-_/\\", b"@=+~^`")):
     _CLASS[list(_chars)] = _k
@@ -115,6 +118,20 @@ def votes(text: str) -> tuple[list[int], list[int]]:
     return [*odd, clean], [*(BAD if x else silent for x in rude), ABSTAIN if any(rude) else NOT_ASKED if silent else GOOD]
 
 
+def beginnings(texts: list[str], folds: list[int], models: dict[int, toxicity.Model]) -> list[int]:
+    """Votes on toxicity by the words' beginnings that toxic texts of other folds share (fold -1: of all)."""
+    out, fold = [NOT_ASKED] * len(texts), np.array(folds)
+    for k in np.unique(fold).tolist():
+        own = np.flatnonzero(fold == k)
+        if not models[k].toxic.any():
+            continue
+        found = toxicity.scan([texts[i] for i in own], models[k])
+        strong = np.bincount(found.text, weights=np.maximum(found.score - FREE, 0), minlength=len(own))
+        for i, x in zip(own.tolist(), strong.tolist()):
+            out[i] = BAD if x >= SHARED else GOOD if x < NONE else ABSTAIN
+    return out
+
+
 def expectation_maximisation(vote: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60, prior: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """(posterior of bad for each row, table[labeller, class, vote]) of a two-class model whose labellers vote
     independently given the class; that a labeller abstains is a vote of its own, that it wasn't asked says nothing. vote: rows x labellers of ABSTAIN, GOOD, BAD, NOT_ASKED; weight: how many texts voted like it.
@@ -242,7 +259,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
     Features and votes of the sample are a table in the scratch folder. WORKERS tasks train on its parts and their models
     are averaged ROUNDS times, so the driver holds vote patterns and a few models, however long the texts are."""
 
+    fold = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(toxicity.FOLDS)).cast("int")
+    held = F.pmod(F.xxhash64("id"), F.lit(WITHHELD)) == 0
+    rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"), held.alias("held"), F.when(F.col("toxic").isNotNull() & ~held, fold).otherwise(-1).alias("fold"))
+    texts = written(rows, "sample")
+    shared = docs.sparkSession.sparkContext.broadcast(toxicity.counted(texts.where("fold >= 0").select("text", "toxic", "fold")))  # toxicity.UNITS rows at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = {k: shared.value.without(k) for k in range(-1, toxicity.FOLDS)}
         for batch in batches:
             for part in sliced(batch, "text", 1_000_000):
                 texts = strings(part.column(0))
@@ -251,11 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
                 cut = lambda a: [a[i:j].tobytes() for i, j in zip(ends, ends[1:])]
                 held = part.column(4).to_pylist()
                 own = lambda c, good: [NOT_ASKED if x is None or h else GOOD if (x == 1) == good else BAD for x, h in zip(part.column(c).to_pylist(), held)]
-                voted = [bytes([*a, q, *b, x]) for (a, b), q, x in zip(map(votes, texts), own(1, True), own(2, False))]
-                yield pa.RecordBatch.from_arrays([pa.array(cut(index.astype("<i4")), pa.binary()), pa.array(cut(value.astype("<f4")), pa.binary()), pa.array(voted, pa.binary()), *part.columns[1:]], names=["index", "value", "votes", "quality", "toxic", "order", "held"])
+                voted = [bytes([*a, q, *b, x, y]) for (a, b), q, x, y in zip(map(votes, texts), own(1, True), beginnings(texts, part.column(5).to_pylist(), models), own(2, False))]
+                yield pa.RecordBatch.from_arrays([pa.array(cut(index.astype("<i4")), pa.binary()), pa.array(cut(value.astype("<f4")), pa.binary()), pa.array(voted, pa.binary()), *part.columns[1:5]], names=["index", "value", "votes", "quality", "toxic", "order", "held"])
 
-    rows = _sample(docs, labels, id_col, text_col, sample).select("text", "quality", "toxic", F.xxhash64("id").alias("order"), (F.pmod(F.xxhash64("id"), F.lit(WITHHELD)) == 0).alias("held"))
-    made = rows.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint, held boolean")
+    made = texts.mapInArrow(run, "index binary, value binary, votes binary, quality int, toxic int, `order` bigint, held boolean")
     table = written(made.repartitionById(WORKERS, F.pmod("order", F.lit(WORKERS)).cast("int")).sortWithinPartitions("order", "votes", "index"), "votes")  # a file a worker
     seen = table.groupBy("votes", "quality", "toxic", "held").agg(F.count("*").alias("n")).orderBy("votes").collect()  # patterns of votes
     patterns = sorted({bytes(r.votes) for r in seen})
@@ -277,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         accuracies |= {f"{n}/{kind}": float((found[j, 0, GOOD] + found[j, 1, BAD]) / (found[j, :, GOOD].sum() + found[j, :, BAD].sum())) for j, n in enumerate(names)}
     if patterns:
         models = _averaged(table, dict(zip(patterns, zip(*(p.tolist() for p in posts)))), models)
-    discard(table)
+    discard(table, texts)
     return Scorer(*((m.weights, m.bias) for m in models), accuracies, _measured(seen))
 
 

@@ -264,8 +264,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
     return rows, tuple(max(1.0, total.get(y, 0) / max(1, sample // 2)) for y in (0, 1))
 
 
-def _counts(table: DataFrame) -> Counts:
-    """How many texts of each class and fold hold each unit; units of less than SUPPORT texts are left out."""
+def counted(table: DataFrame) -> Counts:
+    """How many texts (columns text, toxic, fold) of each class and fold hold each unit; units of less than SUPPORT texts are left out."""
     names = [f"{kind}{k}" for kind in ("toxic", "clean") for k in range(FOLDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     from those scores come the law of clean texts and the weights. Without labels every text has one half."""
     rows, stands_for = _sample(docs, labels, id_col, text_col, sample)
     table = written(rows, "toxic")
-    counts = _counts(table)
+    counts = counted(table)
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # UNITS rows of FOLDS counts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
