@@ -14,9 +14,9 @@ can be sent everywhere.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import sliced, strings, written
-from tidewatch.llm.library_encoding import LONGEST, LibraryEncoder
+from tidewatch.llm.library_encoding import LibraryEncoder
 
 ALIGNED = "id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary"
-#: Bytes of text that are aligned at once; characters of the chunks that a worker keeps, in two generations.
-PIECE, CACHED = 500_000, 2_000_000
+#: Bytes of text that are aligned at once.
+PIECE = 500_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -39,52 +39,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class PieceEncoder:
-    """Ids of a piece model for whole texts, with the space that the model puts before them. Where no piece holds a space
-    after another character, a text falls into chunks of spaces and what follows them, and each distinct chunk is coded
-    once and kept in a bounded cache; else texts are coded whole."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(len(names))])
-        self.bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(names, self.is_byte.tolist())]
-        whole = any("▁" in p.lstrip("▁") for p in names) or self.model.encode("") != []
-        self.find = (lambda text: [text]) if whole else re.compile(" +[^ ]*").findall
-        self.cache: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-        self.held = 0
-
-    def _coded(self, chunk: str, ids: list[int]) -> bytes | None:
-        ids = ids or [self.model.piece_to_id("▁")]  # the model puts no space before an empty text
-        return np.array(ids, "<u4").tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == chunk.encode() else None
-
-    def encode(self, texts: list[str]) -> list[bytes | None]:
-        """Ids of each text (which begins with the space that the model adds) as little-endian unsigned 32-bit integers;
-        null where their joined bytes are not the text's."""
-        chunks = [self.find(t) for t in texts]
-        distinct = set().union(*chunks)
-        new = distinct.difference(self.cache)
-        size = sum(map(len, new))
-        if self.held + size > CACHED // 2:
-            self.old, self.cache, self.held, new = self.cache, {}, 0, distinct
-            size = sum(map(len, new))
-        self.held += size
-        if self.old:
-            again = new.intersection(self.old)
-            self.cache.update(zip(again, map(self.old.__getitem__, again)))
-            new = new.difference(again)
-        coming = list(new)
-        self.cache.update(zip(coming, map(self._coded, coming, self.model.encode([c[1:] for c in coming], num_threads=1))))
-        found = [list(map(self.cache.__getitem__, c)) for c in chunks]
-        out = [None if None in c else b"".join(c) for c in found]
-        for c in coming:
-            if len(c) > LONGEST:
-                del self.cache[c]
-                self.held -= len(c)
-        return out
+def _keeps_bytes(model) -> bool:
+    """Whether a piece model's pieces spell its input, a space before it, whatever it is: nothing is normalised, and there
+    is a piece for each byte. Only U+2581 reads as a space then."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as proto
+    except ImportError:  # its package for such files isn't there: every text is compared
+        return False
+    spec = proto.ModelProto.FromString(model.serialized_model_proto()).normalizer_spec
+    plain = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
+    return plain and sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
 
 
 class Aligner:
@@ -92,14 +56,21 @@ class Aligner:
     a text are plain text."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = LibraryEncoder(byte_path, False, special_is_text=True), PieceEncoder(piece_path)
+        import sentencepiece
+
+        self.a, self.b = LibraryEncoder(byte_path, False, special_is_text=True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
         of, special = _byte_of(), {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         names = [self.a.tokenizer.id_to_token(i) for i in range(self.a.tokenizer.get_vocab_size())]
         self.a_bytes = [t.encode() if t in special else bytes(of[c] for c in t) for t in names]
-        self.b_bytes = self.b.bytes
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.is_byte = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.b_bytes = [bytes([int(p[1:-1], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in zip(pieces, self.is_byte)]
+        # A byte-level model without a normaliser that knows each byte spells its input.
+        self.a_exact = self.a.tokenizer.normalizer is None and len({x for x in self.a_bytes if len(x) == 1}) == 256
+        self.b_exact = _keeps_bytes(self.b)
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         # A byte piece and a plain one may hold the same byte; other than that a side's tokens differ in their bytes.
-        self.twin = self.b.is_byte.astype(np.int64)
+        self.twin = np.array(self.is_byte, np.int64)
         self.by_a = np.cumsum(2 * self.a_size) - 2 * self.a_size
         self.by_b = 2 * self.a_size.sum() + np.cumsum(self.b_size) - self.b_size
         #: Numbers of pairs: all of an A token with its suffixes, then all of a B token with its shorter suffixes.
@@ -114,7 +85,7 @@ class Aligner:
 
     def second(self, pairs: np.ndarray) -> np.ndarray:
         """The B id of each pair."""
-        plain, byte = ({x: i for i, x in enumerate(self.b_bytes) if self.b.is_byte[i] == kind} for kind in (False, True))
+        plain, byte = ({x: i for i, x in enumerate(self.b_bytes) if self.is_byte[i] == kind} for kind in (False, True))
         out = np.searchsorted(self.by_b, pairs, side="right") - 1
         for k in np.flatnonzero(pairs < self.by_b[0]).tolist():
             a = int(np.searchsorted(self.by_a, pairs[k], side="right")) - 1
@@ -127,18 +98,18 @@ class Aligner:
         out: list[tuple[int, int, int, str, bytes]] = [(0, 0, 0, "", b"")] * len(texts)
         whole = [k for k, t in enumerate(texts) if t]
         a_ids = [np.frombuffer(x, "<u4") for x in self.a.encode([" " + texts[k] for k in whole])]
-        b_ids = [None if x is None else np.frombuffer(x, "<u4") for x in self.b.encode([" " + texts[k] for k in whole])]
+        b_ids = self.b.encode([texts[k] for k in whole], num_threads=1)
         kept, ends = [], [0]
         for n, k in enumerate(whole):
             text = (" " + texts[k]).encode()
-            if b_ids[n] is not None and b"".join(map(self.a_bytes.__getitem__, a_ids[n].tolist())) == text:
+            if (self.a_exact or b"".join(map(self.a_bytes.__getitem__, a_ids[n].tolist())) == text) and (self.b_exact and "▁" not in texts[k] or b"".join(map(self.b_bytes.__getitem__, b_ids[n])) == text):
                 kept.append(n)
                 ends.append(ends[-1] + len(text))
         if not kept:
             return out
         n_a, n_b = [len(a_ids[n]) for n in kept], [len(b_ids[n]) for n in kept]
         a = np.concatenate([a_ids[n] for n in kept]).astype(np.int64)
-        b = np.concatenate([b_ids[n] for n in kept]).astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b_ids[n] for n in kept), np.int64, sum(n_b))
         a_end, b_end, offsets = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.array(ends)
         cut = (np.bincount(a_end, minlength=ends[-1] + 1) > 0) & (np.bincount(b_end, minlength=ends[-1] + 1) > 0)
         before = np.cumsum(cut)  # cuts up to and with each byte
