@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, partitions, power_of_two, sliced, strings, written
+from tidewatch.llm.common import discard, free_shuffles, partitions, power_of_two, sliced, strings, written
 from tidewatch.llm.hashing import mixed, shingles, word_hashes
 
 #: Similarity as a ratio of integers: 100 * overlap >= 80 * union.
@@ -31,7 +31,7 @@ PERCENT = 80
 #: Bits of a token. Two shingles of one text of n fall together once in 2**57 / n**2 texts.
 TOKEN_BITS = 56
 #: Sets and tokens of a block at most; sets are numbered in two bytes.
-BLOCK_SETS, BLOCK_TOKENS = 60_000, 3_000_000
+BLOCK_SETS, BLOCK_TOKENS = 60_000, 2_000_000
 #: Bytes of text that are hashed at once (one text at least).
 PIECE = 4_000_000
 #: Buckets for each scan partition; sets of a block that make a token hot there; sets in a header row.
@@ -260,7 +260,9 @@ def token_sets(source: DataFrame, explode: Explode, all_sets: bool, with_df: boo
 
     packed = source.mapInArrow(run, _MAP_DDL)
     counted = packed.groupBy("bucket").applyInArrow(_count(with_df), _MAP_DDL)
-    return written(counted.groupBy("block").applyInArrow(_gather(all_sets, with_df), SETS_DDL), "sets")
+    sets = written(counted.groupBy("block").applyInArrow(_gather(all_sets, with_df), SETS_DDL), "sets")
+    free_shuffles(sets.sparkSession)  # the two of the tokens are the largest there are
+    return sets
 
 
 def classes(sets: DataFrame, *packed: str) -> DataFrame:
