@@ -200,6 +200,29 @@ def challenger_on_subset(challenger: DataFrame, baseline: DataFrame, key: Sequen
     return skill_gate(calibration(cell, [*by, "kind"]), by)
 
 
+def challenger_evidence(answers: DataFrame, tests: int | Column, baselines: DataFrame, eligible: DataFrame, key: Sequence[str], least_n: int = 30, least_class: int = 5, most_suppressed: float = 0.5) -> DataFrame:
+    """One row: what a challenger that answers some cases shows against the best baseline on the cases that it answers.
+
+    answers: `key`, score, actual; tests: number of all cases; baselines: `key`, kind, score, actual; eligible: the kinds that
+    may be compared with (a column kind). The comparator is the kind of the least brier there, then log loss, then name.
+    n, positives, suppressed (share of cases without an answer), comparator, brier_gain, log_loss_change, reasons
+    (TOO_FEW, FEW_POSITIVES, FEW_NEGATIVES, SUPPRESSED, BRIER_WORSE, LOG_LOSS_WORSE; NO_ANSWERS alone) and state:
+    INSUFFICIENT_EVIDENCE, NO_SKILL or ELIGIBLE_CHALLENGER."""
+    own = calibration(answers.withColumn("cell", F.lit(1)), ["cell"]).select("n", F.round(F.col("base_rate") * F.col("n")).cast("bigint").alias("positives"), F.col("brier").alias("_b"), F.col("log_loss").alias("_l"))
+    subset = baselines.join(eligible.select("kind").distinct(), "kind", "left_semi").join(answers.select(*key).distinct(), list(key), "left_semi")
+    best = calibration(subset, ["kind"]).agg(F.min(F.struct("brier", "log_loss", "kind")).alias("_best"))  # one row
+    first = answers.agg(F.count("*").alias("_n")).select(F.lit(1).alias("_one"))
+    out = first.join(own.withColumn("_one", F.lit(1)), "_one", "left").join(best.withColumn("_one", F.lit(1)), "_one", "left").withColumn("_tests", tests if isinstance(tests, Column) else F.lit(tests))
+    n, pos = F.coalesce("n", F.lit(0)), F.coalesce("positives", F.lit(0))
+    out = out.withColumns({"n": n, "positives": pos, "suppressed": F.when(F.col("_tests") > 0, 1 - n / F.col("_tests")).otherwise(1.0), "brier_gain": F.col("_best.brier") - F.col("_b"), "log_loss_change": F.col("_l") - F.col("_best.log_loss")})
+    thin = [F.when(F.col("n") < least_n, F.lit("TOO_FEW")), F.when(F.col("positives") < least_class, F.lit("FEW_POSITIVES")), F.when(F.col("n") - F.col("positives") < least_class, F.lit("FEW_NEGATIVES")), F.when(F.col("suppressed") > most_suppressed, F.lit("SUPPRESSED"))]
+    worse = [F.when(F.col("brier_gain") < 0, F.lit("BRIER_WORSE")), F.when(F.col("log_loss_change") > 0, F.lit("LOG_LOSS_WORSE"))]
+    none = F.col("n") == 0
+    reasons = F.when(none, F.array(F.lit("NO_ANSWERS"))).otherwise(F.array_compact(F.array(*thin, *worse)))
+    state = F.when(none | (F.size(F.array_compact(F.array(*thin))) > 0), "INSUFFICIENT_EVIDENCE").when(F.size("reasons") > 0, "NO_SKILL").otherwise("ELIGIBLE_CHALLENGER")
+    return out.withColumn("reasons", reasons).withColumn("state", state).select("n", "positives", "suppressed", F.col("_best.kind").alias("comparator"), "brier_gain", "log_loss_change", "reasons", "state")
+
+
 def model_registry(metrics: DataFrame, keys: Sequence[str], kind: str = "kind", baseline: str = "B0") -> tuple[DataFrame, DataFrame]:
     """(entries, cells). entries: keys, kind, n, brier, log_loss and state, REFERENCE_BASELINE, ELIGIBLE_CHALLENGER (it passes
     the skill gate) or REJECTED. cells: keys, eligible and challenger, the eligible kind of the least brier, then log loss,

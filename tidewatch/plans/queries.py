@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
+from tidewatch.operators import analog_search, analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
+from tidewatch.scratch import kept
 from tidewatch.sources import landed, table
 from tidewatch.streaming import as_stream, drained
 from tidewatch.streaming.book import books
@@ -606,6 +607,100 @@ def analog_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n", F.round("brier_gain", 6).alias("brier_gain"), F.round("log_loss_change", 6).alias("log_loss_change"), "passed")
 
 
+#: The base scenario of the grid and those that it must stand in: metrics, components left out, a look-back, a provider.
+_GRID = [
+    analog_search.Scenario("base", min_history=10, same_regime=True),
+    *(analog_search.Scenario(f"{m}{'_less' * bool(x)}", m, x, min_history=10, same_regime=True) for m in analog_search.METRICS for x in ((), tuple(range(8)))),
+    analog_search.Scenario("lookback", lookback=300, min_history=10), analog_search.Scenario("provider", "manhattan", providers=("p1",), k=3, min_history=10),
+]
+
+
+def _grid_sql() -> str:
+    """The matches and the number of candidates of each scenario, as tables m and c."""
+    parts, counts = [], []
+    for s in _GRID:
+        where = "b.known < a.vec_id AND b.vec_id <> a.vec_id" + " AND a.regime = b.regime" * s.same_regime + (f" AND b.vec_id >= a.vec_id - {s.lookback}" if s.lookback else "") + (f" AND b.provider IN ({', '.join(repr(p) for p in s.providers)})" if s.providers else "")
+        far = {"euclidean": "sqrt(sum((x - y) ** 2))", "manhattan": "sum(abs(x - y))", "cosine": "1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y)))"}[s.metric]
+        n = s.name
+        parts.append(f"""{n}_p AS (SELECT a.vec_id AS query, b.vec_id AS candidate FROM h a JOIN h b ON {where} WHERE a.vec_id % 100 = 0),
+{n}_s AS (SELECT query, i, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1.0 END AS s FROM {n}_p JOIN e ON candidate = vec_id WHERE i > {len(s.excluded)} GROUP BY 1, 2),
+{n}_d AS (SELECT query, candidate, {far} AS distance FROM (SELECT p.query, candidate, (c.x - m) / s AS x, (q.x - m) / s AS y FROM {n}_p p JOIN {n}_s t ON p.query = t.query JOIN e c ON c.vec_id = candidate AND c.i = t.i JOIN e q ON q.vec_id = p.query AND q.i = t.i) GROUP BY 1, 2),
+{n}_r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, candidate) AS rank, count(*) OVER (PARTITION BY query) AS n FROM {n}_d)""")
+        counts.append(f"SELECT '{n}' AS scenario, query, candidate, distance, rank FROM {n}_r WHERE rank <= {s.k} AND n >= {s.min_history}")
+    return f"""h AS (SELECT vec_id, vec_id + vec_id % 3 AS known, 'r' || (label % 3) AS regime, 'p' || (vec_id % 2) AS provider FROM embeddings), e AS (SELECT vec_id, unnest(cast(embedding AS double[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), {', '.join(parts)}, m AS ({' UNION ALL '.join(counts)})"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The grid's matches and states of every row whose id is divisible by 100, and each row's regime."""
+    c = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(c.alias("time"), (c + c % 3).alias("known"), F.concat(F.lit("r"), (F.col("label") % 3).cast("string")).alias("regime"), F.concat(F.lit("p"), (c % 2).cast("string")).alias("provider"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    asked = rows.where("time % 100 = 0").select(F.col("time").alias("query"), "time", F.col("time").alias("cutoff"), "regime", "v")
+    matches, states, _ = analog_search.search(analog_search.build(rows, _SIZE, sorted({s.excluded for s in _GRID})), asked, _GRID)
+    return matches, states, rows.select(F.col("time").alias("candidate"), "regime")
+
+
+@query(f"WITH {_grid_sql()} SELECT scenario, query, candidate, round(distance, 4) AS distance, cast(rank AS int) AS rank FROM m")
+def analog_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest earlier analogs in every scenario, each query normalised by what it is compared with, in one pass."""
+    return rounded(_searched(spark, sf_dir)[0]).select("scenario", "query", "candidate", "distance", "rank")
+
+
+@query(f"""WITH {_grid_sql()}, l AS (SELECT scenario, query, list(candidate) AS found, min(candidate) FILTER (rank = 1) AS nearest FROM m GROUP BY 1, 2), g AS (SELECT l.*, regime FROM l JOIN h ON nearest = vec_id), b AS (SELECT query, found AS base, regime AS base_regime FROM g WHERE scenario = 'base'),
+x AS (SELECT query, count(*) AS ready, min(len(list_intersect(found, base)) / len(list_distinct(list_concat(found, base)))) AS min_overlap, avg((regime = base_regime)::int) AS agreement FROM g JOIN b USING (query) WHERE scenario <> 'base' GROUP BY 1),
+y AS (SELECT a.vec_id AS query, b.query IS NOT NULL AS good, cast(coalesce(ready, 0) AS bigint) AS ready, min_overlap, agreement FROM h a LEFT JOIN b ON b.query = a.vec_id LEFT JOIN x ON x.query = a.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query, ready, round(min_overlap, 4) AS min_overlap, round(agreement, 4) AS agreement, CASE WHEN NOT good THEN 'BASE_NOT_READY' ELSE concat_ws(',', CASE WHEN ready < 3 THEN 'FEW_READY' END, CASE WHEN coalesce(min_overlap < 0.4, true) THEN 'OVERLAP' END, CASE WHEN coalesce(agreement < 0.6, true) THEN 'REGIME' END) END AS reasons FROM y""")
+def analog_grid_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the analogs of the base scenario stand in the others."""
+    out = analog_search.sensitivity(*_searched(spark, sf_dir), "base")
+    return rounded(out.select("query", "ready", "min_overlap", "agreement", F.array_join("reasons", ",").alias("reasons")))
+
+
+#: Scenarios of the challenger by folds: of days of the same regime, with all components or without the third.
+FOLD_GRID = [analog_search.Scenario("base", min_history=10, same_regime=True), *(analog_search.Scenario(f"{m}{'_less' * bool(x)}", m, x, min_history=10, same_regime=True) for m in analog_search.METRICS for x in ((), (2,)))]
+
+
+def fold_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(days, tests): n, resolved, actual, signal r7, regime and vector of each day; the days of all test blocks with their
+    fold, cutoff and the rate of what the fold was trained on."""
+    p, w = F.col("p"), _series("n")
+    r7 = timeseries.trailing_return(p, w, 7)
+    days = _labelled(spark, sf_dir).withColumns({"actual": F.lead("p", 7).over(w) > p, "r1": timeseries.trailing_return(p, w, 1), "r7": r7, "r30": timeseries.trailing_return(p, w, 30), "level": p / F.avg(p).over(w.rowsBetween(-29, 0)) - 1}).dropna()
+    days = days.withColumns({"regime": F.when(F.col("r30") > 0.1, "UP").when(F.col("r30") < -0.1, "DOWN").otherwise("FLAT"), "v": F.array("r1", "r7", "r30", "level")})
+    folds = F.broadcast(research.walk_forward_folds(days, "n", "resolved", 365, 30, 7).select("fold_index", "test_start", "test_end"))  # a row a block
+    rates = days.join(folds, F.col("resolved") < F.col("test_start") - 7).groupBy("fold_index").agg(research.smoothed_rate(F.col("actual")).alias("prior"))
+    tests = days.join(folds, F.col("n").between(F.col("test_start"), F.col("test_end"))).join(rates, "fold_index")
+    return days, tests.select("fold_index", F.col("n").alias("query"), F.col("n").alias("time"), (F.col("test_start") - 7).alias("cutoff"), "regime", "v", "actual", "prior")
+
+
+def _fold_votes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    days, tests = (kept(x, "days") for x in fold_days(spark, sf_dir))
+    c = F.col
+    history = days.select(c("n").cast("bigint").alias("time"), c("resolved").cast("bigint").alias("known"), "regime", F.lit("p").alias("provider"), "v")
+    matches, states, _ = analog_search.search(analog_search.build(history, 4, sorted({s.excluded for s in FOLD_GRID})), tests.select(*(c(k).cast("bigint").alias(k) for k in ("query", "time", "cutoff")), "regime", "v"), FOLD_GRID)
+    stable = analog_search.sensitivity(matches, states, history.select(c("time").alias("candidate"), "regime"), "base")
+    outcomes = days.select(c("n").alias("candidate"), c("actual").alias("outcome"))
+    return days, analog_search.fold_votes(tests.select("fold_index", "query", "actual", "prior"), matches, states, stable, "base", outcomes)
+
+
+@query()
+def analog_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of each test day's analogs among what its fold was trained on, or why it has none; tests hold it against plain
+    loops. A fold is a cutoff of one index, not a copy of its training set."""
+    out = _fold_votes(spark, sf_dir)[1]
+    return out.select("fold_index", F.col("query").alias("n"), "actual", F.round("score", 6).alias("score"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def analog_fold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analogs' votes against the best baseline that is reference or eligible, on the days that they answer."""
+    days, votes = _fold_votes(spark, sf_dir)
+    votes = kept(votes, "votes")
+    baselines = research.oos_predictions(days, "n", "resolved", "actual", "r7", 365, 30, 7).select(F.col("n").alias("query"), "kind", "score", "actual")
+    entries, _ = research.model_registry(research.calibration(baselines.withColumn("cell", F.lit(1)), ["cell", "kind"]), ["cell"])
+    out = research.challenger_evidence(votes.where("score is not null").select("query", "score", "actual"), votes.count(), baselines, entries.where("state <> 'REJECTED'"), ["query"])
+    return rounded(out.withColumn("reasons", F.array_join("reasons", ",")))
+
+
 @query(r"SELECT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS claim, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(semantic.claim_id(F.col("text")).alias("claim")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
