@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables, which are frames that `written` gave, once nothing reads them any more. No other frame is
-    taken, and nothing outside the scratch folder is deleted. Shuffles that nothing needs any more go too."""
+    taken, and nothing outside the scratch folder is deleted."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if not path or not path.startswith(scratch_dir(df.sparkSession) + "/"):
@@ -36,15 +37,15 @@ def discard(*tables: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         found = context._jvm.org.apache.hadoop.fs.Path(path)
         found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
-    for df in tables[:1]:
-        free_shuffles(df.sparkSession)
 
 
 def free_shuffles(spark: SparkSession) -> None:
     """Has the driver collect its garbage: Spark deletes a shuffle's files once no plan on the driver refers to it, which
-    would else happen at any time later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    would else happen at any time later. Twice, as listeners hold the last plan for a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
 
 
 def partitions(df: DataFrame) -> int:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, partitions, strings, written
+from tidewatch.llm.common import discard, free_shuffles, partitions, strings, written
 from tidewatch.llm.set_join import band, bands, classes, exploded, least, similar, token_sets
 
 #: Sets of one prefix token beyond which they meet by length band.
@@ -70,6 +70,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = may.join(near, may["sig"] == near["a"], "left_semi").select("first.id", "first.part")
     found = written(equal.union(gone).distinct(), "gone")
     discard(sets, may, prefix, settled, left)
+    free_shuffles(found.sparkSession)
     return found
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, strings, written
+from tidewatch.llm.common import discard, free_shuffles, strings, written
 from tidewatch.llm.hashing import mixed
 from tidewatch.llm.set_join import band, bands, classes, components, least, looked_up, similar, token_sets
 
@@ -65,6 +65,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = written(first.union(_across(may, components(first))), "links")
     found = components(links)
     discard(may, keys, first, links)
+    free_shuffles(docs.sparkSession)
     one = F.struct("id", "part")
     label = sets.where("size > 0").select("sig", "id", "part").join(found, sets["sig"] == found["node"], "left").select("sig", "id", "part", F.coalesce("component", "sig").alias("component"))
     least_id = label.groupBy("component", "sig").agg(F.min(one).alias("one"))
@@ -125,4 +126,5 @@ def _across(may: DataFrame, grouped: DataFrame) -> DataFrame:
     sig = lambda a, b: members.select(F.col("row").alias(a), F.col("sig").alias(b))
     links = written(similar(pairs.join(sig("row", "a"), "row").join(sig("member", "b"), "member").select("a", "b"), may).select("a", "b"), "across")
     discard(members, wide, held, matrix, prefix)
+    free_shuffles(links.sparkSession)
     return links
