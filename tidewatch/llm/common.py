@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 
@@ -48,6 +49,19 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.6)
 
 
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _malloc_trim = None
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine: Python workers live on and serve the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 def partitions(df: DataFrame) -> int:
     """Number of the scan's partitions: what the plan's fan-out is sized by."""
     return max(1, df.rdd.getNumPartitions())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import sliced, strings
+from tidewatch.llm.common import sliced, strings, trim
 from tidewatch.llm.pretokenize import LETTER, classes
 
 #: Buckets of trigrams; bound of the labelled sample (smallest hashes of the id); cost of a switch, in nats; what one
@@ -218,5 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     parts, found, waiting = [], [], 0
         if parts:
             yield from finish(parts, found)
+        del parts, found
+        trim()
 
     return source.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import sliced, strings
+from tidewatch.llm.common import sliced, strings, trim
 from tidewatch.llm.library_encoding import encoder
 
 #: Rests that wait before windows are filled, and those that stay for the next filling.
@@ -172,6 +172,8 @@ def pack_documents(docs: DataFrame, encode: Callable[[list[str]], list[bytes]],
         rows = packer.drain(0)
         if rows:
             yield table(rows)
+        del packer, rows
+        trim()
 
     return source.mapInArrow(run, SCHEMA.format(id=kind))
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, free_shuffles, partitions, power_of_two, sliced, strings, written
+from tidewatch.llm.common import discard, free_shuffles, partitions, power_of_two, sliced, strings, trim, written
 from tidewatch.llm.hashing import mixed, shingles, word_hashes
 
 #: Similarity as a ratio of integers: 100 * overlap >= 80 * union.
@@ -179,6 +179,7 @@ def _count(with_df: bool) -> Callable[[pa.Table], pa.Table]:
                 row = {"bucket": 0, "block": blocks[i], "kind": TOKENS, "at": 0, "tokens": pack(t[hit]), "held": h[hit].tobytes(), "owner": o[np.repeat(hit, np.where(h >= HOT, 0, h))].tobytes(), "df": np.minimum(df[at[hit]], 2**32 - 1).astype("<u4").tobytes() if with_df else None}
                 for name, column in out.items():
                     column.append(row.get(name))
+        trim()
         return pa.concat_tables([passed, pa.Table.from_pydict(out, schema=_MAP)])
 
     return run
@@ -257,6 +258,8 @@ def token_sets(source: DataFrame, explode: Explode, all_sets: bool, with_df: boo
                         block = _Block(number, bits)
         if block.ids:
             yield from block.rows()
+        del block
+        trim()
 
     packed = source.mapInArrow(run, _MAP_DDL)
     counted = packed.groupBy("bucket").applyInArrow(_count(with_df), _MAP_DDL)

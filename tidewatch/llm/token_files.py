@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import simple8b
-from tidewatch.llm.common import partitions, sliced, strings
+from tidewatch.llm.common import partitions, sliced, strings, trim
 from tidewatch.llm.hashing import mixed
 from tidewatch.llm.library_encoding import encoder
 
@@ -77,6 +77,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
                 ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in coded]
                 n = [len(x) // 4 + 1 for x in coded]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part.column(0), part.column(1), pa.array(tie.astype(np.int64)), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "id", "key", "tie", "n", "coded"])
+        trim()
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, page, start = TaskContext.get().partitionId(), 0, 0
