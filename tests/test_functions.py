@@ -20,10 +20,10 @@ def test_families(spark):
 
 def test_names_and_canonical_text(spark):
     row = spark.range(1).select(
-        *(asset_name(F.lit(x)).alias(f"a{k}") for k, x in enumerate(("xrp-usd", "b_t_c", "-", None))), *(is_safe_segment(F.lit(x)).alias(f"s{k}") for k, x in enumerate(("a.b-1", "../x", "", None))),
+        *(asset_name(F.lit(x)).alias(f"a{k}") for k, x in enumerate(("abc-usd", "b_t_c", "-", None))), *(is_safe_segment(F.lit(x)).alias(f"s{k}") for k, x in enumerate(("a.b-1", "../x", "", None))),
         canonical_json(F.create_map(F.lit("b"), F.lit(2), F.lit("a"), F.lit(1))).alias("one"), canonical_json(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).alias("two"),
     ).first()
-    assert tuple(row) == ("XRPUSD", "BTC", None, None, True, False, False, False, '{"a":1,"b":2}', '{"a":1,"b":2}')
+    assert tuple(row) == ("ABCUSD", "BTC", None, None, True, False, False, False, '{"a":1,"b":2}', '{"a":1,"b":2}')
 
 
 def test_data_quality(spark):

@@ -209,8 +209,7 @@ def test_analogs_in_blocks_and_normalised(spark, monkeypatch):
         assert {k: b for k, (b, _) in got.items()} == want
 
 
-def test_as_of_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(pit, "TIMES", 2)
+def test_as_of_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(k, rng.choice("ab"), None if k % 9 == 0 else T0 + dt.timedelta(hours=rng.randrange(50)), rng.choice([None, 1, 2])) for k in range(80)]
     obs = spark.createDataFrame(rows, "k int, s string, b timestamp_ntz, r int")

@@ -20,32 +20,25 @@ def eligibility(boundary: Column, fetched_at: Column, basis: Column, at: Column)
     return F.when(boundary.isNull() | (boundary > at), "INELIGIBLE").when(fetched_at <= at, "STRICT_REPLAY").when(basis.isNotNull(), "RECONSTRUCTED_PIT").otherwise("INELIGIBLE")
 
 
-#: Times that one pass of `as_of` takes; a longer list is taken in blocks.
-TIMES = 1000
-
-
 def as_of(observations: DataFrame, times: DataFrame, series: Sequence[str], boundary: str, rank: Sequence[str], at: str = "at") -> DataFrame:
     """For each time and series, the row of the highest rank among those with boundary <= time.
 
-    `times` is a stated set of prediction times. `rank`: columns, larger is better and null is least; they must break all
-    ties; see `ambiguous` for rows that disagree at the top. Rows never meet times: each row falls into the slot of the
-    first time that it is usable at, the best of each slot and series is one aggregate, and a running best over a series'
-    slots (as many as times at most) holds until the next slot that has one."""
+    `rank`: columns, larger is better and null is least; they must break all ties; see `ambiguous` for rows that disagree at
+    the top. Rows never meet times: times are numbered (one sort of the stated times), each row falls to the first time that
+    it is usable at (one as-of join), the best of each such time and series is one aggregate, and a running best over a
+    series' times holds until the next one that has a row."""
     kind = times.schema[at].dataType
-    moments = [r[0] for r in times.select(F.col(at).cast("string")).distinct().where(F.col(at).isNotNull()).orderBy(F.col(at).cast(kind)).collect()]
-    found = [_as_of_block(observations, moments[k : k + TIMES], kind, series, boundary, rank, at) for k in range(0, max(1, len(moments)), TIMES)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _as_of_block(observations: DataFrame, moments: list[str], kind, series: Sequence[str], boundary: str, rank: Sequence[str], at: str) -> DataFrame:
-    stated = F.array(*(F.lit(m).cast(kind) for m in moments)).cast(f"array<{kind.simpleString()}>")
-    slot = F.size(F.filter(stated, lambda t: t < F.col(boundary)))
-    rows = observations.where(F.col(boundary).isNotNull()).select(*series, F.struct(*rank).alias("_rank"), F.struct("*").alias("_row"), slot.alias("_slot")).where(F.col("_slot") < len(moments))
-    best = rows.groupBy(*series, "_slot").agg(F.max("_rank").alias("_rank"), F.max_by("_row", "_rank").alias("_row"))
-    w = Window.partitionBy(*series).orderBy("_slot")  # a row a time at most
-    running = best.select(F.max_by("_row", "_rank").over(w).alias("_row"), "_slot", (F.coalesce(F.lead("_slot").over(w), F.lit(len(moments))) - 1).alias("_to"))
-    held = running.select("_row", F.explode(F.sequence("_slot", "_to")).alias("_k"))
-    return held.select("_row.*", F.element_at(stated, F.col("_k") + 1).alias(at))
+    w = Window.partitionBy(F.lit(0)).orderBy(at)  # over the stated times alone
+    numbered = times.select(at).distinct().where(F.col(at).isNotNull()).select(at, (F.row_number().over(w) - 1).alias("_k"))
+    rows = observations.where(F.col(boundary).isNotNull()).select(*series, F.struct(*rank).alias("_rank"), F.struct("*").alias("_body"), F.col(boundary).cast(kind).alias("_from"))
+    placed = as_of_latest(rows, numbered.select(F.col(at).alias("_time"), F.struct(F.col(at).alias("at"), "_k").alias("_last")), "_from", "_time", "_last")
+    slot = F.when(F.col("_last").isNull(), 0).when(F.col("_last.at") == F.col("_from"), F.col("_last._k")).otherwise(F.col("_last._k") + 1)
+    best = placed.withColumn("_slot", slot).groupBy(*series, "_slot").agg(F.max("_rank").alias("_rank"), F.max_by("_body", "_rank").alias("_body"))
+    own = Window.partitionBy(*series).orderBy("_slot")  # a row a time at most
+    count = numbered.agg(F.count("*").alias("_n"))  # one row
+    running = best.crossJoin(F.broadcast(count)).where(F.col("_slot") < F.col("_n")).select(F.max_by("_body", "_rank").over(own).alias("_body"), "_slot", (F.coalesce(F.lead("_slot").over(own), F.col("_n")) - 1).cast("int").alias("_to"))
+    held = running.select("_body", F.explode(F.sequence(F.col("_slot").cast("int"), "_to")).alias("_k"))
+    return held.join(numbered, "_k").select("_body.*", at)
 
 
 def as_of_latest(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -77,11 +70,18 @@ def coverage(observations: DataFrame, provider: str, observed: str) -> DataFrame
 
 
 def gaps(observations: DataFrame, series: Sequence[str], observed: str, seconds: float) -> DataFrame:
-    """series, gap_start, gap_end, gap_seconds where consecutive distinct times are further apart than `seconds`."""
-    times = observations.select(*series, observed).distinct()
-    w = Window.partitionBy(*series).orderBy(observed)
+    """series, gap_start, gap_end, gap_seconds where consecutive distinct times are further apart than `seconds`.
+
+    A series is cut into days: the first time of a day follows the last one of the day before that has any, which is a
+    window over days, so no task holds the rows of a series."""
+    times = observations.select(*series, observed).distinct().withColumn("_day", F.to_date(observed))
+    within = Window.partitionBy(*series, "_day").orderBy(observed)
+    across = Window.partitionBy(*series).orderBy("_day")  # a row a day
+    days = times.groupBy(*series, "_day").agg(F.max(observed).alias("_end")).withColumn("_before", F.lag("_end").over(across))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*series, "_day")]
+    marked = times.withColumn("_prior", F.lag(observed).over(within)).alias("l").join(days.alias("r"), reduce(lambda a, b: a & b, same)).select(*(F.col(f"l.{c}").alias(c) for c in (*series, observed)), F.coalesce("l._prior", "r._before").alias("gap_start"))
     secs = (F.unix_micros(F.col(observed).cast("timestamp")) - F.unix_micros(F.col("gap_start").cast("timestamp"))) / 1e6
-    return times.withColumn("gap_start", F.lag(observed).over(w)).withColumn("gap_seconds", secs).where(F.col("gap_seconds") > seconds).select(*series, "gap_start", F.col(observed).alias("gap_end"), "gap_seconds")
+    return marked.withColumn("gap_seconds", secs).where(F.col("gap_seconds") > seconds).select(*series, "gap_start", F.col(observed).alias("gap_end"), "gap_seconds")
 
 
 def digest(row: Column) -> tuple[Column, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import clip, content_id, logit, ratio, sigmoid
 from tidewatch.operators.pit import digest
+from tidewatch.scratch import kept
 
 #: Price barriers and return thresholds.
 PRICE_BARRIERS = (2, 3, 3.65, 5, 7.34, 10, 17, 26.6, 50)
@@ -278,12 +279,14 @@ def predict_logistic(rows: DataFrame, fits: DataFrame, keys: Sequence[str], feat
 def platt(predictions: DataFrame, keys: Sequence[str], score: str = "score", actual: str = "actual", least_n: int = 20, least_class: int = 5, rounds: int = 12) -> DataFrame:
     """keys, n, a, b of sigmoid(a + b logit(score)): Newton steps on sufficient statistics, all keys in each step, so
     training rows are only ever aggregated. Keys with too few rows or a class of too few are left out."""
-    x = predictions.select(*keys, logit(F.col(score), 1e-6).alias("_x"), F.col(actual).cast("double").alias("_y"))
-    fit = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_y").alias("_pos")).where((F.col("n") >= least_n) & (F.col("_pos") >= least_class) & (F.col("n") - F.col("_pos") >= least_class)).select(*keys, "n", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+    known = predictions.select(*keys, logit(F.col(score), 1e-6).alias("_x"), F.col(actual).cast("double").alias("_y"))
+    x = kept(known.groupBy(*keys, "_x").agg(F.count("*").alias("_m"), F.sum("_y").alias("_y")), "scores")  # predictions are read once: a row a score
+    fit = x.groupBy(*keys).agg(F.sum("_m").alias("n"), F.sum("_y").alias("_pos")).where((F.col("n") >= least_n) & (F.col("_pos") >= least_class) & (F.col("n") - F.col("_pos") >= least_class)).select(*keys, "n", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     for _ in range(rounds):
         p = sigmoid(F.col("a") + F.col("b") * F.col("_x"))
         step = x.join(F.broadcast(fit), list(keys)).withColumn("_p", p).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9)))
-        sums = step.groupBy(*keys, "n", "a", "b").agg(F.sum(F.col("_y") - F.col("_p")).alias("g0"), F.sum((F.col("_y") - F.col("_p")) * F.col("_x")).alias("g1"), F.sum("_w").alias("h0"), F.sum(F.col("_w") * F.col("_x")).alias("h1"), F.sum(F.col("_w") * F.col("_x") * F.col("_x")).alias("h2"))
+        error, weight = F.col("_y") - F.col("_m") * F.col("_p"), F.col("_m") * F.col("_w")
+        sums = step.groupBy(*keys, "n", "a", "b").agg(F.sum(error).alias("g0"), F.sum(error * F.col("_x")).alias("g1"), F.sum(weight).alias("h0"), F.sum(weight * F.col("_x")).alias("h1"), F.sum(weight * F.col("_x") * F.col("_x")).alias("h2"))
         det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1") + 1e-9
         rows = sums.select(*keys, "n", (F.col("a") + (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).alias("a"), (F.col("b") + (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).alias("b"))
         fit = predictions.sparkSession.createDataFrame(rows.collect(), rows.schema)  # a row a key: models, not data

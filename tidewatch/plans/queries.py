@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analog_search, analogs, consensus, microstructure, pit, regime, research, semantic, store, timeseries
-from tidewatch.scratch import kept
+from tidewatch.operators import analog_search, analogs, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries
+from tidewatch.scratch import fresh_path, kept
 from tidewatch.sources import landed, table
 from tidewatch.streaming import as_stream, drained
 from tidewatch.streaming.book import books
@@ -701,6 +701,18 @@ def analog_fold_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("reasons", F.array_join("reasons", ",")))
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_orderkey) AS keys, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY 1")
+def sink_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders committed in three batches, each of which comes twice, and one more that repeats rows of all of them: what is
+    there is every order once."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), fresh_path(spark, "orders")
+    for k in (0, 1, 2, 0, 1, 2):
+        commits.commit(orders.where(F.col("o_orderkey") % 3 == k), path, f"batch-{k}", {"batch": k}, "o_orderkey", ["o_custkey"])
+    commits.commit(orders.where("o_orderkey % 5 = 0"), path, "batch-again", None, "o_orderkey")
+    there = commits.committed(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderpriority string")
+    return there.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_custkey").alias("customers"))
+
+
 @query(r"SELECT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS claim, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(semantic.claim_id(F.col("text")).alias("claim")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))

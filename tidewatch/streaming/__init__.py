@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.scratch import fresh_path, put
+from tidewatch.scratch import fresh_path, kept, put
 
 
 def tumbling(events: DataFrame, time: str, length: str, keys: Sequence[str], value: Column, watermark: str = "1 hour") -> DataFrame:
@@ -32,22 +32,46 @@ def _keep(times: list[pd.Timestamp], last: pd.Timestamp | None, seconds: float)
     return kept, last
 
 
-def cooled(alerts: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """Alerts whose key has not fired within `seconds`; the timer restarts only when one is let through.
-
-    A table is cut where a key was silent for `seconds` or longer: the first alert after such a gap is let through
-    whatever came before, so each burst is settled alone and a hot key is as many groups as it has bursts."""
+def _following(alerts: DataFrame, key: str, us: int) -> DataFrame:
+    """key, t, to: the first alert of a key at least `us` microseconds after each one (null if there is none). Alerts are
+    distinct (key, t). Time is cut into slices of `us`: a row meets those of one slice, and a slice's first alert is the
+    answer where the slice before has none late enough."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(time)
-    quiet = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w)) >= int(seconds * 1e6)
-    bursts = alerts.select(key, time).withColumn("_new", F.coalesce(quiet, F.lit(True)).cast("int")).withColumn("_burst", F.sum("_new").over(w))
+    at = alerts.select(key, F.col("t").alias("_at"), F.lit(None).cast("bigint").alias("t"))
+    ask = alerts.select(key, (F.col("t") + us).alias("_at"), "t")
+    both = at.union(ask).withColumn("_slice", F.floor(F.col("_at") / us))
+    own = F.when(F.col("t").isNull(), F.col("_at"))
+    later = Window.partitionBy(key, "_slice").orderBy(F.desc("_at"), F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # times from here on
+    within = both.withColumn("_in", F.min(own).over(later)).where("t is not null")
+    firsts = both.groupBy(key, "_slice").agg(F.min(own).alias("_first"))  # a row a slice
+    after = Window.partitionBy(key).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = firsts.select(key, "_slice", F.min("_first").over(after).alias("_next"))
+    return within.join(carried, [key, "_slice"]).select(key, "t", F.coalesce("_in", "_next").alias("to"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        return pdf.iloc[_keep(pdf[time].tolist(), None, seconds)[0]][[key, time]]
 
-    return bursts.groupBy(key, "_burst").applyInPandas(run, alerts.select(key, time).schema)
+def cooled(alerts: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
+    """Alerts whose key has not fired within `seconds`; the timer restarts only when one is let through. Of equal times of a
+    key one is let through, unless seconds is 0; alerts without a key or time are left out.
+
+    Each alert points to the first one at least `seconds` later, and those that can be reached from a key's first are let
+    through: pointers are doubled and what is reached is joined with them, round by round, so a key that never falls silent
+    takes as many rounds as its number of alerts let through has binary digits, and no task holds a key."""
+    us, kind = int(seconds * 1e6), alerts.schema[time].dataType
+    rows = alerts.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
+    found = lambda df: df.select(key, F.timestamp_micros("t").cast(kind).alias(time))
+    if us <= 0:
+        return found(rows)
+    rows = kept(rows.distinct(), "alerts")
+    jumps = kept(_following(rows, key, us).where("to is not null"), "jumps")
+    reached = kept(rows.groupBy(key).agg(F.min("t").alias("t")), "reached")
+    while True:
+        further = kept(reached.join(jumps, [key, "t"]).select(key, F.col("to").alias("t")), "further")  # as many again at most
+        if not further.limit(1).count():
+            return found(reached)
+        reached = kept(reached.union(further), "reached")
+        two = jumps.select(key, F.col("t").alias("_from"), F.col("to").alias("t"))
+        jumps = kept(two.join(jumps, [key, "t"]).select(key, F.col("_from").alias("t"), "to"), "jumps")
 
 
 def cooled_stream(alerts: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
