@@ -20,7 +20,7 @@ from tidewatch.llm.pretokenize import LETTER, classes
 
 #: Buckets of trigrams; bound of the labelled sample (smallest hashes of the id); cost of a switch, in nats; what one
 #: word can say against a language at most; texts' words that one Viterbi pass takes; letters scored at once.
-BUCKETS, SAMPLE, SWITCH, WORD_LIMIT, PASS, LETTERS = 1 << 16, 20_000, 8.0, 12.0, 1_500_000, 2_000_000
+BUCKETS, SAMPLE, SWITCH, WORD_LIMIT, PASS, LETTERS = 1 << 16, 20_000, 8.0, 12.0, 800_000, 1_000_000
 #: First code points of script ranges (Unicode blocks), by ascending start; 0 is Latin.
 SCRIPT_STARTS = (0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0E00, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
 SCRIPT_NAMES = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "southeast", "hangul", "latin", "greek", "other", "kana", "other", "han", "other", "hangul", "other", "han", "other")
