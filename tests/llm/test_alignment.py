@@ -20,7 +20,7 @@ BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 PLAIN = Tokenizer.from_file(BYTES)
 PLAIN.encode_special_tokens = True
 PIECE = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-OF = alignment._byte_of()
+OF = alignment.byte_of()
 
 
 def one(text):

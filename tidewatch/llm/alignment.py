@@ -24,21 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import sliced, strings, written
-from tidewatch.llm.library_encoding import LibraryEncoder
+from tidewatch.llm.library_encoding import LibraryEncoder, byte_of
 
 ALIGNED = "id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links binary"
 #: Bytes of text that are aligned at once.
 PIECE = 500_000
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones are themselves, the rest
-    follow from code point 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def _keeps_bytes(model) -> bool:
     """Whether a piece model's pieces spell its input, a space before it, whatever it is: nothing is normalised, and there
     is a piece for each byte. Only U+2581 reads as a space then."""
@@ -59,7 +51,7 @@ class Aligner:
         import sentencepiece
 
         self.a, self.b = LibraryEncoder(byte_path, False, special_is_text=True), sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        of, special = _byte_of(), {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
+        of, special = byte_of(), {t.content for t in self.a.tokenizer.get_added_tokens_decoder().values()}
         names = [self.a.tokenizer.id_to_token(i) for i in range(self.a.tokenizer.get_vocab_size())]
         self.a_bytes = [t.encode() if t in special else bytes(of[c] for c in t) for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
