@@ -6,7 +6,7 @@ count rows, windows must be full, and anything undefined is null.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -98,8 +98,9 @@ def frame_problems(frame: DataFrame, time: str) -> DataFrame:
     return facts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("problem"), n.cast("bigint").alias("n")) for k, n in found.items())))).where("n > 0")
 
 
-def feature_rows(frame: DataFrame, time: str, supplemental: Mapping[str, Column] | None = None) -> DataFrame:
-    """time and every feature of FEATURES and SUPPLEMENTAL, for each row of a daily frame with the columns of REQUIRED.
+def feature_rows(frame: DataFrame, time: str, supplemental: Mapping[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, time and every feature of FEATURES and SUPPLEMENTAL, for each row of a daily frame with the columns of REQUIRED.
+    by: columns (not null) that tell several frames apart; each is one of its own.
 
     A column's observations are its finite values; offsets and windows count those, and a row's feature is that of the
     last observation up to it (pairs: of the last time that both have). Features without enough of them are null, as are
@@ -111,24 +112,26 @@ def feature_rows(frame: DataFrame, time: str, supplemental: Mapping[str, Column]
     if unknown := sorted(set(supplemental) - set(SUPPLEMENTAL)):
         raise ValueError(f"unknown supplemental features: {unknown}")
     x = F.col("x")
-    w = Window.partitionBy("series").orderBy(time)
-    long = frame.select(time, F.inline(F.array(*(F.struct(F.lit(c).alias("series"), finite(F.col(c).cast("double")).alias("x")) for c in REQUIRED)))).where("x IS NOT NULL")
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(Window.partitionBy(F.lit(0)).orderBy(time)).cast("timestamp"))
-    per_year = frame.select((gap / 1e6).alias("gap")).agg((365.25 * 86400 / F.median("gap")).alias("per_year"))  # one row
-    base = long.withColumns({"_r": trailing_return(x, w, 1), "_d": absolute_change(x, w, 1)}).crossJoin(F.broadcast(per_year))
+    at, alone = [*by, time], Window.partitionBy(*by or [F.lit(0)]).orderBy(time)
+    w = Window.partitionBy(*by, "series").orderBy(time)
+    long = frame.select(*at, F.inline(F.array(*(F.struct(F.lit(c).alias("series"), finite(F.col(c).cast("double")).alias("x")) for c in REQUIRED)))).where("x IS NOT NULL")
+    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(alone).cast("timestamp"))
+    per_year = frame.select(*by, (gap / 1e6).alias("gap")).groupBy(*by).agg((365.25 * 86400 / F.median("gap")).alias("per_year"))
+    steps = long.withColumns({"_r": trailing_return(x, w, 1), "_d": absolute_change(x, w, 1)})
+    base = steps.join(per_year, list(by)) if by else steps.crossJoin(F.broadcast(per_year))  # one row
     make = {
         "return": lambda n: trailing_return(x, w, n), "change": lambda n: absolute_change(x, w, n), "zscore": lambda n: zscore(x, w, n), "rsi": lambda n: rsi(F.col("_d"), w, n),
         "volatility": lambda n: realized_volatility(F.col("_r"), w, n, F.col("per_year")), "mean": lambda n: distance_to_mean(x, w, n), "drawdown": lambda n: drawdown(x, w, n),
     }
     single = {name: spec for name, spec in FEATURES.items() if isinstance(spec[1], str)}
     kinds = dict.fromkeys((what, n) for what, _, n in single.values())
-    made = base.select(time, "series", *(make[what](n).alias(f"_{what}_{n}") for what, n in kinds))
-    wide = made.groupBy(time).agg(*(F.max(F.when(F.col("series") == c, F.col(f"_{what}_{n}"))).alias(name) for name, (what, c, n) in single.items()))
+    made = base.select(*at, "series", *(make[what](n).alias(f"_{what}_{n}") for what, n in kinds))
+    wide = made.groupBy(*at).agg(*(F.max(F.when(F.col("series") == c, F.col(f"_{what}_{n}"))).alias(name) for name, (what, c, n) in single.items()))
     pairs = [spec[1] for spec in FEATURES.values() if not isinstance(spec[1], str)]
-    both = frame.select(time, F.inline(F.array(*(F.struct(F.lit("/".join(p)).alias("series"), finite(F.col(p[0]).cast("double")).alias("a"), finite(F.col(p[1]).cast("double")).alias("b")) for p in dict.fromkeys(pairs))))).where("a IS NOT NULL AND b IS NOT NULL")
-    returns = both.select(time, "series", trailing_return(F.col("a"), w, 1).alias("a"), trailing_return(F.col("b"), w, 1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    joint = returns.select(time, "series", beta(F.col("a"), F.col("b"), w, 90).alias("beta"), correlation(F.col("a"), F.col("b"), w, 90).alias("corr"))
-    wide2 = joint.groupBy(time).agg(*(F.max(F.when(F.col("series") == "/".join(spec[1]), F.col(spec[0]))).alias(name) for name, spec in FEATURES.items() if not isinstance(spec[1], str)))
-    given = frame.select(time, *(finite(supplemental[k].cast("double")).alias(k) if k in supplemental else F.lit(None).cast("double").alias(k) for k in SUPPLEMENTAL))
-    upto = Window.partitionBy(F.lit(0)).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return given.join(wide, time, "left").join(wide2, time, "left").select(time, *(F.last(f, ignorenulls=True).over(upto).alias(f) for f in FEATURES), *SUPPLEMENTAL)
+    both = frame.select(*at, F.inline(F.array(*(F.struct(F.lit("/".join(p)).alias("series"), finite(F.col(p[0]).cast("double")).alias("a"), finite(F.col(p[1]).cast("double")).alias("b")) for p in dict.fromkeys(pairs))))).where("a IS NOT NULL AND b IS NOT NULL")
+    returns = both.select(*at, "series", trailing_return(F.col("a"), w, 1).alias("a"), trailing_return(F.col("b"), w, 1).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    joint = returns.select(*at, "series", beta(F.col("a"), F.col("b"), w, 90).alias("beta"), correlation(F.col("a"), F.col("b"), w, 90).alias("corr"))
+    wide2 = joint.groupBy(*at).agg(*(F.max(F.when(F.col("series") == "/".join(spec[1]), F.col(spec[0]))).alias(name) for name, spec in FEATURES.items() if not isinstance(spec[1], str)))
+    given = frame.select(*at, *(finite(supplemental[k].cast("double")).alias(k) if k in supplemental else F.lit(None).cast("double").alias(k) for k in SUPPLEMENTAL))
+    upto = alone.rowsBetween(Window.unboundedPreceding, 0)
+    return given.join(wide, at, "left").join(wide2, at, "left").select(*at, *(F.last(f, ignorenulls=True).over(upto).alias(f) for f in FEATURES), *SUPPLEMENTAL)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analog_search, analogs, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries
+from tidewatch.operators import analog_search, analogs, backtest, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries
 from tidewatch.scratch import fresh_path, kept
 from tidewatch.sources import landed, table
 from tidewatch.streaming import as_stream, drained
@@ -942,6 +942,53 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.agg(F.count("*").alias("decisions"), F.avg(((F.col("q") > 0.5) == F.col("y")).cast("int")).alias("accuracy"), F.avg((F.col("q") - F.col("y").cast("int")) ** 2).alias("brier"), F.avg(F.abs(F.col("q") - 0.5) * 2).alias("conviction")))
 
 
+#: What the backtests take as given of every day: funding and the quality of the data.
+_GIVEN = {"funding_z": 0.5, "provider_agreement": 0.9, "freshness_score": 0.8, "source_coverage": 1.0}
+
+
+def _backtest_sql(window: int | None, late: str | None, embargo: int) -> str:
+    """A decision's history as lists by column, newest last: features, components and scores of those."""
+    back = lambda c, n: f"l{c}[-1] / l{c}[-{n + 1}] - 1"
+    last = lambda c, n: f"l{c}[-{n}:]"
+    zscore = f"CASE WHEN len(l7) >= 20 THEN CASE WHEN list_stddev_pop({last(7, 20)}) = 0 THEN 0.0 ELSE (l7[-1] - list_avg({last(7, 20)})) / list_stddev_pop({last(7, 20)}) END END"
+    made = {
+        "ndx_return_20d": back(5, 20), "dxy_return_20d": back(8, 20), "us10y_change_20d": "l9[-1] - l9[-21]", "vix_z_20d": zscore, "btc_return_7d": back(1, 7), "btc_return_30d": back(1, 30), "eth_btc_return_7d": back(3, 7), "btc_dominance_change_20d": back(4, 20),
+        "asset_return_7d": back(0, 7), "asset_return_30d": back(0, 30), "asset_btc_return_7d": back(2, 7), "asset_btc_return_30d": back(2, 30), "asset_ma100_distance": f"CASE WHEN len(l0) >= 100 THEN l0[-1] / list_avg({last(0, 100)}) - 1 END",
+    }
+    term = lambda f, w, s: f"greatest(0.0, least(100.0, 50 + 50 * ({s} * ({made[f]})) / {w})) + 0 * ({made[f]})"
+    parts = {c: [term(f, w, s) for k, f, w, s in _TERMS if k == c] for c in ("macro", "crypto", "relative")} | {"derivatives": [f"100 * (1 - {_GIVEN['funding_z']} / 2.5)", "NULL", "NULL"], "ledger": ["NULL"]}
+    weights = {"macro": 0.25, "crypto": 0.3, "relative": 0.3, "derivatives": 0.1, "ledger": 0.05}
+    found = ", ".join(f"list_avg(list_filter([{', '.join(v)}]::DOUBLE[], lambda x: x IS NOT NULL)) AS s_{c}, len(list_filter([{', '.join(v)}]::DOUBLE[], lambda x: x IS NOT NULL)) / {float(len(v))} AS k_{c}" for c, v in parts.items())
+    quality = sum(v for k, v in _GIVEN.items() if k != "funding_z") / 3
+    return f"""WITH {_SERIES}, r AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM l)), p AS (SELECT r.d, i, x, count(*) OVER () AS total FROM r LEFT JOIN l ON l.d = r.d AND k = 0),
+q AS (SELECT a.i AS "end", a.d AS moment, coalesce(b.x > a.x, false) AS outcome FROM p a JOIN p b ON b.i = a.i + {7 + embargo} WHERE a.i >= 365 AND (a.i - 365) % 7 = 0 AND a.i < a.total - {7 + embargo}),
+h AS (SELECT "end", r.d FROM q JOIN r ON i <= "end"{f' AND i > "end" - {window}' if window else ''}{f' AND {late} <= moment' if late else ''}), n AS (SELECT "end", count(*) AS n FROM h GROUP BY 1 HAVING count(*) >= 365),
+w AS (SELECT "end", {', '.join(f'list(x ORDER BY d) FILTER (k = {k} AND x IS NOT NULL) AS l{k}' for k in range(10))} FROM h JOIN l USING (d) GROUP BY 1), f AS (SELECT "end", {found} FROM w),
+s AS (SELECT *, {' + '.join(f'{w} * k_{c}' for c, w in weights.items())} AS cov, list_filter([{', '.join(f'CASE WHEN k_{c} > 0 THEN s_{c} END' for c in weights)}], lambda x: x IS NOT NULL) AS alive, {' + '.join(f'{w} * k_{c} * coalesce(s_{c}, 50)' for c, w in weights.items())} AS total FROM f),
+t AS (SELECT *, total / cov AS bull, CASE WHEN len(alive) >= 2 THEN greatest(0.0, least(1.0, 1 - list_stddev_pop(alive) / 50)) ELSE 0.0 END AS alignment, least({quality}, cov) AS sure FROM s),
+z AS (SELECT *, 0.65 * cov + 0.2 * alignment + 0.15 * abs(bull - 50) / 50 AS model FROM t),
+out AS (SELECT "end", moment, n, outcome, round(bull, 2) / 100 AS raw_score, round(sure, 4) AS data_confidence, round(model, 4) AS model_confidence, round(sqrt(sure * model), 4) AS confidence FROM q JOIN n USING ("end") JOIN z USING ("end"))"""
+
+
+_SUMMARY = "count(*) AS decisions, round(avg(((raw_score >= 0.5) = outcome)::int), 4) AS accuracy, round(avg((raw_score - outcome::int) ** 2), 4) AS brier, round(avg(confidence), 4) AS confidence, round(avg(data_confidence), 4) AS data_confidence, round(avg(model_confidence), 4) AS model_confidence"
+_KNOWN_AT = "r.d + (2 + epoch(r.d)::bigint // 86400 % 3)::int"
+
+
+@query(f'{_backtest_sql(None, None, 0)} SELECT "end", moment, n, outcome, round(raw_score, 3) AS raw_score, round(confidence, 3) AS confidence FROM out')
+def backtest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regime score of every seventh day from all days up to it, and whether the price was higher seven days later."""
+    out = backtest.walk_forward(_market(spark, sf_dir), "d", supplemental={k: F.lit(v) for k, v in _GIVEN.items()})
+    return out.select("end", F.col("at").alias("moment"), F.col("n").cast("bigint").alias("n"), "outcome", F.round("raw_score", 3).alias("raw_score"), F.round("confidence", 3).alias("confidence"))
+
+
+@query(f"{_backtest_sql(500, _KNOWN_AT, 2)} SELECT {_SUMMARY} FROM out")
+def backtest_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by windows of 500 days of which a day is known two to four days later, two days kept between a decision and
+    its outcome."""
+    market = _market(spark, sf_dir).withColumn("known_at", F.date_add("d", F.lit(2) + F.datediff("d", F.lit("1970-01-01").cast("date")) % 3))
+    return rounded(backtest.summary(backtest.walk_forward(market, "d", available="known_at", window=500, embargo=2, supplemental={k: F.lit(v) for k, v in _GIVEN.items()})))
+
+
 @query("SELECT 'receipt:sha256:' || sha256(cast(o_orderkey AS varchar) || chr(31) || o_orderpriority || chr(31) || o_orderstatus) AS id, o_orderkey FROM orders")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(content_id("receipt", F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")).alias("id"), "o_orderkey")
