@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import content_id, horizon_end, scale
 from tidewatch.operators import analog_search, analogs, backtest, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries
 from tidewatch.scratch import fresh_path, kept
-from tidewatch.sources import landed, table
+from tidewatch.sources import landed, paged, table
 from tidewatch.streaming import as_stream, drained
 from tidewatch.streaming.book import books
 from tidewatch.streaming.windows import sliding_windows
@@ -713,6 +713,28 @@ def sink_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_custkey").alias("customers"))
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n, count(DISTINCT o_orderkey) AS keys, sum(o_custkey)::BIGINT AS customers, count(DISTINCT o_orderkey // 4096) AS pages, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+def paged_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders landed as pages of keys, each with the cursor of the next, in two goes; the stream of pages runs after each,
+    and after the last once more, and its sink holds every order once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.floor(F.col("o_orderkey") / 4096).alias("block"))
+    blocks = orders.groupBy("block").agg(F.to_json(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderpriority")))).alias("payload"))  # 4,096 keys at most
+    numbers = orders.select("block").distinct().select("block", F.lead("block").over(Window.partitionBy(F.lit(0)).orderBy("block")).alias("next"))  # numbers of pages
+    cursor = lambda c: F.when(c.isNotNull(), F.to_json(F.struct(c.alias("block"))))
+    stated = {"dataset": "orders", "provider": "table", "source_id": "orders", "fetched_at": "2026-01-01T00:00:00Z"}
+    made = kept(blocks.join(numbers, "block").select("block", cursor(F.col("block")).alias("cursor"), cursor(F.col("next")).alias("following"), "payload", *(F.lit(v).alias(k) for k, v in stated.items()), F.concat(F.lit("fetch-"), "block").alias("fetch_id")), "pages")
+    folder, path, kinds = fresh_path(spark, "landed"), fresh_path(spark, "backfilled"), "o_orderkey bigint, o_custkey bigint, o_orderpriority string"
+    ends = made.agg(F.min("block").alias("first"), F.max("block").alias("last")).first()
+    if ends.first is not None:
+        rows = lambda items: items.select(F.from_json("item", kinds).alias("x"), "page").select("x.*", "page")
+        middle = (ends.first + ends.last) // 2
+        for part in ("block <= {}", "block > {}", "false"):
+            paged.land(made.where(part.format(middle)), folder)
+            paged.backfill(spark, folder, path, {"block": ends.first}, rows, max_pages=1 << 31)
+    there = commits.committed(spark, path, f"{kinds}, page bigint")
+    return there.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.sum("o_custkey").alias("customers"), F.count_distinct("page").alias("pages"), F.min("o_orderkey").alias("first_key"))
+
+
 @query(r"SELECT sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS claim, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1")
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(semantic.claim_id(F.col("text")).alias("claim")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
@@ -974,11 +996,11 @@ _SUMMARY = "count(*) AS decisions, round(avg(((raw_score >= 0.5) = outcome)::int
 _KNOWN_AT = "r.d + (2 + epoch(r.d)::bigint // 86400 % 3)::int"
 
 
-@query(f'{_backtest_sql(None, None, 0)} SELECT "end", moment, n, outcome, round(raw_score, 3) AS raw_score, round(confidence, 3) AS confidence FROM out')
+@query(f'{_backtest_sql(None, None, 0)} SELECT "end", moment, n, outcome, round(raw_score, 4) AS raw_score, confidence FROM out')
 def backtest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regime score of every seventh day from all days up to it, and whether the price was higher seven days later."""
     out = backtest.walk_forward(_market(spark, sf_dir), "d", supplemental={k: F.lit(v) for k, v in _GIVEN.items()})
-    return out.select("end", F.col("at").alias("moment"), F.col("n").cast("bigint").alias("n"), "outcome", F.round("raw_score", 3).alias("raw_score"), F.round("confidence", 3).alias("confidence"))
+    return out.select("end", F.col("at").alias("moment"), F.col("n").cast("bigint").alias("n"), "outcome", F.round("raw_score", 4).alias("raw_score"), "confidence")
 
 
 @query(f"{_backtest_sql(500, _KNOWN_AT, 2)} SELECT {_SUMMARY} FROM out")
