@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analog_search, analogs, backtest, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries
+from tidewatch.operators import analog_search, analogs, backtest, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries, versions
 from tidewatch.scratch import fresh_path, kept
 from tidewatch.sources import landed, paged, table
 from tidewatch.streaming import as_stream, drained
@@ -1034,6 +1034,49 @@ def dataset_version_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("provider").agg(F.count("*").alias("n"), share("STRICT_REPLAY").alias("strict_share"), share("RECONSTRUCTED_PIT").alias("reconstructed_share"))
 
 
+def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines by month, and the same after a correction of every third month: lines gone, changed, and added."""
+    old = table(spark, sf_dir, "lineitem").select((F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("month"), F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"))
+    k, third = F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.col("month") % 3 == 0
+    new = old.where(~(third & (k % 101 == 0))).withColumn("quantity", F.col("quantity") + F.when(third & (k % 89 == 1), 1.0).otherwise(0.0))
+    return old, new.union(old.where(third & (k % 97 == 2)).withColumn("l_linenumber", F.col("l_linenumber") + 100))
+
+
+_TWO_VERSIONS = """o AS (SELECT year(l_shipdate) * 100 + month(l_shipdate) AS month, l_orderkey, l_linenumber::bigint AS l_linenumber, l_quantity::double AS quantity, l_extendedprice::double AS price, l_orderkey * 7 + l_linenumber AS k FROM lineitem),
+v AS (SELECT month, l_orderkey, l_linenumber, quantity + CASE WHEN month % 3 = 0 AND k % 89 = 1 THEN 1 ELSE 0 END AS quantity, price FROM o WHERE NOT (month % 3 = 0 AND k % 101 = 0) UNION ALL SELECT month, l_orderkey, l_linenumber + 100, quantity, price FROM o WHERE month % 3 = 0 AND k % 97 = 2),
+a AS (SELECT month, l_orderkey, l_linenumber, list_sort(list((quantity, price))) AS x FROM o GROUP BY 1, 2, 3), b AS (SELECT month, l_orderkey, l_linenumber, list_sort(list((quantity, price))) AS y FROM v GROUP BY 1, 2, 3),
+c AS (SELECT month, l_orderkey, l_linenumber, CASE WHEN x IS NULL THEN 'ADDED' WHEN y IS NULL THEN 'GONE' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (month, l_orderkey, l_linenumber) WHERE x IS DISTINCT FROM y)"""
+
+
+@query(f"WITH {_TWO_VERSIONS} SELECT * FROM c")
+def dataset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that differ between two versions, found by a walk over two trees of digests."""
+    old, new = _two_versions(spark, sf_dir)
+    changes = versions.changed_nodes(*(versions.tree(v, ["month"], ["l_orderkey", "l_linenumber"]) for v in (old, new)))
+    return versions.changed_rows(old, new, changes, ["month"], ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH {_TWO_VERSIONS}, n AS (SELECT month, count(*) AS n_old FROM o GROUP BY 1), w AS (SELECT month, count(*) AS n_new FROM v GROUP BY 1) SELECT month, CASE WHEN n_old IS NULL THEN 'ADDED' WHEN n_new IS NULL THEN 'GONE' ELSE 'CHANGED' END AS change, coalesce(n_old, 0) AS n_old, coalesce(n_new, 0) AS n_new FROM (SELECT DISTINCT month FROM c) LEFT JOIN n USING (month) LEFT JOIN w USING (month)")
+def dataset_changed_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _two_versions(spark, sf_dir)
+    changes = versions.changed_nodes(*(versions.tree(v, ["month"], ["l_orderkey", "l_linenumber"]) for v in (old, new)))
+    return versions.changed_partitions(changes, ["month"], "month int")
+
+
+@query(f"""WITH {_OBS}, c AS (SELECT provider, boundary, fetched <= TIMESTAMP '2000-01-01' AS strict FROM o WHERE boundary <= TIMESTAMP '2000-01-01' AND (fetched <= TIMESTAMP '2000-01-01' OR basis IS NOT NULL)), t AS (SELECT DISTINCT provider, boundary FROM c),
+g AS (SELECT count(*) AS n_gaps FROM (SELECT boundary - lag(boundary) OVER (PARTITION BY provider ORDER BY boundary) AS d FROM t) WHERE d > INTERVAL 30 DAY)
+SELECT count(*) AS total_rows, round(avg(strict::int), 6) AS strict_replay_fraction, round(avg(1 - strict::int), 6) AS reconstructed_pit_fraction, count(DISTINCT provider) AS providers, (SELECT n_gaps FROM g) AS n_gaps, true AS sound FROM c""")
+def dataset_version_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a version of all observations that a cutoff allows, whose id is of all its fields."""
+    at = F.lit("2000-01-01").cast("timestamp_ntz")
+    rows = observations(spark, sf_dir).withColumn("class", pit.eligibility(F.col("boundary"), F.col("fetched"), F.col("basis"), at)).where("class <> 'INELIGIBLE'")
+    nodes = versions.tree(rows.drop("class"), ["provider"], ["l_orderkey", "l_linenumber"])
+    stated = {"dataset_key": "lines", "schema_version": "1", "feature_schema_version": "1", "label_schema_version": "1", "created_at": "2000-01-02T00:00:00Z", "cutoff_at": "2000-01-01T00:00:00Z"}
+    out = versions.dataset_version(rows, nodes, store.manifest(rows, ["asset"], F.struct("l_orderkey", "l_linenumber"), "boundary"), pit.coverage(rows, "provider", "boundary"), pit.gaps(rows, ["provider"], "boundary", 30 * 86400), **stated)
+    wrong = versions.reidentified(out).agg((F.count("*") == 0).alias("sound"))  # one row
+    return out.crossJoin(wrong).select("total_rows", F.round("strict_replay_fraction", 6).alias("strict_replay_fraction"), F.round("reconstructed_pit_fraction", 6).alias("reconstructed_pit_fraction"), "providers", "n_gaps", "sound")
+
+
 @query(f"WITH {_FOLDS} SELECT fold_index, s AS test_start, n_test, least(fit, 365) AS n_train, f - fit AS n_purged FROM folds")
 def walk_forward_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.walk_forward_folds(_labelled(spark, sf_dir), "n", "resolved", 365, 30, 7, max_train=365).select("fold_index", "test_start", "n_test", "n_train", "n_purged")
