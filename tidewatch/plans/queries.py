@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analog_search, analogs, backtest, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries, versions
+from tidewatch.operators import analog_search, analogs, backtest, claim_graph, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries, versions
 from tidewatch.scratch import fresh_path, kept
 from tidewatch.sources import landed, paged, table
 from tidewatch.streaming import as_stream, drained
@@ -1104,6 +1104,29 @@ def disputed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.disputed(claims, semantic.contradictions(table(spark, sf_dir, "lineitem"), claims, "l_partkey", "l_suppkey", "claim"), "claim", "status")
 
 
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS e, lower(trim(n_name)) || '-' || cast(floor(c_acctbal / 100)::bigint AS varchar) AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_custkey, lower(c_mktsegment) || '-' || cast(c_custkey // 3 AS varchar) FROM customer),
+l AS (SELECT DISTINCT x.e AS a, y.e AS b FROM n x JOIN n y USING (name)), r AS (SELECT a AS e, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.e)
+SELECT e AS entity, min(root) AS canonical, count(*) AS n_entities FROM r GROUP BY 1""")
+def entity_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers that share a name, over chains of names, as one entity."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    names = F.array(F.concat("n_name", F.lit("-"), F.floor(F.col("c_acctbal") / 100).cast("string")), F.concat("c_mktsegment", F.lit("-"), F.floor(F.col("c_custkey") / 3).cast("string")))
+    return claim_graph.closure(rows.select(F.col("c_custkey").alias("entity"), F.explode(names).alias("alias")), "entity", "alias")
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS claim, CASE WHEN p_size % 4 > 0 THEN 'FACT' ELSE 'OPINION' END AS status, p_size % 6 = 0 AS main FROM part), x AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 45 AND l_partkey <> l_suppkey),
+k AS (SELECT a, b FROM (SELECT a, b FROM x UNION SELECT b, a FROM x) WHERE a IN (SELECT claim FROM c) AND b IN (SELECT claim FROM c)), s AS (SELECT DISTINCT l_partkey AS claim, l_orderkey % 1999 + 1 AS by FROM lineitem WHERE l_linenumber = 6 AND l_quantity < 20),
+f AS (SELECT * FROM c WHERE status = 'FACT' AND claim NOT IN (SELECT a FROM k)), r AS (SELECT claim, 0 AS depth FROM f WHERE main UNION SELECT s.claim, r.depth + 1 FROM r JOIN s ON s.by = r.claim JOIN f ON f.claim = s.claim WHERE r.depth < 60), d AS (SELECT claim, min(depth) AS depth FROM r GROUP BY 1)
+SELECT claim, CASE WHEN status <> 'FACT' THEN status WHEN depth IS NOT NULL THEN 'FACT' WHEN main AND EXISTS (SELECT 1 FROM k JOIN c o ON o.claim = k.b WHERE k.a = c.claim AND o.status = 'FACT' AND o.main) THEN 'DISPUTED' WHEN claim IN (SELECT a FROM k) THEN 'CONTRADICTED' ELSE 'UNSUPPORTED' END AS status, depth FROM c LEFT JOIN d USING (claim)""")
+def settled_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as claims: which are facts by their own source or by what supports them, step by step, and which are not."""
+    claims = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim"), F.when(F.col("p_size") % 4 > 0, "FACT").otherwise("OPINION").alias("status"), F.array(F.when(F.col("p_size") % 6 == 0, "T0_PRIMARY_MACHINE").otherwise("T3_REPORT")).alias("tiers"))
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = semantic.contradictions(lines.where("l_linenumber = 7 AND l_quantity > 45"), claims, "l_partkey", "l_suppkey", "claim")
+    supports = lines.where("l_linenumber = 6 AND l_quantity < 20").select(F.col("l_partkey").alias("claim"), (F.col("l_orderkey") % 1999 + 1).alias("by")).distinct()
+    return claim_graph.settled(claims, pairs, supports)
+
+
 @query("""WITH h AS (SELECT event_type, cast(ts AS date) AS day, date_trunc('hour', ts) AS t, arg_min(value, ts) AS o, max(value) AS hi, min(value) AS lo, arg_max(value, ts) AS c, sum(value) AS v FROM events GROUP BY 1, 2, 3), f AS (SELECT event_type, cast(ts AS date) AS day, max(ts) AS fetched FROM events GROUP BY 1, 2),
 r AS (SELECT h.*, row_number() OVER (PARTITION BY event_type, day ORDER BY t DESC) AS k FROM h JOIN f USING (event_type, day) WHERE t + INTERVAL 1 HOUR <= fetched)
 SELECT event_type AS asset, epoch(t)::bigint AS open_time, round(o, 4) AS open, round(hi, 4) AS high, round(lo, 4) AS low, round(c, 4) AS close, round(v, 3) AS volume FROM r WHERE k <= 5""")
