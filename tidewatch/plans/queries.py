@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.functions import content_id, horizon_end, scale
-from tidewatch.operators import analog_search, analogs, backtest, claim_graph, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries, versions
+from tidewatch.operators import analog_search, analogs, backtest, calibration, claim_graph, commits, consensus, microstructure, pit, regime, research, semantic, store, timeseries, versions
 from tidewatch.scratch import fresh_path, kept
 from tidewatch.sources import landed, paged, table
 from tidewatch.streaming import as_stream, drained
@@ -901,6 +901,26 @@ def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fits.join(research.platt_evaluation(scored, fits, ["lang"]).drop("n"), "lang"))
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_orderpriority AS event, o_orderkey, cast(o_orderdate AS timestamp) AS t, cast(o_orderdate AS timestamp) + to_days((o_orderkey % 90)::int) AS done, (o_custkey % 97 + 1) / 99.0 AS score, (o_custkey % 97 > 48) = (o_orderkey % 5 > 1) AS actual FROM orders),
+c AS (SELECT *, done < TIMESTAMP '1997-01-01' AND t < TIMESTAMP '1997-01-01' AS used FROM o), n AS (SELECT event, count_if(used) AS n, count_if(NOT used) AS purged, count_if(used AND actual) AS positives, count_if(t >= TIMESTAMP '1997-01-01') AS later, count_if(t < TIMESTAMP '1997-01-01') AS refused FROM c GROUP BY 1),
+x AS (SELECT event, ln(score / (1 - score)) AS x, count(*) AS m, sum(actual::int) AS y FROM c WHERE used GROUP BY 1, 2),
+r AS (SELECT event, 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM n UNION ALL SELECT event, i + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+  SELECT event, i, a, b, sum(y - m * p) AS g0, sum((y - m * p) * x) AS g1, sum(m * p * (1 - p)) AS h0, sum(m * p * (1 - p) * x) AS h1, sum(m * p * (1 - p) * x * x) AS h2 FROM (SELECT r.*, x.x, x.m, x.y, 1 / (1 + exp(-(a + b * x.x))) AS p FROM r JOIN x USING (event) WHERE i < 25) GROUP BY event, i, a, b)),
+f AS (SELECT event, a, b FROM r WHERE i = 25), z AS (SELECT event, avg(1 / (1 + exp(-(a + b * ln(score / (1 - score)))))) AS mean FROM c JOIN f USING (event) WHERE t >= TIMESTAMP '1997-01-01' GROUP BY 1)
+SELECT event, n, purged, positives, round(a, 5) AS a, round(b, 5) AS b, later, refused, round(mean, 5) AS mean_calibrated FROM n JOIN f USING (event) JOIN z USING (event)""")
+def platt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrators of each priority's predictions, fitted on what was resolved before 1997, and what they make of all
+    predictions: later ones are calibrated, earlier ones refused."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    part = F.col("o_custkey") % 97
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("event"), k.alias("prediction_id"), at.alias("prediction_time"), F.timestamp_micros(F.unix_micros(at) + k % 90 * 86_400_000_000).alias("resolved_at"), ((part + 1) / 99).alias("score"), ((part > 48) == (k % 5 > 1)).alias("actual"))
+    fits, _ = calibration.platt_candidates(rows, ["event"], F.lit("1997-01-01").cast("timestamp"))
+    good, no = calibration.apply_candidates(rows.drop("resolved_at", "actual"), fits, ["event"])
+    counts = no.join(rows.select("prediction_id", "event"), "prediction_id").groupBy("event").agg(F.count_if(F.col("reason") == "BEFORE_CUTOFF").alias("refused"))
+    made = good.groupBy("event").agg(F.count("*").alias("later"), F.avg("calibrated").alias("mean_calibrated"))
+    return rounded(fits.join(made, "event").join(counts, "event").select("event", "n", "purged", "positives", "a", "b", "later", "refused", "mean_calibrated"), 5)
+
+
 @query("SELECT o_orderkey, epoch(cast(o_orderdate AS timestamp) + INTERVAL 7 DAY)::bigint AS week, epoch(cast(o_orderdate AS timestamp) + INTERVAL 1 MONTH)::bigint AS month, epoch(cast(o_orderdate AS timestamp) + INTERVAL 3 MONTH)::bigint AS quarter, epoch(cast(o_orderdate AS timestamp) + INTERVAL 1 YEAR)::bigint AS year FROM orders")
 def horizon_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp_ntz")
