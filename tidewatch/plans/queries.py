@@ -904,9 +904,9 @@ def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE o AS (SELECT o_orderpriority AS event, o_orderkey, cast(o_orderdate AS timestamp) AS t, cast(o_orderdate AS timestamp) + to_days((o_orderkey % 90)::int) AS done, (o_custkey % 97 + 1) / 99.0 AS score, (o_custkey % 97 > 48) = (o_orderkey % 5 > 1) AS actual FROM orders),
 c AS (SELECT *, done < TIMESTAMP '1997-01-01' AND t < TIMESTAMP '1997-01-01' AS used FROM o), n AS (SELECT event, count_if(used) AS n, count_if(NOT used) AS purged, count_if(used AND actual) AS positives, count_if(t >= TIMESTAMP '1997-01-01') AS later, count_if(t < TIMESTAMP '1997-01-01') AS refused FROM c GROUP BY 1),
 x AS (SELECT event, ln(score / (1 - score)) AS x, count(*) AS m, sum(actual::int) AS y FROM c WHERE used GROUP BY 1, 2),
-r AS (SELECT event, 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM n UNION ALL SELECT event, i + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+r AS (SELECT event, 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM n UNION ALL SELECT event, i + 1, CASE WHEN h0 * h2 - h1 * h1 > 1e-15 THEN a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) END, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
   SELECT event, i, a, b, sum(y - m * p) AS g0, sum((y - m * p) * x) AS g1, sum(m * p * (1 - p)) AS h0, sum(m * p * (1 - p) * x) AS h1, sum(m * p * (1 - p) * x * x) AS h2 FROM (SELECT r.*, x.x, x.m, x.y, 1 / (1 + exp(-(a + b * x.x))) AS p FROM r JOIN x USING (event) WHERE i < 25) GROUP BY event, i, a, b)),
-f AS (SELECT event, a, b FROM r WHERE i = 25), z AS (SELECT event, avg(1 / (1 + exp(-(a + b * ln(score / (1 - score)))))) AS mean FROM c JOIN f USING (event) WHERE t >= TIMESTAMP '1997-01-01' GROUP BY 1)
+f AS (SELECT event, a, b FROM r JOIN n USING (event) WHERE i = 25 AND isfinite(a + b) AND n >= 20 AND least(positives, n - positives) >= 5), z AS (SELECT event, avg(1 / (1 + exp(-(a + b * ln(score / (1 - score)))))) AS mean FROM c JOIN f USING (event) WHERE t >= TIMESTAMP '1997-01-01' GROUP BY 1)
 SELECT event, n, purged, positives, round(a, 5) AS a, round(b, 5) AS b, later, refused, round(mean, 5) AS mean_calibrated FROM n JOIN f USING (event) JOIN z USING (event)""")
 def platt_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrators of each priority's predictions, fitted on what was resolved before 1997, and what they make of all
