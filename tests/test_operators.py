@@ -291,3 +291,11 @@ def test_scalars(spark):
 ])
 def test_redaction(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(semantic.redacted(F.col("t")).alias("r")).first().r == want
+
+
+def test_pair_mismatches(spark):
+    made = spark.createDataFrame([("a", "up", 1), ("b", "up", None), ("c", "up", 2), ("lone", "up", 1)], "k string, event string, horizon int")
+    came = spark.createDataFrame([("a", "up", 1, 5, 5), ("b", "down", None, 4, 5), ("b", "down", None, 4, 5), ("c", "up", None, 9, None), ("stray", "up", 1, 9, 5)], "k string, event string, horizon int, done int, ends int")
+    out = store.pair_mismatches(made, came, "k", ["event", "horizon"], "done", "ends")
+    assert sorted(map(tuple, out.collect())) == [("b", "EARLY"), ("b", "MISMATCH:event"), ("c", "EARLY"), ("c", "MISMATCH:horizon")]
+    assert store.pair_mismatches(made.limit(0), came, "k", ["event"], "done", "ends").count() == 0

@@ -35,6 +35,17 @@ def resolved_pairs(predictions: DataFrame, outcomes: DataFrame, key: str) -> tup
     return pairs, sides.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def pair_mismatches(predictions: DataFrame, outcomes: DataFrame, key: str, same: Sequence[str], resolved: str, ends: str) -> DataFrame:
+    """key and problem of pairs that don't fit: MISMATCH:<column> for each column of `same` (such as the feature row, event,
+    horizon and time) that differs between prediction and outcome, two nulls being equal; EARLY where the outcome was
+    resolved before its label ends, or either time is unknown. Keys that come several times are judged pair by pair and
+    reported once a problem; keys without a partner are `resolved_pairs`' matter."""
+    sides = predictions.select(key, F.struct(*same).alias("_p")).join(outcomes.select(key, F.struct(*same).alias("_o"), F.col(resolved).alias("_r"), F.col(ends).alias("_e")), key)
+    wrong = [F.when(~F.col(f"_p.{c}").eqNullSafe(F.col(f"_o.{c}")), F.lit(f"MISMATCH:{c}")) for c in same]
+    early = F.when(~F.coalesce(F.col("_r") >= F.col("_e"), F.lit(False)), F.lit("EARLY"))
+    return sides.select(key, F.explode(F.array_compact(F.array(*wrong, early))).alias("problem")).distinct()
+
+
 def manifest(rows: DataFrame, partition: Sequence[str], row_key: Column, observed: str) -> DataFrame:
     """One row per partition: n, first and last time, and a digest of its rows that their order doesn't change and that
     repeats do."""

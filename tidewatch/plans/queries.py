@@ -802,6 +802,21 @@ def ledger_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.resolved_pairs(table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k"), "k")[1]
 
 
+_PAIRS = "p AS (SELECT o_orderkey AS k, o_orderpriority AS event, CASE WHEN o_custkey % 11 > 0 THEN o_custkey % 4 END AS horizon, cast(o_orderdate AS date) AS at FROM orders), o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 0 THEN 'other' ELSE o_orderpriority END AS event, CASE WHEN o_custkey % 11 > 0 THEN (o_custkey + (o_orderkey % 40 = 0)::int) % 4 END AS horizon, cast(o_orderdate AS date) + (o_orderkey % 70 = 0)::int AS at, cast(o_orderdate AS date) + (o_orderkey % 30)::int AS resolved, CASE WHEN o_orderkey % 90 > 0 THEN cast(o_orderdate AS date) + 2 END AS ends FROM orders)"
+
+
+@query(f"""WITH {_PAIRS}, j AS (SELECT k, p.event <> o.event AS e, p.horizon IS DISTINCT FROM o.horizon AS h, p.at <> o.at AS t, NOT coalesce(resolved >= ends, false) AS early FROM p JOIN o USING (k))
+SELECT k, 'MISMATCH:event' AS problem FROM j WHERE e UNION ALL SELECT k, 'MISMATCH:horizon' FROM j WHERE h UNION ALL SELECT k, 'MISMATCH:at' FROM j WHERE t UNION ALL SELECT k, 'EARLY' FROM j WHERE early""")
+def resolution_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as predictions, and as outcomes some of which are of another event, horizon or time, or came too early."""
+    orders = table(spark, sf_dir, "orders")
+    k, c, at = F.col("o_orderkey"), F.col("o_custkey"), F.to_date("o_orderdate")
+    known = lambda x: F.when(c % 11 > 0, x)
+    made = orders.select(k.alias("k"), F.col("o_orderpriority").alias("event"), known(c % 4).alias("horizon"), at.alias("at"))
+    came = orders.select(k.alias("k"), F.when(k % 50 == 0, "other").otherwise(F.col("o_orderpriority")).alias("event"), known((c + (k % 40 == 0).cast("int")) % 4).alias("horizon"), F.date_add(at, (k % 70 == 0).cast("int")).alias("at"), F.date_add(at, (k % 30).cast("int")).alias("resolved"), F.when(k % 90 > 0, F.date_add(at, 2)).alias("ends"))
+    return store.pair_mismatches(made, came, "k", ["event", "horizon", "at"], "resolved", "ends")
+
+
 @query("SELECT event_type, cast(ts AS date) AS day, count(*) AS n, cast(floor(epoch(min(ts))) AS bigint) AS first_at, cast(floor(epoch(max(ts))) AS bigint) AS last_at FROM events GROUP BY 1, 2")
 def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = store.manifest(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["event_type", "day"], F.col("event_id"), "ts")
