@@ -66,6 +66,19 @@ def test_log_odds_equal_the_chain_by_hand():
     assert np.allclose(model.log_odds(w), [logit(p) - logit(share) for p in want])
 
 
+def test_log_odds_of_units_of_many_texts_are_finite():
+    """A word whose every beginning stands in thousands of texts of one class: its other share is tiny, not 0."""
+    (w,) = toxicity.words_of(["zogarkument"])
+    units = np.sort(w.units[0])
+    for many, none in ((0, 1), (1, 0)):
+        columns = np.zeros((2, len(units)), np.int64)
+        columns[many] = 7400
+        model = toxicity.Model(units, columns[0], columns[1], 0.5)
+        (odds,) = model.log_odds(w)
+        want = math.log(7405 / 5) * len(units)  # each unit leaves 5 in 7,405 of what was left
+        assert np.isfinite(odds) and abs(abs(odds) - want) < 1 and (odds > 0) == (many == 0)
+
+
 SCHEMA = "doc_id long, text string, score string, passages int, id string"
 
 

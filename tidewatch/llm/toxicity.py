@@ -134,14 +134,16 @@ class Model:
         """Each word's log-odds of standing in a toxic text against a clean one: down the chain of its beginnings each
         unit's share of toxic texts has the share of the one before it as its prior."""
         whole, first, back = np.unique(words.units[:, -1], return_index=True, return_inverse=True)
-        share = np.full(len(whole), self.share)
+        share, rest = np.full(len(whole), self.share), np.full(len(whole), 1 - self.share)
         for k in range(words.units.shape[1]):
             unit = words.units[first, k]
             at = np.minimum(np.searchsorted(self.units, unit), max(0, len(self.units) - 1))
             hit = np.flatnonzero((self.units[at] == unit) & (unit > 0)) if len(self.units) else at[:0]
             toxic, clean = self.toxic[at[hit]], self.clean[at[hit]]
+            # Both shares are kept: down a chain of units with thousands of texts of one class, 1 - share would round to 0.
             share[hit] = (toxic + STRENGTH * share[hit]) / (toxic + clean + STRENGTH)
-        return (np.log(share / (1 - share)) - math.log(self.share / (1 - self.share)))[back]
+            rest[hit] = (clean + STRENGTH * rest[hit]) / (toxic + clean + STRENGTH)
+        return (np.log(share) - np.log(rest) - math.log(self.share / (1 - self.share)))[back]
 
 
 def segments(before: list[float], after: list[float]) -> list[tuple[float, int, int]]:
