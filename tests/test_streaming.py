@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,21 @@ def test_registered_books_equal_a_plain_loop(spark):
     want = [(s, micros(at), first, last, state, problem, side(b), side(a), *(round(v, 4) for v in extra[:5])) for s, at, first, last, state, problem, b, a, *extra in want]
     got = [(r.symbol, r.observed_us, r.first_id, r.last_id, r.state, r.problem, r.bids, r.asks, *(() if r.elapsed_seconds is None else (r.elapsed_seconds, r.bid_added, r.bid_removed, r.ask_added, r.ask_removed))) for r in queries.QUERIES["stream_order_books"](spark, SF).collect()]
     assert len({x[4:6] for x in want}) >= 5 and sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["pit_windows_900s", "stream_pit_windows"])
+def test_windows_that_begin_at_zero_equal_their_sql(spark, tmp_path, name):
+    """A first value of 0 has an infinite return, or none that is a number, as in SQL."""
+    at = lambda minute: f"TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {minute} MINUTE"
+    rows = [(46, "view", 0.0), (55, "view", 3.5), (47, "click", 0.0), (57, "click", 0.0), (48, "error", 0.0), (56, "error", -2.0), (50, "signup", 4.0), (58, "signup", 5.0), (115, "view", 1.0), (300, "view", 1.0)]
+    values = ", ".join(f"({4 * i}, {at(m)}, {i}, '{kind}', {value}::DOUBLE)" for i, (m, kind, value) in enumerate(rows))
+    con = duckdb.connect()
+    con.sql(f"create table events as from (values {values}, (99, TIMESTAMP '2024-01-01 01:00:00', 1, 'view', 1.0)) t(event_id, ts, user_id, event_type, value)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet'")
+    want = con.sql(queries.SQL[name])
+    columns = [c for c in want.columns]
+    got = queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    plain = lambda found: sorted(tuple(map(str, r)) for r in found)
+    assert plain(got) == plain(want.fetchall())
+    returns = [r.return_bps for r in got]
+    assert math.inf in returns and -math.inf in returns and any(r is not None and math.isnan(r) for r in returns)
