@@ -6,6 +6,7 @@ import os
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,21 @@ def test_windows_that_begin_at_zero_equal_their_sql(spark, tmp_path, name):
     assert plain(got) == plain(want.fetchall())
     returns = [r.return_bps for r in got]
     assert math.inf in returns and -math.inf in returns and any(r is not None and math.isnan(r) for r in returns)
+
+
+def test_events_that_wait_have_a_timer_a_parcel():
+    """However many events of a symbol arrive at once: one entry of the state and one timer for each CHUNK of them."""
+    timers, entries = [], {}
+
+    class State:
+        containsKey = staticmethod(lambda place: place in entries)
+        updateValue = staticmethod(entries.__setitem__)
+
+    kept = book._Books(["symbol"], 1, 3)
+    kept.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    kept.waiting = State
+    n = 2 * book.CHUNK + 1
+    rows = pd.DataFrame({"us": [1000 * i + 1 for i in range(n)][::-1], "last_id": range(n), "kind": "delta", "first_id": range(n), "bids": None, "asks": None, "known": True})
+    list(kept.handleInputRows(("x",), iter([rows.iloc[:7], rows.iloc[7:]]), None))
+    assert len(timers) == len(entries) == 3 and min(timers) == 1
+    assert [e[0] for k in sorted(entries) for e in entries[k][0]] == [1000 * i + 1 for i in range(n)]

@@ -28,6 +28,9 @@ _NAMES = "observed_at first_id last_id state problem bids asks elapsed_seconds b
 #: that event had its availability and fetch.
 BOOK = "last_id bigint, loaded boolean, synchronised boolean, observed bigint, known boolean"
 
+#: Events that wait in one entry of a symbol's state, at most.
+CHUNK = 1000
+
 
 class Side:
     """Levels of one side: quantities by price, prices in order, and which prices have changed since they were stored."""
@@ -122,7 +125,8 @@ class Book:
 
 
 class _Books(StatefulProcessor):
-    """State of a symbol: a map of levels for each side, what is known of the book, and events that wait for the watermark."""
+    """State of a symbol: a map of levels for each side, what is known of the book, and events that wait for the watermark, in
+    parcels of CHUNK at most by the time of their first. A parcel has one timer, whatever it holds."""
 
     def __init__(self, keys: list[str], silence: int, top: int):
         self.keys, self.silence, self.top = keys, silence, top
@@ -132,37 +136,41 @@ class _Books(StatefulProcessor):
         self.bids = handle.getMapState("bids", "price double", "quantity double")
         self.asks = handle.getMapState("asks", "price double", "quantity double")
         self.book = handle.getValueState("book", BOOK)
-        self.waiting = handle.getMapState("waiting", "observed bigint, number bigint", f"events array<struct<kind:string,first:bigint,bids:{LEVELS},asks:{LEVELS},known:boolean>>")
+        self.waiting = handle.getMapState("waiting", "observed bigint, parcel bigint", f"events array<struct<us:bigint,number:bigint,late:boolean,kind:string,first:bigint,bids:{LEVELS},asks:{LEVELS},known:boolean>>")
+
+    def _keep(self, events: list[tuple]) -> None:
+        """Stores events, in the order in which they count."""
+        events.sort()
+        for i in range(0, len(events), CHUNK):
+            at, parcel = events[i][0], 0
+            while self.waiting.containsKey((at, parcel)):
+                parcel += 1
+            self.waiting.updateValue((at, parcel), (events[i : i + CHUNK],))
+            self.handle.registerTimer(-(-at // 1000))  # the watermark counts whole milliseconds
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        wake: dict[tuple[int, int], list] = {}
-        for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                levels = lambda x: [] if x is None else [(float(y["price"]), float(y["quantity"])) for y in x]
-                wake.setdefault((int(r.us), int(r.last_id)), []).append((r.kind, int(r.first_id), levels(r.bids), levels(r.asks), bool(r.known)))
-        for place, events in wake.items():
-            old = self.waiting.getValue(place)
-            self.waiting.updateValue(place, ([tuple(x) for x in (old[0] if old else [])] + events,))
-        for at in {-(-us // 1000) for us, _ in wake}:  # the watermark counts whole milliseconds
-            self.handle.registerTimer(at)
+        levels = lambda x: [] if x is None else [(float(y["price"]), float(y["quantity"])) for y in x]
+        self._keep([(int(r.us), int(r.last_id), r.kind != "snapshot", r.kind, int(r.first_id), levels(r.bids), levels(r.asks), bool(r.known)) for pdf in rows for r in pdf.itertuples(index=False)])
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        due = sorted(k for k in self.waiting.keys() if k[0] <= now)
+        parcels = [tuple(k) for k in self.waiting.keys() if k[0] <= now]
         known = self.book.get() if self.book.exists() else ()
-        if not due and not (known and known[2] and now > known[3] + self.silence):
+        if not parcels and not (known and known[2] and now > known[3] + self.silence):
             yield pd.DataFrame()
             return
         book = Book(*({p[0]: q[0] for p, q in side.iterator()} for side in (self.bids, self.asks)), *known, silence=self.silence, top=self.top)
-        rows = []
-        for us, number in due:
-            events = sorted((x[0] != "snapshot", tuple(x)) for x in self.waiting.getValue((us, number))[0])
-            for _, (kind, first, bids, asks, complete) in events:
-                rows.append(book.quiet(us))
-                pairs = lambda side: [(x[0], x[1]) for x in side]
-                rows.append(book.apply(us, kind, first, number, pairs(bids), pairs(asks), complete))
-            self.waiting.removeKey((us, number))
+        pairs = lambda side: [(x[0], x[1]) for x in side]
+        due, later, rows = [], [], []
+        for parcel in parcels:
+            for us, number, late, kind, first, bids, asks, complete in self.waiting.getValue(parcel)[0]:
+                (due if us <= now else later).append((us, number, late, kind, first, pairs(bids), pairs(asks), complete))
+            self.waiting.removeKey(parcel)
+        self._keep(later)
+        for us, number, _, kind, first, bids, asks, complete in sorted(due):
+            rows.append(book.quiet(us))
+            rows.append(book.apply(us, kind, first, number, bids, asks, complete))
         rows.append(book.quiet(now))
         for side, state in ((book.bids, self.bids), (book.asks, self.asks)):
             for price in side.changed:  # only these are written
