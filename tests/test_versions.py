@@ -1,11 +1,12 @@
 """Trees of digests against plain comparisons, walks that read changed branches only, and records of versions."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import versions
+from tidewatch.operators import pit, versions
 
 ROWS = "part string, k bigint, v string"
 
@@ -109,3 +110,32 @@ def test_records_and_their_identity(spark):
     for wrong in ({"created_at": "2025-01-01T00:00:00Z"}, {"dataset_key": " "}):
         with pytest.raises(ValueError, match="version states|created_at"):
             record(rows, **wrong)
+
+
+def test_digests_equal_sums_of_whole_hashes(spark):
+    """Halves of hashes put together are the sum of the hashes, whatever their signs."""
+    rows = spark.range(5000).withColumn("g", F.col("id") % 7)
+    one, two = pit.digest(F.struct("id"))
+    plain = lambda *x: F.sum(F.xxhash64(*x).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    got = rows.groupBy("g").agg(one.alias("a"), two.alias("b"), plain(F.struct("id")).alias("c"), plain(F.lit("second"), F.struct("id")).alias("d")).collect()
+    assert len(got) == 7 and all((r.a, r.b) == (r.c, r.d) for r in got)
+    assert "sum(cast(xxhash64" not in rows.agg(one)._jdf.queryExecution().optimizedPlan().toString()  # no row's hash becomes a decimal
+
+
+def test_rows_are_not_named_before_they_are_aggregated(spark):
+    """The name of a leaf is hashed once a leaf, and rows of equal text are one leaf."""
+    at = [dt.datetime(2026, 1, 1, 0, 0, 0, us) for us in (1, 2)]
+    rows = spark.createDataFrame([(at[i % 2], i, float(i)) for i in range(40)], "at timestamp, k int, x double")
+    leaves = versions.tree(rows, ["at"], ["k"], 1, 1).where("level = 3").collect()
+    assert sum(r.n for r in leaves) == 40 and len({r.node for r in leaves}) == len(leaves)
+
+
+def test_as_of_scans_its_rows_once(spark):
+    """Rows find their time in an array of the stated ones: no sort, window or second scan of rows that are not aggregated."""
+    rows = spark.range(100).select((F.col("id") % 3).alias("s"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("at_row"), F.col("id").alias("v"))
+    times = spark.createDataFrame([(dt.datetime(1970, 1, 1) + dt.timedelta(minutes=m),) for m in (0, 1, 50, 200)], "at timestamp_ntz").select("at")
+    found = pit.as_of(rows, times, ["s"], "at_row", ["at_row", "v"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1
+    got = sorted((r.at.hour * 60 + r.at.minute, r.s, r.v) for r in found.collect())
+    assert got == sorted((m, s, max(v for v in range(min(m, 99) + 1) if v % 3 == s)) for m in (0, 1, 50, 200) for s in range(3) if s <= m)
