@@ -28,10 +28,13 @@ def _text(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def _place(partition: Sequence[str], key: Sequence[str], top: int, depth: int) -> Column:
-    """The leaf of a row: group, partition, bucket."""
-    name = _text(partition)
-    bucket = F.substring(F.sha2(_text(key), 256), 1, depth)
+def _bucket(key: Sequence[str], depth: int) -> Column:
+    """The bucket of a row within its partition: hexadecimal digits of a hash of its key."""
+    return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(_text(key)))), 16, "0"), 17 - depth, depth)
+
+
+def _leaf(name: Column, bucket: Column, top: int) -> Column:
+    """The leaf of a partition, by its columns as text, and a bucket."""
     return F.concat(F.substring(F.sha2(name, 256), 1, top), F.lit("/"), name, F.lit("/"), bucket)
 
 
@@ -52,7 +55,9 @@ def tree(rows: DataFrame, partition: Sequence[str], key: Sequence[str], top: int
         raise ValueError("top and depth must be positive")
     last = top + 1 + depth
     one, two = pit.digest(F.struct(*sorted(rows.columns)))
-    leaves = rows.withColumn("node", _place(partition, key, top, depth)).groupBy("node").agg(F.count("*").alias("n"), one.alias("_one"), two.alias("_two"))
+    # A leaf has its name once it is aggregated, not by row.
+    buckets = rows.groupBy(_text(partition).alias("_name"), _bucket(key, depth).alias("_bucket")).agg(F.count("*").alias("n"), one.alias("_one"), two.alias("_two"))
+    leaves = buckets.withColumn("node", _leaf(F.col("_name"), F.col("_bucket"), top))
     made = kept(leaves.select("node", "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), "_one", "_two"), 256).alias("digest")), "leaves")
     levels = []
     for level in range(last, -1, -1):
@@ -95,7 +100,10 @@ def changed_rows(old: DataFrame, new: DataFrame, changes: DataFrame, partition:
     names = sorted(old.columns)
     if names != sorted(new.columns):
         raise ValueError("both versions must have the same columns")
-    mark = lambda df, s: df.withColumn("node", _place(partition, key, top, depth)).join(leaves, "node", "left_semi").select(*names, F.lit(s).alias("_side"))
+    # Leaves' partitions are told by the text of their columns and the bucket, so no row makes its node's name.
+    inside = F.col("node").substr(F.lit(top + 2), F.length("node"))
+    leaves = leaves.select(inside.substr(F.lit(1), F.length(inside) - depth - 1).alias("_name"), F.substring("node", -depth, depth).alias("_bucket"))
+    mark = lambda df, s: df.withColumns({"_name": _text(partition), "_bucket": _bucket(key, depth)}).join(leaves, ["_name", "_bucket"], "left_semi").select(*names, F.lit(s).alias("_side"))
     one, two = pit.digest(F.struct(*names))
     own = mark(old, 0).union(mark(new, 1)).groupBy(*partition, *key, "_side").agg(F.concat_ws("/", F.count("*").cast("string"), one, two).alias("_d"))
     both = own.groupBy(*partition, *key).agg(F.max(F.when(F.col("_side") == 0, F.col("_d"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_d"))).alias("_b"))
