@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from tidewatch.operators import analog_search, research
@@ -104,6 +105,64 @@ def test_fewer_than_a_third_of_the_pairs_is_measured(spark):
     assert done["l2"] < 1 / 3 and done["l1"] < 1 / 3 and done["cosine"] == 1
 
 
+def random_rows(seed, n, queries, size, late=3):
+    rng = np.random.default_rng(seed)
+    time = rng.permutation(n)
+    v = rng.standard_normal((n, size)) + 5
+    v[n // 2] = 5.0
+    v[n // 3] = v[n // 4]
+    v[::97, 1] = np.nan
+    text = lambda k: np.array([f"{'rp'[k == 2]}{i}" for i in rng.integers(0, k, n)], object)
+    rows = {"time": time, "known": time + rng.integers(-1, late, n), "regime": text(3), "provider": text(2), "v": v}
+    some = rng.permutation(n)[:queries]
+    return rows, analog_search._Asked(time[some], time[some] + 1, rows["regime"][some], np.nan_to_num(v[some], nan=4.0))
+
+
+def allowed(rows, asked, s):
+    own = [k for k in range(rows["v"].shape[1]) if k not in s.excluded]
+    ok = (rows["known"][:, None] < asked.cutoff) & (rows["time"][:, None] != asked.time) & ~np.isnan(rows["v"][:, own]).any(axis=1)[:, None]
+    ok &= rows["time"][:, None] >= asked.time - (s.lookback or 10**9)
+    ok &= (rows["regime"][:, None] == asked.regime) | (not s.same_regime)
+    return ok & np.isin(rows["provider"], s.providers or ["p0", "p1"])[:, None]
+
+
+@pytest.mark.parametrize("s", [Scenario(f"{m}{r}", m, x, same_regime=r) for m in analog_search.METRICS for x, r in (((), True), ((1, 2), False))] + [Scenario("lookback", lookback=400), Scenario("provider", "manhattan", providers=("p1",), k=3)], ids=lambda s: s.name)
+def test_few_pairs_are_measured_each_by_itself(monkeypatch, s):
+    """Matrices tell which pairs may be among the nearest: 2,000 rows are not measured pair by pair, and none is lost."""
+    rows, asked = random_rows(3, 2000, 40, 8)
+    pairs, measure = [], analog_search._measure
+    monkeypatch.setattr(analog_search, "_measure", lambda x, *rest: pairs.append(len(x)) or measure(x, *rest))
+    mean, scale = np.full((40, 8), 5.0) + np.arange(40)[:, None] / 400, 1 + np.arange(320).reshape(40, 8) / 500
+    index = {"spaces": (), "means": np.full(8, 5.0), "scales": np.ones(8), "pivots": []}
+    task = analog_search._Search(s, index, asked, mean, scale, np.arange(40))
+    for i in range(0, 2000, 700):
+        task.batch({k: a[i : i + 700] for k, a in rows.items()}, np.full(len(rows["time"][i : i + 700]), -1), None)
+    ok, got = allowed(rows, asked, s), {}
+    assert task.measured == ok.sum() and sum(pairs) < ok.sum() / 3
+    for q, t, d in zip(*task.found()):
+        got.setdefault(int(q), []).append((float(d), int(t)))
+    own = analog_search._selected(8, s.excluded)
+    for q in range(40):
+        r = np.flatnonzero(ok[:, q])
+        same = lambda a: np.broadcast_to(a[q, own], (len(r), len(own)))  # noqa: B023, E731
+        far = measure(rows["v"][r][:, own], same(asked.v), same(mean), same(scale), s.metric)
+        want = sorted(zip(far.tolist(), rows["time"][r].tolist()))[: s.k]
+        assert [t for _, t in got.get(q, [])] == [t for _, t in want] and np.allclose([d for d, _ in got.get(q, [])], [d for d, _ in want], atol=1e-9)
+
+
+@pytest.mark.parametrize(("late", "pairs"), [(3, 100_000), (900, 50), (1, 1)])
+@pytest.mark.parametrize("same", [False, True])
+def test_sums_with_a_lookback_hold_no_matrix(monkeypatch, late, pairs, same):
+    """Sums of a slice by time, with rows that are known long after it or before it, and no mask of all pairs."""
+    monkeypatch.setattr(analog_search, "PAIRS", pairs)
+    monkeypatch.setattr(analog_search, "_allowed", None, raising=False)
+    rows, asked = random_rows(4, 1000, 60, 4, late)
+    for s in (Scenario("a", lookback=120, same_regime=same), Scenario("b", excluded=(1,), same_regime=same), Scenario("c", lookback=5, providers=("p0",), same_regime=same)):
+        x = np.nan_to_num(rows["v"] - 5.0)
+        want = allowed(rows, asked, s).T.astype(float) @ np.column_stack([np.ones(1000), x, x**2])
+        assert np.allclose(analog_search._sums(rows, asked, s, np.full(4, 5.0)), want, atol=1e-7)
+
+
 def test_empty_tables_and_bad_scenarios(spark):
     index = analog_search.build(spark.createDataFrame([], HISTORY), 3)
     asked = spark.createDataFrame([(1, 5, 9, "A", [1.0, 2.0, 3.0])], QUERIES)
