@@ -274,6 +274,21 @@ def test_insert_once_and_blobs(spark, tmp_path):
     assert store.read_blob(spark, str(tmp_path / "b"), digest).count() == 1
 
 
+def test_insert_once_by_pieces(spark):
+    """A task holds a piece of both sides, as many as partitions of what is read ask for; rows are the same, nulls too."""
+    old = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300) if i % 3] + [(None, "a"), (4, None)], "k bigint, h string").repartition(2)
+    new = spark.createDataFrame([(i, "abc"[(i + j) % 3]) for i in range(300) for j in range(2)] * 2 + [(None, "a"), (None, "a"), (5, None)], "k bigint, h string").repartition(3)
+    parts = store.pieces(old, new)
+    assert parts == store.PIECES * 5
+    found = store.insert_once(old, new, "k", "h", parts)
+    for mine, plain in zip(found, store.insert_once(old, new, "k", "h")):
+        want = sorted(map(tuple, plain.collect()), key=str)
+        assert sorted(map(tuple, mine.collect()), key=str) == want and len(want) > 99
+        plan = mine._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and f", {parts})" in plan
+    assert found[0].where("k is null").count() == 1
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         ratio(F.lit(1.0), F.lit(0.0)).alias("r"), scale(F.lit(9.0), 1.0).alias("s"), scale(F.lit(None).cast("double"), 1.0).alias("n"), sigmoid(logit(F.lit(0.3))).alias("p"),

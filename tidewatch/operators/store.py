@@ -18,9 +18,21 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequenc
     return latest_by(both, list(keys), [F.col("_new").desc(), *order]).drop("_new")
 
 
-def insert_once(ledger: DataFrame, rows: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): rows whose key is new; keys that are there with another digest."""
+#: Pieces that each partition of a scan is dealt to by key, so that a task's memory is that of a piece, whatever the input.
+PIECES = 8
+
+
+def pieces(*frames: DataFrame) -> int:
+    """PIECES for each partition of all frames; they should be scans, or what is made of one without a shuffle."""
+    return PIECES * max(1, sum(df.rdd.getNumPartitions() for df in frames))
+
+
+def insert_once(ledger: DataFrame, rows: DataFrame, key: str, digest: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, conflicts): rows whose key is new; keys that are there with another digest. parts: how many pieces
+    both are dealt to by key, such as `pieces` has it; as Spark plans it, if None."""
     have = ledger.select(F.col(key).alias("_k"), F.col(digest).alias("_d"))
+    if parts:  # merged, so no task holds more than its piece of either
+        have, rows = have.repartition(parts, "_k").hint("merge"), rows.repartition(parts, key)
     fresh = rows.join(have, rows[key] == have["_k"], "left_anti").dropDuplicates([key, digest])
     clash = rows.join(have, (rows[key] == have["_k"]) & (rows[digest] != have["_d"])).select(key).distinct()
     return fresh, clash
