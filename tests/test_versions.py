@@ -1,13 +1,18 @@
 """Trees of digests against plain comparisons, walks that read changed branches only, and records of versions."""
 
 import datetime as dt
+import hashlib
+import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import pit, versions
+from tidewatch.plans import queries
 
+SF = "/root/testdata/sf0.001"
 ROWS = "part string, k bigint, v string"
 
 
@@ -139,3 +144,36 @@ def test_as_of_scans_its_rows_once(spark):
     assert plan.count("Range (0, 100") == 1
     got = sorted((r.at.hour * 60 + r.at.minute, r.s, r.v) for r in found.collect())
     assert got == sorted((m, s, max(v for v in range(min(m, 99) + 1) if v % 3 == s)) for m in (0, 1, 50, 200) for s in range(3) if s <= m)
+
+
+def test_a_root_alone_leaves_no_table(spark, monkeypatch):
+    """Where only the root is read, leaves are not written; digests are of children's whole names and digests as text."""
+    rows = made(spark, [(f"p{i % 5}", i, f"v{i}") for i in range(200)] + [(None, None, None)])
+    nodes = [r.asDict() for r in versions.tree(rows, ["part"], ["k"]).collect()]
+    for n in nodes:
+        below = sorted((c["node"], c["digest"]) for c in nodes if c["level"] == n["level"] + 1 and c["parent"] == n["node"])
+        text = json.dumps([{"node": a, "digest": b} for a, b in below], separators=(",", ":"))
+        assert not below or hashlib.sha256(text.encode()).hexdigest() == n["digest"]
+    monkeypatch.setattr(versions, "kept", None)
+    root = versions.tree(rows, ["part"], ["k"], keep=False).where("level = 0").collect()
+    assert [(r.n, r.digest) for r in root] == [(201, next(n["digest"] for n in nodes if n["level"] == 0))]
+
+
+def test_gaps_read_times_twice_at_most(spark):
+    """Only first times of days go to the window of days; no join of days with times."""
+    rnd = random.Random(3)
+    at = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
+    rows = [(s, None if rnd.random() < 0.05 else at(rnd.randrange(600))) for s in ("a", "b", None) for _ in range(70)]
+    found = pit.gaps(spark.createDataFrame(rows, "s string, at timestamp_ntz"), ["s"], "at", 6 * 3600)
+    want = []
+    for s in ("a", "b", None):
+        times = sorted({t for k, t in rows if k == s and t})
+        want += [(s, a, b, (b - a).total_seconds()) for a, b in zip(times, times[1:]) if (b - a).total_seconds() > 6 * 3600]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and len(want) > 30
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_a_record_joins_its_rows_once(spark):
+    """What a version's record is made of comes from one table of observations, and its check from the record."""
+    assert not [f for f in queries.dataset_version_record(spark, SF).inputFiles() if f.startswith(f"file://{SF}")]

@@ -45,12 +45,13 @@ def _parent(node: Column, level: int, top: int) -> Column:
     return node.substr(F.lit(1), F.length(node) - cut)
 
 
-def tree(rows: DataFrame, partition: Sequence[str], key: Sequence[str], top: int = TOP, depth: int = DEPTH) -> DataFrame:
+def tree(rows: DataFrame, partition: Sequence[str], key: Sequence[str], top: int = TOP, depth: int = DEPTH, keep: bool = True) -> DataFrame:
     """level, node, parent, n, digest: the tree of rows by the columns `partition` and, within it, `key`.
 
     Level 0 is the root, `top` + 1 the partitions, `top` + 1 + `depth` the leaves. Digests don't depend on rows' order, and
     repeats and nulls count. No rows give no node. top and depth fit the data: a leaf should hold some thousands of rows, and
-    two trees are compared only if theirs are the same."""
+    two trees are compared only if theirs are the same. Leaves are kept as a table, from which all levels are made; where one
+    level is read once, such as the root, they need not be (keep)."""
     if top < 1 or depth < 1:
         raise ValueError("top and depth must be positive")
     last = top + 1 + depth
@@ -58,13 +59,17 @@ def tree(rows: DataFrame, partition: Sequence[str], key: Sequence[str], top: int
     # A leaf has its name once it is aggregated, not by row.
     buckets = rows.groupBy(_text(partition).alias("_name"), _bucket(key, depth).alias("_bucket")).agg(F.count("*").alias("n"), one.alias("_one"), two.alias("_two"))
     leaves = buckets.withColumn("node", _leaf(F.col("_name"), F.col("_bucket"), top))
-    made = kept(leaves.select("node", "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), "_one", "_two"), 256).alias("digest")), "leaves")
+    made = leaves.select("node", "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), "_one", "_two"), 256).alias("digest"))
+    made = kept(made, "leaves") if keep else made
     levels = []
     for level in range(last, -1, -1):
         named = made.withColumn("parent", _parent(F.col("node"), level, top) if level else F.lit(None).cast("string"))
         levels.append(named.select(F.lit(level).alias("level"), "node", "parent", "n", "digest"))
-        below = F.array_sort(F.collect_list(F.struct("node", "digest")))
-        made = named.groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n"), F.sha2(F.to_json(below), 256).alias("digest")) if level else None
+        if level:  # a child goes to its parent by what its name has more, and its digest as bytes
+            tail = F.col("node").substr(F.length("parent") + 1, F.length("node")).alias("tail")
+            both = named.groupBy("parent").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(tail, F.unhex("digest").alias("digest")))).alias("below"))
+            below = F.transform("below", lambda x: F.struct(F.concat("parent", x["tail"]).alias("node"), F.lower(F.hex(x["digest"])).alias("digest")))
+            made = both.select(F.col("parent").alias("node"), "n", F.sha2(F.to_json(below), 256).alias("digest"))
     return reduce(DataFrame.union, levels)
 
 
